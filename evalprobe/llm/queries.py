@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, secrets
+from . import mixing, packing, quality, secrets, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,5 +32,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_mixing": op3_mixing, "op5_packing": op5_packing, "op6_quality": op6_quality, "op9_secrets": op9_secrets}
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_mixing": op3_mixing, "op5_packing": op5_packing, "op6_quality": op6_quality, "op9_secrets": op9_secrets, "op10_substrings": op10_substrings}
 ORACLE: dict[str, str] = {"op3_mixing": mixing.SQL, "op6_quality": quality.SQL}
