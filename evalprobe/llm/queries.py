@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, quality, secrets, substrings
+from . import lines, minhash, mixing, packing, quality, secrets, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(_table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_mixing": op3_mixing, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op6_quality": op6_quality, "op9_secrets": op9_secrets, "op10_substrings": op10_substrings}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lines": op1_lines, "op3_mixing": op3_mixing, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op6_quality": op6_quality, "op9_secrets": op9_secrets, "op10_substrings": op10_substrings}
 ORACLE: dict[str, str] = {"op3_mixing": mixing.SQL, "op6_quality": quality.SQL}
