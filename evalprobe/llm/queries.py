@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, minhash, mixing, packing, quality, secrets, substrings
+from . import lines, minhash, mixing, packing, quality, secrets, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest, _ = mixing.copies(_table(spark, sf_dir, "documents"))
     return digest.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -44,5 +48,5 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lines": op1_lines, "op3_mixing": op3_mixing, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op6_quality": op6_quality, "op9_secrets": op9_secrets, "op10_substrings": op10_substrings}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lines": op1_lines, "op2_warc": op2_warc, "op3_mixing": op3_mixing, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op6_quality": op6_quality, "op9_secrets": op9_secrets, "op10_substrings": op10_substrings}
 ORACLE: dict[str, str] = {"op3_mixing": mixing.SQL, "op6_quality": quality.SQL}
