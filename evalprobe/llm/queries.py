@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdtree, lines, minhash, mixing, packing, quality, secrets, substrings, warc
+from . import kdtree, lines, minhash, mixing, packing, quality, scoring, secrets, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op7_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.neighbours(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scored(_table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lines": op1_lines, "op2_warc": op2_warc, "op3_mixing": op3_mixing, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_kdtree": op7_kdtree, "op9_secrets": op9_secrets, "op10_substrings": op10_substrings}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lines": op1_lines, "op2_warc": op2_warc, "op3_mixing": op3_mixing, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_kdtree": op7_kdtree, "op8_scoring": op8_scoring, "op9_secrets": op9_secrets, "op10_substrings": op10_substrings}
 ORACLE: dict[str, str] = {"op3_mixing": mixing.SQL, "op6_quality": quality.SQL, "op7_kdtree": kdtree.SQL}
