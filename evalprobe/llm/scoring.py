@@ -33,7 +33,7 @@ HEAD, BUCKETS, DIMS = 512, 64, 24
 #: Words whose counts go along to every task; the counts of rarer words are joined.
 CARRIED = 200_000
 #: Noise samples of a batch, positions of a batch, step size.
-NOISE, BATCH, STEP = 64, 8192, 0.1
+NOISE, BATCH, STEP = 64, 2048, 0.1
 #: Documents held out: crc32 of the id modulo FOLDS equal to HELD; those equal to FIRST start the training.
 FOLDS, HELD, FIRST = 7, 2, 3
 #: Replicas that are averaged in one place, and distinct words a task counts before it reports them.
@@ -199,7 +199,7 @@ def _trained(rows: DataFrame, words: Vocabulary, share: np.ndarray, flat: np.nda
                     own = np.array([classes[t] if t in classes else HEAD + bucket(t) for t in tokens(text)], np.int32)
                     ids.append(own)
                     held += len(own)
-                    if held >= 64 * BATCH:
+                    if held >= 256 * BATCH:
                         model.train(*_contexts(ids, end), share, draw, seen)
                         n, held, ids = n + held, 0, []
         if ids:
