@@ -55,7 +55,11 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def windows(words: np.ndarray, size: int, factor: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+#: Base of the rolling polynomial.
+FACTOR = 0x9E3779B97F4A7C15
+
+
+def windows(words: np.ndarray, size: int, factor: int = FACTOR) -> np.ndarray:
     """Fingerprints of every ``size`` consecutive words, by a rolling polynomial modulo 2**64."""
     n = len(words) - size + 1
     if n <= 0:
