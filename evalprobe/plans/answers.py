@@ -130,9 +130,9 @@ def f29_feature_names(spark, sf_dir):
     return parts.select("p_partkey", (k % 60).alias("layer"), T.head(F.col("name")).alias("head"), T.family(F.col("name")).alias("family"), T.layer(F.col("name")).alias("own_layer"), T.strategy(F.col("name")).alias("strategy"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_acctbal::DOUBLE END AS metric, CASE WHEN s_suppkey % 3 = 0 THEN 'N/A' ELSE printf('%.2f%%', round(abs(s_acctbal::DOUBLE) / 100000, 6) * 100) END AS cell FROM supplier")
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_acctbal::DOUBLE END AS metric, CASE WHEN s_suppkey % 3 = 0 THEN 'N/A' ELSE printf('%.2f%%', round(abs(s_acctbal::DOUBLE) / 100000, 3) * 100) END AS cell FROM supplier")
 def f30_f31_metrics_and_cells(spark, sf_dir):
     s = V.table(spark, sf_dir, "supplier")
     metric = T.number(F.when(F.col("s_suppkey") % 3 == 0, "none").otherwise(F.lit("")), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal").cast("string")))
-    share = F.when(metric.isNotNull(), F.round(F.abs(F.col("s_acctbal").cast("double")) / 100000, 6))
+    share = F.when(metric.isNotNull(), F.round(F.abs(F.col("s_acctbal").cast("double")) / 100000, 3))
     return s.select("s_suppkey", metric.alias("metric"), T.percent(share).alias("cell"))
