@@ -25,8 +25,10 @@ _OPEN = r"""CASE WHEN response <> '' THEN coalesce(nullif(trim(regexp_extract(re
 
 
 def _normal(c: str) -> str:
-    t = rf"regexp_replace(trim(trim(regexp_replace(lower(trim({c})), '^\[\[|\]\]$', '')), '""''`.,;:!?()[]{{}}'), '\s+', ' ', 'g')"
-    return rf"(CASE WHEN {t} IN ('y', 'yes', 'true') THEN 'yes' WHEN {t} IN ('n', 'no', 'false') THEN 'no' ELSE nullif(trim(regexp_replace(regexp_replace({t}, '[^a-z0-9\s\-/%+]', '', 'g'), '\s+', ' ', 'g')), '') END)".replace('""', '"')
+    """Open text normalised, in SQL."""
+    t = r"""regexp_replace(trim(trim(regexp_replace(lower(trim(@)), '^\[\[|\]\]$', '')), '"''`.,;:!?()[]{}'), '\s+', ' ', 'g')"""
+    whole = r"""(CASE WHEN # IN ('y', 'yes', 'true') THEN 'yes' WHEN # IN ('n', 'no', 'false') THEN 'no' ELSE nullif(trim(regexp_replace(regexp_replace(#, '[^a-z0-9\s\-/%+]', '', 'g'), '\s+', ' ', 'g')), '') END)"""
+    return whole.replace("#", t).replace("@", c)
 
 
 @query(f"WITH {V.ANS} SELECT doc_id, {_LETTER} AS letter FROM ans")

@@ -40,12 +40,15 @@ def f11_mirage_label(spark, sf_dir):
 
 
 _MIR = "CASE state WHEN 'mirage' THEN true WHEN 'non_mirage' THEN false END"
-_MIRAGE = F.when(F.col("state") == "mirage", True).when(F.col("state") == "non_mirage", False)
+
+
+def _mirage_like():
+    return F.when(F.col("state") == "mirage", True).when(F.col("state") == "non_mirage", False)
 
 
 @query(f"WITH {V.VAR} SELECT variant_id, CASE state WHEN 'mirage' THEN 1 WHEN 'non_mirage' THEN 0 END AS strict, CASE state WHEN 'mirage' THEN 1 ELSE 0 END AS with_neutral, CASE WHEN state = 'mirage' THEN 1 WHEN NOT without_correct AND with_correct THEN 0 END AS clean_b FROM var")
 def p6_p7_p8_labels(spark, sf_dir):
-    return V.variants(spark, sf_dir).select("variant_id", L.strict(_MIRAGE).alias("strict"), L.with_neutral(_MIRAGE, F.col("state")).alias("with_neutral"), L.clean_b(_MIRAGE, F.col("with_correct"), F.col("without_correct")).alias("clean_b"))
+    return V.variants(spark, sf_dir).select("variant_id", L.strict(_mirage_like()).alias("strict"), L.with_neutral(_mirage_like(), F.col("state")).alias("with_neutral"), L.clean_b(_mirage_like(), F.col("with_correct"), F.col("without_correct")).alias("clean_b"))
 
 
 @query(f"WITH {V.VAR} SELECT dataset, question_id, count(*) AS n_variants, count(*) FILTER (state = 'mirage') AS n_mirage, count(*) FILTER (state = 'non_mirage') AS n_non_mirage, count(*) FILTER (state = 'neutral') AS n_neutral, count(*) FILTER (state = 'mirage') > 0 AND count(*) FILTER (state = 'non_mirage') > 0 AS flip FROM var GROUP BY ALL")
