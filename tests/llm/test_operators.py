@@ -1,0 +1,476 @@
+"""Every operator against a brute-force version on small rows: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from evalprobe.llm import kdtree, lines, minhash, mixing, packing, quality, recompress, scoring, secrets, substrings, warc
+from evalprobe.llm.common import Fingerprints, windows
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, node long, part int"
+
+
+def docs_of(spark, texts, sources=None):
+    """Documents with extra columns whose names clash with those used inside."""
+    rows = [(i, t, "en", (sources or {}).get(i, "s"), 7, 8, 9, 10) for i, t in (texts.items() if isinstance(texts, dict) else texts)]
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+def words(n, seed, vocabulary=400):
+    draw = random.Random(seed)
+    return [f"w{draw.randrange(vocabulary)}" for _ in range(n)]
+
+
+# 1 lines
+def edit_within_one(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1] <= 1
+
+
+def brute_lines(texts):
+    earlier, out = [], {}
+    for i, t in sorted(texts.items()):
+        own = [(at, line.encode().split()) for at, line in enumerate((t or "").split("\n"))]
+        gone = []
+        for at, w in own:
+            if not w:
+                continue
+            near = len(w) >= lines.NEAR_WORDS
+            if any(w == e or (near and len(e) >= lines.NEAR_WORDS and edit_within_one(w, e)) for e in earlier):
+                gone.append(at)
+            earlier.append(w)
+        out[i] = (sum(1 for _, w in own if w), len(gone), ",".join(map(str, gone)))
+    return out
+
+
+def test_lines_brute_force(spark):
+    base = words(12, 1)
+    texts = {1: " ".join(base), 2: None, 3: "", 4: " ".join(base[:3] + ["x"] + base[4:]), 5: " ".join(base[1:]), 6: " ".join(["y", *base]), 7: "yes no\nyes\nyes no\n \n" + " ".join(base), 8: " ".join(base[:6] + ["a", "b"] + base[8:])}
+    draw = random.Random(3)
+    for k in range(9, 60):
+        w = words(draw.randrange(1, 9), draw.randrange(12), 30)
+        if draw.random() < 0.6:
+            w[draw.randrange(len(w))] = f"z{draw.randrange(3)}"
+        texts[k] = "\n".join([" ".join(w), " \t".join(words(5, draw.randrange(5), 9))])
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.removed) for r in lines.digest(docs_of(spark, texts)).collect()}
+    assert got == brute_lines(texts)
+
+
+def test_lines_texts_and_edges(spark):
+    texts = {1: "a b c d e f\n\nkeep me", 2: "a b c d e f", 3: "a b X d e f\nown line here", None: "own line here"}
+    got = {r.doc_id: r.text for r in lines.deduplicated(docs_of(spark, texts)).collect()}
+    assert got == {1: "a b c d e f\n\nkeep me", 3: "own line here"}
+    assert lines.deduplicated(docs_of(spark, {1: "x"})).columns == docs_of(spark, {1: "x"}).columns
+    assert lines.digest(docs_of(spark, {}).limit(0)).count() == 0
+    assert lines.within_one(b"a b c".split(), b"a c".split()) and not lines.within_one(b"a b c".split(), b"c a b".split())
+
+
+def test_half_keys_are_lossless():
+    draw = random.Random(5)
+    for _ in range(500):
+        a = [str(draw.randrange(4)).encode() for _ in range(draw.randrange(1, 9))]
+        b = list(a)
+        kind, at = draw.randrange(3), draw.randrange(len(a))
+        if kind == 0:
+            b[at] = b"new"
+        elif kind == 1:
+            b.insert(draw.randrange(len(a) + 1), b"new")
+        elif len(b) > 1:
+            del b[at]
+        assert set(lines.halves(a)) & set(lines.halves(b))
+
+
+# 2 WARC
+def test_warc_round_trip(spark):
+    pages = [(1, "http://a/1", "same"), (2, "http://a/2\r\nX: y", "same"), (3, None, None), (4, "http://a/4", ""), (5, "u", "é" * 9000), (None, "u", "same"), (7, "u", "only\r\n\r\nbody")]
+    table = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, payload string")
+    got = {r.page_id: r for r in warc.round_trip(table).collect()}
+    top = {}
+    for i, _, h in pages:
+        top[h or ""] = max(top.get(h or "", -1), -1 if i is None else i)
+    assert set(got) == {p[0] for p in pages}
+    for i, _, h in pages:
+        data = (h or "").encode()
+        kind = "response" if top[h or ""] == i else "revisit"
+        assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), kind)
+        assert got[i].refers_to == (None if kind == "response" else top[h or ""])
+    assert {r.record_type for r in warc.round_trip(table, least=100).collect()} == {"response"}
+    assert warc.round_trip(table.limit(0)).count() == 0
+
+
+def test_warc_pushdown_and_foreign_archives(spark, tmp_path):
+    record = b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:x:%d>\r\nContent-Length: 5\r\n\r\nab\r\nc\r\n\r\n"
+    import gzip
+
+    (tmp_path / "a.warc").write_bytes(b"".join(record % (k, i) for i, k in enumerate([b"warcinfo", b"resource", b"resource"])))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(record % (b"resource", i)) for i in (7, 8)))
+    rows = warc.read(spark, str(tmp_path)).filter("record_type = 'resource'").collect()
+    assert sorted(r.record_id for r in rows) == ["urn:x:1", "urn:x:2", "urn:x:7", "urn:x:8"]
+    assert {bytes(r.payload) for r in rows} == {b"ab\r\nc"}
+    plan = warc.read(spark, str(tmp_path)).filter("record_type = 'resource'")._jdf.queryExecution().executedPlan().toString()
+    assert "Filter (" not in plan and "Filter isnotnull" not in plan
+
+
+def test_warc_skips_unwanted_payloads(spark, tmp_path):
+    table = spark.createDataFrame([(i, "u", f"{i}" * 50_000) for i in range(4)] + [(9, "u", "0" * 50_000)], "page_id long, url string, html string")
+    warc.write(table, str(tmp_path / "w"))
+    reader = warc.WarcReader({"path": str(tmp_path / "w")})
+    list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit")]))
+    calls = []
+    real = zlib.decompressobj
+
+    class Counting:
+        def __init__(self, bits):
+            self.inner = real(bits)
+
+        def decompress(self, *a):
+            out = self.inner.decompress(*a)
+            calls.append(len(out))
+            return out
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    warc.zlib.decompressobj, kept = Counting, warc.zlib.decompressobj
+    try:
+        rows = sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+    finally:
+        warc.zlib.decompressobj = kept
+    assert rows == 1 and max(calls) <= 8192
+
+
+# 3 mixing
+def test_mixing(spark):
+    draw = random.Random(1)
+    texts = {i: " ".join(words(draw.randrange(0, 60), i)) for i in range(600)} | {600: None, 601: ""}
+    sources = {i: ["a", "b", "c", "d", None][min(4, i % 11)] for i in texts}
+    digest, placed = mixing.copies(docs_of(spark, texts, sources))
+    rows = digest.collect()
+    sizes = defaultdict(int)
+    for r in rows:
+        assert r["size"] == len((texts[r.doc_id] or "").split())
+        sizes[r.source] += r["size"]
+    weights = {s: k % 3 + 1 for k, s in enumerate(["a", "b", "c", "d", None])}
+    total, target, free = sum(sizes.values()), {}, set(sizes)
+    while True:  # share again until none is above its cap
+        left = total - sum(target.values())
+        over = [s for s in free if left * weights[s] / sum(weights[f] for f in free) > 3 * sizes[s]]
+        if not over:
+            target |= {s: left * weights[s] / sum(weights[f] for f in free) for s in free}
+            break
+        for s in over:
+            target[s] = 3 * sizes[s]
+            free.discard(s)
+    taken = defaultdict(int)
+    for r in rows:
+        assert r.target == pytest.approx(target[r.source]) and 0 <= r.copies <= 3
+        taken[r.source] += r["size"] * r.copies
+    assert all(abs(taken[s] - target[s]) <= 40 for s in sizes)
+    assert {(r.doc_id, r._mx_copies) for r in placed.collect()} == {(r.doc_id, r.copies) for r in rows}
+    again = mixing.copies(docs_of(spark, texts, sources))[0].collect()
+    assert sorted((r.doc_id, r.copies) for r in again) == sorted((r.doc_id, r.copies) for r in rows)
+    mixed = mixing.mixed(docs_of(spark, texts, sources))
+    assert mixed.columns == docs_of(spark, {1: "x"}).columns
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter({r.doc_id: r.copies for r in rows if r.copies})
+    assert mixing.copies(docs_of(spark, {1: "x"}).limit(0))[0].count() == 0
+
+
+# 4 near-duplicates
+def test_minhash_classes(spark):
+    base, other = words(300, 1, 5000), words(300, 2, 5000)
+    near = list(base)
+    near[150] = "changed"
+    far = base[:150] + other[150:]
+    texts = {1: " ".join(base), 2: " ".join(near), 3: "\n".join(base), 4: " ".join(far), 5: " ".join(other), 6: None, 7: "", 8: "one two", 9: "one two", 10: "one  two", 11: "one three", 12: " ".join(other)}
+    got = {r.doc_id: r.class_id for r in minhash.classes(docs_of(spark, texts)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8, 9: 8, 10: 8, 11: 11, 12: 5}
+    kept = minhash.representatives(docs_of(spark, texts))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 8, 11] and kept.columns == docs_of(spark, texts).columns
+    assert minhash.classes(docs_of(spark, texts).limit(0)).count() == 0
+
+
+def test_minhash_large_group_by_leaders(spark):
+    base = words(200, 1, 5000)
+    texts = {}
+    for i in range(40):
+        own = list(base)
+        own[(i * 5) % 200] = f"x{i}"
+        texts[i] = " ".join(own)
+    texts |= {100 + i: " ".join(words(150, 50 + i, 5000)) for i in range(40)}
+    got = {r.doc_id: r.class_id for r in minhash.classes(docs_of(spark, texts)).collect()}
+    assert {got[i] for i in range(40)} == {0} and all(got[100 + i] == 100 + i for i in range(40))
+
+
+def test_frequent_shingles_are_exact(spark):
+    common = "a very common line here now"
+    texts = {i: f"{common} {' '.join(words(30, i, 10_000))}" if i % 2 else " ".join(words(40, i, 10_000)) for i in range(100)}
+    weights = minhash.frequent_shingles(minhash._texts(docs_of(spark, texts), "doc_id", "text"))
+    names = minhash.shingles(Fingerprints().of(common))
+    assert set(names.tolist()) <= set(weights.names.tolist())
+    assert weights(names, np.ones(2)) == pytest.approx([1 + math.log(2) / math.log(20)] * 2)
+
+
+def test_samples_agree_with_similarity():
+    sampler, draw = minhash.Sampler(512), np.random.default_rng(1)
+    pool = draw.integers(0, 1 << 63, 400).astype(np.uint64)
+    a, b = np.sort(pool[:300]), np.sort(pool[100:])
+    wa, wb = (np.where(x % np.uint64(5) == 0, 4.0, 2.0).astype(np.float32) for x in (a, b))
+    one, two = sampler(a, wa, np.array([0]))[0], sampler(b, wb, np.array([0]))[0]
+    assert abs((one == two).mean() - minhash.similarity((a, wa), (b, wb))) < 0.07
+
+
+# 5 packing
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    options = packing.default_tokenizer()
+    whole = Tokenizer.from_file(options["tokenizer"])
+    texts = {1: "Hello  world \n x", 2: None, 3: "", 4: " ".join(words(3000, 4)), 5: "a <|endoftext|> b", 6: "tail ", 7: "naïve\n\n  été's 12,5", 8: "x y  z"}
+    rows = packing.pack(docs_of(spark, texts), seq_len=64).collect()
+    ids = {i: whole.encode(t or "", add_special_tokens=False).ids + [1] for i, t in texts.items()}
+    for i, want in ids.items():
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert [x for r in own for x in np.frombuffer(bytes(r.ids), "<u4").tolist()] == want
+        assert all(r.doc_tokens == len(want) for r in own) and own[0].start == 0
+    flat = sorted((r.sequence_id * 64 + r.offset, r.length) for r in rows)
+    at = 0
+    for start, length in flat:
+        assert start == at and length > 0
+        at += length
+    assert all(r.offset + r.length <= 64 for r in rows) and at == sum(map(len, ids.values()))
+    assert packing.pack(docs_of(spark, texts).limit(0)).count() == 0
+
+
+def test_encoder_without_ranks_is_the_same():
+    options = packing.default_tokenizer()
+    fast, plain = packing.Encoder(**options), packing.Encoder(options["tokenizer"])
+    for t in ("It's a test. ", "é\t x", "a b  c", "", "don't\nstop now"):
+        assert fast(t) == plain(t)
+
+
+# 6 quality
+def test_quality(spark):
+    prose = "\n".join(" ".join(words(20, i, 5000)) + "." for i in range(5))
+    menu = " | ".join(words(60, 9, 5000))
+    texts = {1: prose, 2: None, 3: menu, 4: prose + "\n" + menu, 5: "a b c " * 30, 6: prose + "\nAll rights reserved.\n" + prose.split("\n")[0], 7: "$$$ " * 80, 8: "w " * 49}
+    rows = {r.doc_id: r for r in quality.judged(docs_of(spark, texts)).collect()}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        n = Counter(grams)
+        covered = {k + o for k, g in enumerate(grams) if n[g] > 1 for o in range(3)}
+        seen, again = set(), 0
+        for line in (t or "").split("\n"):
+            if line.split():
+                again += line in seen
+                seen.add(line)
+        assert (rows[i].n_words, rows[i].word_chars, rows[i].n_repeat_words, rows[i].n_dup_lines) == (len(w), sum(map(len, w)), len(covered), again)
+        assert rows[i].n_symbols == len(re.findall(r"[#*$%&|<>]", t or "")) and rows[i].base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
+    assert {i: r.kept for i, r in rows.items()} == {1: True, 2: False, 3: False, 4: True, 5: False, 6: True, 7: False, 8: False}
+    cleaned = {r.doc_id: r.text for r in quality.cleaned(docs_of(spark, texts)).collect()}
+    assert cleaned[4] == prose and "rights" not in cleaned[6] and set(cleaned) == {1, 4, 6}
+    assert quality.judged(docs_of(spark, texts).limit(0)).count() == 0
+
+
+# 7 KD-tree
+def test_kdtree_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(kdtree, "SHARD_ROWS", 70)
+    monkeypatch.setattr(kdtree, "BLOCK_QUERIES", 5)
+    monkeypatch.setattr(kdtree, "LEAF_ROWS", 8)
+    draw = np.random.default_rng(2)
+    vectors = {i: draw.normal(0, 0.2, 6).astype(float).tolist() for i in range(400)}
+    for i in range(100, 180):
+        vectors[i] = vectors[100]  # ties
+    odd = [(500, None, 1), (520, [1.0, None, 0, 0, 0, 0], 1), (540, [float("nan")] * 6, 1), (560, [float("inf")] * 6, 1), (None, vectors[0], 1), (580, [], 1)]
+    table = spark.createDataFrame([(i, v, 1) for i, v in vectors.items()] + odd, "vec_id long, embedding array<double>, rank int")
+    got = defaultdict(list)
+    for r in kdtree.neighbours(table).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    q = {i: np.floor(64 * np.array(v)).astype(int) for i, v in vectors.items()}
+    for i in range(0, 400, 20):
+        best = sorted(((-int(q[i] @ q[j]), j) for j in q if j != i))[:20]
+        assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert set(got) == set(range(0, 400, 20))
+    assert kdtree.neighbours(table.limit(0)).count() == 0
+
+
+# 8 scoring
+def test_scoring(spark):
+    texts = {i: " ".join(words(80, i, 50)) + (" Ab é" if i % 3 else "") for i in range(60)} | {60: None, 61: ""}
+    rows = {r.doc_id: r for r in scoring.scored(docs_of(spark, texts)).collect()}
+    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    tokens = {i: (t or "").encode().translate(lower).split() + [b"\n"] for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    counts = Counter(w for i, own in tokens.items() if not held[i] for w in own)
+    n, v = sum(counts.values()), len(counts)
+    for i, own in tokens.items():
+        r = rows[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(own), sum(counts[w] > 0 for w in own), n)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own))
+        assert r.score < 0
+    assert scoring.scored(docs_of(spark, texts).limit(0)).count() == 0
+
+
+def test_scoring_is_normalised():
+    draw = np.random.default_rng(1)
+    size = scoring.HEAD + scoring.BUCKETS
+    words_ = scoring.Vocabulary(1, 1, {}, {}, np.ones(size), np.ones(scoring.BUCKETS), np.ones(scoring.BUCKETS))
+    flat = scoring.Model.start(np.full(size, 1 / size)).flat + draw.normal(0, 0.3, sum(math.prod(s) for _, s in scoring.Model.shapes)).astype(np.float32)
+    score = scoring.Scorer(flat, words_)
+    every = score(np.full(size, 3), np.full(size, 5), np.arange(size))
+    assert (10**every).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_training_learns_contexts():
+    size = scoring.HEAD + scoring.BUCKETS
+    share = np.full(size, 1e-6)
+    share[:4] = 0.25
+    share /= share.sum()
+    model = scoring.Model.start(share)
+    target = np.tile(np.arange(4), 20_000)
+    near, far = np.roll(target, 1), np.roll(target, 2)
+    model.train(near, far, target, share.astype(np.float32), np.random.default_rng(0), np.full_like(model.flat, 1e-4))
+    words_ = scoring.Vocabulary(1, 1, {}, {}, np.ones(size), np.ones(scoring.BUCKETS), np.ones(scoring.BUCKETS))
+    score = scoring.Scorer(model.flat, words_)
+    assert score(near[-4:], far[-4:], target[-4:]).mean() > math.log10(0.5)
+
+
+# 9 secrets
+def brute_secrets(text, window=24):
+    text = text or ""
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
+    base = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
+    base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    added = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        v = m[0]
+        if len(v) < window or any(re.search(a, v) for a in secrets.ALLOWED):
+            continue
+        bits = secrets.CLASSES[0][2] if re.fullmatch("[0-9a-fA-F]+", v) else secrets.CLASSES[1][2]
+        cost = min(sum(round(c * math.log2(c) * secrets.SCALE) for c in Counter(v[i : i + window]).values()) for i in range(len(v) - window + 1))
+        if cost <= secrets.limit(bits, window) and not any(b[0] < m.end() and m.start() < b[2] for b in base):
+            added.append((m.start(), 3, m.end()))
+    names = ["assign", "access", "hex", "entropy"]
+    listed = lambda s: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(s))
+    return (*(sum(b[1] == k for b in base) for k in range(3)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + added))
+
+
+def test_secrets_brute_force(spark):
+    draw = random.Random(4)
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = {1: None, 2: "", 3: "é token = 'abcdefgh1' and Password:short1 x", 4: "token: api_key: abcdefghijk", 5: "AKIA" + "A1" * 6 + " AKIAAKIA12345678 AKIA1", 6: "f" * 40 + " " + "0123456789abcdef" * 3, 7: "the-quick-brown-fox-jumps-over", 8: "https/path/of/words/and/more/words/again", 9: "API_KEY=" + "q" * 30 + "\nsecret = \"x.y_z-12345\"", 10: "ü" * 50 + " tokentoken=12345678 token=secret=abcdefgh12"}
+    for k in range(11, 40):
+        texts[k] = " ".join(["plain", "".join(draw.choice(symbols) for _ in range(draw.randrange(20, 60))), "é", "".join(draw.choice("0123456789abcdefABCDEF") for _ in range(30))])
+    rows = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in secrets.digest(docs_of(spark, texts)).collect()}
+    assert rows == {i: brute_secrets(t) for i, t in texts.items()}
+    assert any("entropy" in r[4] for r in rows.values())
+    cut = {r.doc_id: r.text for r in secrets.redacted(docs_of(spark, texts)).collect()}
+    assert cut[3] == "é [SECRET]' and Password:short1 x" and cut[1] is None
+    plan = secrets.digest(docs_of(spark, texts))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert secrets.digest(docs_of(spark, texts).limit(0)).count() == 0
+
+
+# 10 substrings
+def brute_substrings(texts, size):
+    first, out = {}, {}
+    for i, t in sorted(texts.items()):
+        w = (t or "").encode().split()
+        gone = [False] * len(w)
+        for k in range(len(w) - size + 1):
+            key = tuple(w[k : k + size])
+            if first.setdefault(key, i) < i:
+                gone[k : k + size] = [True] * size
+        out[i] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest())
+    return out
+
+
+def test_substrings_brute_force(spark):
+    passage, draw = words(70, 1), random.Random(6)
+    texts = {1: None, 2: "", 3: " ".join(passage), 4: " ".join(words(30, 2) + passage[:60] + words(40, 3)), 5: " ".join(passage[20:] + words(49, 4)), 6: " ".join(["a"] * 130), 7: " ".join(["b", *["a"] * 90]), 8: " ".join(["x", "y"] * 60), 9: " ".join(["y", "x"] * 55), 10: " ".join(passage), 11: " ".join(passage[:49])}
+    for k in range(12, 40):
+        own = words(draw.randrange(10, 200), k, 20)
+        at = draw.randrange(len(own))
+        texts[k] = "\n".join(own[:at] + passage[draw.randrange(15) : draw.randrange(55, 70)] + own[at:])
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.deduplicated(docs_of(spark, texts)).collect()}
+    assert got == brute_substrings(texts, 50)
+    assert substrings.deduplicated(docs_of(spark, texts).limit(0)).count() == 0
+
+
+def test_substrings_repeated_rows_and_null_ids(spark):
+    text = " ".join(words(60, 1))
+    rows = substrings.deduplicated(docs_of(spark, [(5, text), (5, text), (None, text), (7, text)])).collect()
+    assert sorted((r.doc_id or -1, r.n_removed) for r in rows) == [(-1, 60), (5, 0), (5, 0), (7, 60)]
+
+
+def test_equal_windows_have_equal_anchors():
+    draw = np.random.default_rng(3)
+    for alphabet in (1, 2, 3, 50):
+        flat = draw.integers(1, alphabet + 1, 3000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        flat[2000:2400] = flat[500:900]
+        at = np.arange(len(flat) - 49)
+        names, prints = recompress.anchors(flat, at, 50), windows(flat, 50)
+        by = defaultdict(set)
+        for n, p in zip(names.tolist(), prints.tolist(), strict=True):
+            by[p].add(n)
+        assert all(len(s) == 1 for s in by.values())
+
+
+# the pipeline
+def test_pipeline_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    draw = random.Random(9)
+    texts = {}
+    for i in range(40):
+        texts[i] = "\n".join(" ".join(words(15, 1000 * i + k, 8000)) + "." for k in range(6))
+    texts[40] = texts[3]
+    texts[41] = texts[4].replace("w1", "w2", 1)
+    texts[42], texts[43] = None, "short"
+    texts[44] = texts[5] + "\n" + texts[6].split("\n")[0]
+    docs = spark.createDataFrame([(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    kept = {i: v[7] for i, t in texts.items() if (v := quality.judge(t))[6]}
+    told = brute_lines(kept)
+    cut = {}
+    for i, t in kept.items():
+        gone = set(map(int, told[i][2].split(","))) if told[i][2] else set()
+        own = "\n".join(line for k, line in enumerate(t.split("\n")) if k not in gone)
+        if own.split():
+            cut[i] = own
+    grams = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in cut.items() if (w := t.split())}
+    unique = {i: t for i, t in cut.items() if not any(j < i and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]) for j in cut)}
+    table = docs_of(spark, unique, {i: f"src{i % 3}" for i in unique})
+    copies = {r.doc_id: r.copies for r in mixing.copies(table)[0].collect()}
+    encode = packing.Encoder(**packing.default_tokenizer())
+    want = Counter({i: n for i, n in copies.items() if n})
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ends = Counter(r.doc_id for r in rows if r.start + r.length == r.doc_tokens)
+    assert ends == want and draw
+    assert all(r.doc_tokens == len(encode(unique[r.doc_id])) // 2 + 1 for r in rows)
+    assert sum(r.length for r in rows) == sum(n * (len(encode(unique[i])) // 2 + 1) for i, n in want.items())
+
+
+def test_queries_are_registered():
+    from evalprobe.llm import queries
+
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert set(queries.ORACLE) <= set(queries.QUERIES) and F
