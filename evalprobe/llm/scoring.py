@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,13 @@ HEAD, BUCKETS, DIMS = 512, 64, 24
 #: Words whose counts go along to every task; the counts of rarer words are joined.
 CARRIED = 200_000
 #: Noise samples of a batch, positions of a batch, step size.
-NOISE, BATCH, STEP = 64, 2048, 0.1
+NOISE, BATCH, STEP = 32, 2048, 0.1
 #: Documents held out: crc32 of the id modulo FOLDS equal to HELD; those equal to FIRST start the training.
 FOLDS, HELD, FIRST = 7, 2, 3
 #: Replicas that are averaged in one place, and distinct words a task counts before it reports them.
 TOGETHER, COUNTED = 32, 400_000
+#: Words whose class a worker keeps.
+KEPT = 300_000
 END = b"\n"
 
 
@@ -118,6 +121,30 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(total, distinct, carried, {w: i for i, w in enumerate(head)}, np.concatenate([inside, rest]), rest, words)
 
 
+def _scattered(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of ``rows`` by class."""
+    flat = (at[:, None] * DIMS + np.arange(DIMS)).ravel()
+    return np.bincount(flat, rows.ravel(), (HEAD + BUCKETS) * DIMS).reshape(-1, DIMS)
+
+
+class Classes(dict):
+    """Word to class, kept for the words met; bounded, without bearing on results."""
+
+    def __init__(self, head: dict[bytes, int]):
+        super().__init__(head)
+        self.head = head
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+            self.update(self.head)
+        found = self[word] = HEAD + bucket(word)
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
 class Model:
     """Parameters: context vectors ``r``, position weights ``c1`` and ``c2``, target vectors ``q``, biases ``b``."""
 
@@ -156,15 +183,12 @@ class Model:
             right = 1 / (1 + np.exp((h * qw).sum(1) + self.b[w] - log_share[w]))
             wrong = -1 / (1 + np.exp(-(h @ qn.T + self.b[noise] - log_share[noise])))
             dh = right[:, None] * qw + wrong @ qn
-            grads.flat[:] = 0
-            np.add.at(grads.q, w, right[:, None] * h)
+            grads.q[:] = _scattered(w, right[:, None] * h)
             np.add.at(grads.q, noise, wrong.T @ h)
-            np.add.at(grads.b, w, right)
-            np.add.at(grads.b, noise, wrong.sum(0))
-            np.add.at(grads.r, u, dh * self.c1)
-            np.add.at(grads.r, v, dh * self.c2)
-            grads.c1 += (dh * ru).sum(0)
-            grads.c2 += (dh * rv).sum(0)
+            grads.b[:] = np.bincount(w, right, len(share)) + np.bincount(noise, wrong.sum(0), len(share))
+            grads.r[:] = _scattered(u, dh * self.c1) + _scattered(v, dh * self.c2)
+            grads.c1[:] = (dh * ru).sum(0)
+            grads.c2[:] = (dh * rv).sum(0)
             g = grads.flat / np.float32(len(w))
             seen += g * g
             self.flat += np.float32(STEP) * g / (np.sqrt(seen) + np.float32(1e-6))
@@ -190,13 +214,13 @@ def _trained(rows: DataFrame, words: Vocabulary, share: np.ndarray, flat: np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         model, seen, n = Model(flat.copy()), np.full_like(flat, 1e-4), 0
-        draw = np.random.default_rng(part)
+        draw, known = np.random.default_rng(part), Classes(classes)
         ids: list[np.ndarray] = []
         held = 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if fold(doc) in folds:
-                    own = np.array([classes[t] if t in classes else HEAD + bucket(t) for t in tokens(text)], np.int32)
+                    own = known.of(tokens(text))
                     ids.append(own)
                     held += len(own)
                     if held >= 256 * BATCH:
@@ -265,7 +289,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, params = shared.value
         score = Scorer(params, known)
-        classes, carried = known.classes, known.carried
+        classes, carried = Classes(known.classes), known.carried
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
@@ -273,14 +297,14 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 ids, out, rare = [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     own = tokens(text)
-                    cls = np.array([classes[t] if t in classes else HEAD + bucket(t) for t in own], np.int32)
-                    n = [carried.get(t, 0) for t in own]
-                    left = Counter(t for t, c in zip(own, n, strict=True) if not c)
-                    logs = np.log10(np.array(n, np.float64) + 1)
+                    cls = classes.of(own)
+                    n = np.fromiter(map(carried.get, own, repeat(0)), np.int64, len(own))
+                    left = Counter([own[i] for i in np.flatnonzero(n == 0)])
+                    logs = np.log10(n + 1.0)
                     outside = cls >= HEAD
                     ids.append(cls)
                     # rare words still lack log10(count + 1), in the base and in their bucket
-                    out.append((row, fold(doc) == HELD, len(own), sum(c > 0 for c in n), float(logs.sum()) - whole * len(own), float(logs[outside].sum() - room[cls[outside] - HEAD].sum())))
+                    out.append((row, fold(doc) == HELD, len(own), int((n > 0).sum()), float(logs.sum()) - whole * len(own), float(logs[outside].sum() - room[cls[outside] - HEAD].sum())))
                     rare.append(left)
                     row += 1
                 values = score(*_contexts(ids, known.end)) if ids else np.zeros(0)
