@@ -65,3 +65,14 @@ def attach_images(rows: DataFrame, images: DataFrame, dataset: str = "dataset",
     joined = rows.join(by_uid, (F.col(dataset) == F.col("_d1")) & (F.col(uid) == F.col("_u")), "left").join(by_qid, (F.col(dataset) == F.col("_d2")) & (F.col(qid) == F.col("_q")), "left")
     joined = joined.withColumn(value, F.coalesce("_v1", "_v2")).drop("_d1", "_u", "_v1", "_d2", "_q", "_v2").filter(F.col(value).isNotNull())
     return joined.filter(F.size(value) > 0) if require else joined
+
+
+def required(rows: DataFrame, column: str, message: str = "missing") -> DataFrame:
+    """``rows``; one that lacks the column's value raises."""
+    return rows.filter(F.assert_true(F.col(column).isNotNull(), F.lit(f"{message}: {column}")).isNull())
+
+
+def images_by_name(rows: DataFrame, images: DataFrame, name: str = "image_name") -> DataFrame:
+    """``rows`` with ``image`` by the base name of a path; null if there is no such file."""
+    own = images.select(F.col("name").alias("_n"), "image")
+    return rows.join(own, T.file_name(F.col(name)) == F.col("_n"), "left").drop("_n")

@@ -34,3 +34,10 @@ def table(rows: DataFrame, row: str, column: str, columns: list[str], metric: st
     """Percent cells, one column a value of ``column``; empty cells read N/A."""
     wide = rows.groupBy(row).pivot(column, columns).agg(F.first(metric))
     return wide.select(row, *(T.percent(F.col(f"`{c}`")).alias(c) for c in columns))
+
+
+def with_config(files: DataFrame, configs: DataFrame, path: str = "path") -> DataFrame:
+    """Result files with the configuration in the same folder, the first by name if there are several."""
+    folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
+    first = configs.groupBy(folder(F.col(path)).alias("_folder")).agg(F.min(path).alias("config_path"))
+    return files.join(first, folder(F.col(path)) == F.col("_folder"), "left").drop("_folder")

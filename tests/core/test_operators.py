@@ -162,3 +162,16 @@ def test_entry_and_queries_without_the_pipeline_package():
 
     names = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(names) and "nb_accuracy" in names
+
+
+def test_required_images_by_name_and_configs(spark):
+    rows = spark.createDataFrame([("a/b/x.png",), ("y.png",)], "image_name string")
+    images = spark.createDataFrame([("x.png", b"1")], "name string, image binary")
+    assert sorted((r.image_name, r.image and bytes(r.image)) for r in K.images_by_name(rows, images).collect()) == [("a/b/x.png", b"1"), ("y.png", None)]
+    with pytest.raises(Exception, match="missing: image"):
+        K.required(K.images_by_name(rows, images), "image").collect()
+    from evalprobe.operators.reports import with_config
+
+    files = spark.createDataFrame([("r/1/a.json",), ("r/2/a.json",)], "path string")
+    configs = spark.createDataFrame([("r/1/z_config.json",), ("r/1/c_config.json",)], "path string")
+    assert sorted((r.path, r.config_path) for r in with_config(files, configs).collect()) == [("r/1/a.json", "r/1/c_config.json"), ("r/2/a.json", None)]
