@@ -1 +1 @@
-
+"""Operators: DataFrame in, DataFrame out."""

@@ -1 +1 @@
-
+"""Views over the given tables, registered queries and their SQL."""

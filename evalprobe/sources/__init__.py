@@ -1 +1 @@
-
+"""Readers, cleaning, stores and sinks."""
