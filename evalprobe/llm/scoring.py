@@ -32,15 +32,15 @@ from .common import stored
 
 HEAD, BUCKETS, DIMS = 512, 64, 24
 #: Words whose counts go along to every task; the counts of rarer words are joined.
-CARRIED = 200_000
+CARRIED = 100_000
 #: Noise samples of a batch, positions of a batch, step size.
 NOISE, BATCH, STEP = 32, 2048, 0.1
 #: Documents held out: crc32 of the id modulo FOLDS equal to HELD; those equal to FIRST start the training.
 FOLDS, HELD, FIRST = 7, 2, 3
 #: Replicas that are averaged in one place, and distinct words a task counts before it reports them.
-TOGETHER, COUNTED = 32, 400_000
+TOGETHER, COUNTED = 32, 200_000
 #: Words whose class a worker keeps.
-KEPT = 300_000
+KEPT = 150_000
 END = b"\n"
 
 
@@ -107,9 +107,16 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    top = counts.orderBy(F.desc("n"), F.asc("word")).limit(CARRIED).collect()
+    # words by steps of their count, so that no more than CARRIED words reach the driver, whatever the number of tasks
+    step = F.floor(F.log2("n") * 8).cast("int")
+    room, least = CARRIED, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("w")).collect(), reverse=True):
+        if r["w"] > room:
+            break
+        room, least = room - r["w"], r["step"]
+    top = [] if least is None else counts.filter(step >= least).select("word", "n").collect()
     carried = {bytes(r["word"]): r["n"] for r in top}
-    head = [bytes(r["word"]) for r in top[:HEAD]]
+    head = sorted(carried, key=lambda w: (-carried[w], w))[:HEAD]
     sums = {r["bucket"]: (r["n"], r["w"]) for r in counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("w")).collect()}
     rest, words = (np.array([sums.get(b, (0, 0))[k] for b in range(BUCKETS)], np.int64) for k in range(2))
     total, distinct = int(rest.sum()), int(words.sum())
