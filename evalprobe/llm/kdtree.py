@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Rows of a shard, queries of a block, rows of a leaf.
-SHARD_ROWS, BLOCK_QUERIES, LEAF_ROWS = 16384, 4096, 128
+SHARD_ROWS, BLOCK_QUERIES, LEAF_ROWS = 16384, 1024, 128
 
 
 class Tree:
     """Points (float64, whole numbers) and their ids, in leaves of a KD-tree."""
 
-    def __init__(self, points: np.ndarray, ids: np.ndarray, leaf: int = LEAF_ROWS):
+    def __init__(self, points: np.ndarray, ids: np.ndarray, leaf: int | None = None):
+        leaf = leaf or LEAF_ROWS
         self.low, self.high, self.first, self.children, self.span = [], [], [], [], []
         order = np.arange(len(points))
         todo = [(0, len(points), -1, 0)]
