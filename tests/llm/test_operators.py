@@ -268,7 +268,7 @@ def test_encoder_without_ranks_is_the_same():
 # 6 quality
 def test_quality(spark):
     prose = "\n".join(" ".join(words(20, i, 5000)) + "." for i in range(5))
-    menu = " | ".join(words(60, 9, 5000))
+    menu = " | ".join(words(50, 9, 5000))
     texts = {1: prose, 2: None, 3: menu, 4: prose + "\n" + menu, 5: "a b c " * 30, 6: prose + "\nAll rights reserved.\n" + prose.split("\n")[0], 7: "$$$ " * 80, 8: "w " * 49}
     rows = {r.doc_id: r for r in quality.judged(docs_of(spark, texts)).collect()}
     for i, t in texts.items():
@@ -298,7 +298,7 @@ def test_kdtree_brute_force(spark, monkeypatch):
     vectors = {i: draw.normal(0, 0.2, 6).astype(float).tolist() for i in range(400)}
     for i in range(100, 180):
         vectors[i] = vectors[100]  # ties
-    odd = [(500, None, 1), (520, [1.0, None, 0, 0, 0, 0], 1), (540, [float("nan")] * 6, 1), (560, [float("inf")] * 6, 1), (None, vectors[0], 1), (580, [], 1)]
+    odd = [(500, None, 1), (520, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (540, [float("nan")] * 6, 1), (560, [float("inf")] * 6, 1), (None, vectors[0], 1), (580, [], 1)]
     table = spark.createDataFrame([(i, v, 1) for i, v in vectors.items()] + odd, "vec_id long, embedding array<double>, rank int")
     got = defaultdict(list)
     for r in kdtree.neighbours(table).collect():
