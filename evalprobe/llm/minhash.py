@@ -8,8 +8,8 @@ of shingles) / t of them exist at any size, and they are found and counted exact
 Each document draws 64 samples whose chance to agree between two documents is their weighted Jaccard similarity.
 Sixteen bands of four samples file documents into buckets. A pair of similarity 0.8 is missed with probability
 (1 - 0.8**4)**16 = 0.0002. Small buckets compare all their members. Large ones are split by a further band; what
-stays large agrees on eight samples and is compared with a few leaders, and members that no leader takes in are then
-compared with every member in blocks. Pairs of which fewer than 38 samples agree are set aside, the others are verified
+stays large agrees on eight samples and is compared with a few leaders. That links most of a bucket; all members of the
+first buckets that it leaves outside their bucket's main component are then compared with every member in blocks. So a shared band always leads to a comparison or to a common class. Pairs of which fewer than 38 samples agree are set aside, the others are verified
 by weighted Jaccard similarity on the whole texts.
 """
 
@@ -39,7 +39,7 @@ CARRIED_WORDS = 500_000
 CARRIED_NODES = 1_000_000
 #: Distinct shingles that a task counts before it reports them.
 COUNTED = 400_000
-#: Buckets up to this size compare all their members; larger ones go by leaders.
+#: Buckets up to this size compare all their members; larger ones go by leaders, then by blocks. Chooses the way, never results.
 SMALL = 8
 #: Rows of a block in which members outside the main component are held against all members.
 BLOCK_ROWS = 512
@@ -275,11 +275,18 @@ def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(held.select("node", "text").dropDuplicates(["node"]), "minhash-texts")
 
 
+def _leaders(rows: DataFrame) -> DataFrame:
+    """``rows`` (name, node): every member paired with three members of its bucket."""
+    leaders = rows.groupBy("name").agg(F.min("node").alias("l0"), F.max("node").alias("l1"), F.min_by("node", F.xxhash64("node")).alias("l2"))
+    return rows.join(stored(leaders, "minhash-leaders"), "name").select(F.explode(F.array("l0", "l1", "l2")).alias("a"), F.col("node").alias("b"))
+
+
 def _blockwise(some: DataFrame, every: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
-    """Of ``some`` against ``every`` member with the same ``main``: the pairs of other roots that reach the similarity.
+    """Of ``some`` against ``every`` member with the same ``main``: links to other roots that reach the similarity.
 
     Members meet in blocks of bounded size. In a block, every document of one side is laid out over the shingles of
-    the other side once, and its overlap with all of these is one pass; so no pair becomes a row unless it is a link.
+    the other side once, and its overlap with all of these is one pass; so no pair becomes a row unless it is a link,
+    and of a document's links to one root, whose nodes are connected already, a block reports one.
     """
     nodes = every.select("node").distinct()
     held = _texts_of(texts, nodes)
@@ -307,8 +314,8 @@ def _blockwise(some: DataFrame, every: DataFrame, texts: DataFrame, weights: Wei
                 dense[place[hit]] = w[hit]
                 low = np.add.reduceat(np.minimum(dense[at], weight), starts)
                 dense[place[hit]] = 0
-                good = (low >= threshold * (float(w.sum(dtype=np.float64)) + total - low)) & (rb != root)
-                found += [(node, int(x)) for x in nb[good]]
+                good = np.flatnonzero((low >= threshold * (float(w.sum(dtype=np.float64)) + total - low)) & (rb != root))
+                found += [(node, int(x)) for x in nb[good[np.unique(rb[good], return_index=True)[1]]]]
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
     return left.groupBy("main", "p", "q").cogroup(right.groupBy("main_", "p_", "q_")).applyInArrow(compare, "a long, b long")
@@ -357,13 +364,11 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
     again = stored(again, "minhash-split")
     small_again, rest = _pairs(again)
     rest = stored(rest, "minhash-rest")
-    leaders = rest.groupBy("name").agg(F.min("node").alias("l0"), F.max("node").alias("l1"), F.min_by("node", F.xxhash64("node")).alias("l2"))
-    led = rest.join(stored(leaders, "minhash-leaders"), "name").select(F.explode(F.array("l0", "l1", "l2")).alias("a"), F.col("node").alias("b"))
-    pairs = small.unionByName(small_again).unionByName(led).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = small.unionByName(small_again).unionByName(_leaders(rest)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = stored(_verified(_agreeing(pairs, reps), texts, weights, threshold).select("a", "b"), "minhash-links")
     root = stored(components(links), "minhash-roots")
-    # members of large buckets outside the bucket's main component, against all that share a bucket with it
-    placed = stored(rest.join(root, "node", "left").select("name", "node", F.coalesce("root", "node").alias("root")), "minhash-placed")
+    # members of large first buckets outside the bucket's main component, against all that share a bucket with it
+    placed = stored(wide.join(root, "node", "left").select("name", "node", F.coalesce("root", "node").alias("root")), "minhash-placed")
     mains = stored(placed.groupBy("name").agg(F.mode("root", deterministic=True).alias("main")), "minhash-mains")
     members = stored(placed.join(mains, "name").select("main", "node", "root").distinct(), "minhash-members")
     outside = members.filter("root <> main")

@@ -218,6 +218,26 @@ def test_minhash_large_group_by_leaders(spark):
     assert {got[i] for i in range(40)} == {0} and all(got[100 + i] == 100 + i for i in range(40))
 
 
+def test_minhash_one_shared_band_of_a_large_bucket(spark, monkeypatch):
+    """All documents share one band and no other: a bucket of more than SMALL members must still compare them."""
+    real = minhash.signatures
+
+    def one_band(texts, weights):
+        bands = F.expr("transform(sequence(0, 15), k -> if(k = 0, 1L, xxhash64(node, k)))")
+        return real(texts, weights).withColumn("bands", bands)
+
+    monkeypatch.setattr(minhash, "signatures", one_band)
+    texts, want = {}, {}
+    for group in range(5):  # the leaders come from three of them at most
+        base = words(200, 70 + group, 5000)
+        for k in range(3):
+            own = list(base)
+            own[k * 60 + 20] = "changed"
+            texts[10 * group + k], want[10 * group + k] = " ".join(own), 10 * group
+    assert len(texts) > minhash.SMALL
+    assert {r.doc_id: r.class_id for r in minhash.classes(docs_of(spark, texts)).collect()} == want
+
+
 def test_frequent_shingles_are_exact(spark):
     common = "a very common line here now"
     texts = {i: f"{common} {' '.join(words(30, i, 10_000))}" if i % 2 else " ".join(words(40, i, 10_000)) for i in range(100)}
