@@ -62,10 +62,10 @@ def _ranked(df: DataFrame, per: DataFrame) -> DataFrame:
 
 
 def _cell(cells: DataFrame, keys: list[str], order: str, start) -> DataFrame:
-    """The cell of each source in which the cut falls, with the words before it."""
+    """The first cell of each source whose end reaches the words left, with the words before it; the cut falls in it or on its end."""
     before = start + F.sum("words").over(Window.partitionBy(*keys).orderBy(order)) - F.col("words")
     cells = cells.withColumn("_mx_before", before)
-    return cells.filter((F.col("_mx_before") < F.col("left")) & (F.col("_mx_before") + F.col("words") > F.col("left")))
+    return cells.filter((F.col("_mx_before") < F.col("left")) & (F.col("_mx_before") + F.col("words") >= F.col("left")))
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.0, cap: int = 3, cycle: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> tuple[DataFrame, DataFrame]:

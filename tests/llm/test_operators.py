@@ -192,6 +192,20 @@ def test_mixing(spark):
     assert mixing.copies(docs_of(spark, {1: "x"}).limit(0))[0].count() == 0
 
 
+def test_mixing_target_on_a_cell_border(spark):
+    """Documents of equal size: the words left end exactly where a document, and so a cell, ends."""
+    texts = {i: " ".join(words(10, i)) for i in range(30)}
+    sources = {i: "abc"[i // 10] for i in texts}
+    rows = mixing.copies(docs_of(spark, texts, sources))[0].collect()
+    taken, order = defaultdict(int), defaultdict(list)
+    for r in rows:
+        taken[r.source] += r["size"] * r.copies
+        u = (int(hashlib.md5(f"17:{r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        order[r.source].append((u, r.copies))
+    assert taken == {"a": 50, "b": 100, "c": 150}
+    assert [n for _, n in sorted(order["a"])] == [1] * 5 + [0] * 5 and [n for _, n in sorted(order["c"])] == [2] * 5 + [1] * 5
+
+
 # 4 near-duplicates
 def test_minhash_classes(spark):
     base, other = words(300, 1, 5000), words(300, 2, 5000)
