@@ -76,8 +76,8 @@ def _columns(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> p
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(doc, at, *_name(words)) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for at, words in _lines(text)]
-        yield _columns(rows, [pa.int64(), pa.int32(), pa.int64(), pa.int64()], ["doc", "at", "x", "y"])
+        rows = [(doc, tid, at, *_name(words)) for doc, tid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for at, words in _lines(text)]
+        yield _columns(rows, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()], ["doc", "tid", "at", "x", "y"])
 
 
 def _half_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,10 +97,10 @@ def _wanted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each document the wanted lines: names, place and words."""
     for batch in batches:
         rows = []
-        for doc, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc, tid, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             places = set(places)
-            rows += [(*_name(words), doc, at, b" ".join(words)) for at, words in _lines(text) if at in places]
-        yield _columns(rows, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()], ["x", "y", "doc", "at", "line"])
+            rows += [(*_name(words), doc, tid, at, b" ".join(words)) for at, words in _lines(text) if at in places]
+        yield _columns(rows, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()], ["x", "y", "doc", "tid", "at", "line"])
 
 
 def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,16 +109,16 @@ def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for low in range(0, batch.num_rows, 2000):
             part = batch.slice(low, 2000)
             rows = []
-            for x, doc, at, line in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
-                rows.append((_hash(line), -1, x, doc, at))
+            for x, doc, tid, at, line in zip(*(part.column(k).to_pylist() for k in range(5)), strict=True):
+                rows.append((_hash(line), -1, x, doc, tid, at))
                 words = line.split()
                 start = 0
                 for i, word in enumerate(words):
                     stop = start + len(word)
                     rest = line[: start - 1] + line[stop:] if i else line[stop + 1 :]
-                    rows.append((_hash(rest), i, x, doc, at))
+                    rows.append((_hash(rest), i, x, doc, tid, at))
                     start = stop + 1
-            yield _columns(rows, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()], ["key", "i", "x", "doc", "at"])
+            yield _columns(rows, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()], ["key", "i", "x", "doc", "tid", "at"])
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,21 +128,21 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The lines to drop, as rows (``doc``, ``at``); ``doc`` is the id, null ids as the largest."""
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    lines = stored(base.mapInArrow(_line_rows, "doc long, at int, x long, y long"), "lines-all")
-    first = lines.groupBy("x", "y").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
-    first = stored(first.select("x", "y", "first.doc", "first.at", "n"), "lines-first")
+    """The lines to drop, as rows (``doc``, ``tid``, ``at``): the id, null ids as the largest, the text's fingerprint and the place."""
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("tid"), F.col(text_col).cast("string").alias("text"))
+    lines = stored(base.mapInArrow(_line_rows, "doc long, tid long, at int, x long, y long"), "lines-all")
+    first = lines.groupBy("x", "y").agg(F.min(F.struct("doc", "tid", "at")).alias("first"), F.count("*").alias("n"))
+    first = stored(first.select("x", "y", "first.doc", "first.tid", "first.at", "n"), "lines-first")
     halved = stored(base.select("text").mapInArrow(_half_rows, "half long, x long"), "lines-halves")
     shared = stored(halved.groupBy("half").agg(F.min("x").alias("low"), F.max("x").alias("high")).filter("low < high").select("half"), "lines-shared")
     names = halved.join(shared, "half").select("x").distinct()
-    places = first.join(names, "x").groupBy("doc").agg(F.collect_list("at").alias("places"))
-    wanted = stored(base.join(places, "doc").select("doc", "text", "places").mapInArrow(_wanted_rows, "x long, y long, doc long, at int, line binary").dropDuplicates(["x", "y"]), "lines-wanted")
-    variants = stored(wanted.select("x", "doc", "at", "line").mapInArrow(_variant_rows, "key long, i int, x long, doc long, at int"), "lines-variants")
-    order = F.struct("doc", "at", "x")
+    places = first.join(names, "x").groupBy("doc", "tid").agg(F.collect_list("at").alias("places"))
+    wanted = stored(base.join(places, ["doc", "tid"]).select("doc", "tid", "text", "places").mapInArrow(_wanted_rows, "x long, y long, doc long, tid long, at int, line binary").dropDuplicates(["x", "y"]), "lines-wanted")
+    variants = stored(wanted.select("x", "doc", "tid", "at", "line").mapInArrow(_variant_rows, "key long, i int, x long, doc long, tid long, at int"), "lines-variants")
+    order = F.struct("doc", "tid", "at", "x")
     least = variants.groupBy("key", "i").agg(F.min(order).alias("least"), F.max(order).alias("most"))
     same = stored(least.filter("i >= 0 AND least.x <> most.x").select("key", "i", "least"), "lines-replaced")
-    replaced = variants.join(same, ["key", "i"]).filter(F.struct("doc", "at", "x") > F.col("least")).select("x", F.col("least.x").alias("w"))
+    replaced = variants.join(same, ["key", "i"]).filter(order > F.col("least")).select("x", F.col("least.x").alias("w"))
     # one insertion apart: a line itself and a line without a word under one key
     both = least.groupBy("key").agg(F.min(F.when(F.col("i") < 0, F.col("least"))).alias("whole"), F.min(F.when(F.col("i") >= 0, F.col("least"))).alias("less"))
     both = stored(both.filter("whole IS NOT NULL AND less IS NOT NULL"), "lines-inserted")
@@ -151,8 +151,8 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own, other = wanted.select("x", F.col("line").alias("one")), wanted.select(F.col("x").alias("w"), F.col("line").alias("two"))
     near = pairs.join(own, "x").join(other, "w").select("x", "one", "two").mapInArrow(_checked, "x long").distinct()
     told = first.join(stored(near, "lines-near").withColumn("near", F.lit(True)), "x", "left").filter("n > 1 OR near")
-    told = stored(told.select("x", "y", F.struct("doc", "at").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "lines-told")
-    return lines.join(told, ["x", "y"]).filter(F.col("near") | (F.struct("doc", "at") > F.col("first"))).select("doc", "at").distinct()
+    told = stored(told.select("x", "y", F.struct("doc", "tid", "at").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "lines-told")
+    return lines.join(told, ["x", "y"]).filter(F.col("near") | (F.struct("doc", "tid", "at") > F.col("first"))).select("doc", "tid", "at").distinct()
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,17 +160,17 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     A line goes if an earlier line (smaller id, or above it in the same document) is equal to it word for word or, if
     both have five words or more, one word edit away; white space does not count. Lines without words stay. Null ids count as the largest id; rows that
-    share an id count as the same document; a null text has no lines. An empty table gives an empty result. Only id
+    share an id come in the order of a fingerprint of their texts, and rows that agree in both count as one document; a null text has no lines. An empty table gives an empty result. Only id
     and text are read.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sum(1 for _ in _lines(t)) for t in batch.column(1).to_pylist()], pa.int64())], names=["doc_id", "n_lines"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sum(1 for _ in _lines(t)) for t in batch.column(2).to_pylist()], pa.int64())], names=["doc_id", "tid", "n_lines"])
 
-    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(counted, "doc_id long, n_lines long")
-    gone = dropped(docs, id_col, text_col).groupBy("doc").agg(F.sort_array(F.collect_list("at")).alias("places"))
-    joined = every.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).join(gone, "doc", "left")
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("tid"), F.col(text_col).cast("string").alias("text")).mapInArrow(counted, "doc_id long, tid long, n_lines long")
+    gone = dropped(docs, id_col, text_col).groupBy("doc", "tid").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    joined = every.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).join(gone, ["doc", "tid"], "left")
     places = F.coalesce("places", F.array().cast("array<int>"))
     return joined.select("doc_id", "n_lines", F.size(places).cast("long").alias("n_removed"), F.array_join(places.cast("array<string>"), ",").alias("removed"))
 
@@ -178,8 +178,8 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines that ``digest`` removes; documents of which nothing is left go, others keep their columns."""
     names = docs.columns
-    gone = dropped(docs, id_col, text_col).groupBy("doc").agg(F.collect_list("at").alias("_ln_places"))
-    joined = docs.withColumn("_ln_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).join(gone.withColumnRenamed("doc", "_ln_doc"), "_ln_doc", "left")
+    gone = dropped(docs, id_col, text_col).groupBy("doc", "tid").agg(F.collect_list("at").alias("_ln_places"))
+    joined = docs.withColumns({"_ln_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "_ln_tid": F.xxhash64(F.col(text_col).cast("string"))}).join(gone.withColumnsRenamed({"doc": "_ln_doc", "tid": "_ln_tid"}), ["_ln_doc", "_ln_tid"], "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda line, i: ~F.array_contains(F.col("_ln_places"), i.cast("int"))), "\n")
     joined = joined.withColumn(text_col, F.when(F.col("_ln_places").isNull(), F.col(text_col)).otherwise(kept))
     return joined.filter(F.col("_ln_places").isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(*names)

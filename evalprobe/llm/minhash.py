@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import FACTOR, Fingerprints, mix, stored, windows
@@ -143,10 +143,14 @@ class Sampler:
         return out
 
 
+def _node(id_col: str, text: Column) -> Column:
+    """Name of a document: a fingerprint of its id and text, so that rows that share an id but not the text stay apart."""
+    return F.xxhash64(F.col(id_col).cast("long"), text)
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    node = F.coalesce(F.col(id_col).cast("long"), -(F.shiftrightunsigned(F.xxhash64(text), 1)) - 1)
-    return docs.select(F.col(id_col).cast("long").alias("doc"), node.alias("node"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc"), _node(id_col, text).alias("node"), text.alias("text"))
 
 
 def frequent_shingles(texts: DataFrame, share: float = FREQUENT) -> Weights:
@@ -348,11 +352,17 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
 
     Two documents are linked if their weighted Jaccard similarity is ``threshold`` or more; classes are what links
     connect, and equal texts share a class. A null text counts as empty; texts without words are equal only to equal
-    texts. Texts of one to four words are a single shingle. Rows that share an id count as one document; a null id
-    stays null and gets its class from its text (``class_id`` is null if every id of the class is). An empty table
+    texts. Texts of one to four words are a single shingle. Rows that agree in id and text count as one document, rows
+    that share an id alone do not; a null id stays null (``class_id`` is null if every id of the class is). An empty table
     gives an empty result. Other columns are not read.
     """
-    texts = _texts(docs, id_col, text_col)
+    named = _named(_texts(docs, id_col, text_col), threshold)
+    ids = stored(named.groupBy("root").agg(F.min("doc").alias("class_id")), "minhash-ids")
+    return named.join(ids, "root").select(F.col("doc").alias("doc_id"), "class_id")
+
+
+def _named(texts: DataFrame, threshold: float) -> DataFrame:
+    """Per row of ``texts``: ``doc``, ``node`` and the ``root`` of its class."""
     weights = frequent_shingles(texts)
     signed = stored(signatures(texts, weights), "minhash-signatures")
     least = signed.groupBy("print").agg(F.min("node").alias("node"))
@@ -378,17 +388,17 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
             root = stored(components(links.unionByName(further)), "minhash-roots")
     own = texts.select("doc", "node", F.md5("text").alias("print"))
     equal = stored(own.groupBy("print").agg(F.min("node").alias("rep")), "minhash-equal")
-    named = stored(own.join(equal, "print").join(root.withColumnRenamed("node", "rep"), "rep", "left").select("doc", F.coalesce("root", "rep").alias("root")), "minhash-named")
-    ids = stored(named.groupBy("root").agg(F.min("doc").alias("class_id")), "minhash-ids")
-    return named.join(ids, "root").select(F.col("doc").alias("doc_id"), "class_id")
+    return stored(own.join(equal, "print").join(root.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "node", F.coalesce("root", "rep").alias("root")), "minhash-named")
 
 
 def representatives(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class of near-duplicates: that of the least id.
 
-    A null id stands for its text, before all ids; of rows that share an id one stays. All columns are kept.
+    A null id comes before all ids; among equal ids a fingerprint of id and text decides, and of rows that agree in
+    both one stays. All columns are kept.
     """
     names = docs.columns
-    own = docs.withColumn("_mh_id", F.coalesce(F.col(id_col).cast("long"), -(F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 1)) - 1))
-    stay = classes(own.select("_mh_id", F.col(text_col).alias("_mh_text")), threshold, "_mh_id", "_mh_text").filter("doc_id = class_id").select(F.col("doc_id").alias("_mh_id")).distinct()
-    return own.join(stored(stay, "minhash-stay"), "_mh_id").dropDuplicates(["_mh_id"]).select(*names)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    least = _named(_texts(docs, id_col, text_col), threshold).groupBy("root").agg(F.min(F.struct("doc", "node")).alias("least"))
+    stay = stored(least.select(F.col("least.node").alias("_mh_node")), "minhash-stay")
+    return docs.withColumn("_mh_node", _node(id_col, text)).join(stay, "_mh_node").dropDuplicates(["_mh_node"]).select(*names)

@@ -82,6 +82,15 @@ def test_lines_texts_and_edges(spark):
     assert lines.within_one(b"a b c".split(), b"a c".split()) and not lines.within_one(b"a b c".split(), b"c a b".split())
 
 
+def test_lines_rows_without_an_id_of_their_own(spark):
+    """Null and repeated ids: each row loses its own repeats and nothing else."""
+    for key in (None, 5):
+        docs = docs_of(spark, [(key, "same line\nonly in one"), (key, "other line\nsame line"), (key, "same line\nonly in three")])
+        left = [line for r in lines.deduplicated(docs).collect() for line in r.text.split("\n")]
+        assert sorted(left) == ["only in one", "only in three", "other line", "same line"]
+        assert sum(r.n_removed for r in lines.digest(docs).collect()) == 2
+
+
 def test_half_keys_are_lossless():
     draw = random.Random(5)
     for _ in range(500):
@@ -232,6 +241,12 @@ def test_minhash_large_group_by_leaders(spark):
     assert {got[i] for i in range(40)} == {0} and all(got[100 + i] == 100 + i for i in range(40))
 
 
+def test_minhash_repeated_ids_with_other_texts(spark):
+    one, two = " ".join(words(60, 1)), " ".join(words(60, 2))
+    kept = minhash.representatives(docs_of(spark, [(5, one), (5, two), (5, one), (7, two)])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(5, one), (5, two)])
+
+
 def test_minhash_one_shared_band_of_a_large_bucket(spark, monkeypatch):
     """All documents share one band and no other: a bucket of more than SMALL members must still compare them."""
     real = minhash.signatures
