@@ -4,6 +4,10 @@ Each round first names runs of one symbol, then pairs of neighbours of which the
 right in a split of the alphabet by a bit of the symbol's fingerprint. A name is the fingerprint of what it stands
 for, so it is the same in every document and on every executor without a table of names. What a round does at a
 place depends on the neighbouring symbols alone; hence equal substrings get equal symbols but for their edges.
+
+A window of words is thus a few symbols: at every level those that its edges leave over, on the left and on the right,
+and the core of the highest level that it reaches. Two windows are equal if and only if they agree in these
+(``Parse.signatures``; up to collisions of the names), whatever stands around them.
 """
 
 from __future__ import annotations
@@ -12,31 +16,28 @@ import numpy as np
 
 from .common import mix
 
-#: Runs up to this length get one name; longer ones stay single symbols, so no name depends on far context.
-RUN_CAP = 4
-ROUNDS = 5
+ROUNDS = 3
+
 
+def _run_round(symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Name runs, of any length. [lo, hi) are the symbols known inside each window; the runs at its edges may go on outside.
 
-def _run_round(symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Name runs. [lo, hi) are the symbols known inside each window; the runs at its edges may go on outside."""
+    Returns the new symbols, what of them is known inside each window, and which of the old ones these stand for.
+    """
     n = len(symbols)
     first = np.concatenate([[True], symbols[1:] != symbols[:-1]])
     starts = np.flatnonzero(first)
     ends = np.append(starts[1:], n)
     length = ends - starts
     run = np.cumsum(first) - 1
-    keep = first | (length[run] > RUN_CAP)
-    merged = first & (length[run] > 1) & (length[run] <= RUN_CAP)
     with np.errstate(over="ignore"):
-        named = np.where(merged, mix(symbols + length[run].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), symbols)[keep]
-    index = np.concatenate([np.cumsum(keep) - 1, [int(keep.sum())]])
-    known = lo < hi
+        named = np.where(length > 1, mix(symbols[starts] + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), symbols[starts])
     a, b = ends[run[np.minimum(lo, n - 1)]], starts[run[np.maximum(hi - 1, 0)]]
-    known &= a < b
-    return named, np.where(known, index[np.minimum(a, n)], 0), np.where(known, index[b], 0)
+    known = (lo < hi) & (a < b)
+    return named, np.where(known, run[np.minimum(a, n - 1)], 0), np.where(known, run[np.maximum(b, 1) - 1] + 1, 0), a, b
 
 
-def _pair_round(symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pair_round(symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray, salt: int) -> tuple[np.ndarray, ...]:
     """Name pairs (left symbol, right symbol); a right symbol at the front edge or a left one at the back is unknown."""
     n = len(symbols)
     with np.errstate(over="ignore"):
@@ -46,11 +47,10 @@ def _pair_round(symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray, salt: int)
         following = np.append(symbols[1:], np.uint64(0))
         named = np.where(pair, mix(symbols * np.uint64(0xC2B2AE3D27D4EB4F) + mix(following)), symbols)[~second]
     index = np.concatenate([np.cumsum(~second) - 1, [int((~second).sum())]])
-    known = lo < hi
     a = lo + right[np.minimum(lo, n - 1)]
     b = hi - ~right[np.maximum(hi - 1, 0)]
-    known &= a < b
-    return named, np.where(known, index[np.minimum(a, n)], 0), np.where(known, index[np.maximum(b, 0)], 0)
+    known = (lo < hi) & (a < b)
+    return named, np.where(known, index[np.minimum(a, n)], 0), np.where(known, index[np.maximum(b, 0)], 0), a, b
 
 
 def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -72,28 +72,59 @@ def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return best
 
 
-def anchors(words: np.ndarray, starts: np.ndarray, size: int, rounds: int = ROUNDS) -> np.ndarray:
-    """For every window of ``size`` words at ``starts``, a name that the window's words alone determine.
+class Parse:
+    """The symbols of ``words`` by level and, for every window of ``size`` words at ``starts``, what of them it determines."""
 
-    It names the least (by fingerprint) of the highest-level symbols that are the same wherever the window stands,
-    with the two symbols beside it. Windows of equal words thus have equal anchors, whatever stands around them; so
-    documents may follow one another in ``words``.
-    """
-    symbols, lo, hi = mix(words), starts, starts + size
-    levels = [(symbols, lo, hi)]
-    for k in range(rounds):
-        symbols, lo, hi = _run_round(symbols, lo, hi)
-        symbols, lo, hi = _pair_round(symbols, lo, hi, 0x9E3779B97F4A7C15 * (k + 1) & ((1 << 64) - 1))
-        levels.append((symbols, lo, hi))
-    found, open_ = np.zeros(len(starts), np.uint64), np.arange(len(starts))
-    for k in range(rounds, -1, -1):
-        symbols, lo, hi = levels[k]
-        enough = hi[open_] - lo[open_] >= 3
-        at = open_[enough]
-        if len(at):
-            with np.errstate(over="ignore"):
-                named = mix(symbols ^ np.uint64(k + 1))
-                named[1:-1] = mix(named[:-2] * np.uint64(3) + named[1:-1] * np.uint64(5) + named[2:] * np.uint64(7))
-            found[at] = named[_least(named, lo[at] + 1, hi[at] - 1)]
-            open_ = open_[~enough]
-    return found
+    def __init__(self, words: np.ndarray, starts: np.ndarray, size: int, rounds: int = ROUNDS):
+        symbols, lo, hi = mix(words), starts, starts + size
+        #: Per level: symbols, known range, and the part of it that the next level stands for (empty: the level is the core).
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        for k in range(rounds):
+            named, lo_up, hi_up, a, b = _run_round(symbols, lo, hi)
+            self.levels.append((symbols, lo, hi, a, b))
+            symbols, lo, hi = named, lo_up, hi_up
+            named, lo_up, hi_up, a, b = _pair_round(symbols, lo, hi, 0x9E3779B97F4A7C15 * (k + 1) & ((1 << 64) - 1))
+            self.levels.append((symbols, lo, hi, a, b))
+            symbols, lo, hi = named, lo_up, hi_up
+        self.levels.append((symbols, lo, hi, hi, hi))
+
+    def anchors(self) -> np.ndarray:
+        """Per window a name that its words alone determine.
+
+        It names the least (by fingerprint) of the known symbols of the highest level, with the two symbols beside it.
+        Windows of equal words thus have equal anchors, whatever stands around them; so documents may follow one
+        another in the words.
+        """
+        n = len(self.levels[0][1])
+        found, open_ = np.zeros(n, np.uint64), np.arange(n)
+        for k in range(len(self.levels) - 1, -1, -1):
+            symbols, lo, hi = self.levels[k][:3]
+            enough = hi[open_] - lo[open_] >= 3
+            at = open_[enough]
+            if len(at):
+                with np.errstate(over="ignore"):
+                    named = mix(symbols ^ np.uint64(k + 1))
+                    named[1:-1] = mix(named[:-2] * np.uint64(3) + named[1:-1] * np.uint64(5) + named[2:] * np.uint64(7))
+                found[at] = named[_least(named, lo[at] + 1, hi[at] - 1)]
+                open_ = open_[~enough]
+        return found
+
+    def signatures(self, chosen: np.ndarray, factor: int) -> np.ndarray:
+        """Of the chosen windows the fingerprint of their symbols: what the edges leave over by level, and the core."""
+        out = np.zeros(len(chosen), np.uint64)
+        with np.errstate(over="ignore"):
+            for symbols, *ranges in self.levels:
+                lo, hi, a, b = (x[chosen] for x in ranges)
+                n = len(symbols)
+                up = np.cumprod(np.full(n + 1, factor, np.uint64))
+                down = np.cumprod(np.full(n + 1, pow(factor, -1, 1 << 64), np.uint64))
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols * up[:n])])
+
+                def over(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+                    high = np.maximum(low, high)
+                    return mix((sums[high] - sums[low]) * down[low] + (high - low).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+                here, core = lo < hi, a >= b
+                left, right = over(lo, np.where(core, hi, a)), over(np.where(core, hi, b), hi)
+                out = np.where(here, mix(mix(out * np.uint64(3) + left) * np.uint64(5) + right + core), out)
+        return out

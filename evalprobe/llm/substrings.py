@@ -2,13 +2,16 @@
 
 1. Every document is parsed by recompression (``recompress``); each window of 50 words is filed under a high-level
    symbol that its words determine. Symbols found in one document only cannot be part of a repeat.
-2. In the documents with shared symbols, the windows under a shared symbol form segments. A segment that an earlier
-   document holds word for word is settled as a whole.
+2. In the documents with shared symbols, the windows under a shared symbol form segments. Every window is told by the
+   symbols it consists of: those that its edges leave over by level, and its core. A segment whose symbols an earlier
+   document holds is settled as a whole.
 3. The windows of the other segments are verified one by one: equal windows meet under a 96-bit fingerprint of their
-   words, aggregated to the smallest document; windows of later documents are repeats.
+   symbols, aggregated to the smallest document; windows of later documents are repeats.
 
-Names and fingerprints depend on words alone, so no round needs a table; counts are pre-aggregated before each
-shuffle, and what is joined back is joined by keys whose hot values Spark may split.
+Rounds name runs and pairs by fingerprints of their content, so names are global without a table and no round needs a
+shuffle. What rests on them is the names' width: words and symbols have 64 bits, two unequal windows meet if their
+symbols' 96 bits agree. Counts are pre-aggregated before each shuffle, and what is joined back is joined by keys whose
+hot values Spark may split.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Fingerprints, stored, windows
-from .recompress import anchors
+from .common import FACTOR, Fingerprints, stored
+from .recompress import Parse
 
 #: Words of one block of documents that are parsed together; a longer document is a block of its own.
 BLOCK_WORDS = 1 << 16
@@ -66,7 +69,7 @@ def _anchor_rows(size: int):
                 flat, at, doc, _ = _placed(words, size)
                 if not len(at):
                     continue
-                found = anchors(flat, at, size)
+                found = Parse(flat, at, size).anchors()
                 fresh = np.concatenate([[True], (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])])
                 found, doc = found[fresh], doc[fresh]
                 ids = np.array([r[0] for r in block], np.int64)[doc]
@@ -85,17 +88,20 @@ def _segment_rows(size: int):
                 flat, at, doc, own = _placed(words, size)
                 if not len(at):
                     continue
-                found = anchors(flat, at, size)
+                parse = Parse(flat, at, size)
+                found = parse.anchors()
                 shared = np.zeros(len(found), bool)
                 edge = np.searchsorted(doc, np.arange(len(block) + 1))
                 for k, row in enumerate(block):
                     here = slice(edge[k], edge[k + 1])
                     shared[here] = np.isin(found[here], np.array(row[2], np.int64).view(np.uint64))
-                one, two = windows(flat, size)[at], windows(flat, size, 0xD1342543DE82EF95)[at]
                 cut = np.concatenate([[True], (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])])
                 first = np.flatnonzero(cut)
                 first, stop = first[shared[first]], np.append(first[1:], len(found))[shared[first]]
-                rows = [(one[a:b].tobytes(), two[a:b].astype(np.uint32).tobytes()) for a, b in zip(first, stop, strict=True)]
+                chosen = np.flatnonzero(shared)
+                one, two = parse.signatures(chosen, FACTOR), parse.signatures(chosen, 0xD1342543DE82EF95).astype(np.uint32)
+                place = np.cumsum(shared) - shared
+                rows = [(one[a : a + n].tobytes(), two[a : a + n].tobytes()) for a, n in zip(place[first], stop - first, strict=True)]
                 if not rows:
                     continue
                 prints = [hashlib.blake2b(a + b, digest_size=16).digest() for a, b in rows]
@@ -125,19 +131,19 @@ def removals(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col:
     shared = filed.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("anchor")
     shared = stored(shared, "substrings-shared")
     hits = filed.join(shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
-    held = stored(base.join(hits, "doc").select("doc", "tid", "anchors", "text"), "substrings-documents")
+    held = stored(base.join(hits, "doc").select("doc", "tid", "anchors", "text"), "substrings-documents", (filed, shared))
     segments = stored(held.mapInArrow(_segment_rows(size), "segment binary, doc long, tid long, at long, n long, one binary, two binary"), "substrings-segments")
     earliest = stored(segments.groupBy("segment").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high"), "substrings-equal")
     told = segments.join(earliest, "segment", "left")
     told = told.select("doc", "tid", "at", "n", "one", "two", F.coalesce(F.col("low") < F.col("doc"), F.lit(False)).alias("settled"))
-    told = stored(told, "substrings-told")
+    told = stored(told, "substrings-told", (segments, earliest))
     single = told.filter("not settled").select("doc", "tid", "at", "n", "one", "two").mapInArrow(_window_rows, "one long, two int, doc long, tid long, at int")
     first = single.groupBy("one", "two").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("one", "two", "low")
     first = stored(first, "substrings-windows")
     repeated = single.join(first, ["one", "two"]).filter("doc > low").select("doc", "tid", F.col("at").cast("long").alias("at"), F.lit(1).cast("long").alias("n"))
     every = repeated.unionByName(told.filter("settled").select("doc", "tid", "at", "n"))
     spans = every.groupBy("doc", "tid").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    return held.select("doc", "tid", "text"), spans
+    return held.select("doc", "tid", "text"), stored(spans, "substrings-spans", (told, first))
 
 
 def _kept(text: str, spans: list[dict], size: int) -> tuple[list[bytes], int]:
