@@ -1,22 +1,31 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 A document is the bag of its five-word shingles, weighted by count times inverse document frequency. The frequency
-weight is 1 + ln(N / max(df, t*N)) / ln(1 / t): shingles in fewer than the share t of the documents weigh 2, and one
-that every document holds weighs 1. Only shingles in t*N documents or more need their frequency; at most (mean number
-of shingles) / t of them exist at any size, and they are found and counted exactly over all documents.
+weight goes by octaves of the shingle's true document frequency df among N documents:
+1 + min(10, floor(log2(N / df))) / 10. So a shingle that every document holds weighs 1, one in half of them 1.1, and
+one in fewer than N / 1024 documents 2. At most 1024 * (mean shingles of a document) shingles lie above that last
+octave, at any N; they are found and counted exactly over all documents (``frequent_shingles``).
 
 Each document draws 64 samples whose chance to agree between two documents is their weighted Jaccard similarity.
-Sixteen bands of four samples file documents into buckets. A pair of similarity 0.8 is missed with probability
-(1 - 0.8**4)**16 = 0.0002. Small buckets compare all their members. Large ones are split by a further band; what
-stays large agrees on eight samples and is compared with a few leaders. That links most of a bucket; all members of the
-first buckets that it leaves outside their bucket's main component are then compared with every member in blocks. So a shared band always leads to a comparison or to a common class. Pairs of which fewer than 38 samples agree are set aside, the others are verified
-by weighted Jaccard similarity on the whole texts.
+Sixteen bands of four samples file documents into buckets. A pair of similarity 0.8 shares no bucket with probability
+(1 - 0.8**4)**16 = 0.0002. All buckets go the same way:
+
+1. Equal texts are one node. Every bucket elects one member as leader, by a hash of bucket and member, and its members
+   are paired with it: at most 16 pairs a document, whatever the size of a group. Each document's likeliest pair is
+   verified first, then those pairs that still lie in two components.
+2. Where a bucket still holds several components, its documents draw 64 new samples and file again; every new bucket
+   elects a leader from two of its components, and the members of other components are paired with them.
+3. What still lies in a first bucket beside other components is compared with all of that bucket that it is not yet
+   connected to: as pairs in buckets of up to ``PAIRED`` members, in blocks in larger ones. Which of the two is a matter
+   of cost; either compares everything, so the size of a bucket does not decide which links count.
+
+Before a pair's texts are fetched, fewer than 32 agreeing samples of 64 rule it out; at similarity 0.8 that happens
+with probability 3e-8. The others are verified by weighted Jaccard similarity on the whole texts.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,27 +33,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FACTOR, Fingerprints, mix, stored, windows
+from .common import Fingerprints, discard, free, mix, stored, windows
 from .components import components
 
 SHINGLE, BANDS, ROWS = 5, 16, 4
 SAMPLES = BANDS * ROWS
-#: Share of the documents from which on a shingle counts as frequent.
-FREQUENT = 0.05
-#: Documents of one block of the candidate search, and entries of one block of the sampling; bound memory, never results.
-BLOCK_DOCS, BLOCK_ENTRIES = 4000, 1 << 15
-#: Candidate words up to which the count takes them along to every task; beyond, every shingle is counted.
-CARRIED_WORDS = 500_000
+#: Octaves of document frequency that weigh differently; shingles in fewer than N / 2**OCTAVES documents weigh alike.
+OCTAVES = 10
+#: Counters of the sketch that finds the frequent shingles, and counters of one of its rows.
+COUNTERS, ROW_COUNTERS = 1 << 22, 1 << 16
+#: Entries of one block of the sampling and of the counting; bound memory, never results.
+BLOCK_ENTRIES, COUNT_ENTRIES = 1 << 15, 1 << 20
 #: Names of documents up to which a filter of texts takes them along (8 MB); beyond, both sides are shuffled.
 CARRIED_NODES = 1_000_000
-#: Distinct shingles that a task counts before it reports them.
-COUNTED = 400_000
-#: Buckets up to this size compare all their members; larger ones go by leaders, then by blocks. Chooses the way, never results.
-SMALL = 8
-#: Rows of a block in which members outside the main component are held against all members.
+#: Unresolved buckets up to this size compare their members as pairs, larger ones in blocks. Chooses the way, never results.
+PAIRED = 16
+#: Rows of a block in which members of several components are held against all members.
 BLOCK_ROWS = 512
-#: Samples that must agree before a pair is verified; at similarity 0.8 a pair has fewer with probability 0.00004.
-AGREEING = 38
+#: Samples that must agree before the texts of a pair are fetched; at similarity 0.8 a pair has fewer with probability 3e-8.
+AGREEING = 32
+#: Times that documents of unresolved buckets draw new samples.
+REDRAWN = 2
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -52,21 +61,12 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return windows(words, min(SHINGLE, len(words))) if len(words) else np.zeros(0, np.uint64)
 
 
-def shingle_names(rows: np.ndarray) -> np.ndarray:
-    """As ``shingles``, of rows that hold the words of one shingle each."""
-    total = np.zeros(len(rows), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(rows.shape[1]):
-            total = total * np.uint64(FACTOR) + rows[:, k]
-    return mix(total)
-
-
 class Weights:
-    """Count times inverse document frequency, from the table of frequent shingles."""
+    """Count times inverse document frequency, from the table of frequent shingles and their octaves."""
 
-    def __init__(self, names: np.ndarray, weights: np.ndarray):
+    def __init__(self, names: np.ndarray, octaves: np.ndarray):
         order = np.argsort(names)
-        self.names, self.weights = names[order], weights[order].astype(np.float32)
+        self.names, self.weights = names[order], (1 + octaves[order] / OCTAVES).astype(np.float32)
 
     def __call__(self, names: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = np.full(len(names), 2.0, np.float32)
@@ -110,11 +110,11 @@ class Sampler:
 
     usual, unit = 2.0, float(1 << 24)
 
-    def __init__(self, samples: int = SAMPLES):
+    def __init__(self, samples: int = SAMPLES, draw: int = 0):
         self.log_c = ((np.log(_gamma_quantiles(1 << 16)) + 96) * self.unit).astype(np.int64) << 32
         self.r, self.beta = np.repeat(_gamma_quantiles(1 << 12), 64), np.tile((np.arange(64) + 0.5) / 64, 1 << 12)
         self.table = self._term(np.full(1 << 18, self.usual), np.arange(1 << 18))
-        self.factors = mix(np.arange(1, samples + 1, dtype=np.uint64)) | np.uint64(1)
+        self.factors = mix(np.arange(1, samples + 1, dtype=np.uint64) + np.uint64(draw << 32)) | np.uint64(1)
 
     def _term(self, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
         """What is taken off log c, in the upper half, and t in the lowest byte."""
@@ -153,72 +153,97 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), _node(id_col, text).alias("node"), text.alias("text"))
 
 
-def frequent_shingles(texts: DataFrame, share: float = FREQUENT) -> Weights:
-    """Weights of the shingles that ``share`` of the documents hold; their number is bounded at any size.
+def frequent_shingles(texts: DataFrame) -> Weights:
+    """The octave of every shingle that N / 1024 documents or more hold, from exact counts over all N documents.
 
-    Such a shingle consists of words that as many documents hold, and such a word is as frequent in one block of
-    documents at least. So blocks name candidate words, and shingles of candidate words alone are counted, exactly.
+    First every shingle is counted in one of ``COUNTERS`` counters, which tasks fill by themselves and sum by rows; a
+    counter is never below the document frequency of its shingles, so only shingles of counters that reach N / 1024
+    need a count of their own. As N / 1024 grows with N, the share of such counters does not. Both the bitmap of the
+    counters (512 KB) and the counted table (1024 times the mean number of shingles) are bounded at any N.
     """
-
-    def locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        docs = 0
-
-        def frequent() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([w for w, n in counts.items() if n >= share * docs], pa.binary())], names=["word"])
-
+    rows_of = COUNTERS // ROW_COUNTERS
+    shift = np.uint64(64 - COUNTERS.bit_length() + 1)
+
+    def packed(at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        """Filled counters as rows: places and counts, compressed."""
+        edges = np.searchsorted(at, np.arange(rows_of + 1) * ROW_COUNTERS)
+        own = [(k, b - a, zlib.compress((at[a:b] % ROW_COUNTERS).astype("<u2").tobytes() + counts[a:b].astype("<u8").tobytes(), 1)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
+        k, n, data = zip(*own, strict=True) if own else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], names=["row", "n", "counts"])
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, table, held, docs, entries = Fingerprints(), np.zeros(0, np.int64), [], 0, 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update(set(text.encode("utf-8", "surrogatepass").split()))
+                own = shingles(known.of(text))
                 docs += 1
-                if docs == BLOCK_DOCS:
-                    yield frequent()
-                    counts, docs = Counter(), 0
-        if docs:
-            yield frequent()
-
-    candidates = stored(texts.select("text").mapInArrow(locally, "word binary").distinct(), "minhash-words")
-    if candidates.count() <= CARRIED_WORDS:
-        wanted = frozenset(bytes(r[0]) for r in candidates.collect())
-    else:
-        wanted = None  # every shingle is counted
+                held.append(own)
+                entries += len(own)
+                if entries >= COUNT_ENTRIES:
+                    filled = np.bincount((np.concatenate(held) >> shift).view(np.int64), minlength=COUNTERS)
+                    table = table + filled if len(table) else filled
+                    held, entries = [], 0
+        left, counts = np.unique((np.concatenate(held) >> shift).view(np.int64), return_counts=True) if held else (np.zeros(0, np.int64),) * 2
+        if len(table):
+            table[left] += counts
+            left = np.flatnonzero(table)
+            counts = table[left]
+        yield packed(left, counts)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([docs], pa.int32()), pa.array([b""], pa.binary())], names=["row", "n", "counts"])
+
+    def summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ROW_COUNTERS if key[0].as_py() >= 0 else 1, np.int64)
+        for batch in batches:
+            for n, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if len(total) == 1:
+                    total += n
+                else:
+                    raw = zlib.decompress(data)
+                    total[np.frombuffer(raw[: 2 * n], "<u2")] += np.frombuffer(raw[2 * n :], "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.astype("<i8").tobytes(), 1)], pa.binary())], names=["row", "counts"])
+
+    sketch = stored(texts.select("text").mapInArrow(sketched, "row int, n int, counts binary").groupBy("row").applyInArrow(summed, "row int, counts binary"), "minhash-sketch")
+    found = {r["row"]: np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in sketch.collect()}  # 64 rows, compressed
+    discard(sketch)
+    total = int(found.pop(-1, np.zeros(1))[0])
+    least = max(2, total / 2**OCTAVES)
+    full = np.zeros(COUNTERS, bool)
+    for k, counts in found.items():
+        full[k * ROW_COUNTERS : (k + 1) * ROW_COUNTERS] = counts >= least
+    bits = np.packbits(full)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Fingerprints()
-        total: Counter = Counter()
-        docs = 0
+        known, wanted, held, entries = Fingerprints(), np.unpackbits(bits).astype(bool), [], 0
 
         def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([None, *total], pa.int64()), pa.array([docs, *total.values()], pa.int64())], names=["name", "n"])
+            names, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n.astype(np.int64))], names=["name", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                docs += 1
-                words = text.encode("utf-8", "surrogatepass").split()
-                whole = np.fromiter((w in wanted for w in words), bool, len(words)) if wanted is not None else np.ones(len(words), bool)
-                size = min(SHINGLE, len(words))
-                at = np.flatnonzero(np.convolve(whole, np.ones(size), "valid") >= size) if size else whole
-                if len(at):
-                    own = np.array([known[w] for i in at for w in words[i : i + size]], np.uint64).reshape(-1, size)
-                    total.update(np.unique(shingle_names(own)).view(np.int64).tolist())
-                    if len(total) >= COUNTED:
+                own = shingles(known.of(text))
+                own = np.unique(own[wanted[(own >> shift).view(np.int64)]])
+                if len(own):
+                    held.append(own)
+                    entries += len(own)
+                    if entries >= COUNT_ENTRIES:
                         yield told()
-                        total, docs = Counter(), 0
-        yield told()
+                        held, entries = [], 0
+        if held:
+            yield told()
 
-    counts = stored(texts.select("text").mapInArrow(counted, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")), "minhash-counts")
-    total = (counts.filter("name is null").agg(F.sum("n")).first()[0]) or 0
-    rows = counts.filter(F.col("name").isNotNull() & (F.col("n") >= share * total)).collect()
+    counts = texts.select("text").mapInArrow(counted, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
+    rows = counts.filter(F.col("n") >= least).collect()
     names = np.array([r["name"] for r in rows], np.int64).view(np.uint64)
     df = np.array([r["n"] for r in rows], np.float64)
-    return Weights(names, 1 + np.log(total / df) / math.log(1 / share) if len(df) else np.zeros(0))
+    return Weights(names, np.clip(np.floor(np.log2(total / df)), 0, OCTAVES) if len(df) else np.zeros(0))
 
 
-def signatures(texts: DataFrame, weights: Weights) -> DataFrame:
+def signatures(texts: DataFrame, weights: Weights, draw_no: int = 0) -> DataFrame:
     """Per document with words: ``node``, ``print`` (of its text), ``samples`` (64 times 32 bits), ``bands`` (16 names)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, draw = Fingerprints(), Sampler()
+        known, draw = Fingerprints(), Sampler(draw=draw_no)
         for batch in batches:
             nodes, prints, texts_ = (c.to_pylist() for c in batch.columns)
             low = 0
@@ -250,26 +275,37 @@ def _band_names(samples: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(name)
 
 
-def _pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rows`` (name, node): pairs of the small buckets, and the rows of the others."""
-    size = rows.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1")
-    size = stored(size, "minhash-sizes")
-    small = rows.join(size.filter(F.col("n") <= SMALL), "name").groupBy("name").agg(F.sort_array(F.collect_list("node")).alias("all"))
-    small = small.select(F.posexplode("all").alias("i", "a"), "all").select("a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b"))
-    return small, rows.join(size.filter(F.col("n") > SMALL).select("name"), "name")
+def _leaders(rows: DataFrame) -> DataFrame:
+    """``rows`` (name, node): the members of each bucket paired with its leader."""
+    elected = rows.groupBy("name").agg(F.min(F.struct(F.xxhash64("name", "node"), "node")).alias("l"), F.count("*").alias("n"))
+    elected = elected.filter("n > 1").select("name", F.col("l.node").alias("leader"))
+    return _ordered(rows.join(elected, "name").select(F.col("node").alias("a"), F.col("leader").alias("b")))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
 
+def _leaders_of_two(rows: DataFrame) -> DataFrame:
+    """``rows`` (name, node, root): the members of each bucket of several roots paired with leaders of other roots than theirs."""
+    own = rows.groupBy("name", "root").agg(F.min(F.struct(F.xxhash64("name", "node"), "node")).alias("l"))
+    two = own.select("name", F.struct("root", F.col("l.node").alias("node")).alias("l")).groupBy("name").agg(F.min("l").alias("low"), F.max("l").alias("high")).filter("low.root < high.root")
+    met = rows.join(two, "name").select("node", "root", F.explode(F.array("low", "high")).alias("l")).filter("root <> l.root")
+    return _ordered(met.select(F.col("node").alias("a"), F.col("l.node").alias("b")))
 
-def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of which enough samples agree."""
-    own = reps.select("node", "samples")
-    both = pairs.filter("a <> b").distinct().join(own.select(F.col("node").alias("a"), F.col("samples").alias("one")), "a").join(own.select(F.col("node").alias("b"), F.col("samples").alias("two")), "b")
+
+def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs (a, b) of which enough samples agree, with their number as ``agree``."""
+    own = signed.select("node", "samples")
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("samples").alias("one")), "a").join(own.select(F.col("node").alias("b"), F.col("samples").alias("two")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, SAMPLES) for k in (2, 3))
-            yield batch.filter(pa.array((one == two).sum(1) >= AGREEING)).select([0, 1])
+            agree = (one == two).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(agree.astype(np.int32))], names=["a", "b", "agree"]).filter(pa.array(agree >= AGREEING))
 
-    return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long, agree int")
 
 
 def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -279,25 +315,24 @@ def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(held.select("node", "text").dropDuplicates(["node"]), "minhash-texts")
 
 
-def _leaders(rows: DataFrame) -> DataFrame:
-    """``rows`` (name, node): every member paired with three members of its bucket."""
-    leaders = rows.groupBy("name").agg(F.min("node").alias("l0"), F.max("node").alias("l1"), F.min_by("node", F.xxhash64("node")).alias("l2"))
-    return rows.join(stored(leaders, "minhash-leaders"), "name").select(F.explode(F.array("l0", "l1", "l2")).alias("a"), F.col("node").alias("b"))
-
-
 def _blockwise(some: DataFrame, every: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """Of ``some`` against ``every`` member with the same ``main``: links to other roots that reach the similarity.
 
-    Members meet in blocks of bounded size. In a block, every document of one side is laid out over the shingles of
+    Both sides are cut to blocks of bounded size, each by its own number, so that the large side is copied once for
+    every 512 rows of the small one. In a block, every document of one side is laid out over the shingles of
     the other side once, and its overlap with all of these is one pass; so no pair becomes a row unless it is a link,
     and of a document's links to one root, whose nodes are connected already, a block reports one.
     """
     nodes = every.select("node").distinct()
     held = _texts_of(texts, nodes)
-    sizes = stored(every.groupBy("main").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n")), "minhash-blocks")
-    cut = lambda df, salt: df.join(sizes, "main").join(held, "node").withColumn("own", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    left = cut(some, 1).select("main", F.col("own").alias("p"), F.col("other").alias("q"), "node", "root", "text")
-    right = cut(every, 2).select("main", F.col("other").alias("p"), F.col("own").alias("q"), "node", "root", "text").toDF("main_", "p_", "q_", "node_", "root_", "text_")
+    count = lambda df, name: df.groupBy("main").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
+    sizes = stored(count(some, "ps").join(count(every, "qs"), "main"), "minhash-blocks")
+
+    def cut(df: DataFrame, own: str, other: str) -> DataFrame:
+        return df.join(sizes, "main").join(held, "node").withColumn("own", F.pmod(F.xxhash64("node", F.lit(own)), F.col(own)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+
+    left = cut(some, "ps", "qs").select("main", F.col("own").alias("p"), F.col("other").alias("q"), "node", "root", "text")
+    right = cut(every, "qs", "ps").select("main", F.col("other").alias("p"), F.col("own").alias("q"), "node", "root", "text").toDF("main_", "p_", "q_", "node_", "root_", "text_")
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
@@ -328,6 +363,8 @@ def _blockwise(some: DataFrame, every: DataFrame, texts: DataFrame, weights: Wei
 def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """The pairs whose whole texts reach the similarity, with it as ``score``."""
     pairs = stored(pairs, "minhash-pairs")
+    if not pairs.limit(1).count():
+        return pairs.select("a", "b", F.lit(1.0).alias("score"))
     ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     held = _texts_of(texts, ids)
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("one")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("two")), "b")
@@ -361,34 +398,66 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
     return named.join(ids, "root").select(F.col("doc").alias("doc_id"), "class_id")
 
 
+def _crossing(pairs: DataFrame, root: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends lie in two components, with these as ``a_root`` and ``b_root``."""
+    one, two = (root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+    return pairs.join(one, "a").join(two, "b").filter("a_root <> b_root").select("a", "b", "a_root", "b_root")
+
+
+def _merged(root: DataFrame, links: DataFrame) -> DataFrame:
+    """``root`` (node, root) after further links: only the components that they touch are looked at."""
+    between = stored(_crossing(links, root).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "minhash-links")
+    if not between.limit(1).count():
+        return root
+    new = components(between).select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return stored(root.join(new, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "minhash-roots", (root, between))
+
+
+def _unresolved(rows: DataFrame, root: DataFrame) -> DataFrame:
+    """Of ``rows`` (name, node) the buckets with several components, with ``root`` and the bucket's size ``n``."""
+    placed = rows.join(root, "node")
+    open_ = placed.groupBy("name").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high").select("name", "n")
+    return placed.join(open_, "name").select("name", "node", "root", "n")
+
+
 def _named(texts: DataFrame, threshold: float) -> DataFrame:
     """Per row of ``texts``: ``doc``, ``node`` and the ``root`` of its class."""
     weights = frequent_shingles(texts)
     signed = stored(signatures(texts, weights), "minhash-signatures")
     least = signed.groupBy("print").agg(F.min("node").alias("node"))
-    reps = stored(signed.select("print", "node", "samples", "bands").join(least, ["print", "node"]).dropDuplicates(["node"]), "minhash-representatives")
+    reps = stored(signed.select("print", "node", "samples", "bands").join(least, ["print", "node"]).dropDuplicates(["node"]), "minhash-representatives", (signed,))
     filed = reps.select(F.explode("bands").alias("name"), "node")
-    small, large = _pairs(filed)
-    wide = stored(large.select("node", "name"), "minhash-large")
-    again = wide.join(reps.select("node", "bands"), "node").select("node", F.explode(F.expr("transform(filter(bands, b -> b <> name), b -> xxhash64(least(name, b), greatest(name, b)))")).alias("name")).distinct()
-    again = stored(again, "minhash-split")
-    small_again, rest = _pairs(again)
-    rest = stored(rest, "minhash-rest")
-    pairs = small.unionByName(small_again).unionByName(_leaders(rest)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = stored(_verified(_agreeing(pairs, reps), texts, weights, threshold).select("a", "b"), "minhash-links")
-    root = stored(components(links), "minhash-roots")
-    # members of large first buckets outside the bucket's main component, against all that share a bucket with it
-    placed = stored(wide.join(root, "node", "left").select("name", "node", F.coalesce("root", "node").alias("root")), "minhash-placed")
-    mains = stored(placed.groupBy("name").agg(F.mode("root", deterministic=True).alias("main")), "minhash-mains")
-    members = stored(placed.join(mains, "name").select("main", "node", "root").distinct(), "minhash-members")
-    outside = members.filter("root <> main")
-    if outside.limit(1).count():
-        further = stored(_blockwise(outside, members, texts, weights, threshold), "minhash-further")
-        if further.limit(1).count():
-            root = stored(components(links.unionByName(further)), "minhash-roots")
+    # buckets with one member are done
+    shared = stored(filed.join(filed.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name"), "name"), "minhash-filed")
+    root = stored(shared.select("node", F.col("node").alias("root")).distinct(), "minhash-roots")
+    linked = lambda pairs: _verified(pairs, texts, weights, threshold)
+
+    pairs = stored(_agreeing(_leaders(shared), reps), "minhash-agreeing")
+    ends = pairs.select(F.col("a").alias("node"), "a", "b", "agree").unionByName(pairs.select(F.col("b").alias("node"), "a", "b", "agree"))
+    likeliest = ends.groupBy("node").agg(F.max(F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+    root = _merged(root, linked(likeliest))
+    root = _merged(root, linked(_crossing(pairs, root).select("a", "b")))
+    for draw in range(1, REDRAWN + 1):
+        nodes = stored(_unresolved(shared, root).filter(F.col("n") > PAIRED).select("node").distinct(), "minhash-open")
+        if not nodes.limit(1).count():
+            break
+        again = stored(signatures(_texts_of(texts, nodes), weights, draw), "minhash-redrawn", (nodes,))
+        refiled = again.select("node", F.explode("bands").alias("name")).join(root, "node")
+        root = _merged(root, linked(_agreeing(_leaders_of_two(refiled), again).select("a", "b")))
+    # what is left of the first buckets: everything against everything of another component
+    open_ = stored(_unresolved(shared, root), "minhash-unresolved", (shared, pairs))
+    few = open_.filter(F.col("n") <= PAIRED).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("node", "root"))).alias("all"))
+    few = few.select(F.posexplode("all").alias("i", "x"), "all").select("x", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("y")).filter("x.root <> y.root")
+    root = _merged(root, linked(_agreeing(_ordered(few.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))), reps).select("a", "b")))
+    large = stored(open_.filter(F.col("n") > PAIRED).select("name", "node"), "minhash-open", (open_,))
+    if large.limit(1).count():
+        placed = stored(large.join(root, "node").select("name", "node", "root"), "minhash-placed", (large,))
+        mains = placed.groupBy("name", "root").agg(F.count("*").alias("n")).groupBy("name").agg(F.max(F.struct("n", "root")).alias("m")).select("name", F.col("m.root").alias("main"))
+        members = stored(placed.join(mains, "name").select("main", "node", "root").distinct(), "minhash-members", (placed,))
+        root = _merged(root, stored(_blockwise(members.filter("root <> main"), members, texts, weights, threshold), "minhash-further"))
     own = texts.select("doc", "node", F.md5("text").alias("print"))
     equal = stored(own.groupBy("print").agg(F.min("node").alias("rep")), "minhash-equal")
-    return stored(own.join(equal, "print").join(root.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "node", F.coalesce("root", "rep").alias("root")), "minhash-named")
+    return stored(own.join(equal, "print").join(root.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "node", F.coalesce("root", "rep").alias("root")), "minhash-named", (reps, equal))
 
 
 def representatives(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -397,8 +466,8 @@ def representatives(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     A null id comes before all ids; among equal ids a fingerprint of id and text decides, and of rows that agree in
     both one stays. All columns are kept.
     """
-    names = docs.columns
+    names, (own,) = docs.columns, free(docs, "_mh_node")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     least = _named(_texts(docs, id_col, text_col), threshold).groupBy("root").agg(F.min(F.struct("doc", "node")).alias("least"))
-    stay = stored(least.select(F.col("least.node").alias("_mh_node")), "minhash-stay")
-    return docs.withColumn("_mh_node", _node(id_col, text)).join(stay, "_mh_node").dropDuplicates(["_mh_node"]).select(*names)
+    stay = stored(least.select(F.col("least.node").alias(own)), "minhash-stay")
+    return docs.withColumn(own, _node(id_col, text)).join(stay, own).dropDuplicates([own]).select(*names)
