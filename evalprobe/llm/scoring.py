@@ -6,10 +6,12 @@ diagonal matrix, so score(w | u, v) = (C1 * R[u] + C2 * R[v]) . Q[w] + b[w]; the
 with w) are two matrix products, and a softmax over the classes normalises them. A word of a bucket then gets its
 share of the bucket by add-one counts, with room for one unseen word. So every token of every text has a probability.
 
-Training covers every training document: tasks train replicas on their own documents from common parameters, and the
-replicas are averaged by tokens, in groups, so that no step holds more than a fixed number of them. This is done
-twice, first on a seventh of the documents. Counts of all training tokens are aggregated by word; the driver sees the
-most frequent words alone, and the rare words of each document meet their counts in a join.
+Training covers every training document. Documents are dealt to replicas by a fingerprint of id and text, one replica
+for ``REPLICA_TOKENS`` training tokens, and ordered by it inside; so what a replica learns depends on the rows alone,
+not on how they are split over files or tasks. Replicas start from common parameters and are averaged by tokens, in
+groups, so that no step holds more than a fixed number of them. This is done twice, first on a seventh of the
+documents. Counts of all training tokens are aggregated by word; the driver sees the most frequent words alone, and the
+rare words of each document meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -28,15 +30,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
-HEAD, BUCKETS, DIMS = 512, 64, 24
+HEAD, BUCKETS, DIMS = 1024, 128, 24
 #: Words whose counts go along to every task; the counts of rarer words are joined.
 CARRIED = 100_000
 #: Noise samples of a batch, positions of a batch, step size.
 NOISE, BATCH, STEP = 32, 2048, 0.1
 #: Documents held out: crc32 of the id modulo FOLDS equal to HELD; those equal to FIRST start the training.
 FOLDS, HELD, FIRST = 7, 2, 3
+#: Training tokens of a replica, about; with the rows it decides which documents a replica learns from.
+REPLICA_TOKENS = 2_000_000
 #: Replicas that are averaged in one place, and distinct words a task counts before it reports them.
 TOGETHER, COUNTED = 32, 200_000
 #: Words whose class a worker keeps.
@@ -214,44 +218,60 @@ def _contexts(ids: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray,
     return near, far, target
 
 
-def _trained(rows: DataFrame, words: Vocabulary, share: np.ndarray, flat: np.ndarray, folds: tuple[int, ...]) -> np.ndarray:
-    """The average of the replicas that tasks train on the documents of ``folds``."""
-    classes, end = words.classes, words.end
+def dealt(rows: DataFrame, words: Vocabulary) -> DataFrame:
+    """Per training document: ``first`` (it starts the training), ``replica``, ``place`` in it, ``ids`` (classes, 16 bits each)."""
+    classes, held = words.classes, HELD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        known = Classes(classes)
+        for batch in batches:
+            folds = [fold(doc) for doc in batch.column(0).to_pylist()]
+            part = batch.filter(pa.array([f != held for f in folds], pa.bool_()))
+            ids = [known.of(tokens(text)).astype("<u2").tobytes() for text in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([f == FIRST for f in folds if f != held], pa.bool_()), part.column(2), pa.array(ids, pa.binary())], names=["first", "place", "ids"])
+
+    placed = rows.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("place")).mapInArrow(run, "first boolean, place long, ids binary")
+    replicas = max(1, round(words.total / REPLICA_TOKENS))
+    return placed.withColumn("replica", F.pmod(F.xxhash64("place"), F.when(F.col("first"), max(1, replicas // (FOLDS - 1))).otherwise(replicas)).cast("int"))
+
+
+def _trained(placed: DataFrame, words: Vocabulary, share: np.ndarray, flat: np.ndarray, first: bool) -> np.ndarray:
+    """The average of the replicas, each trained on the documents dealt to it, in the order of their places."""
+    end = words.end
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).sort_by([("place", "ascending")])
+        replica = key[0].as_py()
         model, seen, n = Model(flat.copy()), np.full_like(flat, 1e-4), 0
-        draw, known = np.random.default_rng(part), Classes(classes)
+        draw = np.random.default_rng([int(first), replica])
         ids: list[np.ndarray] = []
         held = 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if fold(doc) in folds:
-                    own = known.of(tokens(text))
-                    ids.append(own)
-                    held += len(own)
-                    if held >= 256 * BATCH:
-                        model.train(*_contexts(ids, end), share, draw, seen)
-                        n, held, ids = n + held, 0, []
+        for own in table.column("ids").to_pylist():
+            ids.append(np.frombuffer(own, "<u2").astype(np.int32))
+            held += len(ids[-1])
+            if held >= 256 * BATCH:
+                model.train(*_contexts(ids, end), share, draw, seen)
+                n, held, ids = n + held, 0, []
         if ids:
             model.train(*_contexts(ids, end), share, draw, seen)
         n += held
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([float(n)]), pa.array([(model.flat * np.float32(n)).tobytes()], pa.binary())], names=["part", "weight", "params"])
+        yield pa.RecordBatch.from_arrays([pa.array([replica], pa.int32()), pa.array([float(n)]), pa.array([(model.flat.astype(np.float64) * n).tobytes()], pa.binary())], names=["part", "weight", "params"])
 
     def summed(table: pa.Table) -> pa.Table:
-        flat_sum = np.sum([np.frombuffer(p, np.float32).astype(np.float64) for p in table.column("params").to_pylist()], 0).astype(np.float32)
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "weight": [float(sum(table.column("weight").to_pylist()))], "params": pa.array([flat_sum.tobytes()], pa.binary())})
+        table = table.sort_by([("own", "ascending")])
+        total = np.sum([np.frombuffer(p, np.float64) for p in table.column("params").to_pylist()], 0)
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "weight": [float(sum(table.column("weight").to_pylist()))], "params": pa.array([total.tobytes()], pa.binary())})
 
     schema = "part int, weight double, params binary"
-    replicas = stored(rows.mapInArrow(run, schema), "scoring-replicas")
+    replicas = stored(placed.filter(F.col("first") == first).select("replica", "place", "ids").groupBy("replica").applyInArrow(run, schema), "scoring-replicas")
     while replicas.count() > TOGETHER:
-        replicas = replicas.withColumn("part", F.floor(F.col("part") / TOGETHER).cast("int"))
-        replicas = stored(replicas.groupBy("part").applyInArrow(summed, schema), "scoring-replicas")
-    found = replicas.collect()
+        grouped = replicas.withColumn("own", F.col("part")).withColumn("part", F.floor(F.col("part") / TOGETHER).cast("int"))
+        replicas = stored(grouped.groupBy("part").applyInArrow(summed, schema), "scoring-replicas", (replicas,))
+    found = sorted(replicas.collect())
+    discard(replicas)
     if not found:
         return flat
-    return (np.sum([np.frombuffer(r["params"], np.float32).astype(np.float64) for r in found], 0) / sum(r["weight"] for r in found)).astype(np.float32)
+    return (np.sum([np.frombuffer(r["params"], np.float64) for r in found], 0) / sum(r["weight"] for r in found)).astype(np.float32)
 
 
 class Scorer:
@@ -274,20 +294,29 @@ class Scorer:
         return (self.near[near, target].astype(np.float64) + self.far[far, target] - self.totals[context]) / math.log(10)
 
 
+def fitted(rows: DataFrame) -> tuple[DataFrame, Vocabulary, np.ndarray]:
+    """Counts of the training tokens of ``rows`` (``doc_id``, ``text``), what the driver keeps of them, and the model's parameters."""
+    counts = counted(rows)
+    words = vocabulary(counts)
+    share = (words.tokens + 1.0) / (words.tokens.sum() + words.size)
+    flat = Model.start(share).flat
+    placed = stored(dealt(rows, words), "scoring-dealt")
+    for first in (True, False):
+        flat = _trained(placed, words, share.astype(np.float32), flat, first)
+    discard(placed)
+    return counts, words, flat
+
+
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     A null text is empty and has the end alone. A null id counts as the text "null" where it decides the fold.
-    Repeated rows train and score as often as they stand. Without training documents every token is unknown and the
-    model is that of its start. An empty table gives an empty result. Texts are scored whole; only id and text are read.
+    Repeated rows train and score as often as they stand. Scores do not depend on how the rows are split. Without
+    training documents every token is unknown and the model is that of its start. An empty table gives an empty result.
+    Texts are scored whole; only id and text are read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts = counted(rows)
-    words = vocabulary(counts)
-    share = (words.tokens + 1.0) / (words.tokens.sum() + words.size)
-    flat = Model.start(share).flat
-    for folds in ((FIRST,), tuple(k for k in range(FOLDS) if k not in (HELD, FIRST))):
-        flat = _trained(rows, words, share.astype(np.float32), flat, folds)
+    counts, words, flat = fitted(rows)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((words, flat))
     whole = math.log10(words.total + words.distinct + 1)
@@ -297,7 +326,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         known, params = shared.value
         score = Scorer(params, known)
         classes, carried = Classes(known.classes), known.carried
-        row = TaskContext.get().partitionId() << 40
+        row = TaskContext.get().partitionId() << 40  # a name for this run of the table alone
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
