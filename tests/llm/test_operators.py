@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalprobe.llm import kdtree, lines, minhash, mixing, packing, quality, recompress, scoring, secrets, substrings, warc
+from evalprobe.llm import components, kdtree, lines, minhash, mixing, packing, quality, recompress, scoring, secrets, substrings, warc
 from evalprobe.llm.common import Fingerprints, windows
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, node long, part int"
@@ -192,7 +192,7 @@ def test_mixing(spark):
         assert r.target == pytest.approx(target[r.source]) and 0 <= r.copies <= 3
         taken[r.source] += r["size"] * r.copies
     assert all(abs(taken[s] - target[s]) <= 40 for s in sizes)
-    assert {(r.doc_id, r._mx_copies) for r in placed.collect()} == {(r.doc_id, r.copies) for r in rows}
+    assert {(r._mx_row.doc_id, r._mx_copies) for r in placed.collect()} == {(r.doc_id, r.copies) for r in rows}
     again = mixing.copies(docs_of(spark, texts, sources))[0].collect()
     assert sorted((r.doc_id, r.copies) for r in again) == sorted((r.doc_id, r.copies) for r in rows)
     mixed = mixing.mixed(docs_of(spark, texts, sources))
@@ -209,12 +209,47 @@ def test_mixing_target_on_a_cell_border(spark):
     taken, order = defaultdict(int), defaultdict(list)
     for r in rows:
         taken[r.source] += r["size"] * r.copies
-        u = (int(hashlib.md5(f"17:{r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        name = f"17:{r.doc_id}:{hashlib.md5(texts[r.doc_id].encode()).hexdigest()}"
+        u = (int(hashlib.md5(name.encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
         order[r.source].append((u, r.copies))
     assert taken == {"a": 50, "b": 100, "c": 150}
     assert [n for _, n in sorted(order["a"])] == [1] * 5 + [0] * 5 and [n for _, n in sorted(order["c"])] == [2] * 5 + [1] * 5
 
 
+def test_mixing_inclusion_follows_the_stated_odds(spark):
+    """Over seeds: long documents are certain, the others come in proportion to their size."""
+    texts = {i: " ".join(words(300 if i < 2 else 1 + i % 20, i)) for i in range(200)} | {1000 + i: " ".join(words(30, i)) for i in range(90)}
+    sources = {i: "a" if i < 1000 else "b" for i in texts}
+    docs, hits, seeds = docs_of(spark, texts, sources).cache(), Counter(), 12
+    for seed in range(seeds):
+        rows = mixing.copies(docs, seed=seed)[0].collect()
+        hits.update(r.doc_id for r in rows if r.source == "a" and r.copies)
+    sizes = {i: len(texts[i].split()) for i in range(200)}
+    left, certain = next(r.target for r in rows if r.source == "a"), set()
+    while True:
+        c = (left - sum(sizes[i] for i in certain)) / sum(s * s for i, s in sizes.items() if i not in certain)
+        more = {i for i, s in sizes.items() if c * s > 1} - certain
+        if not more:
+            break
+        certain |= more
+    assert certain >= {0, 1} and all(hits[i] == seeds for i in certain)
+    for low, high in ((1, 5), (6, 10), (11, 15), (16, 20)):
+        own = [i for i, s in sizes.items() if low <= s <= high and i not in certain]
+        want = sum(c * sizes[i] for i in own) / len(own)
+        assert abs(sum(hits[i] for i in own) / (seeds * len(own)) - want) < 0.06
+
+
+def test_mixing_rows_without_an_id_and_clashing_names(spark):
+    rows = [(None, " ".join(words(20, i)), "s", i) for i in range(60)] + [(i, " ".join(words(40, i)), "t", i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _mx_key long")
+    found = mixing.copies(docs)[0].collect()
+    taken = Counter()
+    for r in found:
+        taken[r.source] += r["size"] * r.copies
+    assert all(abs(taken[r.source] - r.target) <= 40 for r in found) and len(found) == 120
+    assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs).count() > 0
+
+
 # 4 near-duplicates
 def test_minhash_classes(spark):
     base, other = words(300, 1, 5000), words(300, 2, 5000)
@@ -248,12 +283,12 @@ def test_minhash_repeated_ids_with_other_texts(spark):
 
 
 def test_minhash_one_shared_band_of_a_large_bucket(spark, monkeypatch):
-    """All documents share one band and no other: a bucket of more than SMALL members must still compare them."""
+    """All documents share one band and no other, as members of a large bucket: it must still compare them all."""
     real = minhash.signatures
 
-    def one_band(texts, weights):
+    def one_band(texts, weights, draw=0):
         bands = F.expr("transform(sequence(0, 15), k -> if(k = 0, 1L, xxhash64(node, k)))")
-        return real(texts, weights).withColumn("bands", bands)
+        return real(texts, weights, draw).withColumn("bands", bands)
 
     monkeypatch.setattr(minhash, "signatures", one_band)
     texts, want = {}, {}
@@ -263,17 +298,87 @@ def test_minhash_one_shared_band_of_a_large_bucket(spark, monkeypatch):
             own = list(base)
             own[k * 60 + 20] = "changed"
             texts[10 * group + k], want[10 * group + k] = " ".join(own), 10 * group
-    assert len(texts) > minhash.SMALL
+    monkeypatch.setattr(minhash, "PAIRED", 4)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 4)
+    assert len(texts) > minhash.PAIRED
     assert {r.doc_id: r.class_id for r in minhash.classes(docs_of(spark, texts)).collect()} == want
 
 
+def brute_weights(texts):
+    """Weighted shingles of every text, from the document frequencies of all."""
+    grams = {i: Counter(tuple(w[k : k + min(5, len(w))]) for k in range(max(1, len(w) - 4))) if (w := t.split()) else Counter() for i, t in texts.items()}
+    df = Counter(g for own in grams.values() for g in own)
+    idf = {g: 1 + min(minhash.OCTAVES, math.floor(math.log2(len(texts) / n))) / minhash.OCTAVES if n >= max(2, len(texts) / 2**minhash.OCTAVES) else 2 for g, n in df.items()}
+    return {i: {g: n * idf[g] for g, n in own.items()} for i, own in grams.items()}
+
+
+def brute_links(weighted, threshold=0.8):
+    """All pairs whose weighted Jaccard similarity reaches the threshold, from the definition."""
+    ids, total = sorted(weighted), {i: sum(w.values()) for i, w in weighted.items()}
+    for x, i in enumerate(ids):
+        for j in ids[:x]:
+            a, b = (weighted[i], weighted[j]) if len(weighted[i]) < len(weighted[j]) else (weighted[j], weighted[i])
+            low = sum(min(w, b[g]) for g, w in a.items() if g in b)
+            if low and low >= threshold * (total[i] + total[j] - low):
+                yield i, j
+
+
+@pytest.mark.parametrize(("families", "members", "edits"), [(40, 6, 5), (2, 150, 5)])
+def test_minhash_recall_of_all_pairs(spark, families, members, edits):
+    """Links between all pairs of small and of large groups whose similarities lie around the threshold."""
+    draw, texts = random.Random(families), {}
+    for f in range(families):
+        base = words(160, 900 + f, 4000)
+        for m in range(members):
+            own = list(base)
+            for _ in range(draw.randrange(edits + 1)):
+                own[draw.randrange(len(own))] = f"e{draw.randrange(10**6)}"
+            texts[1000 * f + m] = " ".join(own)
+    links = list(brute_links(brute_weights(texts)))
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r.doc_id: r.class_id for r in minhash.classes(docs_of(spark, texts)).collect()}
+    recall = sum(got[a] == got[b] for a, b in links) / len(links)
+    assert recall >= 0.99 and len(links) > 150
+    assert all(find(i) == find(c) for i, c in got.items())  # and no class without a chain of links
+
+
+def test_minhash_large_group_costs_few_pairs(spark):
+    """The candidates of a group are linear in its size: no more than sixteen pairs a document."""
+    for members in (40, 160):
+        texts = {i: " ".join([*words(100, 5, 5000)[: i % 90], f"x{i}", *words(100, 5, 5000)[i % 90 + 1 :]]) for i in range(members)}
+        rows = minhash._texts(docs_of(spark, texts), "doc_id", "text")
+        filed = minhash.signatures(rows, minhash.frequent_shingles(rows)).select(F.explode("bands").alias("name"), "node")
+        assert minhash._leaders(filed).count() <= minhash.BANDS * members
+
+
 def test_frequent_shingles_are_exact(spark):
     common = "a very common line here now"
     texts = {i: f"{common} {' '.join(words(30, i, 10_000))}" if i % 2 else " ".join(words(40, i, 10_000)) for i in range(100)}
     weights = minhash.frequent_shingles(minhash._texts(docs_of(spark, texts), "doc_id", "text"))
     names = minhash.shingles(Fingerprints().of(common))
     assert set(names.tolist()) <= set(weights.names.tolist())
-    assert weights(names, np.ones(2)) == pytest.approx([1 + math.log(2) / math.log(20)] * 2)
+    assert weights(names, np.ones(2)) == pytest.approx([1.1] * 2)
+    many = minhash.Weights(names, np.array([3.0, 10.0]))
+    assert sorted(many(names, np.array([2, 1]))) == pytest.approx([2.0, 2.6])
+
+
+def test_components_by_either_way(spark, monkeypatch):
+    draw = random.Random(8)
+    links = [(i, i + 1) for i in range(0, 30)] + [(1000 + draw.randrange(60), 1000 + draw.randrange(60)) for _ in range(40)] + [(500, k) for k in range(2000, 2040)]
+    table = spark.createDataFrame(links, "a long, b long").repartition(3)
+    few = {(r.node, r.root) for r in components.components(table).collect()}
+    monkeypatch.setattr(components, "FEW", 0)
+    assert {(r.node, r.root) for r in components.components(table).collect()} == few
+    assert dict(few)[30] == 0 and dict(few)[2039] == 500
 
 
 def test_samples_agree_with_similarity():
@@ -377,6 +482,37 @@ def test_scoring(spark):
     assert scoring.scored(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_scoring_by_plain_python_and_any_split(spark):
+    """Scores equal a plain loop over the fitted parameters, for any split of the rows, and beat the base on held-out texts."""
+    draw, texts = random.Random(5), {}
+    for i in range(150):  # sentences of a small grammar, so that contexts tell
+        texts[i] = " ".join(f"a{(k := draw.randrange(5))} b{k} c{k}" for _ in range(60)) + f" own{i} tail"
+    docs = docs_of(spark, texts)
+    counts, words_, flat = scoring.fitted(docs.select("doc_id", "text"))
+    model, known = scoring.Model(flat), {bytes(r.word): r.n for r in counts.collect()}
+    r, q, b, c1, c2 = (x.astype(np.float64) for x in (model.r, model.q, model.b, model.c1, model.c2))
+
+    def plain(text):
+        own, total = scoring.tokens(text), 0.0
+        cls = [words_.class_of(w) for w in own]
+        for k, w in enumerate(own):
+            u, v = (cls[k - d] if k >= d else words_.end for d in (1, 2))
+            scores = (c1 * r[u] + c2 * r[v]) @ q.T + b
+            total += (scores[cls[k]] - np.log(np.exp(scores).sum())) / math.log(10)
+            if cls[k] >= scoring.HEAD:
+                inside = cls[k] - scoring.HEAD
+                total += math.log10((known.get(w, 0) + 1) / (words_.rest[inside] + words_.words[inside] + 1))
+        return total
+
+    ways = [{x.doc_id: x for x in scoring.scored(docs.repartition(n)).collect()} for n in (4, 13)]
+    for i in range(0, 150, 30):
+        assert ways[0][i].score == pytest.approx(plain(texts[i]), rel=1e-4)
+    assert all(ways[0][i].score == pytest.approx(ways[1][i].score, rel=1e-6) for i in texts)
+    held = [x for x in ways[0].values() if x.held_out]
+    gain = sum(x.score - x.base_score for x in held) / sum(x.n_tokens for x in held)
+    assert len(held) > 5 and gain > 0.2  # log10 a token
+
+
 def test_scoring_is_normalised():
     draw = np.random.default_rng(1)
     size = scoring.HEAD + scoring.BUCKETS
@@ -476,11 +612,14 @@ def test_equal_windows_have_equal_anchors():
         flat = draw.integers(1, alphabet + 1, 3000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         flat[2000:2400] = flat[500:900]
         at = np.arange(len(flat) - 49)
-        names, prints = recompress.anchors(flat, at, 50), windows(flat, 50)
-        by = defaultdict(set)
-        for n, p in zip(names.tolist(), prints.tolist(), strict=True):
-            by[p].add(n)
-        assert all(len(s) == 1 for s in by.values())
+        parse, prints = recompress.Parse(flat, at, 50), windows(flat, 50)
+        names, told = parse.anchors(), parse.signatures(at, 0x9E3779B97F4A7C15)
+        by, back = defaultdict(set), defaultdict(set)
+        for n, t, p in zip(names.tolist(), told.tolist(), prints.tolist(), strict=True):
+            by[p].add((n, t))
+            back[t].add(p)
+        assert all(len(s) == 1 for s in by.values())  # equal windows have equal symbols
+        assert all(len(s) == 1 for s in back.values())  # and unequal windows have not
 
 
 # the pipeline
