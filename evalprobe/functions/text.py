@@ -144,8 +144,9 @@ def reasoning(c: Column) -> Column:
 
 
 def prompt(question: Column, options: Column) -> Column:
+    """Question and options; a null question leaves the options, and null without any."""
     own = strip(text(options))
-    return F.when(own != "", F.concat(question, F.lit("\n\n"), own)).otherwise(question)
+    return F.when(question.isNull(), F.nullif(own, F.lit(""))).when(own != "", F.concat(question, F.lit("\n\n"), own)).otherwise(question)
 
 
 def final_answer(c: Column) -> Column:
@@ -253,6 +254,14 @@ def family(name: Column) -> Column:
     return F.when(F.contains(name, F.lit("all_layers_concat")), "concat").when(F.contains(name, F.lit("attention_head_")), "attention").when(F.contains(name, F.lit("/post_attention")), "post_attention").when(F.contains(name, F.lit("/mlp")), "mlp").when(F.contains(name, F.lit("layer_")), "residual").otherwise("unknown")
 
 
+def candidates(layers: Column, strategies: Sequence[str]) -> Column:
+    """The feature names to try: every layer's residual, mlp and post-attention part and all layers together, for each strategy."""
+    own = F.transform(layers, lambda k: F.concat(F.lit("language_model/layer_"), k.cast("string")))
+    parts = F.flatten(F.transform(own, lambda stem: F.array(*(F.concat(stem, F.lit(t)) for t in ("", "/mlp", "/post_attention")))))
+    stems = F.concat(parts, F.array(F.lit("language_model/all_layers_concat"), F.lit("language_model/attention_all")))
+    return F.flatten(F.transform(stems, lambda stem: F.array(*(F.concat(stem, F.lit(f"__{s}")) for s in strategies))))
+
+
 # Cells of result tables.
 def number(*candidates: Column) -> Column:
     """The first candidate that is a number."""

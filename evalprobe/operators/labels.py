@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 
 
-def token_cosine(pairs: DataFrame, id_col: str, one: str, two: str, name: str = "cosine") -> DataFrame:
-    """Per id the cosine of the token counts of two texts; 0 if either has none. Other columns are dropped."""
-    side = lambda c, s: pairs.select(id_col, F.explode(T.alphanumerics(F.col(c))).alias("w"), F.lit(s).alias("s"))
-    counts = side(one, 1).unionByName(side(two, 2)).groupBy(id_col, "w").agg(F.count_if(F.col("s") == 1).alias("a"), F.count_if(F.col("s") == 2).alias("b"))
-    sums = counts.groupBy(id_col).agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
-    value = F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / (F.sqrt("aa") * F.sqrt("bb"))).otherwise(0.0)
-    return pairs.select(id_col).join(sums, id_col, "left").select(id_col, F.coalesce(value, F.lit(0.0)).alias(name))
+@F.pandas_udf(DoubleType())
+def _bag_cosine(one: pd.Series, two: pd.Series) -> pd.Series:
+    word = re.compile("[a-z0-9]+")
+
+    def cosine(a: str | None, b: str | None) -> float:
+        a, b = Counter(word.findall(a or "")), Counter(word.findall(b or ""))
+        if not a or not b:
+            return 0.0
+        both = sum(n * b[w] for w, n in a.items() if w in b)
+        return both / (math.sqrt(sum(n * n for n in a.values())) * math.sqrt(sum(n * n for n in b.values())))
+
+    return pd.Series([cosine(a, b) for a, b in zip(one, two, strict=True)], dtype="float64")
+
+
+def token_cosine(one: Column, two: Column) -> Column:
+    """The cosine of the token counts of two texts of a row; 0 if either has none. One Arrow pass: nothing is shuffled."""
+    return _bag_cosine(F.lower(one), F.lower(two))
 
 
 def similar(task: Column, with_answer: Column, without_answer: Column, cosine: Column, threshold: float = 0.7) -> Column:
@@ -45,13 +61,31 @@ def clean_b(mirage_like: Column, with_correct: Column, without_correct: Column)
     return F.when(mirage_like.eqNullSafe(F.lit(True)), 1).when(without_correct.eqNullSafe(F.lit(False)) & with_correct.eqNullSafe(F.lit(True)), 0)
 
 
-def question_groups(variants: DataFrame, keys: list[str], state: str = "state") -> DataFrame:
-    """Counts of states per question, and whether both classes occur (the label flips)."""
+def question_groups(variants: DataFrame, keys: list[str], state: str = "state", nested: list[str] | None = None) -> DataFrame:
+    """Counts of states per question, and whether both classes occur (the label flips).
+
+    ``nested``: columns of the variants to keep, as an array ordered by the first of them. There are few variants of a question.
+    """
     n = lambda s: F.count_if(F.col(state) == s)
-    groups = variants.groupBy(*keys).agg(F.count("*").alias("n_variants"), n("mirage").alias("n_mirage"), n("non_mirage").alias("n_non_mirage"), n("neutral").alias("n_neutral"))
+    own = [F.array_sort(F.collect_list(F.struct(*nested))).alias("variants")] if nested else []
+    groups = variants.groupBy(*keys).agg(F.count("*").alias("n_variants"), n("mirage").alias("n_mirage"), n("non_mirage").alias("n_non_mirage"), n("neutral").alias("n_neutral"), *own)
     return groups.withColumn("flip", (F.col("n_mirage") > 0) & (F.col("n_non_mirage") > 0))
 
 
+def flip_rates(groups: DataFrame, by: list[str]) -> DataFrame:
+    """Of the questions (``question_groups``), how many flip and their share."""
+    return groups.groupBy(*by).agg(F.count("*").alias("n_questions"), F.count_if("flip").alias("n_flips"), F.round(F.avg(F.col("flip").cast("int")), 6).alias("flip_rate"))
+
+
+def length_counts(pairs: DataFrame, by: list[str], one: str, two: str, least: int = 10) -> DataFrame:
+    """Missing (no words) and short (under ``least``) answers: of the first side, of the second, and pairs with either."""
+    words = {s: T.word_count(F.coalesce(F.col(c), F.lit(""))) for s, c in (("with", one), ("without", two))}
+    kinds = {"missing": lambda n: n == 0, "short": lambda n: n < least}
+    sides = [F.count_if(test(n)).alias(f"{kind}_{s}") for kind, test in kinds.items() for s, n in words.items()]
+    either = [F.count_if(test(words["with"]) | test(words["without"])).alias(f"{kind}_pairs") for kind, test in kinds.items()]
+    return pairs.groupBy(*by).agg(*sides, *either)
+
+
 def summary(variants: DataFrame, by: list[str], rollup: bool = False, state: str = "state") -> DataFrame:
     """Counts, mirage rate over the classified and accuracies over the known; a rate over nothing is null."""
     n = lambda s: F.count_if(F.col(state) == s)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running
+
 
 def accuracies(rows: DataFrame, right: Column, label: str = "label", benchmark: str = "dataset", by: list[str] | None = None) -> DataFrame:
     """Accuracy overall, per class, per benchmark and per both; a blank benchmark is ``unknown``. ``by`` keeps runs apart."""
@@ -58,7 +60,5 @@ def auc(rows: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     Ranks come from the distinct scores of a group with their counts, so rows of equal scores are summed before they meet.
     """
     scores = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    below = F.sum("q").over(w.orderBy(score)) - F.col("q")
-    wins = scores.withColumn("w", F.col("p") * (below + F.col("q") / 2))
+    wins = running(scores, by, [score], "_upto", F.col("q")).withColumn("w", F.col("p") * (F.col("_upto") - F.col("q") / 2))
     return wins.groupBy(*by).agg(F.try_divide(F.sum("w"), (F.sum("p") * F.sum("q")).cast("double")).alias("auc"))

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ordering import running
+
+
+def short_reason(pairs: DataFrame, sides: dict[str, tuple[str, str]], least: int = 10) -> Column:
+    """Why a pair goes: the first of ``sides`` (name to the columns of its texts) that has a text of fewer than ``least`` words, else ``kept``."""
+    reason = None
+    for name, texts in sides.items():
+        short = F.greatest(*((T.word_count(F.col(t)) < least).cast("int") for t in texts), F.lit(0)) > 0
+        reason = F.when(short, name) if reason is None else reason.when(short, name)
+    return reason.otherwise("kept")
 
 
 def numbered(pairs: DataFrame, *texts: str, least: int = 10, order: tuple[str, ...] = ("a_ord", "b_ord")) -> DataFrame:
-    """The pairs of which every text has ``least`` words, numbered from 0 in order. There is one pair a question."""
+    """The pairs of which every text has ``least`` words, numbered from 0 in order; the first order column is a number."""
     kept = pairs.filter(F.least(*(T.word_count(F.col(t)) for t in texts)) >= least if len(texts) > 1 else T.word_count(F.col(texts[0])) >= least)
-    return kept.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)) - 1)
+    return running(kept, [], list(order), "_n").withColumn("k", (F.col("_n") - 1).cast("int")).drop("_n")
 
 
 def unpivoted(pairs: DataFrame) -> DataFrame:
@@ -44,3 +54,9 @@ def conversation(system: Column, user: Column, image: Column, answer: Column) ->
 
 def has_image(messages: Column) -> Column:
     return F.exists(messages, lambda m: (m["role"] == "user") & F.exists(m["content"], lambda p: p["type"].isin("image_url", "image")))
+
+
+def appended(messages: Column, role: str, text: Column) -> Column:
+    """``messages`` with one more turn."""
+    part = F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("image_ref"))
+    return F.concat(messages, F.array(F.struct(F.lit(role).alias("role"), F.array(part).alias("content"))))

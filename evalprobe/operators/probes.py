@@ -1,105 +1,185 @@
-"""Probes: many small models side by side, spread over executors; and token-level models on Spark ML."""
+"""Probes: many small models side by side, spread over executors; and token-level models on Spark ML.
+
+A sweep has two steps. All runs of a (feature, split seed) are fitted together in one task, on a bounded sample of its
+training and validation rows (``FIT_ROWS`` each; all of them where there are fewer). Then the parameters go to all
+rows, and every row of every part is scored where it stands; only counts are shuffled.
+"""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordering import matched, small
+
 #: The grid of penalties, number of starts and training settings.
 C_GRID, INITS, EPOCHS, RATE, PATIENCE, MIN_DELTA = (0.0, 0.01, 0.1, 1.0), 3, 800, 0.03, 200, 1e-4
+#: Rows of a part on which a model is fitted, about; a hash of the key picks them.
+FIT_ROWS = 20_000
+HIDDEN = 512
+
+
+def init_seed(split_seed: int, c: float, init: int) -> int:
+    """The seed of a start follows from split and penalty."""
+    return split_seed + 100003 * init + round(10000 * c)
 
 
 def grid(spark: SparkSession, features: DataFrame, seeds: list[int], cs: tuple[float, ...] = C_GRID, inits: int = INITS) -> DataFrame:
     """Features by split seeds by penalties by starts; the seed of a start follows from split and penalty."""
-    runs = spark.createDataFrame([(s, c, i, s + 100003 * i + round(10000 * c)) for s in seeds for c in cs for i in range(inits)], "split_seed long, c_value double, init_index int, init_seed long")
+    runs = spark.createDataFrame([(s, c, i, init_seed(s, c, i)) for s in seeds for c in cs for i in range(inits)], "split_seed long, c_value double, init_index int, init_seed long")
     return features.crossJoin(F.broadcast(runs))  # the run table is a setting, not data
 
 
-def _normal(x: np.ndarray, train: np.ndarray) -> np.ndarray:
-    mean, std = x[train].mean(0), x[train].std(0)
-    return (x - mean) / np.where(std < 1e-6, 1, std)
+def _phi(z: np.ndarray) -> np.ndarray:
+    """The normal distribution function, to 1e-7 (Abramowitz and Stegun 7.1.26)."""
+    x = np.abs(z) / np.sqrt(2)
+    t = 1 / (1 + 0.3275911 * x)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-x * x)
+    return np.where(z >= 0, 1 - tail / 2, tail / 2)
 
 
-def fit(x: np.ndarray, y: np.ndarray, part: np.ndarray, c: float, seed: int, hidden: int = 0, epochs: int = EPOCHS) -> dict[str, float]:
-    """A logistic (``hidden`` 0) or one-hidden-layer probe, full batch, decoupled weight decay 1 / C, early stopping on validation loss."""
-    train, val = part == "train", part == "val"
-    x = _normal(x, train)
-    draw = np.random.default_rng(seed)
-    d, h = x.shape[1], hidden or 1
-    params = [draw.normal(0, 0.01, (d, h)), np.zeros(h)] + ([draw.normal(0, 0.1, (h, 1)), np.zeros(1)] if hidden else [])
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    decay = 1 / c if c > 0 else 0.0
+class Probes:
+    """Logistic (``hidden`` 0) or one-hidden-layer GELU classifiers side by side; starts are uniform within 1 / sqrt(inputs)."""
 
-    def scores(p: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-        z = rows @ p[0] + p[1]
+    def __init__(self, params: list[np.ndarray]):
+        self.params = params
+
+    @classmethod
+    def start(cls, dims: int, hidden: int, seeds: list[int]) -> Probes:
+        draws = [np.random.default_rng(s) for s in seeds]
+        drawn = lambda shape, inputs: np.stack([d.uniform(-1, 1, shape) / np.sqrt(inputs) for d in draws])
         if not hidden:
-            return z[:, 0], None
-        return (np.maximum(z, 0) @ p[2] + p[3])[:, 0], z
-
-    def loss(z: np.ndarray, t: np.ndarray) -> float:
-        return float(np.mean(np.logaddexp(0, z) - t * z)) if len(t) else 0.0
-
-    best, best_loss, waited = [p.copy() for p in params], np.inf, 0
-    for step in range(1, epochs + 1):
-        z, inner = scores(params, x[train])
-        err = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[train])[:, None] / max(1, train.sum())
-        if hidden:
-            back = (err @ params[2].T) * (inner > 0)
-            grads = [x[train].T @ back, back.sum(0), np.maximum(inner, 0).T @ err, err.sum(0)]
-        else:
-            grads = [x[train].T @ err, err.sum(0)]
-        for k, g in enumerate(grads):
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.999 * second[k] + 0.001 * g * g
-            params[k] = params[k] * (1 - RATE * min(decay, 1 / RATE)) if params[k].ndim > 1 else params[k]
-            params[k] = params[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-        now = loss(scores(params, x[val])[0], y[val])
-        if now < best_loss - MIN_DELTA:
-            best, best_loss, waited = [p.copy() for p in params], now, 0
-        else:
-            waited += 1
-            if waited >= PATIENCE:
+            return cls([drawn((dims,), dims), drawn((), dims)])
+        return cls([drawn((hidden, dims), dims), drawn((hidden,), dims), drawn((hidden,), hidden), drawn((), hidden)])
+
+    def forward(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """Scores (run, row), and for a hidden layer its inputs and their normal distribution function."""
+        p = self.params
+        if len(p) == 2:
+            return p[0] @ rows.T + p[1][:, None], None, None
+        z = p[0] @ rows.T + p[1][:, :, None]
+        gate = _phi(z)
+        return np.einsum("rhn,rh->rn", z * gate, p[2]) + p[3][:, None], z, gate
+
+    def gradients(self, rows: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
+        out, z, gate = self.forward(rows)
+        err = (1 / (1 + np.exp(-np.clip(out, -50, 50))) - labels) / max(1, len(labels))
+        if z is None:
+            return [err @ rows, err.sum(1)]
+        back = err[:, None, :] * self.params[2][:, :, None] * (gate + z * np.exp(-z * z / 2) / np.sqrt(2 * np.pi))
+        return [back @ rows, back.sum(2), np.einsum("rhn,rn->rh", z * gate, err), err.sum(1)]
+
+
+def fit(x: np.ndarray, y: np.ndarray, train: np.ndarray, val: np.ndarray, cs: list[float], seeds: list[int], hidden: int = 0, epochs: int = EPOCHS) -> Probes:
+    """All runs (a penalty and a seed each): full batch, Adam with decoupled decay 1 / C of every parameter (none for C = 0), early stopping on validation loss.
+
+    Decay is applied as it stands, param * (1 - rate / C): for C below rate / 2 it overshoots, and the parameters of the
+    least validation loss come from the first epochs.
+    """
+    probes = Probes.start(x.shape[1], hidden, seeds)
+    xt, yt, xv, yv = x[train], y[train], x[val], y[val]
+    first, second = ([np.zeros_like(p) for p in probes.params] for _ in range(2))
+    shrink = np.array([1 - RATE / c if c > 0 else 1.0 for c in cs])
+    each = lambda v, p: v.reshape(-1, *[1] * (p.ndim - 1))
+    best, least, waited = [p.copy() for p in probes.params], np.full(len(cs), np.inf), np.zeros(len(cs), int)
+    with np.errstate(all="ignore"):
+        for step in range(1, epochs + 1):
+            for k, g in enumerate(probes.gradients(xt, yt)):
+                first[k] = 0.9 * first[k] + 0.1 * g
+                second[k] = 0.999 * second[k] + 0.001 * g * g
+                p = probes.params[k]
+                probes.params[k] = p * each(shrink, p) - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+            z = probes.forward(xv)[0]
+            loss = (np.logaddexp(0, z) - yv * z).mean(1) if len(yv) else np.zeros(len(cs))
+            better = (loss < least - MIN_DELTA) & (waited < PATIENCE)
+            waited = np.where(waited >= PATIENCE, waited, np.where(better, 0, waited + 1))
+            least = np.where(better, loss, least)
+            for k, p in enumerate(probes.params):
+                best[k][better] = p[better]
+            done = (waited >= PATIENCE) | ~np.isfinite(loss)
+            if done.all():
                 break
-    right = (scores(best, x)[0] >= 0) == (y == 1)
-    return {f"{n}_accuracy": float(right[part == p].mean()) if (part == p).any() else None for n, p in (("train", "train"), ("validation", "val"), ("test", "test"))}
+            for p in probes.params:
+                p[done] = 0  # a run that has stopped
+            waited[done] = PATIENCE
+    return Probes(best)
 
 
-def sweep(samples: DataFrame, runs: DataFrame, hidden: int = 0, epochs: int = EPOCHS) -> DataFrame:
-    """One model per run. ``samples``: feature, split_seed, part, label, vec; ``runs``: the grid. Groups are single models, so they spread over executors."""
-    keys = ["feature", "split_seed", "c_value", "init_index"]
+def fitted(samples: DataFrame, cs: tuple[float, ...] = C_GRID, inits: int = INITS, hidden: int = 0, epochs: int = EPOCHS) -> DataFrame:
+    """Per (feature, split_seed) the models of all runs: ``models``, pickled (mean, deviation, runs, parameters)."""
+    keys = ["feature", "split_seed"]
+    sizes = samples.groupBy(*keys, "part").agg(F.count("*").alias("_n"))
+    picked = F.pmod(F.xxhash64(F.col("key"), F.lit(29)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * FIT_ROWS / F.col("_n")
+    few = matched(samples.filter(F.col("part").isin("train", "val")), small(sizes), [*keys, "part"]).filter(picked)
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key")
-        first = rows.iloc[0]
-        found = fit(np.array(rows["vec"].tolist(), np.float64), rows["label"].to_numpy(), rows["part"].to_numpy(), float(first["c_value"]), int(first["init_seed"]), hidden, epochs)
-        return pd.DataFrame([{**{k: first[k] for k in keys}, **found}])
-
-    joined = samples.select("feature", "split_seed", "key", "part", "label", "vec").join(runs, ["feature", "split_seed"])
-    return joined.groupBy(*keys).applyInPandas(one, "feature string, split_seed long, c_value double, init_index int, train_accuracy double, validation_accuracy double, test_accuracy double")
+        x, y, part = np.array(rows["vec"].tolist(), np.float64), rows["label"].to_numpy(), rows["part"].to_numpy()
+        train = part == "train"
+        mean, std = (x[train].mean(0), x[train].std(0)) if train.any() else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+        std = np.where(std < 1e-6, 1, std)
+        x, seed = (x - mean) / std, int(rows["split_seed"].iloc[0])
+        runs = [(c, i) for c in cs for i in range(inits)]
+        params = fit(x, y, train, part == "val", [c for c, _ in runs], [init_seed(seed, c, i) for c, i in runs], hidden, epochs).params
+        return pd.DataFrame({"feature": [rows["feature"].iloc[0]], "split_seed": [seed], "models": [pickle.dumps((mean, std, runs, params))]})
+
+    return few.select(*keys, "key", "part", "label", "vec").groupBy(*keys).applyInPandas(run, "feature string, split_seed long, models binary")
+
+
+def sweep(samples: DataFrame, cs: tuple[float, ...] = C_GRID, inits: int = INITS, hidden: int = 0, epochs: int = EPOCHS, tested: list[Column] | None = None) -> DataFrame:
+    """Accuracies of one model per feature, split seed, penalty and start, on all rows of each part.
+
+    ``samples``: feature, split_seed, key, part (train, val, test), label, vec. ``tested``: further columns by which the
+    test rows are told apart (with it, a row per run and value of them).
+    """
+    keys, more = ["feature", "split_seed"], [c.alias(f"_t{i}") for i, c in enumerate(tested or [])]
+    extra = [f"_t{i}" for i in range(len(more))]
+    joined = samples.select(*keys, "part", "label", "vec", *more).join(small(fitted(samples, cs, inits, hidden, epochs)), keys)
+    kinds = dict(joined.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for own, rows in frame.groupby([*keys, "part", *extra], sort=False, dropna=False):
+                mean, std, runs, params = pickle.loads(rows["models"].iloc[0])
+                x, y = (np.array(rows["vec"].tolist(), np.float64) - mean) / std, rows["label"].to_numpy() == 1
+                hits = ((Probes(params).forward(x)[0] >= 0) == y).sum(1)
+                own = tuple(None if v is pd.NA or v != v else v for v in own)
+                yield pd.DataFrame([(*own, c, i, len(y), int(h)) for (c, i), h in zip(runs, hits, strict=True)], columns=[*keys, "part", *extra, "c_value", "init_index", "n", "hits"])
+
+    counts = joined.mapInPandas(run, ", ".join(["feature string, split_seed long, part string", *(f"{e} {kinds[e]}" for e in extra), "c_value double, init_index int, n long, hits long"]))
+    by = [*keys, "c_value", "init_index"]
+    rate = lambda p: F.try_divide(F.sum(F.when(F.col("part") == p, F.col("hits"))).cast("double"), F.sum(F.when(F.col("part") == p, F.col("n"))))
+    found = counts.groupBy(*by).agg(rate("train").alias("train_accuracy"), rate("val").alias("validation_accuracy"), rate("test").alias("test_accuracy"))
+    if not extra:
+        return found
+    apart = counts.filter("part = 'test'").groupBy(*by, *extra).agg(rate("test").alias("test_accuracy"), F.sum("n").alias("n_test"))
+    return found.drop("test_accuracy").join(apart, by)
 
 
 def selected(runs: DataFrame) -> DataFrame:
     """Best start per penalty (validation, training accuracy, lower index), then best penalty (validation accuracy, lower C)."""
-    from .metrics import best
+    return selected_with(runs, [])
 
-    starts = best(runs, ["feature", "split_seed", "c_value"], F.desc("validation_accuracy"), F.desc("train_accuracy"), F.asc("init_index"))
-    return best(starts, ["feature", "split_seed"], F.desc("validation_accuracy"), F.asc("c_value"))
 
+def selected_with(runs: DataFrame, more: list[str]) -> DataFrame:
+    """As ``selected``, for each value of further columns."""
+    from .metrics import best
+
+    starts = best(runs, ["feature", "split_seed", "c_value", *more], F.desc("validation_accuracy"), F.desc("train_accuracy"), F.asc("init_index"))
+    return best(starts, ["feature", "split_seed", *more], F.desc("validation_accuracy"), F.asc("c_value"))
 
-def token_probe(tokens: DataFrame, layers: list[str], reg: float = 0.1) -> DataFrame:
-    """A model per layer over token rows (layer, label, part, vec): every token has its sample's label. Fitted by Spark ML, distributed."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
 
-    results = None
-    for name in layers:
-        own = tokens.filter(F.col("layer") == name).select("part", F.col("label").cast("double").alias("label"), array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
-        model = LogisticRegression(regParam=reg, maxIter=50).fit(own.filter("part = 'train'"))
-        scored = model.transform(own.filter("part = 'test'")).agg(F.count("*").alias("n_test"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("int")), 6).alias("accuracy")).select(F.lit(name).alias("layer"), "n_test", "accuracy")
-        results = scored if results is None else results.unionByName(scored)
-    return results
+def token_probe(tokens: DataFrame, epochs: int = EPOCHS, cs: tuple[float, ...] = (1.0,), inits: int = 1) -> DataFrame:
+    """A model per layer over token rows (layer, key, label, part, vec): every token has its sample's label. All layers are one job."""
+    samples = tokens.select(F.col("layer").alias("feature"), F.lit(0).cast("long").alias("split_seed"), "key", "part", "label", "vec")
+    counts = samples.filter("part = 'test'").groupBy("feature").agg(F.count("*").alias("n_test"))
+    found = selected(sweep(samples, cs, inits, epochs=epochs)).join(counts, "feature")
+    return found.select(F.col("feature").alias("layer"), "n_test", F.round("test_accuracy", 6).alias("accuracy"))
 
 
 def principal(rows: DataFrame, k: int, train: str = "is_train", vec: str = "vec") -> DataFrame:

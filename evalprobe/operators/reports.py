@@ -24,6 +24,12 @@ def layer_order(name: Column) -> list[Column]:
     return [component, F.coalesce(T.layer(name), F.lit(-1)), part, F.coalesce(T.head(name), F.lit(-1)), name]
 
 
+def experiment_order(stage: Column, mode: Column, name: Column, modes: list[str]) -> list[Column]:
+    """Stage, mode in the stated order (others after), name."""
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, modes)), mode), F.lit(0))
+    return [stage, F.when(place == 0, len(modes) + 1).otherwise(place), mode, name]
+
+
 def best_by_family(rows: DataFrame, by: list[str], name: str = "feature", metric: str = "metric") -> DataFrame:
     """The best feature of each family (and experiment), ties by name."""
     placed = rows.withColumns({"family": T.family(F.col(name)), "layer": T.layer(F.col(name)), "strategy": T.strategy(F.col(name))})

@@ -8,17 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import draw, drawn, matched, parted
 
-def draw(seed: str | int | Column, key: str | Column) -> Column:
-    seed = seed if isinstance(seed, Column) else F.lit(str(seed))
-    key = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(seed.cast("string"), F.lit(":"), key.cast("string")))
 
-
-def first_n(rows: DataFrame, by: list[str], n: Column | int, *order: Column | str) -> DataFrame:
-    """The first ``n`` rows of each bucket."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+def first_n(rows: DataFrame, by: list[str], n: Column | int, *order: Column | str, most: int | None = None) -> DataFrame:
+    """The first ``n`` rows of each bucket; ``most`` bounds a column ``n``, so that each task passes on no more than that."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    top = rows.withColumn("_rn", rank).filter(F.col("_rn") <= (n if isinstance(n, int) else most))
+    return (top if isinstance(n, int) else top.filter(F.col("_rn") <= n)).drop("_rn")
 
 
 def class_counts(rows: DataFrame, by: str = "dataset", label: str = "label") -> DataFrame:
@@ -58,24 +55,56 @@ def with_floor(caps: DataFrame, target: int, floor: int = 3, key: str = "dataset
 
 def sample_by_plan(rows: DataFrame, plan: DataFrame, seed: str | int, by: list[str], key: str, also: list[str] | None = None) -> DataFrame:
     """``n`` (of the plan) random rows of every bucket."""
-    joined = rows.join(plan.select(*by, "n"), by)
-    return first_n(joined, by + (also or []), F.col("n"), draw(seed, key), key).drop("n")
+    buckets = by + (also or [])
+    own = drawn(rows, seed, key)
+    sizes = own.groupBy(*buckets).agg(F.count("*").alias("_have"))
+    sizes = matched(sizes, plan.select(*by, F.col("n").alias("in")), by).withColumnRenamed("_have", "n")
+    return parted(own, buckets, ["_o", "_d", key], sizes, ["in"], "out").filter("part = 'in'").drop("_d", "_o", "part")
 
 
-def equal_share(rows: DataFrame, by: str, target: int, order: str) -> DataFrame:
-    """Equal shares of the buckets, the rest one by one from the fullest.
+def equal_shares(sizes: DataFrame, by: str, target: int) -> DataFrame:
+    """Equal shares of buckets of ``size`` rows, the rest one by one from the fullest: ``n`` for each; a table of buckets.
 
-    Row ``rn`` of a bucket of size n comes in round ``rn``, fuller buckets first. Rounds before the last full one are
-    found on the counts, so only rows of one round are ordered against each other.
+    Rows are taken in rounds, one of each bucket that has any left. Of buckets in the order of their sizes, the first
+    that the level reached by sharing what is left does not empty tells the number of whole rounds.
     """
+    every = Window.partitionBy(F.lit(1))
+    up = every.orderBy("size", by)
+    rank, below = F.row_number().over(up), F.sum("size").over(up) - F.col("size")
+    level = F.floor((F.lit(target) - below) / (F.count("*").over(every) - rank + 1))
+    leveled = sizes.withColumn("_level", level)
+    rounds = F.min(F.when(F.col("_level") < F.col("size"), F.struct("size", by, "_level"))).over(every)
+    leveled = leveled.withColumn("_rounds", F.greatest(F.coalesce(rounds["_level"], F.max("size").over(every)), F.lit(0)))
+    spread = leveled.withColumns({"n": F.least("size", "_rounds"), "_room": F.col("size") - F.col("_rounds")})
+    more = F.row_number().over(every.orderBy(F.desc("_room"), by))
+    spread = spread.withColumns({"_more": more, "_left": F.lit(target) - F.sum("n").over(every)})
+    return spread.withColumn("n", (F.col("n") + F.when((F.col("_room") > 0) & (F.col("_more") <= F.col("_left")), 1).otherwise(0)).cast("long")).drop("_level", "_rounds", "_room", "_more", "_left")
+
+
+def equal_share(rows: DataFrame, by: str, target: int, order: str) -> DataFrame:
+    """Equal shares of the buckets (``equal_shares``), of each the first rows by the number ``order``."""
     sizes = rows.groupBy(by).agg(F.count("*").alias("size"))
-    each = rows.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(order))).join(sizes, by)
-    each = each.withColumn("room", F.col("size") - F.col("rn") + 1)
-    rounds = each.groupBy("rn").agg(F.count("*").alias("k"))
-    rounds = rounds.withColumn("before", F.sum("k").over(Window.partitionBy(F.lit(1)).orderBy("rn")) - F.col("k"))
-    each = each.join(rounds.filter(F.col("before") < target).select("rn", "before"), "rn")
-    rank = F.row_number().over(Window.partitionBy("rn").orderBy(F.desc("room"), by))
-    return each.withColumn("_rank", rank + F.col("before")).filter(F.col("_rank") <= target).drop("_rank", "before", "room", "size")
+    plan = equal_shares(sizes, by, target).select(by, F.col("n").alias("in"), F.col("size").alias("n"))
+    return parted(rows, [by], [order], plan, ["in"], "out").filter("part = 'in'").drop("part")
+
+
+def class_targets(counts: dict[int, int], targets: dict[int, int], total: int = 0) -> dict[int, int]:
+    """Rows to take of class 1 and class 0: their targets, if they are there.
+
+    With a ``total`` that both targets together exceed, class 1 gets no more than half of it and class 0 what is left.
+    """
+    one, zero = max(0, targets[1]), max(0, targets[0])
+    if 0 < total < one + zero:
+        one = min(one, total // 2)
+        zero = min(zero, total - one)
+    return {1: min(one, counts.get(1, 0)), 0: min(zero, counts.get(0, 0))}
+
+
+def class_head(rows: DataFrame, targets: dict[int, int], order: str, total: int = 0, label: str = "label") -> DataFrame:
+    """The first rows of both classes in order, as many as ``class_targets`` says."""
+    counts = {r[0]: r[1] for r in rows.filter(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
+    wanted = class_targets(counts, targets, total)
+    return first_n(rows.filter(F.col(label).isin(0, 1)), [label], F.when(F.col(label) == 1, wanted[1]).otherwise(wanted[0]), F.col(order), most=max(1, *wanted.values()))
 
 
 def class_quota(rows: DataFrame, quota: int, seed: str | int, key: str = "src_ord", neutral: str = "is_neutral") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sampling import draw
+from .ordering import drawn, matched, parted, small
 
 
 def part_sizes(n: Column, validation: float, test: float, shrink_test_first: bool) -> tuple[Column, Column]:
@@ -25,39 +25,39 @@ def part_sizes(n: Column, validation: float, test: float, shrink_test_first: boo
 def three_way(rows: DataFrame, by: list[str], key: str, seed: str | int | Column, validation: float = 0.1, test: float = 0.2, shrink_test_first: bool = True, group: list[str] | None = None) -> DataFrame:
     """``rows`` with ``part``: within each bucket of ``by``; buckets under 3 rows drop out, as no part of them could be empty."""
     buckets = by + (group or [])
-    sized = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*buckets))).filter("_n >= 3")
-    v, t = part_sizes(F.col("_n"), validation, test, shrink_test_first)
-    rn = F.row_number().over(Window.partitionBy(*buckets).orderBy(draw(seed, key), key))
-    sized = sized.withColumns({"_rn": rn, "_v": v, "_t": t})
-    part = F.when(F.col("_rn") <= F.col("_t"), "test").when(F.col("_rn") <= F.col("_t") + F.col("_v"), "val").otherwise("train")
-    return sized.withColumn("part", part).drop("_n", "_rn", "_v", "_t")
+    own = drawn(rows, seed, key)
+    sizes = own.groupBy(*buckets).agg(F.count("*").alias("n")).filter("n >= 3")
+    v, t = part_sizes(F.col("n"), validation, test, shrink_test_first)
+    return parted(own, buckets, ["_o", "_d", key], sizes.withColumns({"test": t, "val": v}), ["test", "val"], "train").drop("_d", "_o")
 
 
 def by_class(rows: DataFrame, key: str, seed: str | int | Column, test: float = 0.2, label: str = "label", group: list[str] | None = None) -> DataFrame:
     """``rows`` with ``part`` train or test, within each class: half-even rounding, at least one test row and, of two or more, one training row."""
     buckets = [label] + (group or [])
-    n = F.count("*").over(Window.partitionBy(*buckets))
-    rn = F.row_number().over(Window.partitionBy(*buckets).orderBy(draw(seed, key), key))
-    size = F.greatest(F.lit(1), F.bround(F.col("_n") * test))
-    size = F.when(size >= F.col("_n"), F.greatest(F.lit(1), F.col("_n") - 1)).otherwise(size)
-    return rows.withColumns({"_n": n, "_rn": rn}).withColumn("part", F.when(F.col("_rn") <= size, "test").otherwise("train")).drop("_n", "_rn")
+    own = drawn(rows, seed, key)
+    n, size = F.col("n"), F.greatest(F.lit(1), F.bround(F.col("n") * test))
+    sizes = own.groupBy(*buckets).agg(F.count("*").alias("n")).withColumn("test", F.when(size >= n, F.greatest(F.lit(1), n - 1)).otherwise(size))
+    return parted(own, buckets, ["_o", "_d", key], sizes, ["test"], "train").drop("_d", "_o")
 
 
 def by_group(rows: DataFrame, group: str, seed: str | int, test: float = 0.2) -> DataFrame:
-    """Whole groups go to test; the window holds a row a group."""
-    groups = rows.select(group).distinct()
-    w = Window.partitionBy(F.lit(1))
-    ranked = groups.withColumns({"_n": F.count("*").over(w), "_rn": F.row_number().over(w.orderBy(draw(seed, group), group))})
-    marked = ranked.select(group, F.when(F.col("_rn") <= F.greatest(F.lit(1), F.bround(F.col("_n") * test)), "test").otherwise("train").alias("part"))
-    return rows.join(marked, group)
-
-
-def pair_validation(pairs: DataFrame, key: str, seed: str | int, fixed: int | None = None, per: str | None = None, count: int | None = None, fraction: float | None = None) -> DataFrame:
-    """``pairs`` with ``part`` val or train: a fixed number of all, or a number or share of each benchmark (at least one, never all)."""
-    w = Window.partitionBy(per if per else F.lit(1))
-    rn, n = F.row_number().over(w.orderBy(draw(seed, key), key)), F.count("*").over(w)
-    size = F.lit(fixed) if fixed is not None else F.lit(count) if count is not None else F.least(F.greatest(F.lit(1), F.bround(F.col("_n") * fraction)), F.col("_n") - 1)
-    return pairs.withColumns({"_rn": rn, "_n": n}).withColumn("part", F.when(F.col("_rn") <= size, "val").otherwise("train")).drop("_rn", "_n")
+    """Whole groups go to test: the split is drawn on a table of groups."""
+    groups = drawn(rows.select(group).distinct(), seed, group)
+    sizes = groups.groupBy().agg(F.count("*").alias("n")).withColumn("test", F.greatest(F.lit(1), F.bround(F.col("n") * test)))
+    return matched(rows, small(parted(groups, [], ["_o", "_d", group], sizes, ["test"], "train").select(group, "part")), [group])
+
+
+def pair_validation(pairs: DataFrame, key: str, seed: str | int, fixed: int | None = None, per: str | None = None, count: int | None = None, fraction: float | None = None, benchmarks: int | None = None) -> DataFrame:
+    """``pairs`` with ``part`` val or train: a fixed number of all, or a number or share of each benchmark (at least one, never all).
+
+    ``benchmarks``: the number of benchmarks there must be; any other raises.
+    """
+    own, by = drawn(pairs, seed, key), [per] if per else []
+    sizes = own.groupBy(*by).agg(F.count("*").alias("n"))
+    if benchmarks is not None and (found := sizes.count()) != benchmarks:
+        raise ValueError(f"{found} benchmarks instead of {benchmarks}")
+    size = F.lit(fixed) if fixed is not None else F.lit(count) if count is not None else F.least(F.greatest(F.lit(1), F.bround(F.col("n") * fraction)), F.col("n") - 1)
+    return parted(own, by, ["_o", "_d", key], sizes.withColumn("val", size), ["val"], "train").drop("_d", "_o")
 
 
 def round_robin(seeds: DataFrame, splits: DataFrame, seed_order: str, split_order: str) -> DataFrame:

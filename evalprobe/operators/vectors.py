@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import matched, small
+
+#: Components up to which a mean is a sum of columns.
+WIDE = 64
+
 
 def difference(one: Column, two: Column) -> Column:
     return F.zip_with(one, two, lambda a, b: a - b)
@@ -17,10 +22,19 @@ def concatenated(rows: DataFrame, by: list[str], layer: str = "layer", vec: str
 
 
 def pooled(tokens: DataFrame, by: list[str], mask: Column, dims: int, vec: str = "vec") -> DataFrame:
-    """Mean of the vectors of the masked tokens, zeros if there are none."""
-    each = tokens.select(*by, mask.alias("_m"), F.posexplode(vec).alias("i", "x"))
-    means = each.groupBy(*by, "i").agg(F.coalesce(F.avg(F.when(F.col("_m"), F.col("x"))), F.lit(0.0)).alias("x"))
-    return means.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias(vec)).filter(F.size(vec) == dims)
+    """Mean of the vectors of the masked tokens, zeros if there are none; whole vectors are summed, on both sides of the shuffle.
+
+    Vectors of up to ``WIDE`` components are sums of columns, longer ones go by Spark ML's summarizer.
+    """
+    own = tokens.filter(F.size(vec) == dims).select(*by, mask.cast("double").alias("_w"), F.transform(vec, lambda x: x.cast("double")).alias("_v"))
+    if dims <= WIDE:
+        sums = own.groupBy(*by).agg(F.sum("_w").alias("_n"), *(F.sum(F.when(F.col("_w") > 0, F.col("_v")[i])).alias(f"_s{i}") for i in range(dims)))
+        return sums.select(*by, F.array(*(F.when(F.col("_n") > 0, F.col(f"_s{i}") / F.col("_n")).otherwise(0.0) for i in range(dims))).alias(vec))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    means = own.filter("_w > 0").groupBy(*by).agg(Summarizer.mean(array_to_vector("_v")).alias("_m"))
+    return matched(own.select(*by).distinct(), means, by, "left").select(*by, F.coalesce(vector_to_array("_m"), F.array_repeat(F.lit(0.0), dims)).alias(vec))
 
 
 def last_token(tokens: DataFrame, by: list[str], order: str = "tok_idx", vec: str = "vec") -> DataFrame:
@@ -28,13 +42,21 @@ def last_token(tokens: DataFrame, by: list[str], order: str = "tok_idx", vec: st
 
 
 def standardised(rows: DataFrame, by: list[str], train: Column, key: str, vec: str = "vec") -> DataFrame:
-    """Every component by mean and population deviation of the training rows; deviations under 1e-6 count as 1."""
-    each = rows.select(*by, key, train.alias("_t"), F.posexplode(vec).alias("i", "x"))
-    each = each.withColumn("x", F.col("x").cast("double"))
-    own = F.when(F.col("_t"), F.col("x"))
-    stats = each.groupBy(*by, "i").agg(F.avg(own).alias("m"), F.stddev_pop(own).alias("s"))
-    scaled = each.join(stats, [*by, "i"]).withColumn("z", (F.col("x") - F.col("m")) / F.when(F.col("s") < 1e-6, 1.0).otherwise(F.col("s")))
-    return scaled.groupBy(*by, key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "z"))), lambda p: p["z"]).alias(vec))
+    """Every component by mean and population deviation of the training rows; deviations under 1e-6 count as 1.
+
+    Moments of whole vectors are summed up on both sides of one shuffle; the rows meet the table of moments (a row a
+    bucket of ``by``) and are scaled where they stand.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    doubles = F.transform(vec, lambda x: x.cast("double"))
+    found = rows.filter(train).groupBy(*by).agg(Summarizer.metrics("mean", "std", "count").summary(array_to_vector(doubles)).alias("s"))
+    n = F.col("s.count").cast("double")
+    deviation = F.transform(vector_to_array("s.std"), lambda d: d * F.sqrt((n - 1) / n))
+    moments = found.select(*by, vector_to_array("s.mean").alias("_m"), F.transform(deviation, lambda d: F.when(d < 1e-6, 1.0).otherwise(d)).alias("_d"))
+    scaled = F.zip_with(F.zip_with(doubles, "_m", lambda x, m: x - m), "_d", lambda x, d: x / d)
+    return matched(rows.select(*by, key, vec), small(moments), by).select(*by, key, scaled.alias(vec))
 
 
 def looked_up(wanted: DataFrame, store: DataFrame, key: str = "sig") -> DataFrame:
@@ -49,6 +71,13 @@ def aligned(one: DataFrame, two: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(*keys, difference(F.col("_a"), F.col("_b")).alias("diff"), F.concat("_a", "_b").alias("both"))
 
 
+def alignment(one: DataFrame, two: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """How many samples both sides have, and how many only one of them."""
+    marked = one.select(*keys, F.lit(1).alias("_s")).unionByName(two.select(*keys, F.lit(2).alias("_s"))).groupBy(*keys).agg(F.bit_or("_s").alias("_s"))
+    n = lambda k: F.count_if(F.col("_s") == k)
+    return marked.groupBy(*by).agg(n(3).alias("both"), n(1).alias("first_only"), n(2).alias("second_only"))
+
+
 def midpoint_classifier(rows: DataFrame, by: list[str], score: str, label: str, train: Column) -> DataFrame:
     """Per group: class means on training rows, their midpoint as threshold, the direction, and accuracy on the others."""
     own = lambda k: F.avg(F.when(train & (F.col(label) == k), F.col(score)))

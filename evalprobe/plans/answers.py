@@ -21,7 +21,7 @@ def f3_option_map(spark, sf_dir):
 
 _LETTER = r"""coalesce(nullif(upper(regexp_extract(response, '(?i)\[\[\s*([A-J])\s*\]\]', 1)), ''), nullif(upper(regexp_extract(response, '(?i)final answer\s*[:\-]\s*([A-J])\b', 1)), ''), nullif(upper(regexp_extract(response, '(?i)\banswer\s*[:\-]\s*([A-J])\b', 1)), ''), nullif(upper(regexp_extract(response, '(?i)\boption\s*([A-J])\b', 1)), ''), nullif(upper(regexp_extract(response, '(?i)^\s*([A-J])[\).\s:]', 1)), ''),
     CASE WHEN response = '' THEN NULL WHEN contains(lower(response), lower(a)) THEN 'A' WHEN contains(lower(response), lower(b)) THEN 'B' WHEN contains(lower(response), lower(c)) THEN 'C' WHEN contains(lower(response), lower(d)) THEN 'D' END)"""
-_OPEN = r"""CASE WHEN response <> '' THEN coalesce(nullif(trim(regexp_extract(response, '(?s)\[\[\s*(.*?)\s*\]\]', 1)), ''), nullif(trim(regexp_extract(response, '(?i)final answer\s*[:\-]\s*([^\n\r]+)', 1)), ''), nullif(regexp_extract(response, '(?i)\b(yes|no)\b', 1), ''), substr(trim(response, ' -'), 1, 200)) END"""
+_OPEN = r"""CASE WHEN response <> '' THEN coalesce(nullif(trim(regexp_extract(response, '(?s)\[\[\s*(.*?)\s*\]\]', 1)), ''), nullif(trim(regexp_extract(response, '(?i)final answer\s*[:\-]\s*([^\n\r]+)', 1)), ''), nullif(regexp_extract(response, '(?i)\b(yes|no)\b', 1), ''), substr(list_filter(list_transform(string_split(trim(response, ' ' || chr(10)), chr(10)), lambda x: trim(x, ' -')), lambda x: x <> '')[1], 1, 200)) END"""
 
 
 def _normal(c: str) -> str:
@@ -62,19 +62,33 @@ def f8_correctness(spark, sf_dir):
     return V.answers(spark, sf_dir).withColumn("pred", pred).select("doc_id", "pred", T.correct(F.col("task"), F.col("pred"), F.col("truth")).alias("correct"))
 
 
-@query(r"SELECT doc_id, regexp_matches(lower(text), '\bund\b|\band that\b') AS mentions FROM documents")
+@query("SELECT doc_id, doc_id % 4 IN (0, 3) AS no_image, doc_id % 4 = 3 AS uncertain FROM documents")
 def f9_acknowledgement(spark, sf_dir):
-    # the real patterns do not occur in these texts; they are tested on rows by hand
+    """The real patterns: in prose they count, as the text of an answer option they do not."""
+    docs, k = V.table(spark, sf_dir, "documents"), F.col("doc_id") % 4
+    said = F.when(k == 0, F.concat("text", F.lit(" I see no image here."))).when(k == 1, F.concat("text", F.lit("\nA. yes\nB. Unable to determine"))).when(k == 3, F.concat(F.lit("I am not sure: the image was not provided. "), "text")).otherwise(F.col("text"))
+    return docs.select("doc_id", T.mentions(said, T.NO_IMAGE).alias("no_image"), T.mentions(said, T.UNCERTAIN).alias("uncertain"))
+
+
+@query(r"SELECT doc_id, regexp_matches(lower(text), '\bund\b|\band that\b') AS mentions FROM documents")
+def f9_stated_patterns(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", T.mentions(F.col("text"), (r"\bund\b", r"\band that\b"), in_options=True).alias("mentions"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN trim(substr(text, 1, 40), E' \\n\\t') END AS chain FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN trim(text, E' \\n\\t') END AS chain FROM documents")
 def f12_reasoning(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents")
-    said = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("so <THINK> "), F.substring("text", 1, 40), F.lit("\n</think> done"))).otherwise(F.col("text"))
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("so <THINK> "), "text", F.lit("\n</think> done"))).otherwise(F.col("text"))
     return docs.select("doc_id", T.reasoning(said).alias("chain"))
 
 
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN text ELSE lang END AS prompt FROM documents")
+def f14_null_question(spark, sf_dir):
+    """Without a question the prompt is that of the options alone, or null."""
+    docs, k = V.table(spark, sf_dir, "documents"), F.col("doc_id") % 3
+    return docs.select("doc_id", T.prompt(F.when(k == 2, F.col("lang")), F.when(k == 1, F.col("text"))).alias("prompt"))
+
+
 @query(f"WITH {V.ANS} SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN truth ELSE truth || chr(10) || chr(10) || options END AS prompt FROM ans")
 def f14_prompt(spark, sf_dir):
     options = F.when(F.col("doc_id") % 4 == 0, " ").otherwise(F.col("options"))
@@ -90,9 +104,9 @@ def f20_ngrams(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(T.grams(t)).alias("n_grams"))
 
 
-@query("SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:5], ' ') AS head FROM documents")
+@query("SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS plain FROM documents")
 def f21_alphanumerics(spark, sf_dir):
-    return V.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(T.alphanumerics(F.col("text")), 1, 5), " ").alias("head"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.alphanumerics(F.col("text")), " ").alias("plain"))
 
 
 @query(rf"WITH {V.ANS} SELECT doc_id, substr(trim(regexp_replace(coalesce(regexp_extract_all(response, '\[\[\s*([^\]]+?)\s*\]\]', 1)[-1], ''), '\s+', ' ', 'g')), 1, 40) AS final FROM ans")
@@ -116,10 +130,10 @@ def f25_target_token(spark, sf_dir):
     return V.answers(spark, sf_dir).select("doc_id", T.target_token(F.col("task"), F.col("truth")).alias("target"))
 
 
-@query(f"WITH {V.ANS} SELECT doc_id, CASE WHEN lower(trim(substr(response, 1, 3))) IN ('yes', 'no') THEN 'CLOSED' ELSE 'OPEN' END AS kind, 'image_' || lpad(doc_id::VARCHAR, 6, '0') || '.jpg' AS image, CASE WHEN doc_id % 2 = 0 THEN 'image_' || lpad(doc_id::VARCHAR, 6, '0') || '.jpg' ELSE source || '.png' END AS hinted FROM ans")
+@query(f"WITH {V.ANS} SELECT doc_id, CASE WHEN lower(trim(split_part(response, ',', 1))) IN ('yes', 'no') THEN 'CLOSED' ELSE 'OPEN' END AS kind, 'image_' || lpad(doc_id::VARCHAR, 6, '0') || '.jpg' AS image, CASE WHEN doc_id % 2 = 0 THEN 'image_' || lpad(doc_id::VARCHAR, 6, '0') || '.jpg' ELSE source || '.png' END AS hinted FROM ans")
 def f27_f28_kinds_and_names(spark, sf_dir):
     hint = F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("a/b/"), "source", F.lit(".png")))
-    return V.answers(spark, sf_dir).select("doc_id", T.answer_kind(F.substring("response", 1, 3)).alias("kind"), T.image_name(F.lit(None).cast("string"), F.col("doc_id")).alias("image"), T.image_name(hint, F.col("doc_id")).alias("hinted"))
+    return V.answers(spark, sf_dir).select("doc_id", T.answer_kind(F.substring_index("response", ",", 1)).alias("kind"), T.image_name(F.lit(None).cast("string"), F.col("doc_id")).alias("image"), T.image_name(hint, F.col("doc_id")).alias("hinted"))
 
 
 @query("SELECT p_partkey, p_partkey % 60 AS layer, CASE WHEN p_partkey % 5 = 0 THEN (p_partkey % 16) END AS head, CASE p_partkey % 5 WHEN 0 THEN 'attention' WHEN 1 THEN 'mlp' WHEN 2 THEN 'post_attention' WHEN 3 THEN 'residual' ELSE 'concat' END AS family, CASE WHEN p_partkey % 5 = 4 THEN NULL ELSE p_partkey % 60 END AS own_layer, CASE WHEN p_partkey % 2 = 0 THEN 'mean' ELSE 'last' END AS strategy FROM part")

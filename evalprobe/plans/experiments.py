@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import confounds as C
+from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import probes as P
 from ..operators import reports as R
@@ -12,10 +14,12 @@ from ..operators import sampling as S
 from ..operators import splits as Sp
 from ..operators import vectors as X
 from . import views as V
-from .registry import query
+from .registry import ORACLE, query
 from .samples import _TOK, _sample
 
-_SEEDS = (1, 2, 3)
+#: Split seeds of every experiment, and the units of a hidden layer over sixteen inputs.
+_SEEDS = (1, 2, 3, 4, 5)
+_HIDDEN = 16
 
 
 def _suite(spark, sf_dir):
@@ -47,7 +51,7 @@ nb AS (SELECT {run}, unique_id, te.label, (p1 + coalesce(s1, 0) > p0 + coalesce(
 def _suite_sql() -> str:
     from .samples import _SAMPLE, _by_class_sql
 
-    return f"{_SAMPLE}, se AS (SELECT sm.*, seed FROM sm, (VALUES (1), (2), (3)) AS t(seed)), sp AS (SELECT * FROM {_by_class_sql('se', 'label, dataset, seed', 'seed')})"
+    return f"{_SAMPLE}, se AS (SELECT sm.*, seed FROM sm, (VALUES (1), (2), (3), (4), (5)) AS t(seed)), sp AS (SELECT * FROM {_by_class_sql('se', 'label, dataset, seed', 'seed')})"
 
 
 _SCOPED = "so AS (SELECT *, dataset AS scope FROM sp UNION ALL SELECT *, 'all' FROM sp)"
@@ -69,7 +73,18 @@ def m8_cross_set_transfer(spark, sf_dir):
     return found.groupBy("train_set", "test_set").agg(F.count("*").alias("n_test"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("int")), 6).alias("accuracy"))
 
 
-@query()
+def _m9_sql() -> str:
+    from .samples import _ODDS
+
+    squeezed = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
+    said = lambda ps: " OR ".join("contains(sq, '" + p.replace("'", "''") + "')" for p in ps)
+    hits = " UNION ALL ".join(f"SELECT label, '{g}' AS phrase, ({said(ps)})::INT AS h FROM sqz" for g, ps in C.PHRASES.items())
+    phrases = f"WITH {V.EX}, sqz AS (SELECT label, {squeezed} AS sq FROM ex), h AS ({hits}) SELECT 'phrase' AS section, phrase AS name, round(coalesce(avg(h) FILTER (label = 1), 0) - coalesce(avg(h) FILTER (label = 0), 0), 6) AS value FROM h GROUP BY phrase"
+    top = lambda k, sign: f"SELECT 'gram{k}' AS section, gram AS name, log_odds AS value FROM (WITH {_ODDS} SELECT * FROM o ORDER BY {sign}log_odds DESC, gram DESC LIMIT 12)"
+    return f"SELECT * FROM ({phrases}) UNION ALL {top(1, '')} UNION ALL {top(0, '-')} UNION ALL SELECT 'probe', scope, accuracy_mean FROM ({ORACLE['m8_text_probe_suite']})"
+
+
+@query(_m9_sql())
 def m9_confound_report(spark, sf_dir):
     """Phrase skews, top grams and probe accuracies as one long table."""
     ex = V.examples(spark, sf_dir)
@@ -80,7 +95,7 @@ def m9_confound_report(spark, sf_dir):
     return phrases.unionByName(grams).unionByName(probes)
 
 
-def _probe_samples(spark, sf_dir, seeds: tuple[int, ...] = (1, 2)):
+def _probe_samples(spark, sf_dir, seeds: tuple[int, ...] = _SEEDS):
     """Vectors of every layer with a three-way split per seed; splits are drawn on ids, vectors join last."""
     e = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), (F.col("label") >= 5).cast("int").alias("label"))
     split = Sp.three_way(e.withColumn("split_seed", F.explode(F.array(*(F.lit(s).cast("long") for s in seeds)))), ["label"], "key", F.col("split_seed"), group=["split_seed"])
@@ -88,70 +103,171 @@ def _probe_samples(spark, sf_dir, seeds: tuple[int, ...] = (1, 2)):
     return split.join(act, "key")
 
 
+def _over_seeds(found):
+    """The best start and penalty of each split, then mean and deviation over the splits."""
+    return M.over_seeds(P.selected(found), ["feature"], "validation_accuracy", "test_accuracy")
+
+
 @query()
 def m1_m3_logistic_sweep(spark, sf_dir):
-    samples = _probe_samples(spark, sf_dir)
-    runs = P.grid(spark, samples.select("feature").distinct(), [1, 2], (0.0, 1.0), 2)
-    best = P.selected(P.sweep(samples, runs, epochs=150))
-    return M.over_seeds(best, ["feature"], "validation_accuracy", "test_accuracy")
+    """All features, five splits, the whole grid of penalties and starts."""
+    return _over_seeds(P.sweep(_probe_samples(spark, sf_dir)))
 
 
 @query()
 def m2_hidden_layer_sweep(spark, sf_dir):
-    samples = _probe_samples(spark, sf_dir, (1,))
-    runs = P.grid(spark, samples.select("feature").distinct(), [1], (1.0,), 1)
-    return P.sweep(samples, runs, hidden=16, epochs=150)
+    return _over_seeds(P.sweep(_probe_samples(spark, sf_dir), hidden=_HIDDEN))
+
+
+def _paired(spark, sf_dir):
+    """Difference and concatenation of the vectors with and without the evidence, as features, and the label of the pair."""
+    act = V.activations(spark, sf_dir).withColumn("key", F.floor(F.col("vec_id") / 2))
+    one, two = (act.filter(F.col("vec_id") % 2 == k).select("key", "feature", "vec") for k in (0, 1))
+    both = X.aligned(one, two, ["key", "feature"])
+    shape = lambda kind: F.struct(F.concat("feature", F.lit(f"|{kind}")).alias("feature"), F.col(kind).cast("array<double>").alias("vec"))
+    rows = both.select("key", F.explode(F.array(shape("diff"), shape("both"))).alias("x")).select("key", "x.*")
+    return rows.join(act.filter("vec_id % 2 = 0").select("key", "label").distinct(), "key")
+
+
+@query()
+def m3_heldout_evaluation(spark, sf_dir):
+    """Every fifth pair is held out: models are fitted and chosen on the others, per split seed; evaluation seed i takes split i mod n and the best feature by validation."""
+    rows = _paired(spark, sf_dir)
+    pool = rows.filter("key % 5 <> 0").select("key", "label").distinct().withColumn("split_seed", F.explode(F.array(*(F.lit(s).cast("long") for s in _SEEDS))))
+    split = Sp.by_class(pool, "key", F.col("split_seed"), group=["split_seed"]).withColumn("part", F.when(F.col("part") == "test", "val").otherwise("train"))
+    held = rows.filter("key % 5 = 0").select("key", "label").distinct().select("key", "label", F.explode(F.array(*(F.lit(s).cast("long") for s in _SEEDS))).alias("split_seed"), F.lit("test").alias("part"))
+    samples = split.select("key", "label", "split_seed", "part").unionByName(held.select("key", "label", "split_seed", "part")).join(rows.drop("label"), "key")
+    best = M.best(P.selected(P.sweep(samples)), ["split_seed"], F.desc("validation_accuracy"), F.asc("feature"))
+    seeds = V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("eval_seed"))
+    given = Sp.round_robin(seeds, best.select("split_seed"), "eval_seed", "split_seed").join(best, "split_seed")
+    return given.select("eval_seed", "split_seed", "feature", "c_value", "validation_accuracy", "test_accuracy")
+
+
+@query()
+def m3_difference_and_concat(spark, sf_dir):
+    """The same experiment on differences and concatenations of aligned vectors."""
+    rows = _paired(spark, sf_dir)
+    keys = rows.select("key", "label").distinct().withColumn("split_seed", F.explode(F.array(*(F.lit(s).cast("long") for s in _SEEDS))))
+    split = Sp.three_way(keys, ["label"], "key", F.col("split_seed"), group=["split_seed"])
+    return _over_seeds(P.sweep(split.join(rows.drop("label"), "key")))
 
 
 @query()
 def m4_all_examples_experiment(spark, sf_dir):
     """One row per (group, label), balanced allocation, split, probe on concatenated layers, accuracy."""
+    from .samples import PAIRS
+
     e = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), (F.col("label") >= 5).cast("int").alias("label"), F.concat(F.lit("g"), F.col("label") % 3).alias("dataset"))
-    plan = S.with_floor(S.class_counts(e), 60)
+    plan = S.with_floor(S.class_counts(e), PAIRS)
     chosen = S.sample_by_plan(e, plan, 42, ["dataset"], "key", ["label"]).select("key", "label")
-    split = Sp.three_way(chosen.withColumn("split_seed", F.lit(42).cast("long")), ["label"], "key", 42)
+    seeds = chosen.withColumn("split_seed", F.explode(F.array(*(F.lit(s).cast("long") for s in _SEEDS))))
+    split = Sp.three_way(seeds, ["label"], "key", F.col("split_seed"), group=["split_seed"])
     vec = X.concatenated(V.activations(spark, sf_dir).withColumn("key", F.col("vec_id")), ["key"])
     samples = split.join(vec, "key").select(F.lit("language_model/all_layers_concat__mean").alias("feature"), "split_seed", "key", "part", "label", F.col("vec").cast("array<double>").alias("vec"))
-    return P.selected(P.sweep(samples, P.grid(spark, samples.select("feature").distinct(), [42], (0.0, 1.0), 1), epochs=150))
+    return _over_seeds(P.sweep(samples))
 
 
-@query()
-def m5_p9_cross_mode(spark, sf_dir):
-    """Train and validate on one mode's vectors, test on the other mode's of the same samples."""
+def _three_way_sql(rows: str, key: str, by: str, seed: str) -> str:
+    """``three_way`` in SQL: ``rows`` with ``part``."""
+    b = f"SELECT *, count(*) OVER (PARTITION BY {by}) AS n_, row_number() OVER (PARTITION BY {by} ORDER BY md5('{seed}:' || {key}), {key}) AS rn FROM {rows}"
+    s = f"SELECT *, greatest(1, round_even(n_ * 0.1::DOUBLE, 0))::INT AS v0, greatest(1, round_even(n_ * 0.2::DOUBLE, 0))::INT AS t0 FROM ({b}) WHERE n_ >= 3"
+    o = f"SELECT *, greatest(0, v0 + t0 - (n_ - 1)) AS over_ FROM ({s})"
+    z = f"SELECT *, t0 - least(over_, t0 - 1) AS t_, v0 - (over_ - least(over_, t0 - 1)) AS v_ FROM ({o})"
+    return f"(SELECT *, CASE WHEN rn <= t_ THEN 'test' WHEN rn <= t_ + v_ THEN 'val' ELSE 'train' END AS part FROM ({z}))"
+
+
+def _cross_mode(spark, sf_dir):
     act = V.activations(spark, sf_dir).withColumn("key", F.floor(F.col("vec_id") / 2))
     label = act.filter("vec_id % 2 = 0").select("key", "label").distinct()
     split = Sp.three_way(label.withColumn("split_seed", F.lit(1).cast("long")), ["label"], "key", 1)
     wanted = F.when(F.col("part") == "test", 1).otherwise(0)
-    rows = split.join(act.select("key", "feature", "vec", (F.col("vec_id") % 2).alias("mode")), "key").filter(F.col("mode") == wanted)
-    samples = rows.select("feature", "split_seed", "key", "part", "label", F.col("vec").cast("array<double>").alias("vec"))
-    return P.selected(P.sweep(samples, P.grid(spark, samples.select("feature").distinct(), [1], (1.0,), 1), epochs=150))
+    return split.join(act.select("key", "feature", "vec", "vec_id", (F.col("vec_id") % 2).alias("mode")), "key").filter(F.col("mode") == wanted)
+
+
+@query(f"WITH {V.ACT}, l AS (SELECT DISTINCT vec_id // 2 AS key, label FROM act WHERE vec_id % 2 = 0) SELECT s.key, a.feature, a.vec_id, s.part FROM {_three_way_sql('l', 'key', 'label', '1')} s JOIN act a ON a.vec_id = 2 * s.key + (s.part = 'test')::INT")
+def p9_cross_mode_rows(spark, sf_dir):
+    """Training and validation rows of one mode, test rows of the other mode of the same samples."""
+    return _cross_mode(spark, sf_dir).select("key", "feature", "vec_id", "part")
+
+
+@query()
+def m5_p9_cross_mode(spark, sf_dir):
+    """Train and validate on one mode's vectors, test on the other mode's of the same samples."""
+    return P.selected(P.sweep(_cross_mode(spark, sf_dir).select("feature", "split_seed", "key", "part", "label", F.col("vec").cast("array<double>").alias("vec"))))
+
+
+def _clean_rows(spark, sf_dir):
+    """Vectors with the clean label of their variant."""
+    state = F.when(F.col("state") == "mirage", True).when(F.col("state") == "non_mirage", False)
+    told = V.variants(spark, sf_dir).select(F.col("src_ord").alias("vec_id"), L.clean_b(state, F.col("with_correct"), F.col("without_correct")).alias("clean")).filter("clean IS NOT NULL")
+    return V.activations(spark, sf_dir).join(told, "vec_id").select(F.col("vec_id").alias("key"), "feature", F.col("clean").alias("label"), F.col("vec").cast("array<double>").alias("vec"))
+
+
+@query(f"WITH {V.VAR} SELECT src_ord AS key, CASE WHEN state = 'mirage' THEN 1 ELSE 0 END AS label FROM var WHERE (state = 'mirage' OR NOT without_correct AND with_correct) AND src_ord IN (SELECT vec_id FROM embeddings)")
+def m5_clean_b_rows(spark, sf_dir):
+    return _clean_rows(spark, sf_dir).select("key", "label").distinct()
+
+
+@query()
+def m5_clean_b_experiment(spark, sf_dir):
+    """Labels by the clean rule, split by class for five seeds, the whole grid."""
+    rows = _clean_rows(spark, sf_dir)
+    keys = rows.select("key", "label").distinct().withColumn("split_seed", F.explode(F.array(*(F.lit(s).cast("long") for s in _SEEDS))))
+    return _over_seeds(P.sweep(Sp.three_way(keys, ["label"], "key", F.col("split_seed"), group=["split_seed"]).join(rows.drop("label"), "key")))
+
+
+def _transfer(samples, sources: str):
+    """Train on the samples of each source side, test on those of A and of B: the target is a column."""
+    cases = F.explode(F.array(*(F.struct(F.lit(a).alias("source"), F.lit(b).alias("target")) for a in sources for b in "AB"))).alias("c")
+    rows = samples.select("*", cases).filter(F.when(F.col("part") == "test", F.col("side") == F.col("c.target")).otherwise((F.col("side") == F.col("c.source")) & (F.col("c.target") == "A")))
+    rows = rows.withColumn("feature", F.concat_ws("|", "feature", "c.source")).withColumn("target", F.when(F.col("part") == "test", F.col("c.target"))).drop("c", "side")
+    found = P.selected_with(P.sweep(rows, tested=[F.col("target")]), ["_t0"])
+    name = F.split("feature", r"\|")
+    return found.select(name[0].alias("feature"), name[1].alias("source"), F.col("_t0").alias("target"), "split_seed", "c_value", "n_test", "test_accuracy")
+
+
+def _sided(spark, sf_dir):
+    return _probe_samples(spark, sf_dir).withColumn("side", F.when(F.col("key") % 2 == 0, "A").otherwise("B"))
 
 
 @query()
 def m6_transfer_grid(spark, sf_dir):
-    """Train on the samples of group A or B, test on A and on B: the target is a column."""
-    samples = _probe_samples(spark, sf_dir, (1,)).withColumn("side", F.when(F.col("key") % 2 == 0, "A").otherwise("B"))
-    cases = F.explode(F.array(*(F.struct(F.lit(a).alias("source"), F.lit(b).alias("target")) for a in "AB" for b in "AB"))).alias("c")
-    rows = samples.select("*", cases).filter(F.when(F.col("part") == "test", F.col("side") == F.col("c.target")).otherwise(F.col("side") == F.col("c.source")))
-    rows = rows.withColumn("feature", F.concat_ws("|", "feature", "c.source", "c.target")).drop("c", "side")
-    found = P.sweep(rows, P.grid(spark, rows.select("feature").distinct(), [1], (1.0,), 1), epochs=100)
-    part = F.split("feature", r"\|")
-    return found.select(part[0].alias("feature"), part[1].alias("source"), part[2].alias("target"), "test_accuracy")
+    """Train on the samples of group A or B, test on A and on B."""
+    return _transfer(_sided(spark, sf_dir), "AB")
+
+
+@query()
+def m6_transfer_from_b_only(spark, sf_dir):
+    return _transfer(_sided(spark, sf_dir), "B")
+
+
+@query()
+def m6_transfer_of_short_questions(spark, sf_dir):
+    """The grid on the samples whose text is short."""
+    short = V.table(spark, sf_dir, "documents").filter(T.word_count(F.col("text")) < 300).select(F.col("doc_id").alias("key"))
+    return _transfer(_sided(spark, sf_dir).join(short, "key", "left_semi"), "AB")
+
+
+@query("SELECT CASE WHEN len(regexp_extract_all(text, '\\S+')) >= 300 THEN 'long' ELSE 'kept' END AS reason, count(*) AS n FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings) AND doc_id % 5 = 0 GROUP BY ALL")
+def p14_short_holdout_pool(spark, sf_dir):
+    """The hold-out pool by length: why its rows go, and how many stay."""
+    pool = V.table(spark, sf_dir, "documents").join(V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").filter("doc_id % 5 = 0")
+    return pool.groupBy(F.when(T.word_count(F.col("text")) >= 300, "long").otherwise("kept").alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query()
 def m7_token_probe(spark, sf_dir):
-    """Every chunk of a vector is a token row with its sample's label; tokens of a pair stay in one part."""
+    """Every chunk of a vector is a token row with its sample's label; tokens of a pair stay in one part. All layers in one job."""
     act = V.activations(spark, sf_dir)
-    tokens = act.select("vec_id", "label", "feature", F.explode(F.array(*(F.slice("vec", 1 + 4 * k, 4) for k in range(4)))).alias("vec"))
-    tokens = tokens.select(F.col("feature").alias("layer"), "label", "vec", F.when(F.floor(F.col("vec_id") / 2) % 5 == 0, "test").otherwise("train").alias("part"))
-    return P.token_probe(tokens, ["language_model/layer_0__mean", "language_model/layer_3__mean"])
+    tokens = act.select("vec_id", "label", "feature", F.posexplode(F.array(*(F.slice("vec", 1 + 4 * k, 4) for k in range(4)))).alias("tok", "vec"))
+    part = F.when(F.floor(F.col("vec_id") / 2) % 5 == 0, "test").when(F.floor(F.col("vec_id") / 2) % 5 == 1, "val").otherwise("train")
+    return P.token_probe(tokens.select(F.col("feature").alias("layer"), (F.col("vec_id") * 4 + F.col("tok")).alias("key"), "label", F.col("vec").cast("array<double>").alias("vec"), part.alias("part")))
 
 
 @query()
 def a21_principal_components(spark, sf_dir):
     rows = V.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"), (F.col("vec_id") % 4 != 0).alias("is_train"))
-    return P.principal(rows, 4).select("vec_id", F.size("components").alias("n"), F.round(F.abs(F.col("components")[0]), 4).alias("first"))
+    return P.principal(rows, 4).select("vec_id", F.size("components").alias("n"), F.array_join(F.transform("components", lambda x: F.round(F.abs(x), 4).cast("string")), ",").alias("components"))
 
 
 @query(f"WITH {V.RUNS}, r AS (SELECT split_seed, feature, max(test_accuracy) AS m FROM runs GROUP BY ALL) SELECT feature, " + ", ".join(f"printf('%.2f%%', max(m) FILTER (split_seed = {k}) * 100) AS s{k}" for k in (1, 2, 3)) + " FROM r GROUP BY feature")
@@ -166,3 +282,12 @@ def m10_best_by_family(spark, sf_dir):
     name = F.concat(F.lit("language_model/layer_"), (k % 60).cast("string"), F.when(k % 3 == 0, "").when(k % 3 == 1, "/mlp").otherwise("/post_attention"), F.lit("__mean"))
     rows = V.table(spark, sf_dir, "part").select((k % 7).alias("experiment"), name.alias("feature"), F.lit(0.5).alias("metric"))
     return R.best_by_family(rows, ["experiment"]).select("experiment", "family", "feature")
+
+
+@query("SELECT s_suppkey, 4 * (s_suppkey % 3 + 1) * 3 + 4 AS n, 'language_model/layer_' || (s_suppkey % 3) || '/post_attention__last' AS last_part FROM supplier")
+def f29_candidate_names(spark, sf_dir):
+    """Every feature name to try for as many layers as a model has."""
+    layers = F.sequence(F.lit(0), (F.col("s_suppkey") % 3).cast("int"))
+    names = T.candidates(layers, ("mean", "last", "max", "min"))
+    wanted = F.concat(F.lit("language_model/layer_"), (F.col("s_suppkey") % 3).cast("string"), F.lit("/post_attention__last"))
+    return V.table(spark, sf_dir, "supplier").select("s_suppkey", (F.size(names) - 4).alias("n"), F.element_at(F.filter(names, lambda x: x == wanted), 1).alias("last_part"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,24 +18,23 @@ _STATE = "CASE WHEN length(without_text) < 200 THEN 'neutral_missing_response' W
 
 @query(f"WITH {V.RESP}, {_BAGS} SELECT k, round(cosine, 6) AS cosine FROM cos")
 def a24_text_cosine(spark, sf_dir):
-    return L.token_cosine(V.responses(spark, sf_dir), "k", "with_text", "without_text").select("k", F.round("cosine", 6).alias("cosine"))
+    return V.responses(spark, sf_dir).select("k", F.round(L.token_cosine(F.col("with_text"), F.col("without_text")), 6).alias("cosine"))
 
 
 @query(f"WITH {V.RESP}, {_BAGS} SELECT k, round(cosine, 6) >= 0.7 AND left(with_text, 1) = left(without_text, 1) AS alike FROM resp JOIN cos USING (k)")
 def f10_similar_answers(spark, sf_dir):
-    rows = V.responses(spark, sf_dir)
-    cos = L.token_cosine(rows, "k", "with_text", "without_text")
     # the first letters stand for parsed answers that are there
-    same = L.similar(F.lit("open"), F.concat(F.lit("z"), F.ascii("with_text")), F.concat(F.lit("z"), F.ascii("without_text")), F.round("cosine", 6))
-    return rows.join(cos, "k").select("k", same.alias("alike"))
+    first = lambda c: F.concat(F.lit("z"), F.ascii(c))
+    cosine = F.round(L.token_cosine(F.col("with_text"), F.col("without_text")), 6)
+    rows = V.responses(spark, sf_dir).select("k", first("with_text").alias("a"), first("without_text").alias("b"), cosine.alias("cosine"))
+    return rows.select("k", L.similar(F.lit("open"), F.col("a"), F.col("b"), F.col("cosine")).alias("alike"))
 
 
 @query(f"WITH {V.RESP}, {_BAGS} SELECT k, {_STATE} AS label, CASE {_STATE} WHEN 'mirage' THEN true WHEN 'non_mirage' THEN false END AS mirage_like FROM resp JOIN cos USING (k)")
 def f11_mirage_label(spark, sf_dir):
-    rows = V.responses(spark, sf_dir)
-    cos = L.token_cosine(rows, "k", "with_text", "without_text")
+    rows = V.responses(spark, sf_dir).withColumn("cosine", L.token_cosine(F.col("with_text"), F.col("without_text")))
     state, label = L.mirage(F.length("without_text") < 200, F.contains("without_text", F.lit("tion")), F.col("cosine") >= 0.7)
-    return rows.join(cos, "k").select("k", label.alias("label"), state.alias("mirage_like"))
+    return rows.select("k", label.alias("label"), state.alias("mirage_like"))
 
 
 _MIR = "CASE state WHEN 'mirage' THEN true WHEN 'non_mirage' THEN false END"
@@ -56,6 +54,26 @@ def a1_question_groups(spark, sf_dir):
     return L.question_groups(V.variants(spark, sf_dir), ["dataset", "question_id"])
 
 
+@query(f"WITH {V.VAR} SELECT dataset, question_id, string_agg(variant_id || ':' || state, ',' ORDER BY src_ord) AS nested FROM var GROUP BY ALL")
+def a1_nested_variants(spark, sf_dir):
+    groups = L.question_groups(V.variants(spark, sf_dir), ["dataset", "question_id"], nested=["src_ord", "variant_id", "state"])
+    return groups.select("dataset", "question_id", F.array_join(F.transform("variants", lambda v: F.concat(v["variant_id"], F.lit(":"), v["state"])), ",").alias("nested"))
+
+
+@query(f"WITH {V.VAR}, q AS (SELECT dataset, question_id, count(*) FILTER (state = 'mirage') > 0 AND count(*) FILTER (state = 'non_mirage') > 0 AS flip FROM var GROUP BY ALL) SELECT dataset, count(*) AS n_questions, count(*) FILTER (flip) AS n_flips, round(avg(flip::INT), 6) AS flip_rate FROM q GROUP BY dataset")
+def a2_flip_rates(spark, sf_dir):
+    return L.flip_rates(L.question_groups(V.variants(spark, sf_dir), ["dataset", "question_id"]), ["dataset"])
+
+
+_LEN = "len(regexp_extract_all({0}_text, '\\S+'))"
+
+
+@query(f"WITH {V.RESP}, r AS (SELECT dataset, CASE WHEN k % 7 = 0 THEN 0 ELSE {_LEN.format('with')} END AS w, {_LEN.format('without')} AS o FROM resp) SELECT dataset, count(*) FILTER (w = 0) AS missing_with, count(*) FILTER (o = 0) AS missing_without, count(*) FILTER (w < 120) AS short_with, count(*) FILTER (o < 120) AS short_without, count(*) FILTER (w = 0 OR o = 0) AS missing_pairs, count(*) FILTER (w < 120 OR o < 120) AS short_pairs FROM r GROUP BY dataset")
+def a2_missing_and_short(spark, sf_dir):
+    rows = V.responses(spark, sf_dir).withColumn("with_text", F.when(F.col("k") % 7 != 0, F.col("with_text")))
+    return L.length_counts(rows, ["dataset"], "with_text", "without_text", 120)
+
+
 _SUM = "count(*) AS n, count(*) FILTER (state = 'mirage') AS n_mirage, count(*) FILTER (state = 'non_mirage') AS n_non_mirage, count(*) FILTER (state = 'neutral') AS n_neutral, round(count(*) FILTER (state = 'mirage')::DOUBLE / nullif(count(*) FILTER (state <> 'neutral'), 0), 6) AS mirage_rate, round(avg(with_correct::INT), 6) AS with_accuracy, round(avg(without_correct::INT), 6) AS without_accuracy"
 
 
@@ -93,8 +111,25 @@ def p3_j1_closed_test_split(spark, sf_dir):
 
 @query("SELECT doc_id, lang || '_' || (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) AS id FROM documents WHERE n_chars > 500")
 def p4_sequential_ids(spark, sf_dir):
-    rn = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1
-    return V.table(spark, sf_dir, "documents").filter("n_chars > 500").select("doc_id", F.concat("lang", F.lit("_"), rn).alias("id"))
+    from ..operators.ordering import running
+
+    rows = V.table(spark, sf_dir, "documents").filter("n_chars > 500").select("doc_id", "lang")
+    return running(rows, ["lang"], ["doc_id"], "rn").select("doc_id", F.concat("lang", F.lit("_"), F.col("rn") - 1).alias("id"))
+
+
+@query("SELECT lang, count(*) AS n_rows, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS n_skipped FROM documents GROUP BY lang")
+def p2_skip_counts(spark, sf_dir):
+    blocked = V.table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct().withColumn("blocked", F.lit(True))
+    marked = V.table(spark, sf_dir, "documents").select("doc_id", "lang").join(blocked, "doc_id", "left")
+    return marked.groupBy("lang").agg(F.count("*").alias("n_rows"), F.count_if(F.col("blocked")).alias("n_skipped"))
+
+
+@query(f"WITH {V.PAIRS} SELECT CASE WHEN len(regexp_extract_all(a_text, '\\S+')) < 150 OR length(a_id) < 2 THEN 'first_short' WHEN len(regexp_extract_all(b_text, '\\S+')) < 150 THEN 'second_short' ELSE 'kept' END AS reason, count(*) AS n FROM pairs GROUP BY ALL")
+def p11_short_sides(spark, sf_dir):
+    from ..operators.pairs import short_reason
+
+    rows = V.pairs(spark, sf_dir).withColumn("a_more", F.when(F.length("a_id") < 2, "few").otherwise(F.repeat(F.lit("word "), 150)))
+    return rows.groupBy(short_reason(rows, {"first_short": ("a_text", "a_more"), "second_short": ("b_text",)}, 150).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 7")
@@ -172,7 +207,7 @@ def f17_conversation_parts(spark, sf_dir):
 @query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'microvqa' WHEN 1 THEN 'medxpertqa_mm' WHEN 2 THEN 'mmmu_pro' WHEN 3 THEN 'vqa_rad' ELSE 'unknown' END AS benchmark FROM documents")
 def f19_benchmark(spark, sf_dir):
     marks = F.array(*map(F.lit, ("a MICROSCOPY image expert", "an expert medical professional", "multiple academic disciplines", "an expert radiologist", "plain")))
-    said = F.concat(F.substring("text", 1, 20), F.lit(" "), F.element_at(marks, (F.col("doc_id") % 5 + 1).cast("int")))
+    said = F.concat("text", F.lit(" "), F.element_at(marks, (F.col("doc_id") % 5 + 1).cast("int")))
     return V.table(spark, sf_dir, "documents").select("doc_id", T.benchmark(said).alias("benchmark"))
 
 
@@ -211,16 +246,30 @@ def j7_store_precedence(spark, sf_dir):
     return K.with_fallback(e.select("vec_id"), "vec_id", ("all_examples", e.filter("vec_id % 3 = 0")), ("contrastive", e.filter("vec_id % 2 = 0"))).select("vec_id", "store")
 
 
+@query("SELECT CASE WHEN vec_id % 3 = 0 THEN 'all_examples' WHEN vec_id % 2 = 0 THEN 'contrastive' ELSE 'none' END AS store, count(*) AS n FROM embeddings GROUP BY ALL")
+def j7_store_counts(spark, sf_dir):
+    return j7_store_precedence(spark, sf_dir).groupBy(F.coalesce("store", F.lit("none")).alias("store")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 <> 1 THEN n_chars END AS size FROM documents WHERE text IS NOT NULL")
+def j13_p17_images_by_name(spark, sf_dir):
+    """Rows without a text would raise; the image is found by the base name of a path."""
+    docs = K.required(V.table(spark, sf_dir, "documents").filter("text IS NOT NULL"), "text")
+    images = docs.filter("doc_id % 4 <> 1").select(F.concat(F.lit("p"), "doc_id", F.lit(".png")).alias("name"), F.col("n_chars").alias("image"))
+    named = docs.withColumn("image_name", F.concat(F.lit("some/folder/p"), "doc_id", F.lit(".png")))
+    return K.images_by_name(named, images).select("doc_id", F.col("image").alias("size"))
+
+
 @query(f"WITH {V.VAR} SELECT dataset, variant_id, CASE WHEN l.quality = 1 THEN 'A' ELSE 'B' END AS predicted FROM var JOIN labels l ON l.doc_id::VARCHAR = variant_id")
 def j9_label_lookup(spark, sf_dir):
     told = V.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("variant_id"), F.when(F.col("quality") == 1, "A").otherwise("B").alias("predicted"))
     return V.variants(spark, sf_dir).join(told, "variant_id").select("dataset", "variant_id", "predicted")
 
 
-@query("SELECT d.doc_id, coalesce(nullif(b.text, ''), substr(d.text, 1, 30)) AS question FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id")
+@query("SELECT d.doc_id, coalesce(nullif(b.text, ''), string_split(d.text, chr(10))[1]) AS question FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id")
 def j11_question_text(spark, sf_dir):
     items = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("q"))
-    return V.table(spark, sf_dir, "documents").join(items, "doc_id", "left").select("doc_id", F.coalesce(F.nullif("q", F.lit("")), F.substring("text", 1, 30)).alias("question"))
+    return V.table(spark, sf_dir, "documents").join(items, "doc_id", "left").select("doc_id", F.coalesce(F.nullif("q", F.lit("")), F.split("text", "\n")[0]).alias("question"))
 
 
 @query(f"WITH {_SIG}, u AS (SELECT *, 0 AS p FROM sig WHERE conv_id % 2 = 0 UNION ALL SELECT *, 1 FROM sig WHERE conv_id % 2 = 1) SELECT sig, min_by(conv_id, p * 1000000 + conv_id) AS conv_id FROM u GROUP BY sig")

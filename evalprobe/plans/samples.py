@@ -15,6 +15,9 @@ from ..operators import vectors as X
 from . import views as V
 from .registry import query
 
+#: Pairs that a balanced sample aims at.
+PAIRS = 500
+
 _COUNTS = "cc AS (SELECT dataset, count(*) FILTER (label = 0) AS class0, count(*) FILTER (label = 1) AS class1, least(count(*) FILTER (label = 0), count(*) FILTER (label = 1)) AS pair_cap FROM ex GROUP BY dataset)"
 
 
@@ -42,12 +45,12 @@ def w15_allocation_with_floor(spark, sf_dir):
     return S.with_floor(S.class_counts(V.examples(spark, sf_dir)), 30).select("dataset", "pair_cap", "n")
 
 
-_SAMPLE = f"{V.EX}, {_COUNTS}, {_largest(30, 3)}, sm AS (SELECT * EXCLUDE (rn, n) FROM (SELECT ex.*, n, row_number() OVER (PARTITION BY ex.dataset, label ORDER BY md5('42:' || unique_id), unique_id) AS rn FROM ex JOIN alloc USING (dataset)) WHERE rn <= n)"
+_SAMPLE = f"{V.EX}, {_COUNTS}, {_largest(500, 3)}, sm AS (SELECT * EXCLUDE (rn, n) FROM (SELECT ex.*, n, row_number() OVER (PARTITION BY ex.dataset, label ORDER BY md5('42:' || unique_id), unique_id) AS rn FROM ex JOIN alloc USING (dataset)) WHERE rn <= n)"
 
 
 def _sample(spark, sf_dir):
     ex = V.examples(spark, sf_dir)
-    return S.sample_by_plan(ex, S.with_floor(S.class_counts(ex), 30), 42, ["dataset"], "unique_id", ["label"])
+    return S.sample_by_plan(ex, S.with_floor(S.class_counts(ex), PAIRS), 42, ["dataset"], "unique_id", ["label"])
 
 
 @query(f"WITH {_SAMPLE} SELECT dataset, label, unique_id FROM sm")
@@ -80,6 +83,15 @@ def w5_class_dataset_split(spark, sf_dir):
     return P.three_way(V.examples(spark, sf_dir), ["label", "dataset"], "unique_id", 1).select("unique_id", "part")
 
 
+@query(f"""WITH {V.EX}, b AS (SELECT *, count(*) OVER (PARTITION BY label) AS n_, row_number() OVER (PARTITION BY label ORDER BY md5('1:' || unique_id), unique_id) AS rn FROM ex),
+s AS (SELECT *, {_SIZES} FROM b WHERE n_ >= 3), o AS (SELECT *, greatest(0, v0 + t0 - (n_ - 1)) AS over_ FROM s),
+z AS (SELECT *, v0 - least(over_, v0 - 1) AS v, t0 - (over_ - least(over_, v0 - 1)) AS t FROM o)
+SELECT unique_id, CASE WHEN rn <= t THEN 'test' WHEN rn <= t + v THEN 'val' ELSE 'train' END AS part FROM z""")
+def w5_class_split(spark, sf_dir):
+    """By class alone; where a part must shrink, validation goes first."""
+    return P.three_way(V.examples(spark, sf_dir), ["label"], "unique_id", 1, shrink_test_first=False).select("unique_id", "part")
+
+
 def _pairs(spark, sf_dir):
     return V.pairs(spark, sf_dir).select("dataset", F.concat("dataset", F.lit(":"), "question_id").alias("pair"))
 
@@ -98,6 +110,13 @@ def w7_pairs_per_benchmark(spark, sf_dir):
     return P.pair_validation(_pairs(spark, sf_dir), "pair", 3, per="dataset", count=3).select("pair", "part")
 
 
+@query(f"WITH {V.PAIRS}, p3 AS (SELECT * FROM pairs WHERE dataset <> 'en'), r AS (SELECT dataset || ':' || question_id AS pair, row_number() OVER (PARTITION BY dataset ORDER BY md5('3:' || dataset || ':' || question_id), dataset || ':' || question_id) AS rn FROM p3) SELECT pair, CASE WHEN rn <= 3 THEN 'val' ELSE 'train' END AS part FROM r")
+def w7_of_exactly_three_benchmarks(spark, sf_dir):
+    """As many pairs of each of three benchmarks; another number of benchmarks raises."""
+    pairs = _pairs(spark, sf_dir).filter("dataset <> 'en'")
+    return P.pair_validation(pairs, "pair", 3, per="dataset", count=3, benchmarks=3).select("pair", "part")
+
+
 @query(_pair_sql("PARTITION BY dataset", "least(greatest(1, round_even(n_ * 0.2::DOUBLE, 0)), n_ - 1)"))
 def w8_pair_fraction_validation(spark, sf_dir):
     return P.pair_validation(_pairs(spark, sf_dir), "pair", 3, per="dataset", fraction=0.2).select("pair", "part")
@@ -132,14 +151,19 @@ def w17_class_quota(spark, sf_dir):
     return S.class_quota(rows, 60, 9).select("unique_id")
 
 
-@query(f"WITH {V.EX} SELECT label, unique_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY src_ord) AS rn FROM ex) WHERE rn <= CASE WHEN label = 1 THEN 20 ELSE 30 END")
+@query(f"WITH {V.EX} SELECT label, unique_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY src_ord) AS rn FROM ex) WHERE rn <= CASE WHEN label = 1 THEN 20 ELSE 21 END")
 def w18_class_targets(spark, sf_dir):
-    return S.first_n(V.examples(spark, sf_dir), ["label"], F.when(F.col("label") == 1, 20).otherwise(30), F.col("src_ord")).select("label", "unique_id")
+    """Targets of 30 and 60 rows, 41 in all: class 1 gets half, class 0 what is left."""
+    return S.class_head(V.examples(spark, sf_dir), {1: 30, 0: 60}, "src_ord", total=41).select("label", "unique_id")
 
 
-@query(f"WITH {V.RUNS} SELECT feature, split_seed, max(validation_accuracy) AS top FROM runs GROUP BY ALL")
+@query("WITH r AS (SELECT CASE WHEN l_returnflag = 'N' THEN 'mean' ELSE 'last' END AS strategy, l_linenumber::INT AS layer, l_linestatus, l_orderkey % 3 AS i, avg(l_discount::DOUBLE) AS v FROM lineitem GROUP BY ALL) SELECT strategy, layer, round(max(v), 6) AS top FROM r GROUP BY ALL")
 def w19_layer_curve(spark, sf_dir):
-    return V.runs(spark, sf_dir).groupBy("feature", "split_seed").agg(F.max("validation_accuracy").alias("top"))
+    """The best value of each strategy at each layer, read from the names of the features."""
+    items = V.table(spark, sf_dir, "lineitem")
+    name = F.concat(F.lit("language_model/layer_"), F.col("l_linenumber").cast("string"), F.when(F.col("l_returnflag") == "N", "__mean").otherwise("__last"))
+    runs = items.groupBy(name.alias("feature"), "l_linestatus", (F.col("l_orderkey") % 3).alias("i")).agg(F.avg(F.col("l_discount").cast("double")).alias("v"))
+    return runs.groupBy(T.strategy(F.col("feature")).alias("strategy"), T.layer(F.col("feature")).alias("layer")).agg(F.round(F.max("v"), 6).alias("top"))
 
 
 @query(f"WITH {V.RUNS} SELECT feature, split_seed, c_value, i AS init_index, split_seed + 100003 * i + round_even(10000 * c_value, 0)::BIGINT AS init_seed FROM (SELECT DISTINCT feature, split_seed, c_value FROM runs), (VALUES (0), (1), (2)) AS t(i)")
@@ -200,9 +224,9 @@ def a11_text_summary(spark, sf_dir):
     return C.text_summary(V.examples(spark, sf_dir), ["dataset", "label"])
 
 
-@query(f"WITH {V.EX}, a AS (SELECT dataset, lower(substr(text, 1, 2)) AS answer, src_ord FROM ex), n AS (SELECT dataset, answer, count(*) AS n, min(src_ord) AS seen FROM a WHERE answer <> '' GROUP BY ALL) SELECT dataset, answer, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY n DESC, seen)::INT AS rank FROM n) WHERE rank <= 10")
+@query(f"WITH {V.EX}, a AS (SELECT dataset, lower(string_split(text, chr(10))[1]) AS answer, src_ord FROM ex), n AS (SELECT dataset, answer, count(*) AS n, min(src_ord) AS seen FROM a WHERE answer <> '' GROUP BY ALL) SELECT dataset, answer, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY n DESC, seen)::INT AS rank FROM n) WHERE rank <= 10")
 def a12_frequent_answers(spark, sf_dir):
-    rows = V.examples(spark, sf_dir).withColumn("answer", F.lower(F.substring("text", 1, 2)))
+    rows = V.examples(spark, sf_dir).withColumn("answer", F.lower(F.split("text", "\n")[0]))
     return C.frequent_answers(rows, ["dataset"], "answer", "src_ord")
 
 
@@ -256,24 +280,65 @@ def a18_m11_prior_summary(spark, sf_dir):
     return summary(rows, "s", "y")
 
 
-@query(f"WITH {V.ACT} SELECT vec_id, round(list_sum(list_transform(v, lambda x: x::DOUBLE)), 4) AS total, len(v) AS dims, round(v[17]::DOUBLE, 4) AS probe FROM (SELECT vec_id, flatten(list(vec ORDER BY layer)) AS v FROM act GROUP BY vec_id)")
+_CHAIN = f"""{V.EX}, h AS (SELECT *, row_number() OVER (PARTITION BY md5(regexp_replace(trim(text), '\\s+', ' ', 'g')) ORDER BY src_ord) AS rn_h FROM ex),
+u AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY src_ord) AS rn_l FROM h WHERE rn_h = 1),
+ch AS (SELECT dataset, unique_id, label, length(text) / 1000.0::DOUBLE AS s, nullif(trim(question_id), '') AS target FROM u WHERE rn_l <= CASE WHEN label = 1 THEN 150 ELSE 300 END)"""
+
+
+def _prior_chain(spark, sf_dir):
+    """First of equal texts, then the head of both classes by targets, with image and target token."""
+    rows = V.examples(spark, sf_dir)
+    once = K.first_wins(rows.select("src_ord", "dataset", "label", "unique_id", "question_id", F.length("text").alias("size"), F.md5(T.squeeze(F.col("text"))).alias("h")), ["h"], "src_ord")
+    head = S.class_head(once, {1: 150, 0: 300}, "src_ord", total=450)
+    images = rows.select("dataset", "unique_id", "question_id", "src_ord", F.array("quality").alias("images"))
+    placed = K.attach_images(head, images)
+    return placed.select("dataset", "unique_id", "label", (F.col("size") / 1000.0).alias("s"), T.target_token(F.lit("open"), F.col("question_id")).alias("target"))
+
+
+@query(f"WITH {_CHAIN} SELECT * FROM ch")
+def m11_prior_rows(spark, sf_dir):
+    return _prior_chain(spark, sf_dir)
+
+
+@query(f"""WITH {_CHAIN}, sc AS (SELECT dataset, s, label AS y FROM ch UNION ALL SELECT 'all', s, label FROM ch)
+SELECT d.dataset, count(*) AS n, count(*) FILTER (y = 1) AS n_mirage, round(avg(s) FILTER (y = 1), 6) AS mean_mirage, round(avg(s) FILTER (y = 0), 6) AS mean_other, round(corr(s, y), 6) AS r, {_AUC} AS auc FROM sc d GROUP BY d.dataset""")
+def m11_prior_pipeline(spark, sf_dir):
+    """The whole chain to its summary: dedupe, class targets, images, target tokens, counts, correlation and AUC."""
+    from ..operators.prior import summary
+
+    return summary(_prior_chain(spark, sf_dir).select("dataset", "s", F.col("label").alias("y")), "s", "y")
+
+
+@query(f"WITH {V.ACT} SELECT vec_id, {V.told_sql('v')} AS vec FROM (SELECT vec_id, flatten(list(vec ORDER BY layer)) AS v FROM act GROUP BY vec_id)")
 def f32_vector_concat(spark, sf_dir):
-    rows = X.concatenated(V.activations(spark, sf_dir), ["vec_id"])
-    return rows.select("vec_id", F.round(F.aggregate("vec", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")), 4).alias("total"), F.size("vec").alias("dims"), F.round(F.col("vec")[16].cast("double"), 4).alias("probe"))
+    return X.concatenated(V.activations(spark, sf_dir), ["vec_id"]).select("vec_id", V.told().alias("vec"))
 
 
-@query(f"WITH {V.ACT}, p AS (SELECT a.vec_id // 2 AS sample, a.feature, a.vec AS x, b.vec AS y FROM act a JOIN act b ON a.vec_id % 2 = 0 AND b.vec_id = a.vec_id + 1 AND a.feature = b.feature) SELECT sample, feature, round((x[3] - y[3])::DOUBLE, 4) AS third, len(x || y) AS dims FROM p")
-def j14_f32_vector_difference(spark, sf_dir):
+_HALVES = f"p AS (SELECT a.vec_id // 2 AS sample, a.feature, a.vec AS x, b.vec AS y FROM act a JOIN act b ON a.vec_id % 2 = 0 AND b.vec_id = a.vec_id + 1 AND a.feature = b.feature)"
+
+
+def _halves(spark, sf_dir):
     act = V.activations(spark, sf_dir).withColumn("sample", F.floor(F.col("vec_id") / 2))
-    one, two = (act.filter(F.col("vec_id") % 2 == k).select("sample", "feature", "vec") for k in (0, 1))
-    return X.aligned(one, two, ["sample", "feature"]).select("sample", "feature", F.round(F.col("diff")[2].cast("double"), 4).alias("third"), F.size("both").alias("dims"))
+    return (act.filter(F.col("vec_id") % 2 == k).select("sample", "feature", "vec") for k in (0, 1))
+
+
+@query(f"WITH {V.ACT}, {_HALVES} SELECT sample, feature, {V.told_sql('list_transform(list_zip(x, y), lambda z: z[1] - z[2])')} AS diff, {V.told_sql('x || y')} AS both FROM p")
+def j14_f32_vector_difference(spark, sf_dir):
+    return X.aligned(*_halves(spark, sf_dir), ["sample", "feature"]).select("sample", "feature", V.told("diff").alias("diff"), V.told("both").alias("both"))
 
 
-@query(f"WITH {V.ACT} SELECT vec_id, feature FROM act WHERE layer % 2 = 1 AND vec_id IN (SELECT vec_id FROM act WHERE vec_id % 3 = 0)")
+@query(f"WITH {V.ACT}, o AS (SELECT vec_id // 2 AS sample, feature, count(*) FILTER (vec_id % 2 = 0) AS a, count(*) FILTER (vec_id % 2 = 1 AND vec_id % 3 <> 0) AS b FROM act GROUP BY ALL) SELECT feature, count(*) FILTER (a > 0 AND b > 0) AS both, count(*) FILTER (a > 0 AND b = 0) AS first_only, count(*) FILTER (a = 0 AND b > 0) AS second_only FROM o GROUP BY feature")
+def j14_unmatched_sides(spark, sf_dir):
+    one, two = _halves(spark, sf_dir)
+    kept = V.activations(spark, sf_dir).filter("vec_id % 2 = 1 AND vec_id % 3 <> 0").select(F.floor(F.col("vec_id") / 2).alias("sample"), "feature")
+    return X.alignment(one, two.join(kept, ["sample", "feature"], "left_semi"), ["sample", "feature"], ["feature"])
+
+
+@query(f"WITH {V.ACT} SELECT vec_id, feature, {V.told_sql('vec')} AS vec FROM act WHERE layer % 2 = 1")
 def p16_j6_s11_feature_selection(spark, sf_dir):
-    store = V.activations(spark, sf_dir).filter((T.layer(F.col("feature")) % 2 == 1) & (T.strategy(F.col("feature")) == "mean")).select("vec_id", "feature", "vec")
-    wanted = V.table(spark, sf_dir, "embeddings").filter("vec_id % 3 = 0").select("vec_id")
-    return X.looked_up(wanted, store, "vec_id").select("vec_id", "feature", F.size("vec").alias("_n")).drop("_n")
+    """Vectors of the chosen features for all signatures; one that is missing raises."""
+    store = V.activations(spark, sf_dir).filter((T.layer(F.col("feature")) % 2 == 1) & (T.strategy(F.col("feature")) == "mean") & (T.family(F.col("feature")) == "residual")).select("vec_id", "feature", "vec")
+    return X.looked_up(V.table(spark, sf_dir, "embeddings").select("vec_id"), store, "vec_id").select("vec_id", "feature", V.told().alias("vec"))
 
 
 @query("WITH t AS (SELECT doc_id, unnest(w) AS w FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents)) SELECT doc_id, round(coalesce(avg(length(w)) FILTER (length(w) > 3), 0), 6) AS mean_length, round(coalesce(avg(ascii(w)) FILTER (length(w) > 3), 0), 6) AS mean_code FROM t GROUP BY doc_id")
@@ -285,16 +350,29 @@ def a19_masked_pooling(spark, sf_dir):
     return pooled.select("doc_id", F.round(F.col("vec")[0], 6).alias("mean_length"), F.round(F.col("vec")[1], 6).alias("mean_code"))
 
 
-@query(f"WITH {V.ACT}, e AS (SELECT feature, vec_id, vec[2]::DOUBLE AS x FROM act), s AS (SELECT feature, avg(x) FILTER (vec_id % 4 <> 0) AS m, stddev_pop(x) FILTER (vec_id % 4 <> 0) AS s FROM e GROUP BY feature) SELECT feature, vec_id, round((x - m) / CASE WHEN s < 1e-6 THEN 1 ELSE s END, 5) AS z FROM e JOIN s USING (feature)")
+@query(f"WITH {V.ACT}, e AS (SELECT feature, vec_id, unnest(range(1, 17)) AS i, unnest(vec)::DOUBLE AS x FROM act), s AS (SELECT feature, i, avg(x) FILTER (vec_id % 4 <> 0) AS m, stddev_pop(x) FILTER (vec_id % 4 <> 0) AS s FROM e GROUP BY ALL), z AS (SELECT feature, vec_id, list((x - m) / CASE WHEN s < 1e-6 THEN 1 ELSE s END ORDER BY i) AS v FROM e JOIN s USING (feature, i) GROUP BY ALL) SELECT feature, vec_id, {V.told_sql('v')} AS vec FROM z")
 def a20_standardise(spark, sf_dir):
-    rows = X.standardised(V.activations(spark, sf_dir), ["feature"], F.col("vec_id") % 4 != 0, "vec_id")
-    return rows.select("feature", "vec_id", F.round(F.col("vec")[1], 5).alias("z"))
+    return X.standardised(V.activations(spark, sf_dir), ["feature"], F.col("vec_id") % 4 != 0, "vec_id").select("feature", "vec_id", V.told().alias("vec"))
+
+
+@query("WITH t AS (SELECT doc_id, w FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents) WHERE len(w) > 0) SELECT doc_id, length(w[-1])::INT AS last_length, length(w[1])::INT AS first_length FROM t")
+def a19_last_token(spark, sf_dir):
+    """The vector of the last token, and the vectors of two poolings as one."""
+    docs = V.table(spark, sf_dir, "documents")
+    tokens = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("tok_idx", "w")).select("doc_id", "tok_idx", F.array(F.length("w")).alias("vec"))
+    last = X.last_token(tokens, ["doc_id"]).withColumn("layer", F.lit(0))
+    first = X.last_token(tokens.withColumn("tok_idx", -F.col("tok_idx")), ["doc_id"]).withColumn("layer", F.lit(1))
+    both = X.concatenated(last.unionByName(first), ["doc_id"])
+    return both.select("doc_id", F.col("vec")[0].alias("last_length"), F.col("vec")[1].alias("first_length"))
 
 
-@query(f"WITH {V.ACT}, e AS (SELECT feature, label, vec_id % 4 <> 0 AS tr, vec[1]::DOUBLE AS x FROM act), f AS (SELECT feature, avg(x) FILTER (tr AND label = 0) AS m0, avg(x) FILTER (tr AND label = 1) AS m1 FROM e GROUP BY feature) SELECT feature, count(*) AS n_test, round(avg(((CASE WHEN m1 >= m0 THEN x >= (m0 + m1) / 2 ELSE x < (m0 + m1) / 2 END)::INT = label)::INT), 6) AS accuracy FROM e JOIN f USING (feature) WHERE NOT tr GROUP BY feature")
+@query(f"WITH {V.ACT}, e AS (SELECT feature, label, vec_id % 4 <> 0 AS tr, list_sum(list_transform(vec, lambda v: v::DOUBLE)) AS x FROM act), f AS (SELECT feature, avg(x) FILTER (tr AND label = 0) AS m0, avg(x) FILTER (tr AND label = 1) AS m1 FROM e GROUP BY feature), a AS (SELECT feature, count(*) AS n_test, round(avg(((CASE WHEN m1 >= m0 THEN x >= (m0 + m1) / 2 ELSE x < (m0 + m1) / 2 END)::INT = label)::INT), 6) AS accuracy FROM e JOIN f USING (feature) WHERE NOT tr GROUP BY feature) SELECT *, row_number() OVER (ORDER BY accuracy DESC, feature) = 1 AS best FROM a")
 def a22_midpoint_threshold(spark, sf_dir):
-    rows = V.activations(spark, sf_dir).withColumn("x", F.col("vec")[0].cast("double"))
-    return X.midpoint_classifier(rows, ["feature"], "x", "label", F.col("vec_id") % 4 != 0)
+    """Sums of whole vectors against the midpoint of the class means; the best layer is marked."""
+    rows = V.activations(spark, sf_dir).withColumn("x", F.aggregate("vec", F.lit(0.0).cast("double"), lambda a, v: a + v.cast("double")))
+    found = X.midpoint_classifier(rows, ["feature"], "x", "label", F.col("vec_id") % 4 != 0)
+    top = found.groupBy().agg(F.min_by("feature", F.struct((-F.col("accuracy")).alias("a"), "feature")).alias("top"))  # one row
+    return found.crossJoin(F.broadcast(top)).select("feature", "n_test", "accuracy", (F.col("feature") == F.col("top")).alias("best"))
 
 
 @query(f"WITH {V.EX} SELECT a.dataset AS train_set, b.dataset AS test_set FROM (SELECT DISTINCT dataset FROM ex) a, (SELECT DISTINCT dataset FROM ex) b WHERE a.dataset <> b.dataset")
@@ -330,13 +408,26 @@ def o3_top_probes(spark, sf_dir):
     return V.runs(spark, sf_dir).withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("feature", "split_seed", "c_value", "init_index", "rank")
 
 
-@query("SELECT p_partkey, row_number() OVER (ORDER BY p_partkey % 60, p_partkey % 16, p_partkey)::INT AS place FROM part WHERE p_partkey <= 100")
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_partkey % 60, p_partkey % 16, p_partkey)::INT AS place FROM part")
 def o4_o6_layer_order(spark, sf_dir):
+    from ..operators.ordering import running
     from ..operators.reports import layer_order
 
     k = F.col("p_partkey")
-    names = V.table(spark, sf_dir, "part").filter("p_partkey <= 100").select("p_partkey", F.concat(F.lit("language_model/layer_"), (k % 60).cast("string"), F.lit("/attention_head_"), (k % 16).cast("string"), F.lit("__x"), F.lpad(k.cast("string"), 5, "0")).alias("name"))
-    return names.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*layer_order(F.col("name"))))).select("p_partkey", "place")
+    names = V.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("language_model/layer_"), (k % 60).cast("string"), F.lit("/attention_head_"), (k % 16).cast("string"), F.lit("__x"), F.lpad(k.cast("string"), 12, "0")).alias("name"))
+    component, layer, part, head, name = layer_order(F.col("name"))
+    ordered = names.select("p_partkey", (layer * 64 + head).alias("o"), component.alias("c"), layer.alias("l"), part.alias("p"), head.alias("h"), name.alias("n"))
+    return running(ordered, ["c"], ["o", "l", "p", "h", "n"], "place").select("p_partkey", F.col("place").cast("int").alias("place"))
+
+
+@query("WITH r AS (SELECT l_linenumber AS stage, l_returnflag AS mode, l_linestatus AS id, sum(l_quantity)::DOUBLE AS q FROM lineitem GROUP BY ALL) SELECT stage, mode, id, row_number() OVER (ORDER BY stage, CASE mode WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, id)::INT AS place FROM r")
+def o6_experiment_order(spark, sf_dir):
+    """Experiments by stage, mode in a stated order, and id; the window holds a row an experiment."""
+    from ..operators.reports import experiment_order
+
+    rows = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("stage"), F.col("l_returnflag").alias("mode"), F.col("l_linestatus").alias("id")).agg(F.count("*").alias("n"))
+    order = experiment_order(F.col("stage"), F.col("mode"), F.col("id"), ["R", "A"])
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))).select("stage", "mode", "id", "place")
 
 
 @query(f"SELECT phrase, round(max(abs(skew)), 6) AS largest, row_number() OVER (ORDER BY max(abs(skew)) DESC, phrase)::INT AS rank FROM ({_phrase_sql()}) GROUP BY phrase")
@@ -346,7 +437,7 @@ def o5_ranked_phrase_groups(spark, sf_dir):
 
 
 _NB = f"""{_SAMPLE}, sp AS (SELECT * FROM {_by_class_sql('sm', 'label, dataset', "'1'")}),
-tr AS (SELECT dataset, label, {_TOK} AS t FROM sp WHERE part = 'train'), te AS (SELECT dataset, unique_id, label, {_TOK} AS t FROM sp WHERE part = 'test'),
+tr AS (SELECT dataset, label, {_TOK} AS t FROM sp WHERE part = 'train'), te AS (SELECT dataset, unique_id, label, {_TOK} AS t FROM ex WHERE dataset IN (SELECT dataset FROM tr) AND unique_id NOT IN (SELECT unique_id FROM sp WHERE part = 'train')),
 gr AS (SELECT dataset, label, unnest(list_distinct(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS gram FROM tr),
 dn AS (SELECT dataset, gram, count(*) FILTER (label = 0) AS c0, count(*) FILTER (label = 1) AS c1 FROM gr GROUP BY ALL),
 tt AS (SELECT dataset, sum(c0) + count(*) AS d0, sum(c1) + count(*) AS d1 FROM dn GROUP BY dataset),
@@ -357,9 +448,10 @@ nb AS (SELECT te.dataset, te.unique_id, te.label, (p1 + coalesce(s1, 0) > p0 + c
 
 
 def nb_predictions(spark, sf_dir):
-    """Sample balanced by language, split by class, one Naive Bayes model per language: predictions on the test part."""
-    split = P.by_class(_sample(spark, sf_dir), "unique_id", 1, group=["dataset"]).select("dataset", "unique_id", "label", "text", "part")
-    return C.naive_bayes(split.filter("part = 'train'"), split.filter("part = 'test'"), ["dataset"], "unique_id").select("dataset", "unique_id", "label", "predicted")
+    """Sample balanced by language, split by class, one Naive Bayes model per language; predictions for every labelled text outside its training part."""
+    train = P.by_class(_sample(spark, sf_dir), "unique_id", 1, group=["dataset"]).filter("part = 'train'").select("dataset", "unique_id", "label", "text")
+    rest = V.examples(spark, sf_dir).join(train.select("unique_id"), "unique_id", "left_anti").join(train.select("dataset").distinct(), "dataset", "left_semi")
+    return C.naive_bayes(train, rest.select("dataset", "unique_id", "label", "text"), ["dataset"], "unique_id").select("dataset", "unique_id", "label", "predicted")
 
 
 @query(f"WITH {_NB} SELECT dataset, unique_id, label, predicted FROM nb")

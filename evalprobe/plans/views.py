@@ -21,21 +21,22 @@ EX = "ex AS (SELECT d.doc_id AS src_ord, lang AS dataset, toxic AS label, qualit
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers in the forms that models give them, with options, made from the words of each document."""
-    docs = table(spark, sf_dir, "documents")
-    w = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    """Answers in the forms that models give them: the whole text of each document (ASCII) with a mark of the form, and options made from its words."""
+    docs = table(spark, sf_dir, "documents").withColumn("body", F.regexp_replace("text", r"[^\x20-\x7E\n]", ""))
+    w = F.regexp_extract_all("body", F.lit("[A-Za-z]+"), F.lit(0))
     word = lambda i: F.coalesce(F.try_element_at(w, F.lit(i)), F.lit("x"))
-    kind = F.col("doc_id") % 8
-    response = F.when(kind == 0, F.concat(F.lit("[[ b ]] "), word(1))).when(kind == 1, F.concat(word(1), F.lit(" Final answer: C"))).when(kind == 2, "Option D is best").when(kind == 3, F.concat(F.lit("A) "), word(2))).when(kind == 4, F.concat(word(3), F.lit("!"))).when(kind == 5, "").when(kind == 6, "yes, there is").otherwise(F.concat(F.lit("[["), word(1), F.lit(" "), word(2), F.lit("]] end")))
-    options = F.concat(F.lit("A. "), word(1), F.lit("\nB) "), word(2), F.lit("\n c: "), word(3), F.lit("\nplain line\nD. "), word(4))
+    kind, body = F.col("doc_id") % 8, F.col("body")
+    response = F.when(kind == 0, F.concat(F.lit("[[ b ]] "), body)).when(kind == 1, F.concat(body, F.lit(" Final answer: C"))).when(kind == 2, F.concat(body, F.lit("\nOption D is best"))).when(kind == 3, F.concat(F.lit("A) "), body)).when(kind == 4, F.concat(body, F.lit("!"))).when(kind == 5, "").when(kind == 6, F.concat(F.lit("yes, there is "), body)).otherwise(F.concat(body, F.lit(" [["), word(1), F.lit(" "), word(2), F.lit("]] end")))
+    options = F.concat(F.lit("A. "), word(1), F.lit("\nB) "), word(2), F.lit("\n c: "), word(3), F.lit("\nplain line: "), F.replace(body, F.lit("\n"), F.lit(" ")), F.lit("\nD. "), word(4))
     truth = F.when(F.col("doc_id") % 3 == 0, "B").when(F.col("doc_id") % 3 == 1, "Yes.").otherwise(word(1))
     return docs.select("doc_id", "lang", "source", response.alias("response"), options.alias("options"), truth.alias("truth"), F.when(F.col("doc_id") % 2 == 0, "mcq").otherwise("open").alias("task"))
 
 
-ANS = r"""w AS (SELECT doc_id, lang, source, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents),
-w2 AS (SELECT *, coalesce(w[1], 'x') AS a, coalesce(w[2], 'x') AS b, coalesce(w[3], 'x') AS c, coalesce(w[4], 'x') AS d FROM w),
-ans AS (SELECT doc_id, lang, source, CASE doc_id % 8 WHEN 0 THEN '[[ b ]] ' || a WHEN 1 THEN a || ' Final answer: C' WHEN 2 THEN 'Option D is best' WHEN 3 THEN 'A) ' || b WHEN 4 THEN c || '!' WHEN 5 THEN '' WHEN 6 THEN 'yes, there is' ELSE '[[' || a || ' ' || b || ']] end' END AS response,
-    'A. ' || a || chr(10) || 'B) ' || b || chr(10) || ' c: ' || c || chr(10) || 'plain line' || chr(10) || 'D. ' || d AS options, CASE doc_id % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'Yes.' ELSE a END AS truth, CASE WHEN doc_id % 2 = 0 THEN 'mcq' ELSE 'open' END AS task, a, b, c, d FROM w2)"""
+ANS = r"""w AS (SELECT doc_id, lang, source, regexp_replace(text, '[^\x20-\x7E\n]', '', 'g') AS body FROM documents),
+w1 AS (SELECT *, regexp_extract_all(body, '[A-Za-z]+') AS w FROM w),
+w2 AS (SELECT *, coalesce(w[1], 'x') AS a, coalesce(w[2], 'x') AS b, coalesce(w[3], 'x') AS c, coalesce(w[4], 'x') AS d FROM w1),
+ans AS (SELECT doc_id, lang, source, body, CASE doc_id % 8 WHEN 0 THEN '[[ b ]] ' || body WHEN 1 THEN body || ' Final answer: C' WHEN 2 THEN body || chr(10) || 'Option D is best' WHEN 3 THEN 'A) ' || body WHEN 4 THEN body || '!' WHEN 5 THEN '' WHEN 6 THEN 'yes, there is ' || body ELSE body || ' [[' || a || ' ' || b || ']] end' END AS response,
+    'A. ' || a || chr(10) || 'B) ' || b || chr(10) || ' c: ' || c || chr(10) || 'plain line: ' || replace(body, chr(10), ' ') || chr(10) || 'D. ' || d AS options, CASE doc_id % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'Yes.' ELSE a END AS truth, CASE WHEN doc_id % 2 = 0 THEN 'mcq' ELSE 'open' END AS task, a, b, c, d FROM w2)"""
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +98,15 @@ def activations(spark: SparkSession, sf_dir: str) -> DataFrame:
 ACT = "act AS (SELECT vec_id, (label >= 5)::INT AS label, layer, 'language_model/layer_' || layer || '__mean' AS feature, embedding[layer * 16 + 1 : layer * 16 + 16] AS vec FROM (SELECT *, unnest([0, 1, 2, 3]) AS layer FROM embeddings))"
 
 
+def told(vec: str = "vec") -> Column:
+    """A whole vector as text, every component in whole ten-thousandths."""
+    return F.array_join(F.transform(vec, lambda x: F.round(x.cast("double") * 10000).cast("long").cast("string")), ",")
+
+
+def told_sql(vec: str) -> str:
+    return f"array_to_string(list_transform({vec}, lambda x: round(x::DOUBLE * 10000)::BIGINT), ',')"
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probe runs: line items by feature, seed and C, with the mean discount as accuracy."""
     items = table(spark, sf_dir, "lineitem")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,11 +89,12 @@ def registered(builders: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str,
 
 def first_found(spark: SparkSession, *paths: str) -> DataFrame:
     """The first path that holds a table: the clean copy, else the raw one."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
     for p in paths:
-        at = hadoop(p)
-        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        try:
             return spark.read.parquet(p)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
     raise FileNotFoundError(", ".join(paths))
 
 
@@ -113,10 +115,19 @@ def label_of(answer: Column, options: Column) -> Column:
 
 
 def write_json(rows: DataFrame, path: str) -> None:
-    """One folder a dataset, and its summary beside it by the caller."""
+    """One folder a dataset."""
     rows.write.mode("overwrite").partitionBy("dataset").json(path)
 
 
+def write_results(rows: DataFrame, summary: DataFrame, settings: dict[str, str], path: str) -> None:
+    """Below ``path``: ``datasets`` (a folder a dataset), ``overall`` (all rows), ``summary`` and ``metadata`` (the settings and counts)."""
+    write_json(rows, f"{path}/datasets")
+    rows.write.mode("overwrite").json(f"{path}/overall")
+    summary.write.mode("overwrite").json(f"{path}/summary")
+    counts = rows.groupBy().agg(F.count("*").alias("n_rows"), F.count_distinct("dataset").alias("n_datasets"))
+    counts.select("*", *(F.lit(v).alias(k) for k, v in settings.items())).write.mode("overwrite").json(f"{path}/metadata")
+
+
 def write_store(vectors: DataFrame, path: str) -> None:
     """The activation store: one vector a (mode, feature, signature), partitioned so that a read touches what it asks for."""
     vectors.dropDuplicates(["mode", "feature", "sig"]).write.mode("overwrite").partitionBy("mode", "feature").parquet(path)

@@ -88,12 +88,110 @@ def test_probe_ties(spark):
     assert P.selected(runs).first().c_value == 0.1
 
 
-def test_probe_learns():
+def _sweep_rows(spark, x, y):
+    parts = ["train", "val", "test"]
+    rows = [("f", 1, i, parts[i % 3], int(t), [float(v) for v in r]) for i, (r, t) in enumerate(zip(x, y, strict=True))]
+    return spark.createDataFrame(rows, "feature string, split_seed long, key long, part string, label int, vec array<double>").repartition(3)
+
+
+def test_probes_learn_and_score_all_rows(spark, monkeypatch):
     draw = np.random.default_rng(0)
     x = draw.normal(size=(300, 5))
-    part = np.array(["train", "val", "test"])[np.arange(300) % 3]
-    assert P.fit(x, (x[:, 0] > 0).astype(int), part, 0.0, 1)["test_accuracy"] > 0.9
-    assert P.fit(x, (np.abs(x[:, 0]) > 0.6).astype(int), part, 0.0, 1, hidden=16)["test_accuracy"] > 0.75
+    line, bent = x[:, 0] > 0, np.abs(x[:, 0]) > 0.6
+    assert P.sweep(_sweep_rows(spark, x, line), (0.0,), 1).first().test_accuracy > 0.9
+    found = P.sweep(_sweep_rows(spark, x, bent), (0.0, 0.01), 2, hidden=16).collect()
+    assert len(found) == 4 and max(r.test_accuracy for r in found if r.c_value == 0.0) > 0.75
+    apart = P.sweep(_sweep_rows(spark, x, line), (0.0,), 1, tested=[F.col("key") % 2]).collect()
+    assert sorted(r.n_test for r in apart) == [50, 50]
+    monkeypatch.setattr(P, "FIT_ROWS", 20)  # fitted on a sample of the rows, scored on all
+    assert sum(r.n_test for r in P.sweep(_sweep_rows(spark, x, line), (0.0,), 1, tested=[F.col("key") % 2]).collect()) == 100
+
+
+def test_probe_steps_by_plain_loops():
+    """Two epochs of both models against derivatives by differences, decay 1 / C on every parameter."""
+    draw = np.random.default_rng(1)
+    x, y = draw.normal(size=(12, 3)), (draw.random(12) > 0.5).astype(float)
+    for hidden in (0, 4):
+        probes = P.Probes.start(3, hidden, [7])
+        loss = lambda p: float((np.logaddexp(0, (z := P.Probes(p).forward(x)[0])) - y * z).mean())
+        for k, g in enumerate(probes.gradients(x, y)):
+            for at in np.ndindex(*g.shape):
+                moved = [[q.copy() for q in probes.params] for _ in range(2)]
+                moved[0][k][at] += 1e-4
+                moved[1][k][at] -= 1e-4
+                assert g[at] == pytest.approx((loss(moved[0]) - loss(moved[1])) / 2e-4, abs=2e-4)
+    train = np.arange(12) < 6
+    start, (w, b) = P.Probes.start(3, 0, [3]), [p[0] for p in P.Probes.start(3, 0, [3]).params]
+    err = (1 / (1 + np.exp(-(x[train] @ w + b))) - y[train]) / 6
+    one = P.fit(x, y, train, ~train, [0.5], [3], epochs=1)
+    shrink, step = 1 - P.RATE / 0.5, lambda g: P.RATE * g / (np.abs(g) + 1e-8)
+    assert one.params[0][0] == pytest.approx(w * shrink - step(err @ x[train])) and one.params[1][0] == pytest.approx(b * shrink - step(err.sum()))
+    assert len(start.params) == 2
+
+
+@pytest.mark.parametrize("cells", [1, 3, 4096])
+def test_running_sums_and_cuts(spark, monkeypatch, cells):
+    """Against a plain sort: nulls, ties, infinities, empty tables, null buckets, any number of cells."""
+    from evalprobe.operators import ordering as O
+
+    monkeypatch.setattr(O, "CELLS", cells)
+    draw = random.Random(cells)
+    rows = [(draw.choice(["a", "b", None]), draw.choice([None, 1.0, 2.5, float(draw.randrange(100)), float("inf"), float("-inf")]), i) for i in range(120)]
+    table = spark.createDataFrame(rows, "g string, x double, i int").repartition(3)
+    want = {}
+    for g in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0.0, r[2]))
+        want |= {r[2]: k + 1 for k, r in enumerate(own)}
+    assert {r.i: r.n for r in O.running(table, ["g"], ["x", "i"], "n").collect()} == want
+    assert O.running(table.limit(0), ["g"], ["x", "i"], "n").count() == 0
+    sizes = table.groupBy("g").agg(F.count("*").alias("n")).withColumns({"p": F.lit(5), "q": F.lit(1000)})
+    got = {r.i: r.part for r in O.parted(table, ["g"], ["x", "i"], sizes, ["p", "q"], "rest").collect()}
+    assert got == {i: "p" if k <= 5 else "q" for i, k in want.items()}
+
+
+def test_equal_shares_by_rounds(spark):
+    draw = random.Random(4)
+    for target in (0, 1, 7, 40, 500):
+        sizes = {f"b{i}": draw.randrange(1, 25) for i in range(7)}
+        table = spark.createDataFrame([(b, n) for b, n in sizes.items()], "b string, size long")
+        got = {r.b: r.n for r in S.equal_shares(table, "b", target).collect()}
+        left, want = dict(sizes), dict.fromkeys(sizes, 0)
+        while sum(want.values()) < min(target, sum(sizes.values())):
+            for b in sorted((b for b in left if left[b]), key=lambda b: (-left[b], b)):
+                if sum(want.values()) < target:
+                    want[b] += 1
+                    left[b] -= 1
+        assert got == want
+
+
+def test_class_targets_share_a_total():
+    counts = {0: 50, 1: 50}
+    assert S.class_targets(counts, {1: 30, 0: 60}) == {1: 30, 0: 50}
+    assert S.class_targets(counts, {1: 30, 0: 60}, 41) == {1: 20, 0: 21}
+    assert S.class_targets(counts, {1: 3, 0: 60}, 41) == {1: 3, 0: 38}
+    assert S.class_targets({1: 2}, {1: 30, 0: 60}, 41) == {1: 2, 0: 0}
+
+
+def test_wide_and_narrow_pooling_agree(spark, monkeypatch):
+    from evalprobe.operators import vectors as X
+
+    draw = random.Random(3)
+    rows = [(i % 5, [draw.random() for _ in range(4)], i % 3 == 0 and i % 5 != 4) for i in range(40)]
+    table = spark.createDataFrame(rows, "k int, vec array<double>, m boolean")
+    narrow = {r.k: r.vec for r in X.pooled(table, ["k"], F.col("m"), 4).collect()}
+    monkeypatch.setattr(X, "WIDE", 0)
+    wide = {r.k: r.vec for r in X.pooled(table, ["k"], F.col("m"), 4).collect()}
+    assert narrow.keys() == wide.keys() and narrow[4] == [0.0] * 4
+    assert all(narrow[k] == pytest.approx(wide[k]) for k in narrow)
+
+
+def test_images_and_their_names(spark, tmp_path):
+    for name, data in (("a.png", b"\x89PNG"), ("b.jpg", b"\xff\xd8")):
+        (tmp_path / name).write_bytes(data)
+    images = Q.read_images(spark, str(tmp_path))
+    rows = spark.createDataFrame([(1, "x/y/a.png"), (2, "b.jpg"), (3, "none.png"), (4, None)], "i int, image_name string")
+    got = {r.i: r.image and bytes(r.image) for r in K.images_by_name(rows, images).collect()}
+    assert got == {1: b"\x89PNG", 2: b"\xff\xd8", 3: None, 4: None}
 
 
 def test_naive_bayes_is_spark_ml(spark):
