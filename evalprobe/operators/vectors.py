@@ -33,8 +33,8 @@ def pooled(tokens: DataFrame, by: list[str], mask: Column, dims: int, vec: str =
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    means = own.filter("_w > 0").groupBy(*by).agg(Summarizer.mean(array_to_vector("_v")).alias("_m"))
-    return matched(own.select(*by).distinct(), means, by, "left").select(*by, F.coalesce(vector_to_array("_m"), F.array_repeat(F.lit(0.0), dims)).alias(vec))
+    means = own.filter("_w > 0").groupBy(*by).agg(vector_to_array(Summarizer.mean(array_to_vector("_v"))).alias("_m"))
+    return matched(own.select(*by).distinct(), means, by, "left").select(*by, F.coalesce("_m", F.array_repeat(F.lit(0.0), dims)).alias(vec))
 
 
 def last_token(tokens: DataFrame, by: list[str], order: str = "tok_idx", vec: str = "vec") -> DataFrame:
