@@ -284,7 +284,7 @@ def m10_best_by_family(spark, sf_dir):
     return R.best_by_family(rows, ["experiment"]).select("experiment", "family", "feature")
 
 
-@query("SELECT s_suppkey, 4 * (s_suppkey % 3 + 1) * 3 + 4 AS n, 'language_model/layer_' || (s_suppkey % 3) || '/post_attention__last' AS last_part FROM supplier")
+@query("SELECT s_suppkey, (4 * (s_suppkey % 3 + 1) * 3 + 4)::INT AS n, 'language_model/layer_' || (s_suppkey % 3) || '/post_attention__last' AS last_part FROM supplier")
 def f29_candidate_names(spark, sf_dir):
     """Every feature name to try for as many layers as a model has."""
     layers = F.sequence(F.lit(0), (F.col("s_suppkey") % 3).cast("int"))
