@@ -1,7 +1,8 @@
 """The pipeline over ``documents``: quality rules, line dedup, near-duplicates, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before kept. Stages that change a text set
-``n_chars`` to its new length.
+``n_chars`` to its new length. In every stage an empty table gives an empty result, further columns pass through under
+any name (packing leaves them out), texts are read whole, and null ids are allowed.
 """
 
 from __future__ import annotations
@@ -18,27 +19,37 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go; documents that the rules reject go."""
+    """Failing lines go; documents that the rules reject go, null and empty texts among them. Repeated rows are judged alike."""
     return _measured(quality.cleaned(docs))
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal or nearly equal lines the earliest stays; documents without a line of their own go."""
+    """Of equal or nearly equal lines the earliest stays; documents without a line of their own go.
+
+    Null ids come last, ties in id go by the text's fingerprint, and rows that agree in both count as one document. A
+    null text stays.
+    """
     return _measured(lines.deduplicated(docs))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays."""
+    """One document of each class of near-duplicates stays: a null id first, then the least id, ties by a fingerprint of id and text.
+
+    A null text counts as empty; empty texts are one class. Of repeated rows one stays.
+    """
     return minhash.representatives(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; a null source is a source, null and empty texts have no words and get no drawn copy.
+
+    Rows that agree in id and text are taken together.
+    """
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
+    """Pieces of documents in sequences of 2048 tokens; a null text is the end id alone, repeated rows are packed one by one."""
     pieces = packing.pack(docs)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
