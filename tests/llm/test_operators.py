@@ -622,6 +622,29 @@ def test_equal_windows_have_equal_anchors():
         assert all(len(s) == 1 for s in back.values())  # and unequal windows have not
 
 
+# all of them
+def test_very_long_texts_and_null_ids(spark):
+    """A text of 120,000 words, a near copy of it, and rows without an id: whole results from every operator on documents."""
+    own = words(120_000, 11, 50_000)
+    long = "\n".join(" ".join(own[i : i + 12]) for i in range(0, len(own), 12)) + " AKIA" + "A1" * 8
+    short = [" ".join(words(60, k)) for k in (21, 22)]
+    docs = docs_of(spark, [(1, long), (2, "first " + long), (None, short[0]), (None, short[1])]).cache()
+    n = len(long.split())
+    removed = {r.doc_id: (r.n_lines, r.n_removed) for r in lines.digest(docs).collect() if r.doc_id}
+    assert removed == {1: (10_000, 0), 2: (10_000, 10_000)}
+    assert sorted((r.doc_id or 0, r.class_id or 0) for r in minhash.classes(docs).collect()) == [(0, 0), (0, 0), (1, 1), (2, 1)]
+    assert sorted(r.n_words for r in quality.judged(docs).collect()) == [60, 60, n, n + 1]
+    scores = scoring.scored(docs).collect()
+    assert sorted(r.n_tokens for r in scores) == [61, 61, n + 1, n + 2] and all(math.isfinite(r.score) and r.score < 0 for r in scores)
+    assert sorted(r.n_access for r in secrets.digest(docs).collect()) == [0, 0, 1, 1]
+    gone = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substrings.deduplicated(docs).collect())
+    assert gone == [(0, 60, 0), (0, 60, 0), (1, n, 0), (2, n + 1, n)]
+    pieces = packing.pack(docs).collect()
+    assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
+    taken = mixing.copies(docs)[0].collect()
+    assert len(taken) == 4 and sum(r["size"] for r in taken) == 2 * n + 1 + 120
+
+
 # the pipeline
 def test_pipeline_brute_force(spark, tmp_path):
     import corpus_pipeline
