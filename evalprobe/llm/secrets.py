@@ -116,9 +116,8 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", window: int = 24) -> DataFrame:
-    """``docs`` with every span of ``text_col`` replaced by ``mark``; a null text stays null."""
-    names = docs.columns
-    found = scan(docs, text_col, window).withColumn("_sec_all", F.expr("array_sort(concat(_sec_base, _sec_added))"))
-    cut = f"aggregate(_sec_all, struct(0 AS at, '' AS out), (a, m) -> CASE WHEN m.stop <= a.at THEN a ELSE struct(m.stop AS at, CASE WHEN m.start < a.at THEN a.out ELSE concat(a.out, substr({text_col}, a.at + 1, m.start - a.at), {_lit(mark)}) END AS out) END, a -> concat(a.out, substr({text_col}, a.at + 1)))"
-    return found.withColumn(text_col, F.expr(cut)).select(*names)
-
+    """``docs`` with every span of ``text_col`` replaced by ``mark``; a null text stays null. Columns of any name pass through."""
+    inner = docs.select(F.struct("*").alias("_sec_row"), F.col(text_col).alias("_sec_in"))
+    found = scan(inner, "_sec_in", window).withColumn("_sec_all", F.expr("array_sort(concat(_sec_base, _sec_added))"))
+    cut = f"aggregate(_sec_all, struct(0 AS at, '' AS out), (a, m) -> CASE WHEN m.stop <= a.at THEN a ELSE struct(m.stop AS at, CASE WHEN m.start < a.at THEN a.out ELSE concat(a.out, substr(_sec_in, a.at + 1, m.start - a.at), {_lit(mark)}) END AS out) END, a -> concat(a.out, substr(_sec_in, a.at + 1)))"
+    return found.select(*(F.expr(cut).alias(c) if c == text_col else F.col("_sec_row")[c].alias(c) for c in docs.columns))

@@ -77,7 +77,8 @@ def test_lines_texts_and_edges(spark):
     texts = {1: "a b c d e f\n\nkeep me", 2: "a b c d e f", 3: "a b X d e f\nown line here", None: "own line here"}
     got = {r.doc_id: r.text for r in lines.deduplicated(docs_of(spark, texts)).collect()}
     assert got == {1: "a b c d e f\n\nkeep me", 3: "own line here"}
-    assert lines.deduplicated(docs_of(spark, {1: "x"})).columns == docs_of(spark, {1: "x"}).columns
+    clashing = docs_of(spark, {1: "x"}).withColumns({"_ln_places": F.lit(1), "_LN_DOC": F.lit(2)})
+    assert lines.deduplicated(clashing).columns == clashing.columns and lines.deduplicated(clashing).count() == 1
     assert lines.digest(docs_of(spark, {}).limit(0)).count() == 0
     assert lines.within_one(b"a b c".split(), b"a c".split()) and not lines.within_one(b"a b c".split(), b"c a b".split())
 
@@ -569,6 +570,8 @@ def test_secrets_brute_force(spark):
     assert any("entropy" in r[4] for r in rows.values())
     cut = {r.doc_id: r.text for r in secrets.redacted(docs_of(spark, texts)).collect()}
     assert cut[3] == "é [SECRET]' and Password:short1 x" and cut[1] is None
+    clashing = docs_of(spark, texts).withColumns({"_sec_text": F.lit(1), "_sec_base": F.lit(2)})
+    assert secrets.redacted(clashing).columns == clashing.columns and {r.doc_id: r.text for r in secrets.redacted(clashing).collect()} == cut
     plan = secrets.digest(docs_of(spark, texts))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert secrets.digest(docs_of(spark, texts).limit(0)).count() == 0
