@@ -30,8 +30,8 @@ from .common import discard, stored
 
 #: Rows of a shard, queries that visit a shard together, rows of a leaf.
 SHARD_ROWS, BLOCK_QUERIES, LEAF_ROWS = 16384, 4096, 128
-#: Rows on which axes and top splits are fitted, cells at most, and sample rows that a cell needs.
-FIT_ROWS, CELLS, CELL_SAMPLE = 16384, 1024, 64
+#: Rows and components (8 MB) on which axes and top splits are fitted, cells at most, and sample rows that a cell needs.
+FIT_ROWS, FIT_VALUES, CELLS, CELL_SAMPLE = 16384, 1 << 20, 1024, 64
 #: Queries of which bounds and candidates are held at a time; bounds memory, never results.
 SLICE = 1024
 
@@ -237,9 +237,10 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 64)
 
 
 def fitted(rows: DataFrame, total: int) -> dict[int, Top]:
-    """Axes and top splits by number of dimensions, from ``FIT_ROWS`` rows or so that a hash of the id picks."""
-    share = min(1.0, FIT_ROWS / max(1, total))
-    sample = rows.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * FIT_ROWS)
+    """Axes and top splits by number of dimensions, from ``FIT_ROWS`` rows or so (fewer of long vectors) that a hash of the id picks."""
+    wanted = min(FIT_ROWS, FIT_VALUES // max(1, rows.agg(F.max("dims")).first()[0] or 1))
+    share = min(1.0, wanted / max(1, total))
+    sample = rows.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * wanted)
     by: dict[int, list] = {}
     for batch in sample.select("dims", "v").toArrow().to_batches():
         for dims, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
