@@ -1,7 +1,9 @@
 """Ranks, running sums and cuts in an order, without a task that holds a whole bucket.
 
-A bucket's order is divided into cells by the range of its first order column; cells are counted, the counts of a bucket
-(no more than ``CELLS`` rows) are summed up, and only rows of one cell are ordered against each other.
+``dealt`` sorts rows by (bucket, order) over pieces whose borders Spark draws from a sample of the rows themselves, so
+pieces are of like size whatever the distribution: an outlier takes no room, a value that a third of the rows hold is
+divided by the next order column and, where rows agree in all of them, by their place in the input. A bucket may lie in
+many pieces and a piece hold many buckets. What a bucket has in earlier pieces is known from a table with a row a piece.
 """
 
 from __future__ import annotations
@@ -12,9 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 4096
-#: Rows up to which a table of cells or buckets is broadcast; beyond, it is joined by shuffle.
-BROADCAST_ROWS = 200_000
+from .storage import stored
 
 
 def draw(seed: str | int | Column, key: str | Column) -> Column:
@@ -25,13 +25,13 @@ def draw(seed: str | int | Column, key: str | Column) -> Column:
 
 
 def drawn(rows: DataFrame, seed: str | int | Column, key: str) -> DataFrame:
-    """``rows`` with the draw as ``_d`` and its leading digits as the number ``_o``."""
-    return rows.withColumn("_d", draw(seed, key)).withColumn("_o", F.conv(F.substring("_d", 1, 12), 16, 10).cast("double"))
+    """``rows`` with the draw as ``_d`` and its first four digits as the number ``_cell``: 65,536 even cells."""
+    return rows.withColumn("_d", draw(seed, key)).withColumn("_cell", F.conv(F.substring("_d", 1, 4), 16, 10).cast("int"))
 
 
 def small(table: DataFrame) -> DataFrame:
-    """``table`` with a hint to broadcast it, if its rows are few."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+    """``table``, computed once and stored: from the size of its files the planner broadcasts it, or else shuffles."""
+    return stored(table, "small")
 
 
 def matched(rows: DataFrame, table: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
@@ -48,40 +48,56 @@ def _window(by: Iterable[str]):
     return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
 
 
-def celled(rows: DataFrame, by: list[str], first: str) -> DataFrame:
-    """``rows`` with ``_cell``: where the column ``first`` lies between its least and largest value of the bucket."""
-    x = F.col(first).cast("double")
-    finite = F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
-    ends = rows.groupBy(*by).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
-    share = (F.least(F.greatest(x, F.col("_lo")), F.col("_hi")) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    cell = F.when(x.isNull(), -1).when(F.isnan(x), CELLS).when(F.col("_hi") > F.col("_lo"), F.floor(share * (CELLS - 1))).otherwise(F.when(x > F.col("_hi"), 1).otherwise(0))
-    return matched(rows, small(ends), by).withColumn("_cell", cell.cast("int")).drop("_lo", "_hi")
+def dealt(rows: DataFrame, by: list[str], order: list[str], pieces: int | None = None) -> DataFrame:
+    """``rows``, stored, with ``_piece``: pieces of like size in the order of ``by`` and ``order``; ``_tie`` tells rows apart that agree in all of it.
+
+    Nulls come first. ``pieces`` defaults to the session's number of shuffle partitions, less where they would be tiny.
+    """
+    told = rows.withColumn("_tie", F.monotonically_increasing_id())
+    keys = [*by, *order, "_tie"]
+    spread = told.repartitionByRange(pieces, *keys) if pieces else told.repartitionByRange(*keys)
+    return stored(spread.withColumn("_piece", F.spark_partition_id()), "ordering-dealt")
+
+
+def _carried(pieces: DataFrame, by: list[str], value: Column) -> DataFrame:
+    """Buckets that begin in an earlier piece: ``by``, ``_piece`` and ``_before``, the sum of ``value`` there; a row a piece at most."""
+    key = F.struct(*by) if by else F.struct(F.lit(1).alias("_one"))
+    ends = pieces.groupBy("_piece").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    earlier = F.lag("_last").over(Window.partitionBy(F.lit(1)).orderBy("_piece"))
+    crossing = ends.withColumn("_earlier", earlier).filter(F.col("_earlier").isNotNull() & F.col("_earlier").eqNullSafe(F.col("_first")))
+    held = _semi(pieces, crossing.select("_first.*").distinct(), by) if by else pieces
+    sums = held.groupBy(*by, "_piece").agg(F.sum(value).alias("_n"))
+    return sums.withColumn("_before", F.sum("_n").over(_window(by).orderBy("_piece")) - F.col("_n")).drop("_n")
+
+
+def _semi(rows: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
+    """The rows whose ``by`` stands in ``few``, a table with no more rows than there are pieces; nulls are equal."""
+    own = few.withColumnsRenamed({c: f"_k_{c}" for c in by})
+    return rows.join(F.broadcast(own), reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by)), "left_semi")
 
 
-def running(rows: DataFrame, by: list[str], order: list[str], name: str, value: Column | None = None) -> DataFrame:
+def running(rows: DataFrame, by: list[str], order: list[str], name: str, value: Column | None = None, pieces: int | None = None) -> DataFrame:
     """``rows`` with ``name``: the sum of ``value`` (default 1) up to and with the row, in the order of its bucket.
 
-    The first column of ``order`` is a number. Nulls come first. Rows that tie in all of ``order`` are taken one by one.
+    Nulls come first. Rows that tie in all of ``order`` are taken one by one. An empty table gives an empty result.
     """
-    value = F.lit(1) if value is None else value
-    rows = celled(rows, by, order[0]).withColumn("_v", value)
-    cells = rows.groupBy(*by, "_cell").agg(F.sum("_v").alias("_n"))
-    cells = cells.withColumn("_before", F.sum("_n").over(_window(by).orderBy("_cell")) - F.col("_n")).drop("_n")
-    inside = F.sum("_v").over(_window([*by, "_cell"]).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return matched(rows, small(cells), [*by, "_cell"]).withColumn(name, F.col("_before") + inside).drop("_cell", "_v", "_before")
+    table = dealt(rows.withColumn("_v", F.lit(1).cast("long") if value is None else value), by, order, pieces)
+    inside = F.sum("_v").over(_window([*by, "_piece"]).orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, 0))
+    before = F.broadcast(_carried(table, by, F.col("_v")))  # no more rows than pieces
+    return matched(table.withColumn("_in", inside), before, [*by, "_piece"], "left").withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_in")).select(*rows.columns, name)
 
 
 def cuts(rows: DataFrame, by: list[str], order: list[str], wanted: DataFrame) -> DataFrame:
     """The rows at given places: ``wanted`` (``by``, ``cut``, ``k`` from 1) to ``by``, ``cut``, ``at`` (a struct of ``order``).
 
-    A place beyond the bucket gives no row.
+    ``rows`` has a column ``_cell`` that rises with the order of a bucket: only the rows of the cells that hold a wanted
+    place are ordered. A place beyond the bucket gives no row.
     """
-    rows = celled(rows.select(*by, *order), by, order[0])
     cells = rows.groupBy(*by, "_cell").agg(F.count("*").alias("_n"))
     cells = cells.withColumn("_before", F.sum("_n").over(_window(by).orderBy("_cell")) - F.col("_n"))
     hit = matched(cells, wanted, by).filter((F.col("k") > F.col("_before")) & (F.col("k") <= F.col("_before") + F.col("_n")))
     hit = hit.select(*by, "_cell", "cut", (F.col("k") - F.col("_before")).alias("_k"))
-    near = matched(rows, small(hit), [*by, "_cell"])
+    near = matched(rows, hit, [*by, "_cell"])
     rank = F.row_number().over(_window([*by, "_cell", "cut"]).orderBy(*order))
     return near.withColumn("_rank", rank).filter("_rank = _k").select(*by, "cut", F.struct(*order).alias("at"))
 
@@ -90,15 +106,16 @@ def parted(rows: DataFrame, by: list[str], order: list[str], sizes: DataFrame, p
     """``rows`` with ``part``: the first of each bucket's order go to the first of ``parts``, and so on, all others to ``rest``.
 
     ``sizes`` has ``by``, ``n`` (rows of the bucket) and a column of sizes for each part; rows of other buckets go.
-    Rows that tie in all of ``order`` fall together. Nothing but the rows of the cells that hold a cut is ordered.
+    Rows that tie in all of ``order`` fall together. Draws (``drawn``) come with their cells; other orders are dealt.
+    The cuts, a row a bucket, are stored; rows are marked where they stand.
     """
+    narrow = rows.select(*by, *order, *(["_cell"] if "_cell" in rows.columns else []))
+    if "_cell" not in rows.columns:
+        narrow = dealt(narrow, by, order).withColumnRenamed("_piece", "_cell")
     ends = [reduce(lambda a, b: a + b, (F.col(p) for p in parts[: i + 1])) for i in range(len(parts))]
     wanted = sizes.select(*by, F.explode(F.array(*(F.struct(F.lit(i).alias("cut"), F.least(e, F.col("n")).cast("long").alias("k")) for i, e in enumerate(ends)))).alias("_w")).select(*by, "_w.*")
-    found = cuts(rows, by, order, wanted.filter("k > 0"))
+    found = cuts(narrow, by, order, wanted.filter("k > 0"))
     table = matched(sizes.select(*by), found.groupBy(*by).agg(*(F.max(F.when(F.col("cut") == i, F.col("at"))).alias(f"_end{i}") for i in range(len(parts)))), by, "left")
-    for i in range(len(parts)):
-        if f"_end{i}" not in table.columns:
-            table = table.withColumn(f"_end{i}", F.lit(None))
     own = F.struct(*order)
     part = reduce(lambda c, i: c.when(own <= F.col(f"_end{i}"), parts[i]), range(1, len(parts)), F.when(own <= F.col("_end0"), parts[0]))
-    return matched(rows, small(table), by).withColumn("part", part.otherwise(rest)).drop(*(f"_end{i}" for i in range(len(parts))))
+    return matched(rows, small(table), by).withColumn("part", part.otherwise(rest)).drop("_cell", *(f"_end{i}" for i in range(len(parts))))

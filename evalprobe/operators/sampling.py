@@ -59,7 +59,7 @@ def sample_by_plan(rows: DataFrame, plan: DataFrame, seed: str | int, by: list[s
     own = drawn(rows, seed, key)
     sizes = own.groupBy(*buckets).agg(F.count("*").alias("_have"))
     sizes = matched(sizes, plan.select(*by, F.col("n").alias("in")), by).withColumnRenamed("_have", "n")
-    return parted(own, buckets, ["_o", "_d", key], sizes, ["in"], "out").filter("part = 'in'").drop("_d", "_o", "part")
+    return parted(own, buckets, ["_d", key], sizes, ["in"], "out").filter("part = 'in'").drop("_d", "part")
 
 
 def equal_shares(sizes: DataFrame, by: str, target: int) -> DataFrame:

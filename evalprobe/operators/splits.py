@@ -28,7 +28,7 @@ def three_way(rows: DataFrame, by: list[str], key: str, seed: str | int | Column
     own = drawn(rows, seed, key)
     sizes = own.groupBy(*buckets).agg(F.count("*").alias("n")).filter("n >= 3")
     v, t = part_sizes(F.col("n"), validation, test, shrink_test_first)
-    return parted(own, buckets, ["_o", "_d", key], sizes.withColumns({"test": t, "val": v}), ["test", "val"], "train").drop("_d", "_o")
+    return parted(own, buckets, ["_d", key], sizes.withColumns({"test": t, "val": v}), ["test", "val"], "train").drop("_d")
 
 
 def by_class(rows: DataFrame, key: str, seed: str | int | Column, test: float = 0.2, label: str = "label", group: list[str] | None = None) -> DataFrame:
@@ -37,14 +37,14 @@ def by_class(rows: DataFrame, key: str, seed: str | int | Column, test: float =
     own = drawn(rows, seed, key)
     n, size = F.col("n"), F.greatest(F.lit(1), F.bround(F.col("n") * test))
     sizes = own.groupBy(*buckets).agg(F.count("*").alias("n")).withColumn("test", F.when(size >= n, F.greatest(F.lit(1), n - 1)).otherwise(size))
-    return parted(own, buckets, ["_o", "_d", key], sizes, ["test"], "train").drop("_d", "_o")
+    return parted(own, buckets, ["_d", key], sizes, ["test"], "train").drop("_d")
 
 
 def by_group(rows: DataFrame, group: str, seed: str | int, test: float = 0.2) -> DataFrame:
     """Whole groups go to test: the split is drawn on a table of groups."""
     groups = drawn(rows.select(group).distinct(), seed, group)
     sizes = groups.groupBy().agg(F.count("*").alias("n")).withColumn("test", F.greatest(F.lit(1), F.bround(F.col("n") * test)))
-    return matched(rows, small(parted(groups, [], ["_o", "_d", group], sizes, ["test"], "train").select(group, "part")), [group])
+    return matched(rows, small(parted(groups, [], ["_d", group], sizes, ["test"], "train").select(group, "part")), [group])
 
 
 def pair_validation(pairs: DataFrame, key: str, seed: str | int, fixed: int | None = None, per: str | None = None, count: int | None = None, fraction: float | None = None, benchmarks: int | None = None) -> DataFrame:
@@ -57,7 +57,7 @@ def pair_validation(pairs: DataFrame, key: str, seed: str | int, fixed: int | No
     if benchmarks is not None and (found := sizes.count()) != benchmarks:
         raise ValueError(f"{found} benchmarks instead of {benchmarks}")
     size = F.lit(fixed) if fixed is not None else F.lit(count) if count is not None else F.least(F.greatest(F.lit(1), F.bround(F.col("n") * fraction)), F.col("n") - 1)
-    return parted(own, by, ["_o", "_d", key], sizes.withColumn("val", size), ["val"], "train").drop("_d", "_o")
+    return parted(own, by, ["_d", key], sizes.withColumn("val", size), ["val"], "train").drop("_d")
 
 
 def round_robin(seeds: DataFrame, splits: DataFrame, seed_order: str, split_order: str) -> DataFrame:

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import pairs as Pairs
+from ..operators.storage import folder
 from ..sources import questions as Q
 from . import views as V
 from .registry import query
 
 
-def _folder(spark, name: str) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{found}/{name}-{uuid.uuid4().hex}"
-
-
 def _questions(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").cast("string").alias("unique_id"), F.col("source").alias("question_id"), F.when(F.col("doc_id") % 4 != 0, F.col("lang")).alias("category"), F.col("text").alias("question"), F.when(F.col("doc_id") % 3 != 0, F.lit("A. x")).alias("options"), F.when(F.col("doc_id") % 5 == 0, F.lit("")).when(F.col("doc_id") % 5 == 1, F.lit("not json")).otherwise(F.concat(F.lit('["'), F.base64(F.col("source").cast("binary")), F.lit('"]'))).alias("images"), F.lit("A").alias("ground_truth"))
@@ -30,7 +24,7 @@ def s1_ordered_parquet(spark, sf_dir):
 
 @query("SELECT doc_id::VARCHAR AS unique_id, coalesce(CASE WHEN doc_id % 4 <> 0 THEN lang END, '') AS category, CASE WHEN doc_id % 3 <> 0 THEN 'A. x' ELSE '' END AS options, CASE WHEN doc_id % 5 < 2 THEN 0 ELSE 1 END AS n_images, CASE WHEN doc_id % 5 < 2 THEN NULL ELSE source END AS image, length(text) AS n_chars FROM documents")
 def s6_s7_conform_and_clean(spark, sf_dir):
-    path = _folder(spark, "questions")
+    path = folder(spark, "questions")
     Q.build(_questions(spark, sf_dir), path)
     rows = Q.cleaned(spark.read.parquet(path))
     return rows.select("unique_id", "category", "options", F.size("images").alias("n_images"), F.decode(F.try_element_at("images", F.lit(1)), "UTF-8").alias("image"), F.length("question").cast("long").alias("n_chars"))
@@ -38,14 +32,14 @@ def s6_s7_conform_and_clean(spark, sf_dir):
 
 @query("SELECT lang AS dataset, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
 def s2_s10_json_sink(spark, sf_dir):
-    path = _folder(spark, "json")
+    path = folder(spark, "json")
     Q.write_json(V.table(spark, sf_dir, "documents").select(F.col("lang").alias("dataset"), "doc_id", "n_chars"), path)
     return Q.read_json_lines(spark, path, "dataset string, doc_id long, n_chars long").groupBy("dataset").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query(f"WITH {V.ACT} SELECT 's' || vec_id AS sig, layer, len(vec) AS dims FROM act WHERE layer IN (1, 3) AND vec_id % 4 = 0 AND vec_id % 2 = 0")
 def s11_s12_activation_store(spark, sf_dir):
-    path = _folder(spark, "store")
+    path = folder(spark, "store")
     act = V.activations(spark, sf_dir)
     Q.write_store(act.select(F.when(F.col("vec_id") % 2 == 0, "with").otherwise("without").alias("mode"), "feature", F.concat(F.lit("s"), "vec_id").alias("sig"), "vec"), path)
     keys = V.table(spark, sf_dir, "embeddings").filter("vec_id % 4 = 0").select(F.concat(F.lit("s"), "vec_id").alias("sig"))
@@ -61,7 +55,7 @@ def s13_s14_s15_result_files(spark, sf_dir):
     short = lambda r: F.struct(r["validation_accuracy"].alias("validation_accuracy"), r["test_accuracy"].alias("test_accuracy"))
     payload = F.when(F.col("split_seed") % 3 == 0, F.to_json("l")).when(F.col("split_seed") % 3 == 1, F.to_json(F.struct(F.col("l").alias("feature_probe_accuracies")))).otherwise(F.to_json(F.map_from_entries(F.transform("l", lambda r: F.struct(r["feature"].alias("key"), short(r).alias("value"))))))
     mode = F.element_at(F.array(F.lit("vqa_rad"), F.lit("mmmu_pro"), F.lit("all")), (F.col("split_seed") % 3 + 1).cast("int"))
-    path = _folder(spark, "results")
+    path = folder(spark, "results")
     folder = F.concat(F.lit("0"), "split_seed", F.lit("_probe"))
     listed.select(payload.alias("value"), folder.alias("stage"), F.concat(F.lit("run_"), mode, F.lit("_ovis")).alias("run")).write.partitionBy("stage", "run").text(path)
     files = Q.result_files(spark, path, "*.txt").withColumn("path", F.regexp_replace(F.regexp_replace("path", "stage=", ""), "run=", ""))
@@ -130,7 +124,7 @@ def j12_s8_joined_rewrites(spark, sf_dir):
 @query("SELECT doc_id, lang, text FROM documents")
 def s3_json_arrays(spark, sf_dir):
     """Files of one JSON array each, a thousand ids a file."""
-    path = _folder(spark, "arrays")
+    path = folder(spark, "arrays")
     docs = V.table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 1000).alias("file"), F.struct("doc_id", "lang", "text").alias("row"))
     docs.groupBy("file").agg(F.to_json(F.collect_list("row")).alias("value")).write.partitionBy("file").text(path)
     return Q.read_json_array(spark, path, "doc_id long, lang string, text string").select("doc_id", "lang", "text")
@@ -138,7 +132,7 @@ def s3_json_arrays(spark, sf_dir):
 
 @query("SELECT doc_id, lang, source, n_chars FROM documents")
 def s4_tab_separated(spark, sf_dir):
-    path = _folder(spark, "tsv")
+    path = folder(spark, "tsv")
     V.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").write.option("sep", "\t").option("header", True).csv(path)
     return Q.read_tsv(spark, path, "doc_id long, lang string, source string, n_chars long")
 
@@ -156,7 +150,7 @@ def s8_named_sets(spark, sf_dir):
 @query("SELECT doc_id, lang FROM documents WHERE n_chars > 500")
 def s9_fallback_read(spark, sf_dir):
     """No clean copy at first, then one: the raw table is read once and the clean one after."""
-    clean, raw = _folder(spark, "clean"), f"{sf_dir}/documents.parquet"
+    clean, raw = folder(spark, "clean"), f"{sf_dir}/documents.parquet"
     Q.build(_kept(Q.first_found(spark, clean, raw)), clean)
     return Q.first_found(spark, clean, raw).select(F.col("unique_id").cast("long").alias("doc_id"), F.col("category").alias("lang"))
 
@@ -174,8 +168,8 @@ def s12_store_mismatches(spark, sf_dir):
 
 
 @query("SELECT 'overall' AS part, count(*) AS n FROM documents UNION ALL SELECT 'summary', count(DISTINCT lang) FROM documents UNION ALL SELECT 'metadata', count(*) FROM documents UNION ALL SELECT 'datasets', count(*) FROM documents")
-def s10_result_folder(spark, sf_dir):
-    path = _folder(spark, "results")
+def s10_resultfolder(spark, sf_dir):
+    path = folder(spark, "results")
     rows = V.table(spark, sf_dir, "documents").select(F.col("lang").alias("dataset"), "doc_id", "text")
     Q.write_results(rows, rows.groupBy("dataset").agg(F.count("*").alias("n")), {"model": "a", "setting": "b"}, path)
     row, n = "dataset string, doc_id long, text string", F.count("*").alias("n")

@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evalprobe.operators import confounds as C
@@ -129,26 +130,59 @@ def test_probe_steps_by_plain_loops():
     assert len(start.params) == 2
 
 
-@pytest.mark.parametrize("cells", [1, 3, 4096])
-def test_running_sums_and_cuts(spark, monkeypatch, cells):
-    """Against a plain sort: nulls, ties, infinities, empty tables, null buckets, any number of cells."""
+@pytest.mark.parametrize("pieces", [1, 3, 40])
+def test_running_sums_and_cuts(spark, pieces):
+    """Against a plain sort: nulls, ties, infinities, empty tables, null buckets, any number of pieces."""
     from evalprobe.operators import ordering as O
 
-    monkeypatch.setattr(O, "CELLS", cells)
-    draw = random.Random(cells)
+    draw = random.Random(pieces)
     rows = [(draw.choice(["a", "b", None]), draw.choice([None, 1.0, 2.5, float(draw.randrange(100)), float("inf"), float("-inf")]), i) for i in range(120)]
     table = spark.createDataFrame(rows, "g string, x double, i int").repartition(3)
-    want = {}
+    want, sums, everything = {}, {}, {}
     for g in ("a", "b", None):
         own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0.0, r[2]))
         want |= {r[2]: k + 1 for k, r in enumerate(own)}
-    assert {r.i: r.n for r in O.running(table, ["g"], ["x", "i"], "n").collect()} == want
+        sums |= {r[2]: sum(x[2] for x in own[: k + 1]) for k, r in enumerate(own)}
+    for k, r in enumerate(sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[2]))):
+        everything[r[2]] = k + 1
+    assert {r.i: r.n for r in O.running(table, ["g"], ["x", "i"], "n", pieces=pieces).collect()} == want
+    assert {r.i: r.n for r in O.running(table, ["g"], ["x", "i"], "n", F.col("i"), pieces=pieces).collect()} == sums
+    assert {r.i: r.n for r in O.running(table, [], ["x", "i"], "n", pieces=pieces).collect()} == everything
     assert O.running(table.limit(0), ["g"], ["x", "i"], "n").count() == 0
     sizes = table.groupBy("g").agg(F.count("*").alias("n")).withColumns({"p": F.lit(5), "q": F.lit(1000)})
     got = {r.i: r.part for r in O.parted(table, ["g"], ["x", "i"], sizes, ["p", "q"], "rest").collect()}
     assert got == {i: "p" if k <= 5 else "q" for i, k in want.items()}
 
 
+def test_running_over_repeated_rows(spark):
+    from evalprobe.operators import ordering as O
+
+    table = spark.createDataFrame([("a", 1)] * 50 + [("b", 2)] * 3, "g string, x int").repartition(4)
+    found = O.running(table, ["g"], ["x"], "n", pieces=8)
+    assert found.columns == ["g", "x", "n"]
+    assert sorted((r.g, r.n) for r in found.collect()) == [("a", k + 1) for k in range(50)] + [("b", k + 1) for k in range(3)]
+
+
+@pytest.mark.parametrize("shape", ["outlier", "hot", "repeated", "geometric"])
+def test_pieces_are_of_like_size_under_any_distribution(spark, shape):
+    """One outlier of 2**60, a value in a third of the rows, equal rows, and doubling values: ranks equal row_number, no piece is above twice its share."""
+    from evalprobe.operators import ordering as O
+
+    n, pieces = 30_000, 20
+    x = {"outlier": F.when(F.col("id") == 7, F.lit(1 << 60)).otherwise(F.col("id")), "hot": F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")), "repeated": F.lit(1), "geometric": F.expr("shiftleft(1L, cast(id % 62 as int))")}[shape]
+    table = spark.range(n).select(F.lit("g").alias("g"), x.cast("long").alias("x"), F.xxhash64("id").alias("y"), "id")
+    order = ["x"] if shape == "repeated" else ["x", "y"]
+    dealt = O.dealt(table, ["g"], order, pieces)
+    sizes = [r["count"] for r in dealt.groupBy("_piece").count().collect()]
+    assert len(sizes) == pieces and max(sizes) <= 2 * n / pieces
+    found = O.running(table, ["g"], order, "n", pieces=pieces)
+    if shape == "repeated":
+        assert sorted(r.n for r in found.collect()) == list(range(1, n + 1))
+    else:
+        w = Window.partitionBy("g").orderBy(*order)
+        assert found.withColumn("w", F.row_number().over(w)).filter("n <> w").count() == 0
+
+
 def test_equal_shares_by_rounds(spark):
     draw = random.Random(4)
     for target in (0, 1, 7, 40, 500):
