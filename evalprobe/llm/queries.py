@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdtree, lines, minhash, mixing, packing, quality, scoring, secrets, spelling, substrings, warc
+from . import kdtree, lines, minhash, mixing, packing, quality, repair, scoring, secrets, spelling, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,5 +61,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.grouped(_table(spark, sf_dir, "documents"), spelling.mistyped)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lines": op1_lines, "op2_warc": op2_warc, "op3_mixing": op3_mixing, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_kdtree": op7_kdtree, "op8_scoring": op8_scoring, "op9_secrets": op9_secrets, "op10_substrings": op10_substrings, "op12_spelling": op12_spelling}
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with planted faults, repaired."""
+    return repair.digest(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lines": op1_lines, "op2_warc": op2_warc, "op3_mixing": op3_mixing, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_kdtree": op7_kdtree, "op8_scoring": op8_scoring, "op9_secrets": op9_secrets, "op10_substrings": op10_substrings, "op12_spelling": op12_spelling, "op13_repair": op13_repair}
 ORACLE: dict[str, str] = {"op3_mixing": mixing.SQL, "op6_quality": quality.SQL, "op7_kdtree": kdtree.SQL}

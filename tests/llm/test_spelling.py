@@ -56,7 +56,7 @@ def found(spark, texts):
 def test_words_of_few_letters_have_many_neighbours(spark):
     """Runs of one letter, where a pair meets under several quarters; A to Z alone are lower-cased; all lengths and places of edits."""
     draw = random.Random(1)
-    texts = [(i, " ".join("".join(draw.choice("aAbÀà") for _ in range(draw.randrange(6, 11))) for _ in range(500))) for i in range(5)]
+    texts = [(i, " ".join("".join(draw.choice("aAbÀ") for _ in range(draw.randrange(6, 10))) for _ in range(3000))) for i in range(5)]
     texts += [(None, "aaaaaaa aaaaaaaa aaaaaaaa"), (None, "aaaaaaa aaaaaaaa aaaaaaaa"), (7, None), (8, ""), (9, "aĀbcdefghi 一 1234567")]
     want = brute(texts)
     assert len(want) > 100 and found(spark, texts) == want
