@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdtree, lines, minhash, mixing, packing, quality, repair, scoring, secrets, spelling, substrings, warc
+from . import chat, kdtree, lines, minhash, mixing, packing, quality, repair, scoring, secrets, spelling, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,14 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(_table(spark, sf_dir, "documents"))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts spell marks of chat templates, formatted and read back."""
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(*chat.packed(rows.unionByName(more)))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words with planted typing errors, which the operator has to lead back to their forms."""
     return spelling.grouped(_table(spark, sf_dir, "documents"), spelling.mistyped)
@@ -66,5 +74,5 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digest(repair.damaged(_table(spark, sf_dir, "conversations")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lines": op1_lines, "op2_warc": op2_warc, "op3_mixing": op3_mixing, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_kdtree": op7_kdtree, "op8_scoring": op8_scoring, "op9_secrets": op9_secrets, "op10_substrings": op10_substrings, "op12_spelling": op12_spelling, "op13_repair": op13_repair}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lines": op1_lines, "op2_warc": op2_warc, "op3_mixing": op3_mixing, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_kdtree": op7_kdtree, "op8_scoring": op8_scoring, "op9_secrets": op9_secrets, "op10_substrings": op10_substrings, "op11_chat": op11_chat, "op12_spelling": op12_spelling, "op13_repair": op13_repair}
 ORACLE: dict[str, str] = {"op3_mixing": mixing.SQL, "op6_quality": quality.SQL, "op7_kdtree": kdtree.SQL}
