@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ordering import small
+from .storage import stored
 
 # Phrases by group.
 PHRASES = {
@@ -48,13 +54,63 @@ def document_frequency(examples: DataFrame, by: list[str] | None = None, usable:
     return examples.select(*(by or []), "label", F.explode(own).alias("gram")).groupBy(*(by or []), "gram").agg(F.count_if(F.col("label") == 0).alias("c0"), F.count_if(F.col("label") == 1).alias("c1"))
 
 
+#: Texts that are counted by themselves in the first pass; more make fewer candidates and larger tables of counts.
+CHUNK_TEXTS = 500
+
+
+def candidates(texts: DataFrame, share: float) -> DataFrame:
+    """Every ``gram`` that more than ``share`` of all texts may hold, and others: none is missed.
+
+    A gram that a share of all texts holds is held by that share of at least one chunk, however the texts are divided.
+    So each task counts chunks of ``CHUNK_TEXTS`` texts, one after another, and passes on what reaches the share there:
+    at most 1 / share times a text's mean number of grams for each chunk, and mostly the same ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[str] = set()
+        counts: Counter[str] = Counter()
+        n = 0
+
+        def reached() -> pa.RecordBatch:
+            new = [g for g, c in counts.items() if c >= share * n and g not in told]
+            if len(told) + len(new) > 1_000_000:
+                told.clear()
+            told.update(new)
+            return pa.RecordBatch.from_arrays([pa.array(new, pa.string())], names=["gram"])
+
+        for batch in batches:
+            for tokens in batch.column(0).to_pylist():
+                tokens = tokens or []
+                counts.update({*tokens, *map(" ".join, zip(tokens, tokens[1:], strict=False))})
+                n += 1
+                if n == CHUNK_TEXTS:
+                    yield reached()
+                    counts.clear()
+                    n = 0
+        if n:
+            yield reached()
+
+    return texts.select(T.tokens(F.col("text")).alias("tokens")).mapInArrow(run, "gram string").distinct()
+
+
+def frequent_grams(examples: DataFrame, share: float = 0.02, least: int = 4) -> DataFrame:
+    """``document_frequency`` of the usable grams that ``share`` of all texts (rounded down), and ``least`` at least, hold.
+
+    Two passes: candidates by chunks, then exact counts of the candidates alone, so that only rows of grams that may
+    reach the threshold are shuffled. The candidates are stored; from the size of that table the planner broadcasts it
+    to the texts' grams, or else joins by shuffle.
+    """
+    few = small(candidates(examples, share).filter((F.length("gram") > 1) & ~F.col("gram").rlike("^[0-9]+$")))
+    sizes = examples.agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
+    grams = examples.select("label", F.explode(T.grams(T.tokens(F.col("text")))).alias("gram")).join(few, "gram", "left_semi")
+    df = grams.groupBy("gram").agg(F.count_if(F.col("label") == 0).alias("c0"), F.count_if(F.col("label") == 1).alias("c1")).crossJoin(F.broadcast(sizes))  # sizes is one row
+    return df.filter(F.col("c0") + F.col("c1") >= F.greatest(F.lit(least), F.floor(F.lit(share) * (F.col("n0") + F.col("n1")))))
+
+
 def log_odds(examples: DataFrame) -> DataFrame:
     """Smoothed log-odds of the grams that 2 % of the texts, and four at least, hold."""
-    sizes = examples.agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
-    df = document_frequency(examples, usable=True).crossJoin(F.broadcast(sizes))  # sizes is one row
-    kept = df.filter(F.col("c0") + F.col("c1") >= F.greatest(F.lit(4), F.floor(F.lit(0.02) * (F.col("n0") + F.col("n1")))))
     p = lambda k: (F.col(f"c{k}") + 0.5) / (F.col(f"n{k}") + 1.0)
-    return kept.select("gram", "c0", "c1", F.round(F.ln(p(1) / (1 - p(1))) - F.ln(p(0) / (1 - p(0))), 6).alias("log_odds"))
+    return frequent_grams(examples).select("gram", "c0", "c1", F.round(F.ln(p(1) / (1 - p(1))) - F.ln(p(0) / (1 - p(0))), 6).alias("log_odds"))
 
 
 def top_grams(odds: DataFrame, k: int = 12) -> DataFrame:
@@ -64,19 +120,55 @@ def top_grams(odds: DataFrame, k: int = 12) -> DataFrame:
     return for1.unionByName(for0)
 
 
-def naive_bayes(train: DataFrame, test: DataFrame, run: list[str], key: str) -> DataFrame:
-    """Predictions of a multinomial model over distinct grams with add-one counts, for every run in one job.
+#: Runs in one word of a mask.
+_BITS = 62
+
+
+def _words(runs: int) -> int:
+    return -(-runs // _BITS)
+
+
+def _mask(numbers: str, word: int) -> Column:
+    """The runs of an array of numbers that fall into a word, as bits."""
+    own = F.filter(numbers, lambda r: F.floor(r / _BITS) == word)
+    return F.aggregate(F.array_distinct(own), F.lit(0).cast("long"), lambda m, r: m + F.call_function("shiftleft", F.lit(1).cast("long"), (r % _BITS).cast("int")))
+
+
+def _bit(mask: str, run: int) -> Column:
+    return F.call_function("shiftright", F.col(f"{mask}{run // _BITS}"), F.lit(run % _BITS)) % 2
+
+
+def naive_bayes(rows: DataFrame, texts: DataFrame, key: str, runs: int) -> DataFrame:
+    """Predictions of multinomial models over distinct grams with add-one counts, one for each scope and run, all in one job.
+
+    ``rows`` says who takes part: ``key``, ``label``, ``trains`` and ``tests``, the scopes (names, say of data sets) in
+    which a text trains or is tested, and ``train`` and ``test``, the numbers below ``runs`` of the runs in which it does
+    so. ``texts`` holds ``key`` and ``text``. Result: ``scope``, ``run``, ``key``, ``label``, ``predicted``.
 
-    ``train`` and ``test`` hold ``run`` columns, ``label`` and ``text``. Grams that training does not know drop out, and
-    ties go to class 0. The counts of a run are aggregated by gram; test grams meet them in one join on (run, gram).
+    Every text is divided into grams once, whatever the number of runs: its runs are a bit mask on the row, a gram's
+    counts are arrays over all runs, and so are a tested text's sums. Grams that a run's training does not know drop
+    out, ties go to class 0, a scope and run without training texts have no model.
     """
-    df = document_frequency(train, run)
-    totals = df.groupBy(*run).agg((F.sum("c0") + F.count("*")).alias("d0"), (F.sum("c1") + F.count("*")).alias("d1"))
-    classes = train.groupBy(*run).agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
-    prior = lambda k: F.ln((F.col(f"n{k}") + 1.0) / (F.col("n0") + F.col("n1") + 2.0))
-    grams = test.select(*run, key, F.explode(T.grams(T.tokens(F.col("text")))).alias("gram"))
-    met = grams.join(df, [*run, "gram"]).groupBy(*run, key).agg(F.count("*").alias("k"), F.sum(F.ln(F.col("c0") + 1.0)).alias("s0"), F.sum(F.ln(F.col("c1") + 1.0)).alias("s1"))
-    small = totals.join(classes, run).select(*run, F.ln("d0").alias("l0"), F.ln("d1").alias("l1"), prior(0).alias("p0"), prior(1).alias("p1"))
-    scored = test.select(*run, key, "label", *[c for c in test.columns if c not in {*run, key, "label", "text"}]).join(met, [*run, key], "left").join(small, run)
-    score = lambda k: F.col(f"p{k}") + F.coalesce(f"s{k}", F.lit(0.0)) - F.coalesce("k", F.lit(0)) * F.col(f"l{k}")
-    return scored.withColumn("predicted", (score(1) > score(0)).cast("int")).drop("k", "s0", "s1", "l0", "l1", "p0", "p1")
+    every = range(runs)
+    masks = {f"_a{w}": _mask("train", w) for w in range(_words(runs))} | {f"_b{w}": _mask("test", w) for w in range(_words(runs))}
+    rows = stored(rows.select(key, "label", "trains", "tests", "test", "train").withColumns(masks), "bayes-rows")
+    own = rows.drop("train", "test")
+    grams = stored(texts.select(key, "text").join(own, key).select(*own.columns, F.explode(T.grams(T.tokens(F.col("text")))).alias("gram")), "bayes-grams")
+    trained = grams.filter(" OR ".join(f"_a{w} <> 0" for w in range(_words(runs)))).withColumn("scope", F.explode("trains"))
+    count = lambda k: F.array(*(F.sum(F.when(F.col("label") == k, _bit("_a", r)).otherwise(0)) for r in every)).alias(f"c{k}")
+    counts = trained.groupBy("scope", "gram").agg(count(0), count(1))
+    at = lambda c, r: F.get(c, F.lit(r))
+    known = lambda r: (at("c0", r) + at("c1", r) > 0).cast("long")
+    total = lambda k: F.array(*(F.sum(at(f"c{k}", r)) + F.sum(known(r)) for r in every)).alias(f"d{k}")
+    totals = counts.groupBy("scope").agg(total(0), total(1))
+    sizes = rows.withColumn("scope", F.explode("trains")).groupBy("scope").agg(*(F.array(*(F.sum(F.when(F.col("label") == k, _bit("_a", r)).otherwise(0)) for r in every)).alias(f"n{k}") for k in (0, 1)))
+    logs = lambda k: F.transform(f"c{k}", lambda c: F.ln(c + 1.0)).alias(f"l{k}")
+    model = counts.select("scope", "gram", logs(0), logs(1), F.zip_with("c0", "c1", lambda a, b: (a + b > 0).cast("long")).alias("known"))
+    tested = grams.filter(" OR ".join(f"_b{w} <> 0" for w in range(_words(runs)))).select(key, F.explode("tests").alias("scope"), "gram")
+    summed = lambda c, name: F.array(*(F.sum(F.when(at("known", r) > 0, at(c, r))) for r in every)).alias(name)
+    met = tested.join(model, ["scope", "gram"]).groupBy("scope", key).agg(summed("l0", "s0"), summed("l1", "s1"), summed("known", "k"))
+    asked = rows.select(key, "label", F.explode("tests").alias("scope"), "test").join(met, ["scope", key], "left").join(sizes.join(totals, "scope", "left"), "scope")
+    each = asked.withColumn("run", F.explode("test"))
+    of = lambda c: F.coalesce(F.get(c, F.col("run").cast("int")), F.lit(0))
+    score = lambda k: F.ln((of(f"n{k}") + 1.0) / (of("n0") + of("n1") + 2.0)) + of(f"s{k}") - of("k") * F.ln(F.greatest(of(f"d{k}"), F.lit(1)))
+    return each.filter(of("n0") + of("n1") > 0).select("scope", "run", key, "label", (score(1) > score(0)).cast("int").alias("predicted"))

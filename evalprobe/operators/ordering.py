@@ -8,7 +8,7 @@ many pieces and a piece hold many buckets. What a bucket has in earlier pieces i
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -87,14 +87,18 @@ def running(rows: DataFrame, by: list[str], order: list[str], name: str, value:
     return matched(table.withColumn("_in", inside), before, [*by, "_piece"], "left").withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_in")).select(*rows.columns, name)
 
 
-def cuts(rows: DataFrame, by: list[str], order: list[str], wanted: DataFrame) -> DataFrame:
+def counted(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The cells of ``rows`` (``by``, ``_cell``) with ``_n``, their rows, and ``_before``, the rows of their bucket in earlier cells."""
+    cells = rows.groupBy(*by, "_cell").agg(F.count("*").alias("_n"))
+    return cells.withColumn("_before", F.sum("_n").over(_window(by).orderBy("_cell")) - F.col("_n"))
+
+
+def cuts(rows: DataFrame, cells: DataFrame, by: list[str], order: list[str], wanted: DataFrame) -> DataFrame:
     """The rows at given places: ``wanted`` (``by``, ``cut``, ``k`` from 1) to ``by``, ``cut``, ``at`` (a struct of ``order``).
 
-    ``rows`` has a column ``_cell`` that rises with the order of a bucket: only the rows of the cells that hold a wanted
-    place are ordered. A place beyond the bucket gives no row.
+    ``rows`` has a column ``_cell`` that rises with the order of a bucket, ``cells`` counts them (``counted``): only the
+    rows of the cells that hold a wanted place are ordered. A place beyond the bucket gives no row.
     """
-    cells = rows.groupBy(*by, "_cell").agg(F.count("*").alias("_n"))
-    cells = cells.withColumn("_before", F.sum("_n").over(_window(by).orderBy("_cell")) - F.col("_n"))
     hit = matched(cells, wanted, by).filter((F.col("k") > F.col("_before")) & (F.col("k") <= F.col("_before") + F.col("_n")))
     hit = hit.select(*by, "_cell", "cut", (F.col("k") - F.col("_before")).alias("_k"))
     near = matched(rows, hit, [*by, "_cell"])
@@ -102,20 +106,23 @@ def cuts(rows: DataFrame, by: list[str], order: list[str], wanted: DataFrame) ->
     return near.withColumn("_rank", rank).filter("_rank = _k").select(*by, "cut", F.struct(*order).alias("at"))
 
 
-def parted(rows: DataFrame, by: list[str], order: list[str], sizes: DataFrame, parts: list[str], rest: str) -> DataFrame:
+def parted(rows: DataFrame, by: list[str], order: list[str], sizes: Callable[[DataFrame], DataFrame], parts: list[str], rest: str) -> DataFrame:
     """``rows`` with ``part``: the first of each bucket's order go to the first of ``parts``, and so on, all others to ``rest``.
 
-    ``sizes`` has ``by``, ``n`` (rows of the bucket) and a column of sizes for each part; rows of other buckets go.
-    Rows that tie in all of ``order`` fall together. Draws (``drawn``) come with their cells; other orders are dealt.
-    The cuts, a row a bucket, are stored; rows are marked where they stand.
+    ``sizes`` turns the table of buckets (``by``, ``n``) into one with a column of sizes for each part; rows of buckets
+    that it leaves out go. Rows that tie in all of ``order`` fall together. Draws (``drawn``) come with their cells;
+    other orders are dealt. The cuts, a row a bucket, are stored; rows are marked where they stand.
     """
-    narrow = rows.select(*by, *order, *(["_cell"] if "_cell" in rows.columns else []))
-    if "_cell" not in rows.columns:
-        narrow = dealt(narrow, by, order).withColumnRenamed("_piece", "_cell")
+    if "_cell" in rows.columns:
+        narrow = rows.select(*by, *order, "_cell")
+    else:
+        narrow = dealt(rows.select(*by, *order), by, order).withColumnRenamed("_piece", "_cell")
+    cells = counted(narrow, by)
+    buckets = sizes(cells.groupBy(*by).agg(F.sum("_n").alias("n")))
     ends = [reduce(lambda a, b: a + b, (F.col(p) for p in parts[: i + 1])) for i in range(len(parts))]
-    wanted = sizes.select(*by, F.explode(F.array(*(F.struct(F.lit(i).alias("cut"), F.least(e, F.col("n")).cast("long").alias("k")) for i, e in enumerate(ends)))).alias("_w")).select(*by, "_w.*")
-    found = cuts(narrow, by, order, wanted.filter("k > 0"))
-    table = matched(sizes.select(*by), found.groupBy(*by).agg(*(F.max(F.when(F.col("cut") == i, F.col("at"))).alias(f"_end{i}") for i in range(len(parts)))), by, "left")
+    wanted = buckets.select(*by, F.explode(F.array(*(F.struct(F.lit(i).alias("cut"), F.least(e, F.col("n")).cast("long").alias("k")) for i, e in enumerate(ends)))).alias("_w")).select(*by, "_w.*")
+    found = cuts(narrow, cells, by, order, wanted.filter("k > 0"))
+    table = matched(buckets.select(*by), found.groupBy(*by).agg(*(F.max(F.when(F.col("cut") == i, F.col("at"))).alias(f"_end{i}") for i in range(len(parts)))), by, "left")
     own = F.struct(*order)
     part = reduce(lambda c, i: c.when(own <= F.col(f"_end{i}"), parts[i]), range(1, len(parts)), F.when(own <= F.col("_end0"), parts[0]))
     return matched(rows, small(table), by).withColumn("part", part.otherwise(rest)).drop("_cell", *(f"_end{i}" for i in range(len(parts))))

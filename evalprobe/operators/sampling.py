@@ -53,13 +53,18 @@ def with_floor(caps: DataFrame, target: int, floor: int = 3, key: str = "dataset
     return caps.withColumn("n", (F.col("_low") + floor + more).cast("long")).drop("_rest", "_raw", "_low", "_left", "_rank")
 
 
-def sample_by_plan(rows: DataFrame, plan: DataFrame, seed: str | int, by: list[str], key: str, also: list[str] | None = None) -> DataFrame:
-    """``n`` (of the plan) random rows of every bucket."""
+def sample_by_plan(rows: DataFrame, plan: DataFrame, seed: str | int, by: list[str], key: str, also: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """``n`` (of the plan) random rows of every bucket.
+
+    ``most`` bounds ``n``: then each task passes on no more than that of a bucket, and the sample takes two scans and no
+    job of its own. Without it a bucket's share may be of any size.
+    """
     buckets = by + (also or [])
-    own = drawn(rows, seed, key)
-    sizes = own.groupBy(*buckets).agg(F.count("*").alias("_have"))
-    sizes = matched(sizes, plan.select(*by, F.col("n").alias("in")), by).withColumnRenamed("_have", "n")
-    return parted(own, buckets, ["_d", key], sizes, ["in"], "out").filter("part = 'in'").drop("_d", "part")
+    if most is not None:
+        told = matched(rows, plan.select(*by, F.col("n").alias("_plan")), by)
+        return first_n(told.withColumn("_d", draw(seed, key)), buckets, F.col("_plan"), "_d", key, most=most).drop("_d", "_plan")
+    planned = lambda counts: matched(counts, plan.select(*by, F.col("n").alias("in")), by)
+    return parted(drawn(rows, seed, key), buckets, ["_d", key], planned, ["in"], "out").filter("part = 'in'").drop("_d", "part")
 
 
 def equal_shares(sizes: DataFrame, by: str, target: int) -> DataFrame:
@@ -83,9 +88,8 @@ def equal_shares(sizes: DataFrame, by: str, target: int) -> DataFrame:
 
 def equal_share(rows: DataFrame, by: str, target: int, order: str) -> DataFrame:
     """Equal shares of the buckets (``equal_shares``), of each the first rows by the number ``order``."""
-    sizes = rows.groupBy(by).agg(F.count("*").alias("size"))
-    plan = equal_shares(sizes, by, target).select(by, F.col("n").alias("in"), F.col("size").alias("n"))
-    return parted(rows, [by], [order], plan, ["in"], "out").filter("part = 'in'").drop("part")
+    planned = lambda counts: equal_shares(counts.withColumnRenamed("n", "size"), by, target).select(by, F.col("n").alias("in"), F.col("size").alias("n"))
+    return parted(rows, [by], [order], planned, ["in"], "out").filter("part = 'in'").drop("part")
 
 
 def class_targets(counts: dict[int, int], targets: dict[int, int], total: int = 0) -> dict[int, int]:

@@ -15,26 +15,21 @@ from ..operators import splits as Sp
 from ..operators import vectors as X
 from . import views as V
 from .registry import ORACLE, query
-from .samples import _TOK, _sample
+from .samples import _TOK, PAIRS, _sample, texts
 
 #: Split seeds of every experiment, and the units of a hidden layer over sixteen inputs.
 _SEEDS = (1, 2, 3, 4, 5)
 _HIDDEN = 16
 
 
-def _suite(spark, sf_dir):
-    """Splits for every seed as one table: the seed is a column."""
-    rows = _sample(spark, sf_dir).select("dataset", "unique_id", "label", "text")
-    seeds = rows.withColumn("seed", F.explode(F.array(*map(F.lit, _SEEDS))))
-    return Sp.by_class(seeds, "unique_id", F.col("seed"), group=["dataset", "seed"])
-
-
 def text_probe_suite(spark, sf_dir):
-    """Within each set, and over all sets mixed: a model per (scope, seed), in one job."""
-    split = _suite(spark, sf_dir)
-    scoped = split.withColumn("scope", F.explode(F.array(F.col("dataset"), F.lit("all"))))
-    found = C.naive_bayes(scoped.filter("part = 'train'").select("scope", "seed", "label", "text"), scoped.filter("part = 'test'").select("scope", "seed", "unique_id", "label", "text"), ["scope", "seed"], "unique_id")
-    return found.groupBy("scope", "seed").agg(F.count("*").alias("n_test"), F.avg((F.col("label") == F.col("predicted")).cast("int")).alias("accuracy"))
+    """Within each set, and over all sets mixed: a model per (scope, seed), in one job. The sample is split on ids; texts join last, once."""
+    split = Sp.few_by_class(_sample(spark, sf_dir), "unique_id", _SEEDS, PAIRS, by=["label", "dataset"])
+    scopes, runs = F.array("dataset", F.lit("all")), F.array(*map(F.lit, range(len(_SEEDS))))
+    test = F.transform("tested", lambda s: F.array_position(F.array(*map(F.lit, _SEEDS)), s).cast("int") - 1)
+    roles = split.select("unique_id", "label", scopes.alias("trains"), scopes.alias("tests"), F.array_except(runs, test).alias("train"), test.alias("test"))
+    found = C.naive_bayes(roles, texts(spark, sf_dir), "unique_id", len(_SEEDS))
+    return found.groupBy("scope", "run").agg(F.count("*").alias("n_test"), F.avg((F.col("label") == F.col("predicted")).cast("int")).alias("accuracy"))
 
 
 def _nb_sql(train: str, test: str, run: str) -> str:
@@ -64,13 +59,14 @@ def m8_text_probe_suite(spark, sf_dir):
 
 @query(f"WITH {_suite_sql()}, cr AS (SELECT a.dataset AS train_set, b.dataset AS test_set FROM (SELECT DISTINCT dataset FROM sp) a, (SELECT DISTINCT dataset FROM sp) b WHERE a.dataset <> b.dataset), tr AS (SELECT train_set, test_set, label, {_TOK} AS t FROM sp JOIN cr ON dataset = train_set WHERE seed = 1), te0 AS (SELECT train_set, test_set, unique_id, label, {_TOK} AS t FROM sp JOIN cr ON dataset = test_set WHERE seed = 1), {_nb_sql('tr', 'te0', 'train_set, test_set')} SELECT train_set, test_set, count(*) AS n_test, round(avg((label = predicted)::INT), 6) AS accuracy FROM nb GROUP BY ALL")
 def m8_cross_set_transfer(spark, sf_dir):
-    rows = _sample(spark, sf_dir).select("dataset", "unique_id", "label", "text")
-    names = rows.select("dataset").distinct()
-    pairs = names.select(F.col("dataset").alias("train_set")).crossJoin(names.select(F.col("dataset").alias("test_set"))).filter("train_set <> test_set")
-    train = rows.join(pairs, rows.dataset == pairs.train_set).select("train_set", "test_set", "label", "text")
-    test = rows.join(pairs, rows.dataset == pairs.test_set).select("train_set", "test_set", "unique_id", "label", "text")
-    found = C.naive_bayes(train, test, ["train_set", "test_set"], "unique_id")
-    return found.groupBy("train_set", "test_set").agg(F.count("*").alias("n_test"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("int")), 6).alias("accuracy"))
+    """A text trains in its own set and is tested in all others; names of sets are the one thing that every row gets."""
+    rows = _sample(spark, sf_dir).select("dataset", "unique_id", "label")
+    names = rows.agg(F.collect_set("dataset").alias("names"))
+    one = F.array(F.lit(0))
+    roles = rows.crossJoin(F.broadcast(names)).select("unique_id", "label", F.array("dataset").alias("trains"), F.array_except("names", F.array("dataset")).alias("tests"), one.alias("train"), one.alias("test"))
+    found = C.naive_bayes(roles, texts(spark, sf_dir), "unique_id", 1).withColumnRenamed("scope", "train_set")
+    told = found.join(rows.select("unique_id", F.col("dataset").alias("test_set")), "unique_id")
+    return told.groupBy("train_set", "test_set").agg(F.count("*").alias("n_test"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("int")), 6).alias("accuracy"))
 
 
 def _m9_sql() -> str:
@@ -155,8 +151,6 @@ def m3_difference_and_concat(spark, sf_dir):
 @query()
 def m4_all_examples_experiment(spark, sf_dir):
     """One row per (group, label), balanced allocation, split, probe on concatenated layers, accuracy."""
-    from .samples import PAIRS
-
     e = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), (F.col("label") >= 5).cast("int").alias("label"), F.concat(F.lit("g"), F.col("label") % 3).alias("dataset"))
     plan = S.with_floor(S.class_counts(e), PAIRS)
     chosen = S.sample_by_plan(e, plan, 42, ["dataset"], "key", ["label"]).select("key", "label")

@@ -49,8 +49,13 @@ _SAMPLE = f"{V.EX}, {_COUNTS}, {_largest(500, 3)}, sm AS (SELECT * EXCLUDE (rn,
 
 
 def _sample(spark, sf_dir):
-    ex = V.examples(spark, sf_dir)
-    return S.sample_by_plan(ex, S.with_floor(S.class_counts(ex), PAIRS), 42, ["dataset"], "unique_id", ["label"])
+    """A balanced sample of labelled documents: ids, no texts."""
+    ex = V.examples(spark, sf_dir).drop("text")
+    return S.sample_by_plan(ex, S.with_floor(S.class_counts(ex), PAIRS), 42, ["dataset"], "unique_id", ["label"], most=PAIRS)
+
+
+def texts(spark, sf_dir):
+    return V.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("unique_id"), "text")
 
 
 @query(f"WITH {_SAMPLE} SELECT dataset, label, unique_id FROM sm")
@@ -449,9 +454,12 @@ nb AS (SELECT te.dataset, te.unique_id, te.label, (p1 + coalesce(s1, 0) > p0 + c
 
 def nb_predictions(spark, sf_dir):
     """Sample balanced by language, split by class, one Naive Bayes model per language; predictions for every labelled text outside its training part."""
-    train = P.by_class(_sample(spark, sf_dir), "unique_id", 1, group=["dataset"]).filter("part = 'train'").select("dataset", "unique_id", "label", "text")
-    rest = V.examples(spark, sf_dir).join(train.select("unique_id"), "unique_id", "left_anti").join(train.select("dataset").distinct(), "dataset", "left_semi")
-    return C.naive_bayes(train, rest.select("dataset", "unique_id", "label", "text"), ["dataset"], "unique_id").select("dataset", "unique_id", "label", "predicted")
+    split = P.few_by_class(_sample(spark, sf_dir), "unique_id", (1,), PAIRS, by=["label", "dataset"])
+    trained = split.filter(F.size("tested") == 0).select("unique_id", F.lit(True).alias("trained"))
+    rows = V.examples(spark, sf_dir).select("dataset", "unique_id", "label").join(trained, "unique_id", "left")
+    run = F.array(F.lit(0))
+    roles = rows.select("unique_id", "label", F.array("dataset").alias("trains"), F.array("dataset").alias("tests"), F.when(F.col("trained"), run).otherwise(F.array()).cast("array<int>").alias("train"), F.when(F.col("trained"), F.array()).otherwise(run).cast("array<int>").alias("test"))
+    return C.naive_bayes(roles, texts(spark, sf_dir), "unique_id", 1).select(F.col("scope").alias("dataset"), "unique_id", "label", "predicted")
 
 
 @query(f"WITH {_NB} SELECT dataset, unique_id, label, predicted FROM nb")

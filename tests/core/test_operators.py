@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import collections
 import json
+import math
 import random
 
 import numpy as np
@@ -149,7 +151,7 @@ def test_running_sums_and_cuts(spark, pieces):
     assert {r.i: r.n for r in O.running(table, ["g"], ["x", "i"], "n", F.col("i"), pieces=pieces).collect()} == sums
     assert {r.i: r.n for r in O.running(table, [], ["x", "i"], "n", pieces=pieces).collect()} == everything
     assert O.running(table.limit(0), ["g"], ["x", "i"], "n").count() == 0
-    sizes = table.groupBy("g").agg(F.count("*").alias("n")).withColumns({"p": F.lit(5), "q": F.lit(1000)})
+    sizes = lambda counts: counts.withColumns({"p": F.lit(5), "q": F.lit(1000)})
     got = {r.i: r.part for r in O.parted(table, ["g"], ["x", "i"], sizes, ["p", "q"], "rest").collect()}
     assert got == {i: "p" if k <= 5 else "q" for i, k in want.items()}
 
@@ -234,9 +236,11 @@ def test_naive_bayes_is_spark_ml(spark):
 
     draw = random.Random(2)
     rows = [(i, i % 2, " ".join(draw.choice("abcdefgh") + ("x" if i % 2 and draw.random() < 0.3 else "") for _ in range(12))) for i in range(80)]
-    table = spark.createDataFrame(rows, "key int, label int, text string").withColumn("run", F.lit(1))
+    table = spark.createDataFrame(rows, "key int, label int, text string")
     train, test = table.filter("key < 60"), table.filter("key >= 60")
-    own = {r.key: r.predicted for r in C.naive_bayes(train, test, ["run"], "key").collect()}
+    one, none = F.array(F.lit(0)), F.array().cast("array<int>")
+    roles = table.select("key", "label", F.array(F.lit("s")).alias("trains"), F.array(F.lit("s")).alias("tests"), F.when(F.col("key") < 60, one).otherwise(none).alias("train"), F.when(F.col("key") < 60, none).otherwise(one).alias("test"))
+    own = {r.key: r.predicted for r in C.naive_bayes(roles, table, "key", 1).collect()}
     from evalprobe.functions import text as T
 
     grams = lambda df: df.withColumn("g", T.grams(T.tokens(F.col("text")))).withColumn("label", F.col("label").cast("double"))
@@ -246,6 +250,40 @@ def test_naive_bayes_is_spark_ml(spark):
     assert sum(own[k] != ml[k] for k in own) <= 1  # class priors are smoothed here
 
 
+def test_naive_bayes_of_many_runs_is_that_of_each(spark):
+    """Masks and array counts over 70 runs, more than a word of a mask holds, against a plain model of each run and scope."""
+    draw = random.Random(3)
+    rows = [(i, i % 2, " ".join(draw.choice("abcdef") + ("x" if i % 2 and draw.random() < 0.4 else "") for _ in range(6)), draw.choice(["p", "q"]), [r for r in range(70) if draw.random() < 0.5]) for i in range(30)]
+    table = spark.createDataFrame(rows, "key int, label int, text string, set string, train array<int>")
+    scopes, every = F.array("set", F.lit("all")), F.array(*map(F.lit, range(70)))
+    roles = table.select("key", "label", scopes.alias("trains"), scopes.alias("tests"), "train", F.array_except(every, "train").alias("test"))
+    got = {(r.scope, r.run, r.key): r.predicted for r in C.naive_bayes(roles, table.select("key", "text"), "key", 70).collect()}
+    grams = lambda t: {*t.split(), *map(" ".join, zip(t.split(), t.split()[1:], strict=False))}
+    for run in (0, 5, 61, 62, 69):
+        for scope in ("p", "q", "all"):
+            own = [r for r in rows if scope in (r[3], "all")]
+            fit = [r for r in own if run in r[4]]
+            counts = [collections.Counter(g for r in fit if r[1] == k for g in grams(r[2])) for k in (0, 1)]
+            vocabulary = {*counts[0], *counts[1]}
+            for r in (r for r in own if run not in r[4]):
+                score = [math.log((sum(x[1] == k for x in fit) + 1) / (len(fit) + 2)) + sum(math.log((counts[k][g] + 1) / (sum(counts[k].values()) + len(vocabulary))) for g in grams(r[2]) & vocabulary) for k in (0, 1)]
+                assert got[scope, run, r[0]] == (score[1] > score[0]) or abs(score[1] - score[0]) < 1e-9
+
+
+@pytest.mark.parametrize("chunk", [3, 500])
+def test_frequent_grams_are_those_of_the_full_count(spark, monkeypatch, chunk):
+    """Candidates by chunks miss none, whatever the chunks; nulls, empty texts and an empty table."""
+    monkeypatch.setattr(C, "CHUNK_TEXTS", chunk)
+    draw = random.Random(chunk)
+    rows = [(i % 2, " ".join(draw.choice(["aa", "bb", "c", "11"] + [f"w{k}" for k in range(60)]) for _ in range(8))) for i in range(200)] + [(0, None), (1, "")]
+    table = spark.createDataFrame(rows, "label int, text string").repartition(5)
+    n = len(rows)
+    full = C.document_frequency(table, usable=True).filter(F.col("c0") + F.col("c1") >= max(4, int(0.02 * n)))
+    want = {(r.gram, r.c0, r.c1) for r in full.collect()}
+    assert 5 < len(want) and {(r.gram, r.c0, r.c1) for r in C.frequent_grams(table).collect()} == want
+    assert C.frequent_grams(table.limit(0)).count() == 0
+
+
 def test_result_payloads_and_paths(spark, tmp_path):
     row = {"feature": "f", "validation_accuracy": 0.5, "test_accuracy": 0.6}
     for name, payload in (("01_probe_all_examples/vqa_rad/a.json", [row]), ("02_x/all/b.json", {"feature_probe_accuracies": [row]}), ("03_y_all_examples/c.json", {"f": {"validation_accuracy": 0.5, "test_accuracy": 0.6}})):
