@@ -100,7 +100,8 @@ def frequent_grams(examples: DataFrame, share: float = 0.02, least: int = 4) ->
     reach the threshold are shuffled. The candidates are stored; from the size of that table the planner broadcasts it
     to the texts' grams, or else joins by shuffle.
     """
-    few = small(candidates(examples, share).filter((F.length("gram") > 1) & ~F.col("gram").rlike("^[0-9]+$")))
+    # the threshold is share times the texts, rounded down, and ``least`` or more: never below this part of the unrounded one
+    few = small(candidates(examples, share * least / (least + 1)).filter((F.length("gram") > 1) & ~F.col("gram").rlike("^[0-9]+$")))
     sizes = examples.agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
     grams = examples.select("label", F.explode(T.grams(T.tokens(F.col("text")))).alias("gram")).join(few, "gram", "left_semi")
     df = grams.groupBy("gram").agg(F.count_if(F.col("label") == 0).alias("c0"), F.count_if(F.col("label") == 1).alias("c1")).crossJoin(F.broadcast(sizes))  # sizes is one row

@@ -275,7 +275,7 @@ def test_frequent_grams_are_those_of_the_full_count(spark, monkeypatch, chunk):
     """Candidates by chunks miss none, whatever the chunks; nulls, empty texts and an empty table."""
     monkeypatch.setattr(C, "CHUNK_TEXTS", chunk)
     draw = random.Random(chunk)
-    rows = [(i % 2, " ".join(draw.choice(["aa", "bb", "c", "11"] + [f"w{k}" for k in range(60)]) for _ in range(8))) for i in range(200)] + [(0, None), (1, "")]
+    rows = [(i % 2, " ".join(draw.choice(["aa", "bb", "c", "11"] + [f"w{k}" for k in range(60)]) for _ in range(8))) for i in range(247)] + [(0, None), (1, "")]
     table = spark.createDataFrame(rows, "label int, text string").repartition(5)
     n = len(rows)
     full = C.document_frequency(table, usable=True).filter(F.col("c0") + F.col("c1") >= max(4, int(0.02 * n)))
