@@ -48,10 +48,10 @@ def frequent_answers(rows: DataFrame, by: list[str], answer: str, order: str, k:
 
 def document_frequency(examples: DataFrame, by: list[str] | None = None, usable: bool = False) -> DataFrame:
     """Texts of each class that hold a gram of one or two tokens; ``usable`` leaves out single characters and digits."""
-    own = T.grams(T.tokens(F.col("text")))
+    own = T.grams(F.col("tokens"))
     if usable:
         own = F.filter(own, lambda g: (F.length(g) > 1) & ~g.rlike("^[0-9]+$"))
-    return examples.select(*(by or []), "label", F.explode(own).alias("gram")).groupBy(*(by or []), "gram").agg(F.count_if(F.col("label") == 0).alias("c0"), F.count_if(F.col("label") == 1).alias("c1"))
+    return examples.select(*(by or []), "label", T.tokens(F.col("text")).alias("tokens")).select(*(by or []), "label", F.explode(own).alias("gram")).groupBy(*(by or []), "gram").agg(F.count_if(F.col("label") == 0).alias("c0"), F.count_if(F.col("label") == 1).alias("c1"))
 
 
 #: Texts that are counted by themselves in the first pass; more make fewer candidates and larger tables of counts.
@@ -103,7 +103,8 @@ def frequent_grams(examples: DataFrame, share: float = 0.02, least: int = 4) ->
     # the threshold is share times the texts, rounded down, and ``least`` or more: never below this part of the unrounded one
     few = small(candidates(examples, share * least / (least + 1)).filter((F.length("gram") > 1) & ~F.col("gram").rlike("^[0-9]+$")))
     sizes = examples.agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
-    grams = examples.select("label", F.explode(T.grams(T.tokens(F.col("text")))).alias("gram")).join(few, "gram", "left_semi")
+    tokens = examples.select("label", T.tokens(F.col("text")).alias("tokens"))
+    grams = tokens.select("label", F.explode(T.grams(F.col("tokens"))).alias("gram")).join(few, "gram", "left_semi")
     df = grams.groupBy("gram").agg(F.count_if(F.col("label") == 0).alias("c0"), F.count_if(F.col("label") == 1).alias("c1")).crossJoin(F.broadcast(sizes))  # sizes is one row
     return df.filter(F.col("c0") + F.col("c1") >= F.greatest(F.lit(least), F.floor(F.lit(share) * (F.col("n0") + F.col("n1")))))
 
@@ -154,7 +155,9 @@ def naive_bayes(rows: DataFrame, texts: DataFrame, key: str, runs: int) -> DataF
     masks = {f"_a{w}": _mask("train", w) for w in range(_words(runs))} | {f"_b{w}": _mask("test", w) for w in range(_words(runs))}
     rows = stored(rows.select(key, "label", "trains", "tests", "test", "train").withColumns(masks), "bayes-rows")
     own = rows.drop("train", "test")
-    grams = stored(texts.select(key, "text").join(own, key).select(*own.columns, F.explode(T.grams(T.tokens(F.col("text")))).alias("gram")), "bayes-grams")
+    # dividing a text costs far more than moving it: the texts that take part are dealt out evenly first
+    taking = texts.select(key, "text").join(own, key).repartition(key).select(*own.columns, T.tokens(F.col("text")).alias("tokens"))
+    grams = stored(taking.select(*own.columns, F.explode(T.grams(F.col("tokens"))).alias("gram")), "bayes-grams")
     trained = grams.filter(" OR ".join(f"_a{w} <> 0" for w in range(_words(runs)))).withColumn("scope", F.explode("trains"))
     count = lambda k: F.array(*(F.sum(F.when(F.col("label") == k, _bit("_a", r)).otherwise(0)) for r in every)).alias(f"c{k}")
     counts = trained.groupBy("scope", "gram").agg(count(0), count(1))
