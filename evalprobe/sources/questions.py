@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .json_array import read_json_array
 
 QUESTIONS = "unique_id string, question_id string, category string, question string, options string, images array<binary>, ground_truth string"
 REQUIRED = ("unique_id", "question_id", "category", "question", "options", "images", "ground_truth")
@@ -35,11 +36,6 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON array of objects; it is not splittable, so store it as Parquet once."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-
-
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("sep", "\t").option("header", True).csv(path)
 
