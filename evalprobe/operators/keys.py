@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .bloom import anti, built, checked, maybe
 
 
 def last_of(conversation: Column, role: str) -> Column:
@@ -37,16 +38,44 @@ def last_wins(rows: DataFrame, keys: list[str], value: str, order: str) -> DataF
 
 
 def overlap_reason(train: DataFrame, pool: DataFrame, dataset: str = "dataset", uid: str = "unique_id", qid: str = "question_id") -> DataFrame:
-    """``pool`` with ``reason``: uid or qid if the training rows hold it, the uid first; null is kept. Blank keys never match."""
+    """``pool`` with ``reason``: uid or qid if the training rows hold it, the uid first; null is kept. Blank keys never match.
+
+    One Bloom filter holds the training rows' keys of both kinds: of the pool, rows neither of whose keys can be in it
+    are kept where they stand, the others are joined with the keys themselves.
+    """
     key = lambda c: F.when((F.col(dataset) != "") & (F.trim(c) != ""), F.trim(c))
-    names = lambda c, n: train.select(F.col(dataset).alias(f"_{n}_d"), key(c).alias(f"_{n}")).filter(f"_{n} IS NOT NULL").distinct()
-    joined = pool.join(names(uid, "u"), (F.col(dataset) == F.col("_u_d")) & (key(uid) == F.col("_u")), "left").join(names(qid, "q"), (F.col(dataset) == F.col("_q_d")) & (key(qid) == F.col("_q")), "left")
-    return joined.withColumn("reason", F.when(F.col("_u").isNotNull(), "uid").when(F.col("_q").isNotNull(), "qid")).drop("_u_d", "_u", "_q_d", "_q")
+    told = lambda rows: rows.withColumns({"_set": F.col(dataset), "_u": key(uid), "_q": key(qid)})
+    kinds = F.explode(F.array(F.struct(F.lit("u").alias("_kind"), F.col("_u").alias("_key")), F.struct(F.lit("q").alias("_kind"), F.col("_q").alias("_key")))).alias("_k")
+    names = told(train).select("_set", kinds).select("_set", "_k.*").filter("_key IS NOT NULL")
+    filters = built(names, ["_kind", "_set", "_key"])
+    rows = told(pool)
+    for kind in ("u", "q"):
+        rows = maybe(rows.withColumns({"_kind": F.lit(kind), "_key": F.col(f"_{kind}")}), ["_kind", "_set", "_key"], filters, f"_may_{kind}").withColumn(f"_may_{kind}", F.col(f"_may_{kind}") & F.col("_key").isNotNull()).drop("_kind", "_key")
+    drop = ["_set", "_u", "_q", "_may_u", "_may_q"]
+    free = rows.filter("NOT (_may_u OR _may_q)").drop(*drop).withColumn("reason", F.lit(None).cast("string"))
+    distinct = names.distinct()
+    of = lambda kind: distinct.filter(F.col("_kind") == kind).select(F.col("_set").alias(f"_set_{kind}"), F.col("_key").alias(f"_key_{kind}"))
+    joined = rows.filter("_may_u OR _may_q")
+    for kind in ("u", "q"):
+        joined = joined.join(of(kind), (F.col("_set") == F.col(f"_set_{kind}")) & (F.col(f"_{kind}") == F.col(f"_key_{kind}")), "left")
+    joined = joined.withColumn("reason", F.when(F.col("_key_u").isNotNull(), "uid").when(F.col("_key_q").isNotNull(), "qid")).drop(*drop, "_set_u", "_set_q", "_key_u", "_key_q")
+    return free.unionByName(joined)
 
 
 def holdout(pool: DataFrame, train: DataFrame, passes: Column, key: str = "sig", order: str = "src_ord") -> DataFrame:
     """Rows that pass and are not in training, first of each signature; a row that fails does not use up its signature."""
-    return first_wins(pool.filter(passes).join(train.select(key).distinct(), key, "left_anti"), [key], order)
+    return first_wins(anti(pool.filter(passes), train, [key]), [key], order)
+
+
+def available(rows: DataFrame, store: DataFrame, by: list[str | Column], key: str = "sig") -> DataFrame:
+    """Rows before and after the filter to the signatures of a store, by class; rows that the store rules out are not joined."""
+    there = checked(rows, store, [key], lambda few: few.join(store.select(key).distinct().withColumn("_there", F.lit(True)), key, "left"), lambda rest: rest.withColumn("_there", F.lit(None).cast("boolean")))
+    return there.groupBy(*by).agg(F.count("*").alias("n_before"), F.count_if(F.col("_there")).alias("n_after"))
+
+
+def added(train: DataFrame, more: DataFrame, key: str = "sig", order: str | Column = "src_ord") -> DataFrame:
+    """The training rows and, of ``more``, the rows whose signature they lack; of equal signatures on a side the first."""
+    return first_wins(train, [key], order).unionByName(first_wins(anti(more, train, [key]), [key], order))
 
 
 def with_fallback(rows: DataFrame, key: str, *stores: tuple[str, DataFrame], value: str = "vec") -> DataFrame:

@@ -48,10 +48,9 @@ def finite(c: Column) -> Column:
 def correlation(x: Column, y: Column) -> Column:
     """Pearson's r as an aggregate; null under two pairs or without variance."""
     x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    n, sx, sy = F.count(x), F.sum(x), F.sum(y)
-    cov = F.sum(x * y) - sx * sy / F.nullif(n, F.lit(0))
-    vx, vy = F.sum(x * x) - sx * sx / F.nullif(n, F.lit(0)), F.sum(y * y) - sy * sy / F.nullif(n, F.lit(0))
-    return F.when((n >= 2) & (vx > 1e-12) & (vy > 1e-12), cov / F.sqrt(vx * vy))
+    # merged central moments: raw sums lose the variance of values with a large mean
+    vx, vy = F.var_pop(x), F.var_pop(y)
+    return F.when((F.count(x) >= 2) & (vx > 0) & (vy > 0), F.covar_pop(x, y) / (F.sqrt(vx) * F.sqrt(vy)))
 
 
 def auc(rows: DataFrame, by: list[str], score: str, label: str) -> DataFrame:

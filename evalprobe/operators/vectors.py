@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .ordering import matched, small
 
 #: Components up to which a mean is a sum of columns.
@@ -59,6 +60,22 @@ def standardised(rows: DataFrame, by: list[str], train: Column, key: str, vec: s
     return matched(rows.select(*by, key, vec), small(moments), by).select(*by, key, scaled.alias(vec))
 
 
+def requested(feature: Column, known: tuple[str, ...], attention: bool = False, mlp: bool = False, residual: bool = True, strategies: str | tuple[str, ...] | None = None, odd_layers: bool = False) -> Column:
+    """Whether a feature is asked for: by its family, by its strategy (of ``known``; none given asks for all) and, with ``odd_layers``, by its layer.
+
+    Heads and what follows attention are the attention family. Without ``residual`` only the families that are switched
+    on remain. Features of no layer pass ``odd_layers``. ``strategies`` may be one text with commas; an empty list and
+    an unknown name raise.
+    """
+    asked = known if strategies is None else tuple(x.strip() for x in (strategies.split(",") if isinstance(strategies, str) else strategies) if x.strip())
+    if not asked or (unknown := set(asked) - set(known)):
+        raise ValueError(f"strategies must be some of {', '.join(known)}" + (f", not {', '.join(sorted(unknown))}" if asked else ""))
+    stem = F.split(feature, "__")[0]
+    heads, inner = stem.contains("/attention_head_") | stem.contains("/post_attention"), stem.contains("/mlp")
+    good = F.when(heads, F.lit(attention)).when(inner, F.lit(mlp)).otherwise(F.lit(residual)) & T.strategy(feature).isin(*asked)
+    return good & (~stem.rlike(r"/layer_\d+(/|$)") | (T.layer(feature) % 2 == 1)) if odd_layers else good
+
+
 def looked_up(wanted: DataFrame, store: DataFrame, key: str = "sig") -> DataFrame:
     """The vectors of the wanted signatures for every feature; a signature that the store lacks raises."""
     joined = wanted.join(store, key, "left")

@@ -220,8 +220,7 @@ def j4_signature_holdout(spark, sf_dir):
 @query(f"WITH {_SIG} SELECT conv_id % 2 AS class, count(*) AS n_before, count(*) FILTER (sig IN (SELECT sig FROM sig WHERE conv_id % 4 < 3)) AS n_after FROM sig GROUP BY ALL")
 def j5_available_signatures(spark, sf_dir):
     rows = _signed(spark, sf_dir)
-    store = rows.filter("conv_id % 4 < 3").select("sig").distinct().withColumn("there", F.lit(True))
-    return rows.join(store, "sig", "left").groupBy((F.col("conv_id") % 2).alias("class")).agg(F.count("*").alias("n_before"), F.count_if(F.col("there")).alias("n_after"))
+    return K.available(rows, rows.filter("conv_id % 4 < 3"), [(F.col("conv_id") % 2).alias("class")])
 
 
 @query("WITH t AS (SELECT * FROM documents WHERE doc_id % 3 = 0), p AS (SELECT * FROM documents WHERE doc_id % 3 <> 0), r AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.lang = p.lang AND t.doc_id = p.doc_id - p.doc_id % 3) AND doc_id % 4 = 0 THEN 'uid' WHEN EXISTS (SELECT 1 FROM t WHERE t.lang = p.lang AND t.source = p.source) AND source <> 'src7' THEN 'qid' END AS reason FROM p) SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM r GROUP BY ALL")
@@ -275,8 +274,7 @@ def j11_question_text(spark, sf_dir):
 @query(f"WITH {_SIG}, u AS (SELECT *, 0 AS p FROM sig WHERE conv_id % 2 = 0 UNION ALL SELECT *, 1 FROM sig WHERE conv_id % 2 = 1) SELECT sig, min_by(conv_id, p * 1000000 + conv_id) AS conv_id FROM u GROUP BY sig")
 def j23_added_pair_samples(spark, sf_dir):
     rows = _signed(spark, sf_dir)
-    both = rows.filter("conv_id % 2 = 0").withColumn("p", F.lit(0)).unionByName(rows.filter("conv_id % 2 = 1").withColumn("p", F.lit(1)))
-    return K.first_wins(both, ["sig"], F.struct("p", "conv_id")).select("sig", "conv_id")
+    return K.added(rows.filter("conv_id % 2 = 0"), rows.filter("conv_id % 2 = 1"), order="conv_id").select("sig", "conv_id")
 
 
 @query("SELECT DISTINCT lang, source FROM documents WHERE doc_id % 2 = 0 UNION SELECT DISTINCT lang, source FROM documents WHERE n_chars > 1000")

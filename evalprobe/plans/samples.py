@@ -12,6 +12,8 @@ from ..operators import metrics as M
 from ..operators import sampling as S
 from ..operators import splits as P
 from ..operators import vectors as X
+from ..operators.storage import folder
+from ..sources.store import open_store, write_store
 from . import views as V
 from .registry import query
 
@@ -341,9 +343,15 @@ def j14_unmatched_sides(spark, sf_dir):
 
 @query(f"WITH {V.ACT} SELECT vec_id, feature, {V.told_sql('vec')} AS vec FROM act WHERE layer % 2 = 1")
 def p16_j6_s11_feature_selection(spark, sf_dir):
-    """Vectors of the chosen features for all signatures; one that is missing raises."""
-    store = V.activations(spark, sf_dir).filter((T.layer(F.col("feature")) % 2 == 1) & (T.strategy(F.col("feature")) == "mean") & (T.family(F.col("feature")) == "residual")).select("vec_id", "feature", "vec")
-    return X.looked_up(V.table(spark, sf_dir, "embeddings").select("vec_id"), store, "vec_id").select("vec_id", "feature", V.told().alias("vec"))
+    """Vectors of the features that the flags ask for, from the keyed store, for all signatures; one that is missing raises."""
+    path = folder(spark, "store")
+    act = V.activations(spark, sf_dir)
+    more = act.withColumn("feature", F.replace("feature", F.lit("__"), F.lit("/mlp__")))
+    every = act.unionByName(more).unionByName(act.withColumn("feature", F.replace("feature", F.lit("__mean"), F.lit("__last"))))
+    write_store(every.select(F.lit("with").alias("mode"), "feature", F.col("vec_id").cast("string").alias("sig"), "vec"), path)
+    store = open_store(spark, path).filter((F.col("mode") == "with") & X.requested(F.col("feature"), ("mean", "last"), strategies="mean", odd_layers=True))
+    wanted = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("sig"))
+    return X.looked_up(wanted, store.select("sig", "feature", "vec"), "sig").select(F.col("sig").cast("long").alias("vec_id"), "feature", V.told().alias("vec"))
 
 
 @query("WITH t AS (SELECT doc_id, unnest(w) AS w FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents)) SELECT doc_id, round(coalesce(avg(length(w)) FILTER (length(w) > 3), 0), 6) AS mean_length, round(coalesce(avg(ascii(w)) FILTER (length(w) > 3), 0), 6) AS mean_code FROM t GROUP BY doc_id")

@@ -8,6 +8,8 @@ from ..functions import text as T
 from ..operators import pairs as Pairs
 from ..operators.storage import folder
 from ..sources import questions as Q
+from ..sources.json_array import read_json_array
+from ..sources.store import read_store, write_store
 from . import views as V
 from .registry import query
 
@@ -41,9 +43,9 @@ def s2_s10_json_sink(spark, sf_dir):
 def s11_s12_activation_store(spark, sf_dir):
     path = folder(spark, "store")
     act = V.activations(spark, sf_dir)
-    Q.write_store(act.select(F.when(F.col("vec_id") % 2 == 0, "with").otherwise("without").alias("mode"), "feature", F.concat(F.lit("s"), "vec_id").alias("sig"), "vec"), path)
+    write_store(act.select(F.when(F.col("vec_id") % 2 == 0, "with").otherwise("without").alias("mode"), "feature", F.concat(F.lit("s"), "vec_id").alias("sig"), "vec"), path)
     keys = V.table(spark, sf_dir, "embeddings").filter("vec_id % 4 = 0").select(F.concat(F.lit("s"), "vec_id").alias("sig"))
-    found = Q.read_store(spark, path, "with", [f"language_model/layer_{k}__mean" for k in (1, 3)], keys)
+    found = read_store(spark, path, "with", [f"language_model/layer_{k}__mean" for k in (1, 3)], keys)
     return found.select("sig", T.layer(F.col("feature")).alias("layer"), F.size("vec").alias("dims"))
 
 
@@ -56,8 +58,8 @@ def s13_s14_s15_result_files(spark, sf_dir):
     payload = F.when(F.col("split_seed") % 3 == 0, F.to_json("l")).when(F.col("split_seed") % 3 == 1, F.to_json(F.struct(F.col("l").alias("feature_probe_accuracies")))).otherwise(F.to_json(F.map_from_entries(F.transform("l", lambda r: F.struct(r["feature"].alias("key"), short(r).alias("value"))))))
     mode = F.element_at(F.array(F.lit("vqa_rad"), F.lit("mmmu_pro"), F.lit("all")), (F.col("split_seed") % 3 + 1).cast("int"))
     path = folder(spark, "results")
-    folder = F.concat(F.lit("0"), "split_seed", F.lit("_probe"))
-    listed.select(payload.alias("value"), folder.alias("stage"), F.concat(F.lit("run_"), mode, F.lit("_ovis")).alias("run")).write.partitionBy("stage", "run").text(path)
+    stage = F.concat(F.lit("0"), "split_seed", F.lit("_probe"))
+    listed.select(payload.alias("value"), stage.alias("stage"), F.concat(F.lit("run_"), mode, F.lit("_ovis")).alias("run")).write.partitionBy("stage", "run").text(path)
     files = Q.result_files(spark, path, "*.txt").withColumn("path", F.regexp_replace(F.regexp_replace("path", "stage=", ""), "run=", ""))
     return Q.path_columns(Q.payload_rows(files)).select("stage", "mode", "model", "feature", "validation_accuracy", "test_accuracy")
 
@@ -127,7 +129,7 @@ def s3_json_arrays(spark, sf_dir):
     path = folder(spark, "arrays")
     docs = V.table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 1000).alias("file"), F.struct("doc_id", "lang", "text").alias("row"))
     docs.groupBy("file").agg(F.to_json(F.collect_list("row")).alias("value")).write.partitionBy("file").text(path)
-    return Q.read_json_array(spark, path, "doc_id long, lang string, text string").select("doc_id", "lang", "text")
+    return read_json_array(spark, path, "doc_id long, lang string, text string").select("doc_id", "lang", "text")
 
 
 @query("SELECT doc_id, lang, source, n_chars FROM documents")
@@ -168,7 +170,7 @@ def s12_store_mismatches(spark, sf_dir):
 
 
 @query("SELECT 'overall' AS part, count(*) AS n FROM documents UNION ALL SELECT 'summary', count(DISTINCT lang) FROM documents UNION ALL SELECT 'metadata', count(*) FROM documents UNION ALL SELECT 'datasets', count(*) FROM documents")
-def s10_resultfolder(spark, sf_dir):
+def s10_result_folder(spark, sf_dir):
     path = folder(spark, "results")
     rows = V.table(spark, sf_dir, "documents").select(F.col("lang").alias("dataset"), "doc_id", "text")
     Q.write_results(rows, rows.groupBy("dataset").agg(F.count("*").alias("n")), {"model": "a", "setting": "b"}, path)

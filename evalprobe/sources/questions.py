@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .json_array import read_json_array
 
 QUESTIONS = "unique_id string, question_id string, category string, question string, options string, images array<binary>, ground_truth string"
 REQUIRED = ("unique_id", "question_id", "category", "question", "options", "images", "ground_truth")
@@ -124,17 +123,6 @@ def write_results(rows: DataFrame, summary: DataFrame, settings: dict[str, str],
     counts.select("*", *(F.lit(v).alias(k) for k, v in settings.items())).write.mode("overwrite").json(f"{path}/metadata")
 
 
-def write_store(vectors: DataFrame, path: str) -> None:
-    """The activation store: one vector a (mode, feature, signature), partitioned so that a read touches what it asks for."""
-    vectors.dropDuplicates(["mode", "feature", "sig"]).write.mode("overwrite").partitionBy("mode", "feature").parquet(path)
-
-
-def read_store(spark: SparkSession, path: str, mode: str, features: list[str], keys: DataFrame) -> DataFrame:
-    """Vectors of the requested features and signatures; partitions of other modes and features are not read."""
-    store = spark.read.parquet(path).filter((F.col("mode") == mode) & F.col("feature").isin(*features))
-    return store.join(keys.select("sig").distinct(), "sig", "left_semi")
-
-
 def store_mismatches(store: DataFrame, model_path: str, cache_type: str) -> DataFrame:
     """Rows by whether their constants differ from what is asked for."""
     bad = ~(F.col("model_path").eqNullSafe(F.lit(model_path)) & F.col("cache_type").eqNullSafe(F.lit(cache_type)))

@@ -20,6 +20,7 @@ from evalprobe.operators import probes as P
 from evalprobe.operators import sampling as S
 from evalprobe.operators import splits as Sp
 from evalprobe.sources import questions as Q
+from evalprobe.sources.json_array import read_json_array
 from evalprobe.streaming import parsed_answers
 
 
@@ -185,6 +186,23 @@ def test_pieces_are_of_like_size_under_any_distribution(spark, shape):
         assert found.withColumn("w", F.row_number().over(w)).filter("n <> w").count() == 0
 
 
+@pytest.mark.parametrize(("mean", "scale"), [(0.0, 1.0), (1e9, 1.0), (-3e8, 1e-3), (0.0, 1e-9)])
+def test_correlation_of_any_mean_and_scale(spark, mean, scale):
+    draw = np.random.default_rng(4)
+    x, noise = draw.normal(size=800), draw.normal(size=800)
+    y = x + 0.1 * noise
+    rows = [(float(mean + scale * a), float(mean + scale * b)) for a, b in zip(x, y, strict=True)] + [(None, 1.0), (2.0, None)]
+    table = spark.createDataFrame(rows, "x double, y double").repartition(5)
+    got = table.agg(M.correlation(F.col("x"), F.col("y")).alias("r")).first().r
+    kept = np.array(rows[:-2])
+    assert got == pytest.approx(np.corrcoef(kept[:, 0] - kept[0, 0], kept[:, 1] - kept[0, 1])[0, 1], abs=1e-6)
+
+
+def test_correlation_without_variance_or_pairs(spark):
+    for rows in ([], [(1.0, 2.0)], [(1e9, 1.0), (1e9, 2.0), (1e9, 5.0)], [(None, 1.0), (2.0, None)]):
+        assert spark.createDataFrame(rows, "x double, y double").agg(M.correlation(F.col("x"), F.col("y")).alias("r")).first().r is None
+
+
 def test_equal_shares_by_rounds(spark):
     draw = random.Random(4)
     for target in (0, 1, 7, 40, 500):
@@ -300,7 +318,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "b.json").write_text('[{"x": 1},\n {"x": 3}]')
     (tmp_path / "c.tsv").write_text("x\ty\n1\ta\n")
     assert sorted(r.x for r in Q.read_json_lines(spark, str(tmp_path / "a.jsonl"), "x long").collect() if r.x) == [1, 2]
-    assert sorted(r.x for r in Q.read_json_array(spark, str(tmp_path / "b.json"), "x long").collect()) == [1, 3]
+    assert sorted(r.x for r in read_json_array(spark, str(tmp_path / "b.json"), "x long").collect()) == [1, 3]
     assert Q.read_tsv(spark, str(tmp_path / "c.tsv"), "x long, y string").first().y == "a"
     with pytest.raises(ValueError, match="missing columns"):
         Q.conformed(spark.range(1))
