@@ -126,11 +126,15 @@ def normal_truth(task: Column, c: Column) -> Column:
     return F.when(task == "mcq", normal_letter(c)).otherwise(normal_open(c))
 
 
+def agrees(task: Column, letter: Column, true_letter: Column, plain: Column, true_plain: Column) -> Column:
+    """Whether a normalised answer is right; null if either side cannot be read. A yes or no needs the start only."""
+    free = F.when(plain.isNotNull() & true_plain.isNotNull(), (plain == true_plain) | (true_plain.isin("yes", "no") & plain.startswith(true_plain)))
+    return F.when(task == "mcq", letter == true_letter).otherwise(free)
+
+
 def correct(task: Column, answer: Column, truth: Column) -> Column:
-    """Whether a parsed answer is right; null if either side cannot be read. A yes or no needs the start only."""
-    p, g = normal_open(answer), normal_open(truth)
-    free = F.when(p.isNotNull() & g.isNotNull(), (p == g) | (g.isin("yes", "no") & p.startswith(g)))
-    return F.when(task == "mcq", normal_letter(answer) == normal_letter(truth)).otherwise(free)
+    """Whether a parsed answer is right (``agrees``)."""
+    return agrees(task, normal_letter(answer), normal_letter(truth), normal_open(answer), normal_open(truth))
 
 
 def mentions(c: Column, patterns: Sequence[str], in_options: bool = False) -> Column:
@@ -138,7 +142,8 @@ def mentions(c: Column, patterns: Sequence[str], in_options: bool = False) -> Co
     own = F.lower(text(c))
     hit = F.lit(False)
     for p in patterns:
-        hit = hit | own.rlike(p if in_options else OPTION_BEFORE + p)
+        # the pattern first: what stands before it is looked at only where it matches
+        hit = hit | own.rlike(p if in_options else f"(?=(?:{p})){OPTION_BEFORE}")
     return hit
 
 

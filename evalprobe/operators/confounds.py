@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .ordering import small
+from .ordering import matched, running, small
 from .storage import stored
 
 # Phrases by group.
@@ -33,6 +33,72 @@ def phrase_rates(examples: DataFrame, phrases: dict[str, list[str]], by: list[st
     return rates.withColumn("skew", F.coalesce("rate1", F.lit(0.0)) - F.coalesce("rate0", F.lit(0.0)))
 
 
+#: Characters of the phrases in one automaton, which every worker builds: some hundred bytes of memory each.
+AUTOMATON_CHARS = 2_000_000
+
+
+def _tables(phrases: DataFrame, most: int) -> Iterator[list[tuple[str, int]]]:
+    """``phrases`` (phrase, number) in tables of about ``most`` characters and twice that at most; a group stays whole."""
+    own = phrases.filter("phrase <> ''").distinct().withColumn("chars", F.char_length("phrase"))
+    sizes = own.groupBy("number").agg(F.sum("chars").alias("size"))
+    placed = running(sizes, [], ["number"], "end", F.col("size")).withColumn("slice", F.floor((F.col("end") - F.col("size")) / most))
+    placed = stored(own.join(placed, "number").select("slice", "phrase", "number", "size"), "confounds-phrases")
+    last, size = placed.agg(F.max("slice"), F.max("size")).first()
+    if last is not None and size > most:
+        raise ValueError(f"a group has phrases of {size} characters, more than {most}")
+    for k in range(0 if last is None else last + 1):
+        yield [(r.phrase, r.number) for r in placed.filter(F.col("slice") == k).select("phrase", "number").collect()]
+
+
+def _searched(table: list[tuple[str, int]], whole_words: bool):
+    """From rows with the text in the last column to a row for each group that the text names, with the group's number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        numbers: dict[str, set[int]] = {}
+        for phrase, number in table:
+            numbers.setdefault(f" {phrase} " if whole_words else phrase, set()).add(number)
+        automaton = ahocorasick.Automaton()
+        for phrase, own in numbers.items():
+            automaton.add_word(phrase, tuple(own))
+        automaton.make_automaton()
+        for batch in batches:
+            rows, found = [], []
+            for k, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                own: set[int] = set()
+                for _, hit in automaton.iter(f" {text} " if whole_words else text):
+                    own.update(hit)
+                rows += [k] * len(own)
+                found += own
+            kept = batch.select(batch.schema.names[:-1]).take(pa.array(rows, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.int64())], names=[*kept.schema.names, "number"])
+
+    return run
+
+
+def phrase_rates_of_table(examples: DataFrame, phrases: DataFrame, by: list[str] | None = None, whole_words: bool = False) -> DataFrame:
+    """``phrase_rates`` for a table of phrases (``group``, ``phrase``): all of them are looked for in one pass over each text.
+
+    An automaton of the phrases is built once in each worker. Groups beyond ``AUTOMATON_CHARS`` characters of phrases go
+    into further automata, with a pass for each; a single group of more raises. Every group has a row for every value of
+    ``by``. A null or empty phrase is in no text, a null text holds none, an empty table of phrases gives no rows.
+    """
+    by = by or []
+    groups = stored(running(phrases.select("group").distinct().filter("group IS NOT NULL"), [], ["group"], "number"), "confounds-groups")
+    texts = examples.select(*by, "label", F.lower(T.squeeze(F.col("text"))).alias("_text"))
+    kinds = ", ".join(f"`{c}` {kind}" for c, kind in texts.drop("_text").dtypes)
+    hits = examples.select(*by, "label").withColumn("number", F.lit(0).cast("long")).limit(0)
+    for table in _tables(phrases.join(groups, "group").select("phrase", "number"), AUTOMATON_CHARS):
+        hits = hits.unionByName(texts.mapInArrow(_searched(table, whole_words), f"{kinds}, number long"))
+    counts = hits.groupBy(*by, "number").agg(*(F.count_if(F.col("label") == k).alias(f"h{k}") for k in (0, 1)))
+    sizes = examples.groupBy(*by).agg(*(F.count_if(F.col("label") == k).alias(f"n{k}") for k in (0, 1)))
+    joined = matched(sizes.crossJoin(groups), counts, [*by, "number"], "left")  # the cross join has the result's rows
+    rate = lambda k: F.try_divide(F.coalesce(f"h{k}", F.lit(0)).cast("double"), F.col(f"n{k}").cast("double")).alias(f"rate{k}")
+    rates = joined.select(*by, F.col("group").alias("phrase"), rate(0), rate(1))
+    return rates.withColumn("skew", F.coalesce("rate1", F.lit(0.0)) - F.coalesce("rate0", F.lit(0.0)))
+
+
 def text_summary(examples: DataFrame, by: list[str]) -> DataFrame:
     """Mean and median number of tokens, and rates of option lists and of final answers in brackets."""
     n = F.size(T.tokens(F.col("text")))

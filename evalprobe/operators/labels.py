@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,12 +34,16 @@ def token_cosine(one: Column, two: Column) -> Column:
     return _bag_cosine(F.lower(one), F.lower(two))
 
 
+def alike(task: Column, letters: tuple[Column, Column], plain: tuple[Column, Column], near: Column) -> Column:
+    """Same normalised answer and ``near`` texts; an open answer that cannot be read goes by the texts alone."""
+    (a, b), (one, two) = letters, plain
+    return F.when(task == "mcq", F.coalesce(a == b, F.lit(False)) & near).when(one.isNotNull() & two.isNotNull(), (one == two) & near).otherwise(near)
+
+
 def similar(task: Column, with_answer: Column, without_answer: Column, cosine: Column, threshold: float = 0.7) -> Column:
-    """Same parsed answer and similar texts; an open answer that cannot be parsed goes by the texts alone."""
-    near = cosine >= threshold
-    letters = F.coalesce(T.normal_letter(with_answer) == T.normal_letter(without_answer), F.lit(False))
-    one, two = T.normal_open(with_answer), T.normal_open(without_answer)
-    return F.when(task == "mcq", letters & near).when(one.isNotNull() & two.isNotNull(), (one == two) & near).otherwise(near)
+    """Whether two parsed answers and their texts are ``alike``."""
+    both = (with_answer, without_answer)
+    return alike(task, tuple(map(T.normal_letter, both)), tuple(map(T.normal_open, both)), cosine >= threshold)
 
 
 def mirage(missing: Column, acknowledged: Column, alike: Column) -> tuple[Column, Column]:
@@ -47,6 +52,46 @@ def mirage(missing: Column, acknowledged: Column, alike: Column) -> tuple[Column
     return state, F.when(missing, "neutral_missing_response").when(acknowledged, "non_mirage").when(alike, "mirage").otherwise("neutral")
 
 
+def predicted(task: Column, response: Column, options: Column) -> Column:
+    """The answer that a response gives: a letter for multiple choice, else its open answer."""
+    return F.when(task == "mcq", T.option_letter(response, options)).otherwise(T.open_answer(response))
+
+
+def labelled(pairs: DataFrame, least: int = 10, threshold: float = 0.7, no_image: Sequence[str] = T.NO_IMAGE, uncertain: Sequence[str] = T.UNCERTAIN) -> DataFrame:
+    """``pairs`` of answers with and without the evidence, parsed, scored, compared and labelled, in one pass over the rows.
+
+    Reads ``task``, ``options``, ``truth``, ``with_text`` and ``without_text``; null answers count as empty. Adds for either
+    side ``_missing``, ``_short`` (under ``least`` words), ``_chain`` (its reasoning), ``_pred`` and ``_correct`` (null where
+    either cannot be read); ``no_image`` and ``uncertain`` (what the answer without evidence admits, outside answer
+    options), ``cosine``, ``alike``, ``mirage_like`` (true, false, null), ``label``, and ``state`` (mirage, non_mirage or
+    neutral). Missing comes before admitting, admitting before alike.
+    """
+    task, out, sides = F.col("task"), pairs, ("with", "without")
+    for side in sides:
+        said = T.text(F.col(f"{side}_text"))
+        out = out.withColumns({f"{side}_missing": said == "", f"{side}_short": T.word_count(said) < least, f"{side}_chain": T.reasoning(said), f"{side}_pred": predicted(task, said, F.col("options"))})
+    said = T.text(F.col("without_text"))
+    out = out.withColumns({"no_image": T.mentions(said, no_image), "uncertain": T.mentions(said, uncertain), "cosine": F.round(token_cosine(T.text(F.col("with_text")), said), 6)})
+    # every normal form is a column, so that no later expression works it out again
+    answers = {"with": F.col("with_pred"), "without": F.col("without_pred"), "true": F.col("truth")}
+    letters, plain = ({k: F.col(f"_{kind}_{k}") for k in answers} for kind in ("letter", "plain"))
+    out = out.withColumns({f"_letter_{k}": T.normal_letter(c) for k, c in answers.items()} | {f"_plain_{k}": T.normal_open(c) for k, c in answers.items()})
+    out = out.withColumns({f"{side}_correct": T.agrees(task, letters[side], letters["true"], plain[side], plain["true"]) for side in sides})
+    out = out.withColumn("alike", alike(task, (letters["with"], letters["without"]), (plain["with"], plain["without"]), F.col("cosine") >= threshold))
+    state, label = mirage(F.col("with_missing") | F.col("without_missing"), F.col("no_image") | F.col("uncertain"), F.col("alike"))
+    out = out.withColumns({"mirage_like": state, "label": label}).drop(*(f"_{kind}_{k}" for kind in ("letter", "plain") for k in answers))
+    return out.withColumn("state", F.when(F.col("mirage_like"), "mirage").when(~F.col("mirage_like"), "non_mirage").otherwise("neutral"))
+
+
+def label_summary(rows: DataFrame, by: list[str], question: list[str]) -> DataFrame:
+    """Of ``labelled`` rows, per group: counts of missing and short answers and of labels, rates, accuracies, and how many questions flip."""
+    n = lambda c: F.count_if(c).alias
+    short, missing = F.col("with_short") | F.col("without_short"), F.col("with_missing") | F.col("without_missing")
+    counts = rows.groupBy(*by).agg(n(F.col("with_missing"))("missing_with"), n(F.col("without_missing"))("missing_without"), n(missing)("missing_pairs"), n(F.col("with_short"))("short_with"), n(F.col("without_short"))("short_without"), n(short)("short_pairs"))
+    flips = flip_rates(question_groups(rows, [*by, *question]), by)
+    return summary(rows, by).join(counts, by).join(flips, by)
+
+
 def strict(mirage_like: Column) -> Column:
     return F.when(mirage_like.eqNullSafe(F.lit(True)), 1).when(mirage_like.eqNullSafe(F.lit(False)), 0)
 

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import keys as K
 from ..operators import labels as L
 from . import views as V
+from .answers import _normal
 from .registry import query
 
 _BAGS = r"""a AS (SELECT k, w, count(*) AS n FROM (SELECT k, unnest(regexp_extract_all(lower(with_text), '[a-z0-9]+')) AS w FROM resp) GROUP BY ALL),
@@ -37,6 +38,40 @@ def f11_mirage_label(spark, sf_dir):
     return rows.select("k", label.alias("label"), state.alias("mirage_like"))
 
 
+_SUM = "count(*) AS n, count(*) FILTER (state = 'mirage') AS n_mirage, count(*) FILTER (state = 'non_mirage') AS n_non_mirage, count(*) FILTER (state = 'neutral') AS n_neutral, round(count(*) FILTER (state = 'mirage')::DOUBLE / nullif(count(*) FILTER (state <> 'neutral'), 0), 6) AS mirage_rate, round(avg(with_correct::INT), 6) AS with_accuracy, round(avg(without_correct::INT), 6) AS without_accuracy"
+
+
+def _chain_sql() -> str:
+    """The label chain in SQL: both sides parsed and scored as rows of their own, then compared."""
+    from .answers import _CORRECT, _PRED
+
+    says = lambda ps: " OR ".join("regexp_matches(bare, '" + p.replace("'", "''") + "')" for p in ps)
+    return f"""{V.PAIRED}, si AS (SELECT k, 'w' AS side, task, with_text AS response, a, b, c, d, truth FROM pa UNION ALL SELECT k, 'o', task, without_text, a, b, c, d, truth FROM pa),
+pr AS (SELECT *, {_PRED} AS pred FROM si), co AS (SELECT *, {_CORRECT} AS correct, {_normal("pred")} AS plain FROM pr),
+resp AS (SELECT k, with_text, without_text FROM pa), {_BAGS},
+ack AS (SELECT k, {says(T.NO_IMAGE)} AS no_image, {says(T.UNCERTAIN)} AS uncertain FROM (SELECT k, regexp_replace(lower(without_text), '\\n[a-j]\\. no image', '', 'g') AS bare FROM pa)),
+jo AS (SELECT pa.*, w.pred AS with_pred, o.pred AS without_pred, w.correct AS with_correct, o.correct AS without_correct, no_image, uncertain, round(cosine, 6) AS cosine,
+    CASE WHEN pa.task = 'mcq' THEN coalesce(w.pred = o.pred, false) WHEN w.plain IS NOT NULL AND o.plain IS NOT NULL THEN w.plain = o.plain ELSE true END AND round(cosine, 6) >= 0.7 AS alike
+    FROM pa JOIN co w ON w.k = pa.k AND w.side = 'w' JOIN co o ON o.k = pa.k AND o.side = 'o' JOIN ack ON ack.k = pa.k JOIN cos ON cos.k = pa.k),
+lab AS (SELECT *, CASE WHEN with_text = '' OR without_text = '' THEN 'neutral_missing_response' WHEN no_image OR uncertain THEN 'non_mirage' WHEN alike THEN 'mirage' ELSE 'neutral' END AS label FROM jo),
+st AS (SELECT *, CASE label WHEN 'mirage' THEN 'mirage' WHEN 'non_mirage' THEN 'non_mirage' ELSE 'neutral' END AS state, len(regexp_extract_all(with_text, '\\S+')) AS wn, len(regexp_extract_all(without_text, '\\S+')) AS own FROM lab)"""
+
+
+@query(f"WITH {_chain_sql()} SELECT k, with_pred, without_pred, with_correct, without_correct, no_image, uncertain, cosine, alike, label FROM st")
+def f11_label_chain(spark, sf_dir):
+    """From answer texts to labels: parsed, scored, searched for admissions, compared."""
+    return L.labelled(V.paired_answers(spark, sf_dir)).select("k", "with_pred", "without_pred", "with_correct", "without_correct", "no_image", "uncertain", "cosine", "alike", "label")
+
+
+@query(f"""WITH {_chain_sql()}, q AS (SELECT dataset, question_id, count(*) FILTER (state = 'mirage') > 0 AND count(*) FILTER (state = 'non_mirage') > 0 AS flip FROM st GROUP BY ALL),
+f AS (SELECT dataset, count(*) AS n_questions, count(*) FILTER (flip) AS n_flips, round(avg(flip::INT), 6) AS flip_rate FROM q GROUP BY dataset),
+s AS (SELECT dataset, {_SUM}, count(*) FILTER (with_text = '') AS missing_with, count(*) FILTER (without_text = '') AS missing_without, count(*) FILTER (with_text = '' OR without_text = '') AS missing_pairs, count(*) FILTER (wn < 10) AS short_with, count(*) FILTER (own < 10) AS short_without, count(*) FILTER (wn < 10 OR own < 10) AS short_pairs FROM st GROUP BY dataset)
+SELECT * FROM s JOIN f USING (dataset)""")
+def a2_label_chain_summary(spark, sf_dir):
+    """The whole chain, from answer texts to the summary of each data set."""
+    return L.label_summary(L.labelled(V.paired_answers(spark, sf_dir)), ["dataset"], ["question_id"])
+
+
 _MIR = "CASE state WHEN 'mirage' THEN true WHEN 'non_mirage' THEN false END"
 
 
@@ -74,7 +109,6 @@ def a2_missing_and_short(spark, sf_dir):
     return L.length_counts(rows, ["dataset"], "with_text", "without_text", 120)
 
 
-_SUM = "count(*) AS n, count(*) FILTER (state = 'mirage') AS n_mirage, count(*) FILTER (state = 'non_mirage') AS n_non_mirage, count(*) FILTER (state = 'neutral') AS n_neutral, round(count(*) FILTER (state = 'mirage')::DOUBLE / nullif(count(*) FILTER (state <> 'neutral'), 0), 6) AS mirage_rate, round(avg(with_correct::INT), 6) AS with_accuracy, round(avg(without_correct::INT), 6) AS without_accuracy"
 
 
 @query(f"WITH {V.VAR} SELECT dataset, {_SUM} FROM var GROUP BY dataset")

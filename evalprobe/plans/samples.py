@@ -223,6 +223,20 @@ def o1_top_phrases(spark, sf_dir):
     return a10_phrase_rates(spark, sf_dir).orderBy(F.desc(F.abs("skew")), "phrase", "dataset").limit(5)
 
 
+_WINDOWS = "list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])"
+
+
+@query(rf"""WITH {V.EX}, b AS (SELECT item_id, string_split_regex(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' ') AS w FROM benchmark), ph AS (SELECT DISTINCT item_id AS phrase, unnest({_WINDOWS}) AS p FROM b),
+sq AS (SELECT src_ord, label, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM ex), hit AS (SELECT DISTINCT phrase, src_ord, label FROM ph JOIN sq ON contains(t, p)), n AS (SELECT count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM ex),
+c AS (SELECT i.item_id AS phrase, count(*) FILTER (label = 0) AS h0, count(*) FILTER (label = 1) AS h1 FROM benchmark i LEFT JOIN hit ON hit.phrase = i.item_id GROUP BY ALL) SELECT phrase, round(h0 / n0, 6) AS rate0, round(h1 / n1, 6) AS rate1 FROM c, n""")
+def a10_f24_phrase_table(spark, sf_dir):
+    """Each benchmark item as a group of phrases, its three-word windows: thousands of phrases, one pass over the texts."""
+    w = F.split(F.lower(T.squeeze(F.col("text"))), " ")
+    windows = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " "))
+    phrases = V.table(spark, sf_dir, "benchmark").filter(F.size(w) > 2).select(F.col("item_id").alias("group"), F.explode(windows).alias("phrase"))
+    return C.phrase_rates_of_table(V.examples(spark, sf_dir), phrases).select("phrase", F.round("rate0", 6).alias("rate0"), F.round("rate1", 6).alias("rate1"))
+
+
 _TOK = r"regexp_extract_all(lower(text), '[A-Za-z0-9_\[\]]+')"
 
 

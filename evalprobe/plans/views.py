@@ -39,6 +39,21 @@ ans AS (SELECT doc_id, lang, source, body, CASE doc_id % 8 WHEN 0 THEN '[[ b ]]
     'A. ' || a || chr(10) || 'B) ' || b || chr(10) || ' c: ' || c || chr(10) || 'plain line: ' || replace(body, chr(10), ' ') || chr(10) || 'D. ' || d AS options, CASE doc_id % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'Yes.' ELSE a END AS truth, CASE WHEN doc_id % 2 = 0 THEN 'mcq' ELSE 'open' END AS task, a, b, c, d FROM w2)"""
 
 
+def paired_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of question k with and without its evidence, whole texts: document 2k's, and by turns the same answer again, document 2k + 1's, and that one with a remark about the image in prose or as an answer option."""
+    own = answers(spark, sf_dir)
+    k = F.floor(F.col("doc_id") / 2).alias("k")
+    one = own.filter("doc_id % 2 = 0").select(k, F.col("lang").alias("dataset"), F.col("source").alias("question_id"), "options", "truth", F.col("response").alias("with_text"))
+    two = own.filter("doc_id % 2 = 1").select(k, F.col("response").alias("other"))
+    kind = F.floor(F.col("k") / 8) % 4
+    without = F.when(kind == 0, F.col("with_text")).when(kind == 1, F.concat("other", F.lit(" I cannot see the image."))).when(kind == 2, F.concat("other", F.lit("\nB. no image"))).otherwise(F.col("other"))
+    return one.join(two, "k").select("k", "dataset", "question_id", F.when(F.col("k") % 2 == 0, "mcq").otherwise("open").alias("task"), "options", "truth", "with_text", without.alias("without_text"))
+
+
+PAIRED = ANS + """, pa AS (SELECT e.doc_id // 2 AS k, e.lang AS dataset, e.source AS question_id, CASE WHEN e.doc_id // 2 % 2 = 0 THEN 'mcq' ELSE 'open' END AS task, e.a, e.b, e.c, e.d, e.truth, e.response AS with_text,
+    CASE e.doc_id // 16 % 4 WHEN 0 THEN e.response WHEN 1 THEN o.response || ' I cannot see the image.' WHEN 2 THEN o.response || chr(10) || 'B. no image' ELSE o.response END AS without_text FROM ans e JOIN ans o ON o.doc_id = e.doc_id + 1 WHERE e.doc_id % 2 = 0)"""
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired answers: documents 2k and 2k+1 are the answers of question k with and without its evidence."""
     docs = table(spark, sf_dir, "documents")

@@ -248,6 +248,50 @@ def test_images_and_their_names(spark, tmp_path):
     assert got == {1: b"\x89PNG", 2: b"\xff\xd8", 3: None, 4: None}
 
 
+@pytest.mark.parametrize(("most", "whole"), [(2_000_000, False), (60, False), (60, True)])
+def test_phrases_as_a_table_have_the_rates_of_columns(spark, monkeypatch, most, whole):
+    """Phrases inside one another, of several groups, none, null and odd texts; one automaton and several."""
+    monkeypatch.setattr(C, "AUTOMATON_CHARS", most)
+    draw = random.Random(8)
+    words = ["cat", "concat", "a cat", "ü", "the", "(the", "end."]
+    rows = [(draw.choice("pq"), i % 2, draw.choice([None, "", "\t"]) if i < 6 else "  ".join(draw.choice(words).upper() for _ in range(3))) for i in range(80)]
+    table = spark.createDataFrame(rows, "dataset string, label int, text string").repartition(3)
+    phrases = {"one": ["cat", "a cat"], "two": ["the end.", "ü"], "three": ["zzz"], "four": ["cat ü", "cat"]}
+    asked = spark.createDataFrame([(g, p) for g, ps in phrases.items() for p in ps] + [("one", "cat"), ("five", None), ("five", "")], "group string, phrase string")
+    want = {(r.dataset, r.phrase): (r.rate0, r.rate1, r.skew) for r in C.phrase_rates(table, phrases, ["dataset"], whole).collect()}
+    got = {(r.dataset, r.phrase): (r.rate0, r.rate1, r.skew) for r in C.phrase_rates_of_table(table, asked, ["dataset"], whole).collect()}
+    assert {k: v for k, v in got.items() if k[1] != "five"} == want and got["p", "five"] == (0.0, 0.0, 0.0)
+    assert C.phrase_rates_of_table(table, asked.limit(0)).count() == 0
+    monkeypatch.setattr(C, "AUTOMATON_CHARS", 3)
+    with pytest.raises(ValueError, match="a group has"):
+        C.phrase_rates_of_table(table, asked)
+
+
+def test_labels_of_answers_in_one_chain(spark):
+    """Each label's case, the order of the rules, null answers, parsing and scores of both sides."""
+    options = "A. red\nB. blue\nC. green"
+    long = " because the colour of the sky over the sea at noon is what it is"
+    rows = [
+        (0, "mcq", options, "B", f"[[B]]{long}", f"[[B]]{long}"),
+        (1, "mcq", options, "B", f"[[B]]{long}", f"[[A]]{long}"),
+        (2, "mcq", options, "B", f"[[B]]{long}", f"[[B]]{long}. I cannot see the image."),
+        (3, "mcq", options, "B", f"[[B]]{long}", f"[[B]]{long}\nC. Unable to determine"),
+        (4, "mcq", options, "B", f"[[B]]{long}", None),
+        (5, "open", "", "yes", "Yes, there is.", "yes, there is"),
+        (6, "open", "", "no", "[[no]]", "not sure"),
+        (7, "open", "", None, "", "I see no image here"),
+    ]
+    table = spark.createDataFrame(rows, "k int, task string, options string, truth string, with_text string, without_text string")
+    got = {r.k: r for r in L.labelled(table).collect()}
+    assert [got[k].label for k in range(8)] == ["mirage", "neutral", "non_mirage", "mirage", "neutral_missing_response", "mirage", "non_mirage", "neutral_missing_response"]
+    assert [got[k].state for k in (0, 1, 2)] == ["mirage", "neutral", "non_mirage"] and got[4].mirage_like is None
+    assert (got[1].with_correct, got[1].without_correct) == (True, False) and got[7].with_correct is None
+    assert got[2].no_image and not got[2].uncertain and not got[3].uncertain and got[6].uncertain
+    assert got[5].with_short and not got[0].with_short and got[7].with_missing
+    found = L.label_summary(L.labelled(table.withColumn("d", F.lit("d"))), ["d"], ["task"]).first()
+    assert (found.n, found.n_mirage, found.n_non_mirage, found.n_neutral, found.missing_pairs, found.n_questions, found.n_flips) == (8, 3, 2, 3, 2, 2, 2)
+
+
 def test_naive_bayes_is_spark_ml(spark):
     from pyspark.ml.classification import NaiveBayes
     from pyspark.ml.feature import CountVectorizer
