@@ -204,6 +204,27 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def yes_no(answer: Column) -> Column:
+    """yes or no for their synonyms, with or without full stops behind; null for other answers."""
+    own = F.rtrim(F.lower(strip(text(answer))), F.lit("."))
+    return F.when(own.isin(*YES), "yes").when(own.isin(*NO), "no")
+
+
+def split_of(path: Column, stated: Column | None = None) -> Column:
+    """train or test: what a row states, else the folder of that name in its path, else test; another word counts as test."""
+    lower = F.lower(path)
+    by_path = F.when(lower.contains("/train/"), "train").when(lower.contains("/test/"), "test")
+    own = F.coalesce(F.nullif(F.lower(stated), F.lit("")), by_path) if stated is not None else by_path
+    return F.when(own == "train", "train").otherwise("test")
+
+
+def question_kinds(answer: Column, split: Column) -> dict[str, Column]:
+    """``answer`` (yes and no in one form), ``answer_type``, ``question_type`` and ``phrase_type`` of a question."""
+    own = yes_no(answer)
+    closed = own.isNotNull()
+    return {"answer": F.coalesce(own, strip(text(answer))), "answer_type": F.when(closed, "CLOSED").otherwise("OPEN"), "question_type": F.when(closed, "binary").otherwise("open"), "phrase_type": F.when(split == "test", "test_para").otherwise("para")}
+
+
 def image_name(hint: Column, index: Column, stem: str = "image") -> Column:
     """The file name of the hint, else a name with a padded number."""
     return F.coalesce(F.nullif(file_name(hint), F.lit("")), F.concat(F.lit(f"{stem}_"), F.lpad(index.cast("string"), 6, "0"), F.lit(".jpg")))

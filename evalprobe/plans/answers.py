@@ -152,3 +152,17 @@ def f30_f31_metrics_and_cells(spark, sf_dir):
     metric = T.number(F.when(F.col("s_suppkey") % 3 == 0, "none").otherwise(F.lit("")), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal").cast("string")))
     share = F.when(metric.isNotNull(), F.round(F.abs(F.col("s_acctbal").cast("double")) / 100000, 3))
     return s.select("s_suppkey", metric.alias("metric"), T.percent(share).alias("cell"))
+
+
+@query("""WITH r AS (SELECT doc_id, '/data/' || CASE doc_id % 3 WHEN 0 THEN 'Train' WHEN 1 THEN 'test' ELSE 'other' END || '/' || source || '.parquet' AS path, CASE WHEN doc_id % 7 = 0 THEN 'TRAIN' WHEN doc_id % 7 = 1 THEN 'validation' WHEN doc_id % 7 = 2 THEN '' END AS stated,
+    CASE doc_id % 5 WHEN 0 THEN ' Yes. ' WHEN 1 THEN 'FALSE' WHEN 2 THEN 'n' ELSE text END AS said, doc_id % 5 AS k, text FROM documents),
+s AS (SELECT *, CASE WHEN lower(coalesce(nullif(stated, ''), CASE WHEN lower(path) LIKE '%/train/%' THEN 'train' ELSE 'test' END)) = 'train' THEN 'train' ELSE 'test' END AS split FROM r)
+SELECT doc_id, split, CASE WHEN k = 0 THEN 'yes' WHEN k < 3 THEN 'no' ELSE trim(text, E' \\n\\t\\r') END AS answer, CASE WHEN k < 3 THEN 'CLOSED' ELSE 'OPEN' END AS answer_type, CASE WHEN k < 3 THEN 'binary' ELSE 'open' END AS question_type, CASE WHEN split = 'test' THEN 'test_para' ELSE 'para' END AS phrase_type FROM s""")
+def f27_question_kinds(spark, sf_dir):
+    """Split by what a row states or its file's folder; kinds of question by the answer."""
+    docs, k = V.table(spark, sf_dir, "documents"), F.col("doc_id")
+    path = F.concat(F.lit("/data/"), F.when(k % 3 == 0, "Train").when(k % 3 == 1, "test").otherwise("other"), F.lit("/"), "source", F.lit(".parquet"))
+    stated = F.when(k % 7 == 0, "TRAIN").when(k % 7 == 1, "validation").when(k % 7 == 2, "")
+    said = F.when(k % 5 == 0, " Yes. ").when(k % 5 == 1, "FALSE").when(k % 5 == 2, "n").otherwise(F.col("text"))
+    rows = docs.select("doc_id", T.split_of(path, stated).alias("split"), said.alias("said"))
+    return rows.select("doc_id", "split", *(c.alias(n) for n, c in T.question_kinds(F.col("said"), F.col("split")).items()))

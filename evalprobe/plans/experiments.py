@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -10,6 +11,7 @@ from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import probes as P
 from ..operators import reports as R
+from ..operators import runs as Runs
 from ..operators import sampling as S
 from ..operators import splits as Sp
 from ..operators import vectors as X
@@ -285,3 +287,34 @@ def f29_candidate_names(spark, sf_dir):
     names = T.candidates(layers, ("mean", "last", "max", "min"))
     wanted = F.concat(F.lit("language_model/layer_"), (F.col("s_suppkey") % 3).cast("string"), F.lit("/post_attention__last"))
     return V.table(spark, sf_dir, "supplier").select("s_suppkey", (F.size(names) - 4).alias("n"), F.element_at(F.filter(names, lambda x: x == wanted), 1).alias("last_part"))
+
+
+def _seed_sql(i: str, key: str) -> str:
+    """``seed_at`` in SQL, for a table with columns ``i`` and ``key``."""
+    f = Runs._FACTORS
+    x = f"({i}::BIGINT % 1073741824)"
+    for k in range(3):
+        y = f"(({x} * {f[k]} + ({key}::BIGINT % 1073741824) * {f[k - 1]} + {k}) % 1073741824)"
+        x = f"xor({y}, {y} >> 15)"
+    return x
+
+
+@query(f"SELECT s_suppkey, n_nationkey, {_seed_sql('s_suppkey', 'n_nationkey')} AS split_seed FROM supplier, nation")
+def w20_split_seeds(spark, sf_dir):
+    """A split seed for each supplier in the experiment of each nation, drawn without replacement."""
+    nations = V.table(spark, sf_dir, "nation").select("n_nationkey")
+    each = V.table(spark, sf_dir, "supplier").select("s_suppkey").crossJoin(F.broadcast(nations))
+    return each.select("s_suppkey", "n_nationkey", Runs.seed_at(F.col("s_suppkey"), F.col("n_nationkey")).alias("split_seed"))
+
+
+@query("""WITH s AS (SELECT DISTINCT l_linenumber::INT AS stage_no, 'stage' || l_linenumber AS stage, CASE WHEN l_linenumber % 2 = 0 THEN 'contrastive' ELSE 'all_examples' END AS family FROM lineitem),
+m AS (SELECT row_number() OVER (ORDER BY mode)::INT AS mode_no, mode FROM (SELECT DISTINCT l_returnflag AS mode FROM lineitem)), o AS (SELECT DISTINCT l_linestatus AS model FROM lineitem),
+j AS (SELECT * FROM s, m, o WHERE NOT (model = 'F' AND family = 'contrastive')), w AS (SELECT model, stage_no, lag(stage_no) OVER (PARTITION BY model ORDER BY stage_no) AS waits_for FROM (SELECT DISTINCT model, stage_no FROM j))
+SELECT lpad(stage_no::VARCHAR, 2, '0') || '_' || lpad(mode_no::VARCHAR, 2, '0') || '_' || stage || '_' || mode || '_' || model AS tag, family, waits_for FROM j JOIN w USING (model, stage_no)""")
+def j20_job_plan(spark, sf_dir):
+    """Stages by modes by models; one model has no job of one family, so that stages of it are passed over."""
+    items = V.table(spark, sf_dir, "lineitem")
+    stages = items.select("l_linenumber").distinct().select(F.col("l_linenumber").cast("int").alias("stage_no"), F.concat(F.lit("stage"), "l_linenumber").alias("stage"), F.when(F.col("l_linenumber") % 2 == 0, "contrastive").otherwise("all_examples").alias("family"))
+    modes = items.select(F.col("l_returnflag").alias("mode")).distinct().withColumn("mode_no", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("mode")))
+    models = items.select(F.col("l_linestatus").alias("model")).distinct()
+    return Runs.job_plan(stages, modes, models, (F.col("model") == "F") & (F.col("family") == "contrastive")).select("tag", "family", "waits_for")
