@@ -15,6 +15,7 @@ from ..operators import runs as Runs
 from ..operators import sampling as S
 from ..operators import splits as Sp
 from ..operators import vectors as X
+from ..operators.subspace import wide_principal
 from . import views as V
 from .registry import ORACLE, query
 from .samples import _TOK, PAIRS, _sample, texts
@@ -266,6 +267,13 @@ def a21_principal_components(spark, sf_dir):
     return P.principal(rows, 4).select("vec_id", F.size("components").alias("n"), F.array_join(F.transform("components", lambda x: F.round(F.abs(x), 4).cast("string")), ",").alias("components"))
 
 
+@query()
+def a21_wide_components(spark, sf_dir):
+    """Components of the concatenated layers, by passes over the rows: the way for vectors of any width."""
+    vec = X.concatenated(V.activations(spark, sf_dir), ["vec_id"]).select("vec_id", F.col("vec").cast("array<double>").alias("vec"), (F.col("vec_id") % 4 != 0).alias("is_train"))
+    return wide_principal(vec, 4).select("vec_id", F.size("components").alias("n"), F.array_join(F.transform("components", lambda x: F.round(F.abs(x), 4).cast("string")), ",").alias("components"))
+
+
 @query(f"WITH {V.RUNS}, r AS (SELECT split_seed, feature, max(test_accuracy) AS m FROM runs GROUP BY ALL) SELECT feature, " + ", ".join(f"printf('%.2f%%', max(m) FILTER (split_seed = {k}) * 100) AS s{k}" for k in (1, 2, 3)) + " FROM r GROUP BY feature")
 def m10_result_table(spark, sf_dir):
     runs = V.runs(spark, sf_dir).groupBy("feature", F.concat(F.lit("s"), "split_seed").alias("mode")).agg(F.max("test_accuracy").alias("metric"))
