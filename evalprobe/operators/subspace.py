@@ -1,8 +1,8 @@
-"""Principal components of vectors of any width: subspace iteration by sums of block products, a pass over the rows each.
+"""Principal components of vectors of any width: a growing subspace by sums of block products, a pass over the rows each.
 
 Spark ML's PCA holds a matrix of width by width. Here a pass multiplies every row by a narrow basis and adds up what the
 rows give back: width by ``k`` and a few columns more. These sums are taken per partition, merged piece by piece on the
-executors, and turned into the next basis on the driver, until the leading directions stand still.
+executors, and turned into the next block of the basis on the driver, until the leading directions stand still.
 """
 
 from __future__ import annotations
@@ -55,42 +55,62 @@ def _summed(rows: DataFrame, width: int, columns: int, of) -> np.ndarray:
     return np.concatenate([found[k] for k in sorted(found)]).reshape(width, columns) if found else np.zeros((width, columns))
 
 
+def _fresh(block: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of what ``block`` has beyond ``held``; without columns if that is rounding only."""
+    size = np.linalg.norm(block)
+    for _ in range(2):
+        block = block - held @ (held.T @ block)
+    left, sizes, _ = np.linalg.svd(block, full_matrices=False)
+    new = left[:, sizes > 1e-10 * max(size, 1e-300)]
+    for _ in range(2):  # what rounding has left of the held directions weighs more in small ones
+        new = np.linalg.qr(new - held @ (held.T @ new))[0]
+    return new
+
+
 def principal_basis(rows: DataFrame, k: int, passes: int = 60, tolerance: float = 1e-9, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Mean and the ``k`` leading directions (width by k, orthonormal) of the vectors ``vec`` of ``rows``.
 
-    A direction's sign is that which makes its largest component positive. The iteration ends when no leading direction
-    moves by more than ``tolerance``, or after ``passes`` passes: directions of nearly equal variance need more. Fewer
-    directions come back if the rows span fewer. Rows without a vector are left out; an empty table raises.
+    A direction's sign is that which makes its largest component positive. Blocks of all passes are kept as one basis
+    and the best directions in it are taken, so few passes are needed; a basis that would grow beyond ``HELD`` numbers
+    starts anew from its best directions. It ends when the directions' residuals are under ``tolerance`` of the largest
+    variance, when the rows span nothing more, or after ``passes`` passes. Fewer directions come back if the rows span
+    fewer. Rows without a vector are left out; an empty table raises.
     """
     rows = rows.filter("vec IS NOT NULL")
     first, n = rows.select(F.size("vec").alias("d")).first(), rows.count()
     if first is None:
         raise ValueError("no vectors")
     width = first.d
-    columns = min(k + 10, width, n)
-    if width * columns > HELD:
-        raise ValueError(f"{width} components by {columns} columns are more than {HELD} numbers")
+    columns = min(k + 10, width)
+    most = HELD // (2 * width) // columns * columns
+    if most < 3 * columns:
+        raise ValueError(f"a basis of {width} components by {3 * columns} columns is more than the driver may hold")
     mean = _summed(rows, width, 1, lambda x: x.sum(0)[:, None])[:, 0] / n
-    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, columns)))[0]
-    sc, lead, values = rows.sparkSession.sparkContext, None, None
+    new = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, columns)))[0]
+    basis = products = np.zeros((width, 0))
+    sc = rows.sparkSession.sparkContext
     for _ in range(passes):
-        sent = sc.broadcast((basis, mean @ basis))
+        sent = sc.broadcast((new, mean @ new))
 
         def of(x: np.ndarray, sent=sent) -> np.ndarray:
             q, shift = sent.value
             return x.T @ (x @ q - shift)
 
         # centred rows times the basis add up to zero, so the mean drops out of the other side
-        product = _summed(rows, width, columns, of)
+        product = _summed(rows, width, new.shape[1], of)
         sent.unpersist()
-        values, turn = np.linalg.eigh((basis.T @ product + product.T @ basis) / 2)
-        order = np.argsort(-values)
-        values, new = values[order], basis @ turn[:, order[:k]]
-        moved = np.inf if lead is None else np.abs(new - lead @ (lead.T @ new)).max()
-        lead = new
-        if moved < tolerance:
+        basis, products = np.hstack([basis, new]), np.hstack([products, product])
+        inner = basis.T @ products
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        values, turn = values[::-1], turn[:, ::-1]
+        lead = basis @ turn[:, :k]
+        rest = products @ turn[:, :k] - lead * values[:k]
+        new = _fresh(np.hstack([rest, product])[:, :columns], basis)
+        if not new.size or np.abs(rest).max() <= tolerance * max(values[0], 1e-300):
             break
-        basis = np.linalg.qr(product)[0]
+        if basis.shape[1] + new.shape[1] > most:
+            turn = turn[:, : 2 * columns]
+            basis, products = basis @ turn, products @ turn
     lead = lead[:, values[:k] > 1e-12 * max(values[0], 1e-300)]
     top = np.abs(lead).argmax(0) if lead.size else np.zeros(0, int)
     return mean, lead * np.where(lead[top, np.arange(lead.shape[1])] < 0, -1, 1)

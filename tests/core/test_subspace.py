@@ -36,6 +36,18 @@ def test_as_spark_ml_on_narrow_vectors(spark):
     assert own.keys() == ml.keys() and all(np.allclose(own[i], ml[i], atol=1e-5) for i in own)
 
 
+def test_no_gap_and_a_small_basis(spark, monkeypatch):
+    """Variances that hardly differ, with a basis that has to start anew."""
+    from evalprobe.operators import subspace
+
+    monkeypatch.setattr(subspace, "HELD", 60 * 2 * 39)
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(400, 60)) * np.linspace(1.2, 1, 60)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key int, vec array<double>").repartition(3)
+    _, basis = principal_basis(rows, 3)
+    assert np.allclose(basis, against_svd(x, 3)[1], atol=1e-6)
+
+
 def test_few_and_odd_rows(spark):
     kind = "key int, vec array<double>, is_train boolean"
     flat = spark.createDataFrame([(i, [float(i), 0.0, 1.0], True) for i in range(5)] + [(9, None, True)], kind)
