@@ -60,3 +60,20 @@ def appended(messages: Column, role: str, text: Column) -> Column:
     """``messages`` with one more turn."""
     part = F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("image_ref"))
     return F.concat(messages, F.array(F.struct(F.lit(role).alias("role"), F.array(part).alias("content"))))
+
+
+def reused_rewrites(questions: DataFrame, rewrites: DataFrame, n: int, key: str = "unique_id", question: str = "question", order: str = "idx", text: str = "text") -> DataFrame:
+    """A row for each of the first ``n`` rewrites of every question, as ``variant`` (from 1) and ``rewrite``.
+
+    Rewrites are stripped; blank ones, repeats and copies of the question do not count. A question without rewrites, or
+    with fewer than ``n`` that count, raises when its rows are read. Rewrites of unknown questions are left out. Only
+    the first of equal texts go on to a question's row, so repeats of a rewrite are never gathered.
+    """
+    own = rewrites.select(key, T.strip(F.col(text)).alias("_text"), order).filter("_text <> ''").groupBy(key, "_text").agg(F.min(order).alias("_at"))
+    met = questions.select(key, T.strip(F.col(question)).alias("_question")).join(own, key, "left")
+    fresh = F.when(F.col("_text") != F.col("_question"), F.struct("_at", "_text"))
+    folded = met.groupBy(key).agg(F.count("_text").alias("_any"), F.sort_array(F.collect_list(fresh)).alias("_all"))
+    few = F.when(F.col("_any") == 0, F.concat(F.lit("no rewrites of "), F.col(key).cast("string"))).when(F.size("_all") < n, F.concat(F.lit("only "), F.size("_all").cast("string"), F.lit(f" rewrites, not {n}, of "), F.col(key).cast("string")))
+    kept = F.when(few.isNotNull(), F.raise_error(few)).otherwise(F.slice("_all", 1, n))
+    told = folded.select(key, F.posexplode(kept).alias("_i", "_x")).select(key, (F.col("_i") + 1).alias("variant"), F.col("_x._text").alias("rewrite"))
+    return questions.join(told, key)

@@ -17,6 +17,22 @@ def overridden(rows: DataFrame, keys: list[str], **sources: DataFrame) -> DataFr
     return rows.withColumns({"metric": F.coalesce(*(F.col(f"_{n}") for n in sources)), "metric_source": taken}).drop(*(f"_{n}" for n in sources))
 
 
+def section(lines: DataFrame, modes: list[str], primary: DataFrame, extra: DataFrame, replaced: Column) -> DataFrame:
+    """The cells of one section of the result tables: a row a line and mode, with ``metric`` and its ``metric_source``.
+
+    ``lines`` has ``line``, ``stage``, ``family`` and ``only_extra``; ``primary`` and ``extra`` have ``stage``, ``mode``,
+    ``family`` and ``metric``, a row a cell. Lines with ``only_extra`` take the extra run or nothing. Others take the
+    primary run, but where ``replaced`` is true (a condition on the line) the extra run comes first if it has a metric.
+    """
+    keys = ["stage", "mode", "family"]
+    cells = lines.withColumn("mode", F.explode(F.array(*map(F.lit, modes))))
+    for name, source in (("primary", primary), ("extra", extra)):
+        cells = cells.join(source.select(*keys, F.col("metric").alias(f"_{name}")), keys, "left")
+    first = F.col("only_extra") | (replaced & F.col("_extra").isNotNull())
+    taken = F.when(first, F.when(F.col("_extra").isNotNull(), F.lit("extra"))).when(F.col("_primary").isNotNull(), "primary")
+    return cells.withColumns({"metric": F.when(first, F.col("_extra")).otherwise(F.col("_primary")), "metric_source": taken}).drop("_primary", "_extra")
+
+
 def layer_order(name: Column) -> list[Column]:
     """Component, layer, part below it, head, name."""
     component = F.element_at(F.split(name, "/"), 1)

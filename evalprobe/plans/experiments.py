@@ -213,14 +213,15 @@ def m5_clean_b_experiment(spark, sf_dir):
     return _over_seeds(P.sweep(Sp.three_way(keys, ["label"], "key", F.col("split_seed"), group=["split_seed"]).join(rows.drop("label"), "key")))
 
 
-def _transfer(samples, sources: str):
-    """Train on the samples of each source side, test on those of A and of B: the target is a column."""
+def _transfer(samples, sources: str, by: str | None = None):
+    """Train on the samples of each source side, test on those of A and of B (and of each value of ``by``): the target is a column."""
     cases = F.explode(F.array(*(F.struct(F.lit(a).alias("source"), F.lit(b).alias("target")) for a in sources for b in "AB"))).alias("c")
     rows = samples.select("*", cases).filter(F.when(F.col("part") == "test", F.col("side") == F.col("c.target")).otherwise((F.col("side") == F.col("c.source")) & (F.col("c.target") == "A")))
     rows = rows.withColumn("feature", F.concat_ws("|", "feature", "c.source")).withColumn("target", F.when(F.col("part") == "test", F.col("c.target"))).drop("c", "side")
-    found = P.selected_with(P.sweep(rows, tested=[F.col("target")]), ["_t0"])
+    told = [F.col("target")] + ([F.when(F.col("part") == "test", F.col(by))] if by else [])
+    found = P.selected_with(P.sweep(rows, tested=told), [f"_t{k}" for k in range(len(told))])
     name = F.split("feature", r"\|")
-    return found.select(name[0].alias("feature"), name[1].alias("source"), F.col("_t0").alias("target"), "split_seed", "c_value", "n_test", "test_accuracy")
+    return found.select(name[0].alias("feature"), name[1].alias("source"), F.col("_t0").alias("target"), *([F.col("_t1").alias(by)] if by else []), "split_seed", "c_value", "n_test", "test_accuracy")
 
 
 def _sided(spark, sf_dir):
@@ -235,7 +236,8 @@ def m6_transfer_grid(spark, sf_dir):
 
 @query()
 def m6_transfer_from_b_only(spark, sf_dir):
-    return _transfer(_sided(spark, sf_dir), "B")
+    """Train on B alone, test on A and on B, for each benchmark by itself."""
+    return _transfer(_sided(spark, sf_dir).withColumn("benchmark", F.concat(F.lit("set"), F.col("key") % 3)), "B", by="benchmark")
 
 
 @query()
@@ -326,3 +328,33 @@ def j20_job_plan(spark, sf_dir):
     modes = items.select(F.col("l_returnflag").alias("mode")).distinct().withColumn("mode_no", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("mode")))
     models = items.select(F.col("l_linestatus").alias("model")).distinct()
     return Runs.job_plan(stages, modes, models, (F.col("model") == "F") & (F.col("family") == "contrastive")).select("tag", "family", "waits_for")
+
+
+_CELLS = f"""{V.RUNS}, pr AS (SELECT feature AS family, 'stage' || split_seed AS stage, CASE WHEN c_value < 1 THEN 'low' ELSE 'high' END AS mode, max(test_accuracy) AS metric FROM runs WHERE split_seed <= 4 GROUP BY ALL),
+ex AS (SELECT feature AS family, 'stage' || split_seed AS stage, CASE WHEN c_value < 1 THEN 'low' ELSE 'high' END AS mode, max(validation_accuracy) AS metric FROM runs WHERE split_seed >= 3 AND (feature <> 'R' OR c_value < 1) GROUP BY ALL),
+li AS (SELECT DISTINCT feature || split_seed AS line, 'stage' || split_seed AS stage, feature AS family, split_seed = 5 AS only_extra FROM runs), mo AS (SELECT unnest(['low', 'high', 'none']) AS mode),
+ce AS (SELECT li.*, mo.mode, CASE WHEN only_extra OR (li.stage = 'stage3' AND ex.metric IS NOT NULL) THEN ex.metric ELSE pr.metric END AS metric, CASE WHEN only_extra OR (li.stage = 'stage3' AND ex.metric IS NOT NULL) THEN CASE WHEN ex.metric IS NOT NULL THEN 'extra' END WHEN pr.metric IS NOT NULL THEN 'primary' END AS metric_source
+    FROM li CROSS JOIN mo LEFT JOIN pr ON pr.stage = li.stage AND pr.family = li.family AND pr.mode = mo.mode LEFT JOIN ex ON ex.stage = li.stage AND ex.family = li.family AND ex.mode = mo.mode)"""
+
+
+def _section(spark, sf_dir):
+    """Primary runs of the first four stages, extra runs from the third on; stage 3 takes its extra run first, stage 5 has no other."""
+    runs = V.runs(spark, sf_dir)
+    stage, mode = F.concat(F.lit("stage"), "split_seed"), F.when(F.col("c_value") < 1, "low").otherwise("high")
+    named = runs.withColumns({"stage": stage, "mode": mode, "family": F.col("feature")})
+    cell = lambda rows, metric: rows.groupBy("stage", "mode", "family").agg(F.max(metric).alias("metric"))
+    lines = named.select(F.concat("feature", "split_seed").alias("line"), "stage", "family", (F.col("split_seed") == 5).alias("only_extra")).distinct()
+    extra = cell(named.filter((F.col("split_seed") >= 3) & ((F.col("feature") != "R") | (F.col("c_value") < 1))), "validation_accuracy")
+    return R.section(lines, ["low", "high", "none"], cell(named.filter("split_seed <= 4"), "test_accuracy"), extra, F.col("stage") == "stage3")
+
+
+@query(f"WITH {_CELLS} SELECT line, mode, metric, metric_source FROM ce")
+def j17_extra_runs(spark, sf_dir):
+    """Which run each cell of a section takes: the extra run of one stage replaces the primary one."""
+    return _section(spark, sf_dir).select("line", "mode", "metric", "metric_source")
+
+
+@query(f"WITH {_CELLS} SELECT line, " + ", ".join(f"coalesce(printf('%.2f%%', max(metric) FILTER (mode = '{m}') * 100), 'N/A') AS {m}" for m in ("low", "high", "none")) + " FROM ce GROUP BY line")
+def m10_section_table(spark, sf_dir):
+    """A section of the result tables: a line for each row label, a percent cell for each mode."""
+    return R.table(_section(spark, sf_dir), "line", "mode", ["low", "high", "none"])

@@ -123,6 +123,19 @@ def j12_s8_joined_rewrites(spark, sf_dir):
     return items.join(checked, items.item_id == checked.k).select("k", F.concat(F.lit("v"), "k", F.lit("_"), "i").alias("variant_id"), F.col("text").alias("question"))
 
 
+@query(r"""WITH q AS (SELECT item_id AS k, CASE WHEN item_id % 4 = 0 THEN d.line ELSE text END AS question FROM benchmark JOIN (SELECT doc_id, trim(string_split(text, chr(10))[1]) AS line FROM documents) d ON d.doc_id = item_id WHERE item_id < 20),
+r AS (SELECT doc_id % 20 AS k, trim(string_split(text, chr(10))[1]) AS t, min(doc_id) AS first_at FROM documents GROUP BY ALL), f AS (SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY first_at)::INT AS variant FROM r JOIN q USING (k) WHERE t <> '' AND t <> question)
+SELECT k, question, variant, t AS rewrite FROM q JOIN f USING (k) WHERE variant <= 3""")
+def j12_joined_rewrites(spark, sf_dir):
+    """First lines of documents as rewrites of benchmark items: stripped, without repeats and copies of the question; too few would raise."""
+    line = F.split("text", "\n")[0]
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", line.alias("line"))
+    items = V.table(spark, sf_dir, "benchmark").filter("item_id < 20").join(docs, F.col("item_id") == F.col("doc_id"))
+    questions = items.select(F.col("item_id").alias("k"), F.when(F.col("item_id") % 4 == 0, F.trim("line")).otherwise(F.col("text")).alias("question"))
+    rewrites = docs.select((F.col("doc_id") % 20).alias("k"), F.col("doc_id").alias("idx"), F.col("line").alias("text"))
+    return Pairs.reused_rewrites(questions, rewrites, 3, key="k")
+
+
 @query("SELECT doc_id, lang, text FROM documents")
 def s3_json_arrays(spark, sf_dir):
     """Files of one JSON array each, a thousand ids a file."""

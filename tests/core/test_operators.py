@@ -267,6 +267,34 @@ def test_phrases_as_a_table_have_the_rates_of_columns(spark, monkeypatch, most,
         C.phrase_rates_of_table(table, asked)
 
 
+def test_reused_rewrites(spark):
+    from evalprobe.operators.pairs import reused_rewrites
+
+    questions = spark.createDataFrame([("a", " What? "), ("b", "Why?")], "unique_id string, question string")
+    rows = [("a", 0, "What?"), ("a", 1, " Which "), ("a", 2, None), ("a", 3, "Which"), ("a", 4, ""), ("a", 5, "Who"), ("a", 6, "When"), ("b", 1, "x"), ("b", 0, "y"), ("c", 0, "z")]
+    rewrites = spark.createDataFrame(rows, "unique_id string, idx int, text string").repartition(3)
+    got = {(r.unique_id, r.variant): r.rewrite for r in reused_rewrites(questions, rewrites, 2).collect()}
+    assert got == {("a", 1): "Which", ("a", 2): "Who", ("b", 1): "y", ("b", 2): "x"}
+    with pytest.raises(Exception, match="only 2 rewrites, not 3, of b"):
+        reused_rewrites(questions, rewrites, 3).collect()
+    with pytest.raises(Exception, match="no rewrites of b"):
+        reused_rewrites(questions, rewrites.filter("unique_id = 'a'"), 2).collect()
+
+
+def test_seeds_differ_and_jobs_wait(spark):
+    from evalprobe.operators import runs
+
+    table = spark.range(20_000).select(F.col("id"), *(runs.seed_at(F.col("id"), k).alias(f"s{k}") for k in (0, 7)))
+    found = table.collect()
+    assert len({r.s0 for r in found}) == len({r.s7 for r in found}) == 20_000 and all(0 <= r.s0 < 1 << 30 for r in found)
+    assert sum(r.s0 == r.s7 for r in found) < 5 and abs(np.corrcoef([r.id for r in found], [r.s0 for r in found])[0, 1]) < 0.05
+    stages = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", "x")], "stage_no int, stage string, family string")
+    modes, models = spark.createDataFrame([(1, "m"), (2, "n")], "mode_no int, mode string"), spark.createDataFrame([("p",), ("q",)], "model string")
+    jobs = runs.job_plan(stages, modes, models, (F.col("model") == "p") & (F.col("family") == "y")).collect()
+    assert len(jobs) == 10 and {(r.model, r.stage_no): r.waits_for for r in jobs} == {("p", 1): None, ("p", 3): 1, ("q", 1): None, ("q", 2): 1, ("q", 3): 2}
+    assert "03_02_c_n_p" in {r.tag for r in jobs}
+
+
 def test_labels_of_answers_in_one_chain(spark):
     """Each label's case, the order of the rules, null answers, parsing and scores of both sides."""
     options = "A. red\nB. blue\nC. green"
