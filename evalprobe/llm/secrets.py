@@ -16,6 +16,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 #: Kinds in the order in which spans that start together are listed. Group counts of each pattern; group 2 of ``assign`` is the value.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -25,8 +27,11 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Character class of a candidate: pattern, and the bits a window must reach.
 CLASSES = (("hex", r"^[0-9a-fA-F]+$", 3.0), ("base64", r"^[A-Za-z0-9+/_=-]+$", 4.0))
-#: Candidates that match one of these are no secrets: words, words joined by hyphens or underscores, numbers, paths of words, rulers.
-ALLOWED = (r"^[A-Za-z_/-]+$", r"^[0-9_/=+-]+$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^[-=_+/]*[A-Za-z]+[-=_+/]{4,}.*$", r"(?i)(abcdefgh|0123456789|example|placeholder|xxxxxxxx)")
+#: Candidates that match one of these are no secrets: words, words joined by hyphens or underscores, numbers, paths of words.
+ALLOWED = (r"^[A-Za-z_/-]+$", r"^[0-9_/=+-]+$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^[-=_+/]*[A-Za-z]+[-=_+/]{4,}.*$")
+#: Parts of candidates (between slashes and equals signs) that hold one of these are made up; what stands beside them is looked at.
+MADE_UP = "abcdefgh|0123456789|example|placeholder|xxxxxxxx"
+PART = "[A-Za-z0-9+_-]"
 SCALE = 1_000_000
 
 
@@ -78,16 +83,27 @@ def limit(bits: float, window: int) -> int:
     return round((math.log2(window) - bits) * window * SCALE)
 
 
+def _masked(text: str, spans: str) -> str:
+    """SQL: a text with blanks in place of its spans."""
+    start = "greatest(m.start, a.at)"
+    step = f"CASE WHEN m.stop <= a.at THEN a ELSE struct(m.stop AS at, concat(a.out, substr({text}, a.at + 1, {start} - a.at), repeat(' ', m.stop - {start})) AS out) END"
+    return f"CASE WHEN size({spans}) = 0 THEN {text} ELSE aggregate(array_sort({spans}), struct(0 AS at, '' AS out), (a, m) -> {step}, a -> concat(a.out, substr({text}, a.at + 1))) END"
+
+
 def _entropy(text: str, window: int) -> str:
     """SQL: (start, kind, end) of the candidates that one of their windows gives away."""
-    p = _lit(CANDIDATE)
-    pieces = f"zip_with(regexp_extract_all({text}, {p}, 0), {_gaps(text, p)}, (m, g) -> struct(m, g))"
+    p, made_up = _lit(CANDIDATE), _lit(f"(?<!{PART}){PART}*?(?i:{MADE_UP}){PART}*+")
     empty = "cast(array() AS array<struct<start:int,stop:int,value:string>>)"
+    pieces = f"zip_with(regexp_extract_all({text}, {p}, 0), {_gaps(text, p)}, (m, g) -> struct(m, g))"
     placed = f"aggregate({pieces}, struct(0 AS at, {empty} AS found), (a, x) -> struct(a.at + length(x.g) + length(x.m) AS at, concat(a.found, array(struct(a.at + length(x.g) AS start, a.at + length(x.g) + length(x.m) AS stop, x.m AS value))) AS found), a -> a.found)"
-    allowed = " OR ".join(f"c.value RLIKE {_lit(a)}" for a in ALLOWED)
+    # what a candidate has beside its made-up parts
+    beside = f"zip_with(split(c.value, {made_up}, -1), regexp_extract_all(c.value, {made_up}, 0), (g, m) -> struct(g AS g, coalesce(length(m), 0) AS skip))"
+    kept = f"aggregate({beside}, struct(c.start AS at, {empty} AS found), (a, x) -> struct(a.at + length(x.g) + x.skip AS at, concat(a.found, array(struct(a.at AS start, a.at + length(x.g) AS stop, x.g AS value))) AS found), a -> a.found)"
+    split = f"flatten(transform({placed}, c -> CASE WHEN c.value RLIKE {_lit(f'(?i:{MADE_UP})')} THEN {kept} ELSE array(c) END))"
+    allowed = " OR ".join([f"length(c.value) < {window}", *(f"c.value RLIKE {_lit(a)}" for a in ALLOWED)])
     bound = "CASE " + " ".join(f"WHEN c.value RLIKE {_lit(pattern)} THEN {limit(bits, window)}L" for _, pattern, bits in CLASSES) + " END"
     hit = f"CASE WHEN {allowed} THEN false ELSE {_least_sum('c.value', window)} <= {bound} END"
-    return f"CASE WHEN {text} RLIKE {p} THEN transform(filter({placed}, c -> {hit}), c -> struct(c.start, 3 AS kind, c.stop)) ELSE {_NONE} END"
+    return f"CASE WHEN {text} RLIKE {p} THEN transform(filter({split}, c -> {hit}), c -> struct(c.start, 3 AS kind, c.stop)) ELSE {_NONE} END"
 
 
 def _listed(spans: str) -> str:
@@ -98,14 +114,15 @@ def scan(docs: DataFrame, text_col: str = "text", window: int = 24) -> DataFrame
     """``docs`` with ``_sec_base`` and ``_sec_added``: arrays of (start, kind, end), code points, end exclusive.
 
     Kinds 0 to 2 are the patterns ``assign``, ``access`` and ``hex``, leftmost and without overlap within a kind;
-    kind 3 are strings of high entropy that touch none of them. A null or empty text has none. Texts are scanned
-    whole; every row by itself, so repeated rows and further columns make no difference.
+    kind 3 are strings of high entropy in what the others leave: a candidate is cut at their spans and at its made-up
+    parts. A null or empty text has none. Texts are scanned whole; every row by itself, so repeated rows and further
+    columns, of any name, make no difference.
     """
-    docs = docs.withColumn("_sec_text", F.coalesce(F.col(text_col), F.lit("")))
-    base = f"concat({_matches('_sec_text', ASSIGN, 0, 8)}, {_matches('_sec_text', ACCESS, 1)}, {_matches('_sec_text', HEX, 2)})"
-    docs = docs.withColumn("_sec_base", F.expr(base))
-    added = f"filter({_entropy('_sec_text', window)}, m -> NOT exists(_sec_base, b -> b.start < m.stop AND m.start < b.stop))"
-    return docs.withColumn("_sec_added", F.expr(added)).drop("_sec_text")
+    text, rest = free(docs, "_sec_text", "_sec_rest")
+    docs = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
+    base = f"concat({_matches(text, ASSIGN, 0, 8)}, {_matches(text, ACCESS, 1)}, {_matches(text, HEX, 2)})"
+    docs = docs.withColumn("_sec_base", F.expr(base)).withColumn(rest, F.expr(_masked(text, "_sec_base")))
+    return docs.withColumn("_sec_added", F.expr(_entropy(rest, window))).drop(text, rest)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 24) -> DataFrame:
