@@ -72,8 +72,8 @@ def _anchor_rows(size: int):
                 found = Parse(flat, at, size).anchors()
                 fresh = np.concatenate([[True], (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])])
                 found, doc = found[fresh], doc[fresh]
-                ids = np.array([r[0] for r in block], np.int64)[doc]
-                yield pa.RecordBatch.from_arrays([_signed(found), pa.array(ids)], names=["anchor", "doc"])
+                ids, tids = (np.array([r[k] for r in block], np.int64)[doc] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([_signed(found), pa.array(ids), pa.array(tids)], names=["anchor", "doc", "tid"])
 
     return run
 
@@ -127,11 +127,13 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removals(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Documents with possible repeats (``doc``, ``tid``, ``text``) and their repeated windows (``doc``, ``tid``, ``spans``)."""
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col(text_col)).alias("tid"), F.col(text_col).cast("string").alias("text"))
-    filed = stored(base.select("doc", "text").mapInArrow(_anchor_rows(size), "anchor long, doc long"), "substrings-anchors")
+    filed = stored(base.mapInArrow(_anchor_rows(size), "anchor long, doc long, tid long"), "substrings-anchors")
     shared = filed.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("anchor")
     shared = stored(shared, "substrings-shared")
-    hits = filed.join(shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
-    held = stored(base.join(hits, "doc").select("doc", "tid", "anchors", "text"), "substrings-documents", (filed, shared))
+    # by id and text: rows that share an id, null ids among them, are never gathered, and of repeated rows one goes on
+    hits = filed.join(shared, "anchor").groupBy("doc", "tid").agg(F.collect_set("anchor").alias("anchors"))
+    held = base.join(hits, ["doc", "tid"]).dropDuplicates(["doc", "tid"])
+    held = stored(held.select("doc", "tid", "anchors", "text"), "substrings-documents", (filed, shared))
     segments = stored(held.mapInArrow(_segment_rows(size), "segment binary, doc long, tid long, at long, n long, one binary, two binary"), "substrings-segments")
     earliest = stored(segments.groupBy("segment").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high"), "substrings-equal")
     told = segments.join(earliest, "segment", "left")
@@ -171,7 +173,7 @@ def deduplicated(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_c
             rows = [_kept(t, s, size) for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g for _, g in rows], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w, _ in rows], pa.string())], names=["doc", "tid", "gone", "sha"])
 
-    cut = held.dropDuplicates(["doc", "tid"]).join(spans, ["doc", "tid"]).mapInArrow(changed, "doc long, tid long, gone long, sha string")
+    cut = held.join(spans, ["doc", "tid"]).mapInArrow(changed, "doc long, tid long, gone long, sha string")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

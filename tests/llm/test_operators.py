@@ -621,6 +621,17 @@ def test_substrings_repeated_rows_and_null_ids(spark):
     assert sorted((r.doc_id or -1, r.n_removed) for r in rows) == [(-1, 60), (5, 0), (5, 0), (7, 60)]
 
 
+def test_substrings_hold_one_bounded_row_a_text(spark):
+    """A third of the rows without an id, and one text a hundred times: anchors and spans are those of one text."""
+    passages = [" ".join(words(80, k)) for k in range(40)]
+    rows = [(k, p) for k, p in enumerate(passages)] + [(None, p) for p in passages] + [(None, passages[0])] * 100
+    held, spans = substrings.removals(docs_of(spark, rows))
+    assert held.count() == 80 and spans.count() == 40
+    assert max(sum(s.n for s in r.spans) for r in spans.collect()) == 31
+    got = substrings.deduplicated(docs_of(spark, rows)).collect()
+    assert len(got) == 180 and all(r.n_removed == (80 if r.doc_id is None else 0) for r in got)
+
+
 def test_equal_windows_have_equal_anchors():
     draw = np.random.default_rng(3)
     for alphabet in (1, 2, 3, 50):
