@@ -5,6 +5,7 @@ A null text counts as empty unless a function says otherwise; functions that fin
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -137,11 +138,23 @@ def correct(task: Column, answer: Column, truth: Column) -> Column:
     return agrees(task, normal_letter(answer), normal_letter(truth), normal_open(answer), normal_open(truth))
 
 
-def mentions(c: Column, patterns: Sequence[str], in_options: bool = False) -> Column:
-    """Whether one of the patterns occurs, in lower case, outside an answer option (``in_options``: anywhere)."""
+#: Where a word of ASCII letters, digits and underscores begins or ends.
+ASCII_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def ascii_edges(pattern: str) -> str:
+    r"""``pattern`` with ``\b`` as in RE2: words are ASCII, any other letter ends them. What Java takes for a word differs by its version."""
+    return re.sub(r"\\(.)", lambda m: ASCII_EDGE if m[1] == "b" else f"(?!{ASCII_EDGE})" if m[1] == "B" else m[0], pattern, flags=re.DOTALL)
+
+
+def mentions(c: Column, patterns: Sequence[str], in_options: bool = False, ascii_words: bool = False) -> Column:
+    """Whether one of the patterns occurs, in lower case, outside an answer option (``in_options``: anywhere).
+
+    ``ascii_words``: the patterns' words end at any letter outside ASCII (``ascii_edges``).
+    """
     own = F.lower(text(c))
     hit = F.lit(False)
-    for p in patterns:
+    for p in map(ascii_edges, patterns) if ascii_words else patterns:
         # the pattern first: what stands before it is looked at only where it matches
         hit = hit | own.rlike(p if in_options else f"(?=(?:{p})){OPTION_BEFORE}")
     return hit

@@ -77,3 +77,19 @@ def test_option_sources(spark):
     assert got[:4] == [{"A": "x", "B": "y"}] * 4 and len(got[4]) == 10
     rows = spark.createDataFrame([("b",), ("A: x",), ("Y",), ("zz",)], "a string")
     assert [r[0] for r in rows.select(Q.label_of(F.col("a"), F.create_map(F.lit("A"), F.lit("x"), F.lit("B"), F.lit("y")))).collect()] == ["B", "A", "B", None]
+
+
+def test_words_of_ascii_end_at_other_letters(spark):
+    """As in RE2, whatever the Java version; escaped backslashes and the text of a class stay."""
+    said = ["Undöschpf", "und", "x_und", "öund, da", "rund", "", None]
+    found = lambda x: T.mentions(x, (r"\bund\b",), in_options=True, ascii_words=True)
+    assert column(spark, said, found) == [True, True, False, True, False, False, False]
+    assert column(spark, [r"a\b", "rund", "und"], lambda x: T.mentions(x, (r"\\b", r"\Bund"), in_options=True, ascii_words=True)) == [True, True, False]
+
+
+def test_stated_patterns_of_texts_beyond_ascii(spark, tmp_path):
+    from evalprobe.plans.answers import f9_stated_patterns
+
+    texts = ["gesch. | Undääach |", "rund", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.mentions for r in f9_stated_patterns(spark, str(tmp_path)).collect()} == {0: True, 1: False, 2: None}
