@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -27,8 +29,10 @@ PHRASES = {
 def phrase_rates(examples: DataFrame, phrases: dict[str, list[str]], by: list[str] | None = None, whole_words: bool = False) -> DataFrame:
     """Per group of phrases: the share of texts of each class with one of them, and the skew. Phrases are columns: one pass, no join."""
     by = by or []
-    hit = lambda ps: F.exists(F.array(*map(F.lit, ps)), lambda p: T.says(F.col("text"), p, whole_words))
-    rows = examples.select(*by, "label", F.explode(F.array(*(F.struct(F.lit(g).alias("g"), hit(ps).cast("int").alias("h")) for g, ps in phrases.items()))).alias("x"))
+    pad = (lambda c: F.concat(F.lit(" "), c, F.lit(" "))) if whole_words else (lambda c: c)
+    hit = lambda ps: F.exists(F.array(*(pad(F.lit(p)) for p in ps)), lambda p: F.contains(F.col("_said"), p))
+    # squeezed once a text, not once a phrase
+    rows = examples.withColumn("_said", pad(F.lower(T.squeeze(F.col("text"))))).select(*by, "label", F.explode(F.array(*(F.struct(F.lit(g).alias("g"), hit(ps).cast("int").alias("h")) for g, ps in phrases.items()))).alias("x"))
     rates = rows.groupBy(*by, F.col("x.g").alias("phrase")).agg(*(F.avg(F.when(F.col("label") == k, F.col("x.h"))).alias(f"rate{k}") for k in (0, 1)))
     return rates.withColumn("skew", F.coalesce("rate1", F.lit(0.0)) - F.coalesce("rate0", F.lit(0.0)))
 
@@ -120,41 +124,53 @@ def document_frequency(examples: DataFrame, by: list[str] | None = None, usable:
     return examples.select(*(by or []), "label", T.tokens(F.col("text")).alias("tokens")).select(*(by or []), "label", F.explode(own).alias("gram")).groupBy(*(by or []), "gram").agg(F.count_if(F.col("label") == 0).alias("c0"), F.count_if(F.col("label") == 1).alias("c1"))
 
 
-#: Texts that are counted by themselves in the first pass; more make fewer candidates and larger tables of counts.
-CHUNK_TEXTS = 500
+#: The part of the wanted share by which a count of the first pass may be too high: a larger part means fewer texts at a time.
+SLACK = 0.8
+#: Texts that a worker holds as Python objects at a time; what Spark hands over at once (64 MB) would take many times its size.
+CHUNK_TEXTS = 32
+
+
+def _often(share: float) -> Callable[[Iterator[list[str]]], list[str]]:
+    """Finds every gram that ``share`` of the texts it is given may hold, and others, in one pass (lossy counting).
+
+    Texts are counted by themselves in rounds of ``1 / (SLACK * share)``. A gram's bound is what was counted since it was
+    first kept and the rounds before that; after each round the grams with a bound no larger than the number of rounds
+    go. A gram that is not kept was thus in no more texts than there were rounds, a kept one in no more than its bound.
+    """
+    size = max(1, math.ceil(1 / (SLACK * share)))
+
+    def found(texts: Iterator[list[str]]) -> list[str]:
+        bound: dict[str, int] = {}
+        rounds = n = 0
+        while own := list(itertools.islice(texts, 1)):
+            counts: Counter[str] = Counter()
+            for tokens in itertools.chain(own, itertools.islice(texts, size - 1)):
+                counts.update({*tokens, *map(" ".join, zip(tokens, tokens[1:], strict=False))})
+                n += 1
+            for gram, c in counts.items():
+                counts[gram] = bound.pop(gram, rounds) + c
+            if n < (rounds + 1) * size:  # the last round is not full: none may go that a share of so few texts may hold
+                return [g for known in (counts, bound) for g, c in known.items() if c >= share * n]
+            rounds += 1
+            bound = {g: c for known in (bound, counts) for g, c in known.items() if c > rounds}
+        return [g for g, c in bound.items() if c >= share * n]
+
+    return found
 
 
 def candidates(texts: DataFrame, share: float) -> DataFrame:
     """Every ``gram`` that more than ``share`` of all texts may hold, and others: none is missed.
 
-    A gram that a share of all texts holds is held by that share of at least one chunk, however the texts are divided.
-    So each task counts chunks of ``CHUNK_TEXTS`` texts, one after another, and passes on what reaches the share there:
-    at most 1 / share times a text's mean number of grams for each chunk, and mostly the same ones.
+    A gram that a share of all texts holds is held by that share of at least one task's texts, however these are
+    divided. So each task passes on what may reach the share there (``_often``), and holds the grams of few texts at a time.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[str] = set()
-        counts: Counter[str] = Counter()
-        n = 0
-
-        def reached() -> pa.RecordBatch:
-            new = [g for g, c in counts.items() if c >= share * n and g not in told]
-            if len(told) + len(new) > 1_000_000:
-                told.clear()
-            told.update(new)
-            return pa.RecordBatch.from_arrays([pa.array(new, pa.string())], names=["gram"])
+    often = _often(share)
 
-        for batch in batches:
-            for tokens in batch.column(0).to_pylist():
-                tokens = tokens or []
-                counts.update({*tokens, *map(" ".join, zip(tokens, tokens[1:], strict=False))})
-                n += 1
-                if n == CHUNK_TEXTS:
-                    yield reached()
-                    counts.clear()
-                    n = 0
-        if n:
-            yield reached()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices = (b.column(0).slice(k, CHUNK_TEXTS) for b in batches for k in range(0, b.num_rows, CHUNK_TEXTS))
+        found = often(tokens or [] for own in slices for tokens in own.to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["gram"])
 
     return texts.select(T.tokens(F.col("text")).alias("tokens")).mapInArrow(run, "gram string").distinct()
 
@@ -162,7 +178,7 @@ def candidates(texts: DataFrame, share: float) -> DataFrame:
 def frequent_grams(examples: DataFrame, share: float = 0.02, least: int = 4) -> DataFrame:
     """``document_frequency`` of the usable grams that ``share`` of all texts (rounded down), and ``least`` at least, hold.
 
-    Two passes: candidates by chunks, then exact counts of the candidates alone, so that only rows of grams that may
+    Two passes: candidates by task, then exact counts of the candidates alone, so that only rows of grams that may
     reach the threshold are shuffled. The candidates are stored; from the size of that table the planner broadcasts it
     to the texts' grams, or else joins by shuffle.
     """

@@ -227,8 +227,7 @@ def test_class_targets_share_a_total():
 
 
 def test_wide_and_narrow_pooling_agree(spark, monkeypatch):
-    from evalprobe.operators import vectors as X
-
+    
     draw = random.Random(3)
     rows = [(i % 5, [draw.random() for _ in range(4)], i % 3 == 0 and i % 5 != 4) for i in range(40)]
     table = spark.createDataFrame(rows, "k int, vec array<double>, m boolean")
@@ -435,3 +434,21 @@ def test_required_images_by_name_and_configs(spark):
     files = spark.createDataFrame([("r/1/a.json",), ("r/2/a.json",)], "path string")
     configs = spark.createDataFrame([("r/1/z_config.json",), ("r/1/c_config.json",)], "path string")
     assert sorted((r.path, r.config_path) for r in with_config(files, configs).collect()) == [("r/1/a.json", "r/1/c_config.json"), ("r/2/a.json", None)]
+
+
+@pytest.mark.parametrize("n", [0, 5, 78, 79, 800])
+def test_first_pass_misses_no_frequent_gram_and_holds_few(n):
+    """Against full counts, for texts in any order; grams of single texts go again, however many texts there are."""
+    draw = random.Random(n)
+    texts = [[f"t{i}", *(f"w{int(120 * draw.random() ** 3)}" for _ in range(6))] for i in range(n)]
+    texts.sort(key=lambda t: t[1] * (n % 2))
+    counts = collections.Counter(g for t in texts for g in {*t, *map(" ".join, zip(t, t[1:], strict=False))})
+    found = C._often(0.016)(iter(texts))
+    assert len(found) == len(set(found)) and {g for g, c in counts.items() if c >= 0.016 * n} <= set(found) <= set(counts)
+    assert n < 400 or all(counts[g] > 1 for g in found)
+
+
+def test_phrases_with_blanks_around_words(spark):
+    rows = spark.createDataFrame([(0, "It  MAY be"), (0, "mayor"), (1, "so may"), (1, None)], "label int, text string")
+    rates = lambda whole: C.phrase_rates(rows, {"g": ["may"]}, whole_words=whole).first()
+    assert (rates(False).rate0, rates(True).rate0, rates(True).rate1) == (1.0, 0.5, 0.5)
