@@ -38,8 +38,18 @@ def pooled(tokens: DataFrame, by: list[str], mask: Column, dims: int, vec: str =
     return matched(own.select(*by).distinct(), means, by, "left").select(*by, F.coalesce("_m", F.array_repeat(F.lit(0.0), dims)).alias(vec))
 
 
-def last_token(tokens: DataFrame, by: list[str], order: str = "tok_idx", vec: str = "vec") -> DataFrame:
-    return tokens.groupBy(*by).agg(F.max_by(vec, order).alias(vec))
+def last_token(tokens: DataFrame, by: list[str], order: str = "tok_idx", vec: str = "vec", dims: int | None = None) -> DataFrame:
+    """The vector of the token that comes last in ``order``, of all that have as many components if ``dims`` says how many.
+
+    With ``dims`` up to ``WIDE`` each component is a column of one hash aggregation, so that tasks pass on a row a
+    sample; a whole vector cannot be changed in place there, and Spark sorts all tokens instead.
+    """
+    if dims is None or dims > WIDE:
+        own = tokens if dims is None else tokens.filter(F.size(vec) == dims)
+        return own.groupBy(*by).agg(F.max_by(vec, order).alias(vec))
+    own = tokens.filter(F.size(vec) == dims).select(*by, F.col(order).alias("_o"), *(F.get(vec, F.lit(i)).alias(f"_v{i}") for i in range(dims)))
+    found = own.groupBy(*by).agg(*(F.max_by(f"_v{i}", "_o").alias(f"_v{i}") for i in range(dims)))
+    return found.select(*by, F.array(*(f"_v{i}" for i in range(dims))).alias(vec))
 
 
 def standardised(rows: DataFrame, by: list[str], train: Column, key: str, vec: str = "vec") -> DataFrame:

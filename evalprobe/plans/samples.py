@@ -387,8 +387,8 @@ def a19_last_token(spark, sf_dir):
     """The vector of the last token, and the vectors of two poolings as one."""
     docs = V.table(spark, sf_dir, "documents")
     tokens = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("tok_idx", "w")).select("doc_id", "tok_idx", F.array(F.length("w")).alias("vec"))
-    last = X.last_token(tokens, ["doc_id"]).withColumn("layer", F.lit(0))
-    first = X.last_token(tokens.withColumn("tok_idx", -F.col("tok_idx")), ["doc_id"]).withColumn("layer", F.lit(1))
+    last = X.last_token(tokens, ["doc_id"], dims=1).withColumn("layer", F.lit(0))
+    first = X.last_token(tokens.withColumn("tok_idx", -F.col("tok_idx")), ["doc_id"], dims=1).withColumn("layer", F.lit(1))
     both = X.concatenated(last.unionByName(first), ["doc_id"])
     return both.select("doc_id", F.col("vec")[0].alias("last_length"), F.col("vec")[1].alias("first_length"))
 

@@ -19,6 +19,7 @@ from evalprobe.operators import metrics as M
 from evalprobe.operators import probes as P
 from evalprobe.operators import sampling as S
 from evalprobe.operators import splits as Sp
+from evalprobe.operators import vectors as X
 from evalprobe.sources import questions as Q
 from evalprobe.sources.json_array import read_json_array
 from evalprobe.streaming import parsed_answers
@@ -227,7 +228,8 @@ def test_class_targets_share_a_total():
 
 
 def test_wide_and_narrow_pooling_agree(spark, monkeypatch):
-    
+    from evalprobe.operators import vectors as X
+
     draw = random.Random(3)
     rows = [(i % 5, [draw.random() for _ in range(4)], i % 3 == 0 and i % 5 != 4) for i in range(40)]
     table = spark.createDataFrame(rows, "k int, vec array<double>, m boolean")
@@ -452,3 +454,15 @@ def test_phrases_with_blanks_around_words(spark):
     rows = spark.createDataFrame([(0, "It  MAY be"), (0, "mayor"), (1, "so may"), (1, None)], "label int, text string")
     rates = lambda whole: C.phrase_rates(rows, {"g": ["may"]}, whole_words=whole).first()
     assert (rates(False).rate0, rates(True).rate0, rates(True).rate1) == (1.0, 0.5, 0.5)
+
+
+def test_last_tokens_are_not_sorted(spark):
+    """The vector of one row, ties and all, by a hash aggregation; other lengths are left out, wide vectors go the other way."""
+    rows = [("a", 0, [9.0, 9.0]), ("a", 2, [1.0, None]), ("a", 1, [3.0, 4.0]), ("a", 5, [7.0]), ("b", -1, [5.0, 6.0]), (None, 0, [1.0, 1.0])]
+    tokens = spark.createDataFrame(rows, "k string, tok_idx int, vec array<double>")
+    found = X.last_token(tokens, ["k"], dims=2)
+    assert {r.k: r.vec for r in found.collect()} == {"a": [1.0, None], "b": [5.0, 6.0], None: [1.0, 1.0]}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    wide = spark.createDataFrame([("a", i, [float(i)] * 65) for i in range(3)], "k string, tok_idx int, vec array<double>")
+    assert X.last_token(wide, ["k"], dims=65).first().vec == X.last_token(wide, ["k"]).first().vec == [2.0] * 65
