@@ -6,6 +6,7 @@ import collections
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -466,3 +467,23 @@ def test_last_tokens_are_not_sorted(spark):
     assert "HashAggregate" in plan and "SortAggregate" not in plan
     wide = spark.createDataFrame([("a", i, [float(i)] * 65) for i in range(3)], "k string, tok_idx int, vec array<double>")
     assert X.last_token(wide, ["k"], dims=65).first().vec == X.last_token(wide, ["k"]).first().vec == [2.0] * 65
+
+
+def test_cosine_of_texts_holds_few_texts_at_a_time():
+    """Words of UTF-8 against words by characters, over more pairs than a slice; memory does not follow what is handed over at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    word = lambda t: collections.Counter(re.findall("[a-z0-9]+", t or ""))
+    texts = [("liver é2 ünd liver", "liver und"), (None, "x"), ("", ""), ("\u212a 没有 k1_k2", "k1 k2 é")] * 50
+    dot = lambda a, b: sum(n * b[w] for w, n in a.items())
+    want = [dot(a, b) / math.sqrt(dot(a, a) * dot(b, b)) if a and b else 0.0 for a, b in ((word(a), word(b)) for a, b in texts)]
+    sides = [pa.array([t if t is None else t.encode() for t in side], pa.binary()) for side in zip(*texts, strict=True)]
+    assert L._bag_cosine.func(*sides).to_pylist() == pytest.approx(want)
+    long = pa.array([b"word other " * 500] * 2000, pa.binary())
+    tracemalloc.start()
+    L._bag_cosine.func(long, long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_000_000
