@@ -22,6 +22,8 @@ C_GRID, INITS, EPOCHS, RATE, PATIENCE, MIN_DELTA = (0.0, 0.01, 0.1, 1.0), 3, 800
 #: Rows of a part on which a model is fitted, about; a hash of the key picks them.
 FIT_ROWS = 20_000
 HIDDEN = 512
+#: Partitions over which the fits are dealt, at least.
+FIT_TASKS = 200
 
 
 def init_seed(split_seed: int, c: float, init: int) -> int:
@@ -35,12 +37,26 @@ def grid(spark: SparkSession, features: DataFrame, seeds: list[int], cs: tuple[f
     return features.crossJoin(F.broadcast(runs))  # the run table is a setting, not data
 
 
-def _phi(z: np.ndarray) -> np.ndarray:
-    """The normal distribution function, to 1e-7 (Abramowitz and Stegun 7.1.26)."""
-    x = np.abs(z) / np.sqrt(2)
-    t = 1 / (1 + 0.3275911 * x)
-    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-x * x)
-    return np.where(z >= 0, 1 - tail / 2, tail / 2)
+#: Cells (run, unit, row) worked on at a time: every step on them stays in a core's cache.
+BLOCK = 32_768
+
+
+def _phi(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The normal distribution function, to 1e-7 (Abramowitz and Stegun 7.1.26), and exp(-z * z / 2)."""
+    x = np.abs(z)
+    x /= np.sqrt(2)
+    t = 0.3275911 * x
+    t += 1
+    np.reciprocal(t, out=t)
+    x *= x
+    bell = np.exp(np.negative(x, out=x), out=x)
+    tail = 1.061405429 * t
+    for c in (-1.453152027, 1.421413741, -0.284496736, 0.254829592):
+        tail += c
+        tail *= t
+    tail *= bell
+    tail *= 0.5
+    return np.where(z >= 0, 1 - tail, tail), bell
 
 
 class Probes:
@@ -57,36 +73,65 @@ class Probes:
             return cls([drawn((dims,), dims), drawn((), dims)])
         return cls([drawn((hidden, dims), dims), drawn((hidden,), dims), drawn((hidden,), hidden), drawn((), hidden)])
 
-    def forward(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-        """Scores (run, row), and for a hidden layer its inputs and their normal distribution function."""
+    def blocks(self, rows: np.ndarray) -> Iterator[slice]:
+        size = max(16, BLOCK // max(1, self.params[1].size))
+        return (slice(k, k + size) for k in range(0, len(rows), size))
+
+    def inputs(self, rows: np.ndarray) -> np.ndarray:
+        """What goes into the units of the hidden layer: (run, unit, row)."""
+        w, b = self.params[:2]
+        z = (w.reshape(-1, w.shape[2]) @ rows.T).reshape(*b.shape, len(rows))
+        z += b[:, :, None]
+        return z
+
+    def forward(self, rows: np.ndarray) -> tuple[np.ndarray]:
+        """Scores (run, row)."""
         p = self.params
         if len(p) == 2:
-            return p[0] @ rows.T + p[1][:, None], None, None
-        z = p[0] @ rows.T + p[1][:, :, None]
-        gate = _phi(z)
-        return np.einsum("rhn,rh->rn", z * gate, p[2]) + p[3][:, None], z, gate
+            return (p[0] @ rows.T + p[1][:, None],)
+        out = np.empty((len(p[1]), len(rows)))
+        for own in self.blocks(rows):
+            z = self.inputs(rows[own])
+            z *= _phi(z)[0]
+            out[:, own] = (p[2][:, None, :] @ z)[:, 0]
+        return (out + p[3][:, None],)
 
     def gradients(self, rows: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
-        out, z, gate = self.forward(rows)
-        err = (1 / (1 + np.exp(-np.clip(out, -50, 50))) - labels) / max(1, len(labels))
-        if z is None:
+        p, n = self.params, max(1, len(labels))
+        error = lambda out, y: (1 / (1 + np.exp(-np.clip(out, -50, 50))) - y) / n
+        if len(p) == 2:
+            err = error(self.forward(rows)[0], labels)
             return [err @ rows, err.sum(1)]
-        back = err[:, None, :] * self.params[2][:, :, None] * (gate + z * np.exp(-z * z / 2) / np.sqrt(2 * np.pi))
-        return [back @ rows, back.sum(2), np.einsum("rhn,rn->rh", z * gate, err), err.sum(1)]
+        found = [np.zeros_like(v) for v in p]
+        for own in self.blocks(rows):
+            z = self.inputs(rows[own])
+            gate, bell = _phi(z)
+            active = z * gate
+            err = error((p[2][:, None, :] @ active)[:, 0] + p[3][:, None], labels[own])
+            z *= bell
+            z /= np.sqrt(2 * np.pi)
+            z += gate
+            z *= p[2][:, :, None]
+            z *= err[:, None, :]
+            found[0] += (z.reshape(-1, z.shape[2]) @ rows[own]).reshape(p[0].shape)
+            found[1] += z.sum(2)
+            found[2] += (active @ err[:, :, None])[:, :, 0]
+            found[3] += err.sum(1)
+        return found
 
 
 def fit(x: np.ndarray, y: np.ndarray, train: np.ndarray, val: np.ndarray, cs: list[float], seeds: list[int], hidden: int = 0, epochs: int = EPOCHS) -> Probes:
     """All runs (a penalty and a seed each): full batch, Adam with decoupled decay 1 / C of every parameter (none for C = 0), early stopping on validation loss.
 
     Decay is applied as it stands, param * (1 - rate / C): for C below rate / 2 it overshoots, and the parameters of the
-    least validation loss come from the first epochs.
+    least validation loss come from the first epochs. A run that has stopped takes no further part.
     """
     probes = Probes.start(x.shape[1], hidden, seeds)
     xt, yt, xv, yv = x[train], y[train], x[val], y[val]
     first, second = ([np.zeros_like(p) for p in probes.params] for _ in range(2))
     shrink = np.array([1 - RATE / c if c > 0 else 1.0 for c in cs])
     each = lambda v, p: v.reshape(-1, *[1] * (p.ndim - 1))
-    best, least, waited = [p.copy() for p in probes.params], np.full(len(cs), np.inf), np.zeros(len(cs), int)
+    best, runs, least, waited = [p.copy() for p in probes.params], np.arange(len(cs)), np.full(len(cs), np.inf), np.zeros(len(cs), int)
     with np.errstate(all="ignore"):
         for step in range(1, epochs + 1):
             for k, g in enumerate(probes.gradients(xt, yt)):
@@ -95,18 +140,18 @@ def fit(x: np.ndarray, y: np.ndarray, train: np.ndarray, val: np.ndarray, cs: li
                 p = probes.params[k]
                 probes.params[k] = p * each(shrink, p) - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
             z = probes.forward(xv)[0]
-            loss = (np.logaddexp(0, z) - yv * z).mean(1) if len(yv) else np.zeros(len(cs))
-            better = (loss < least - MIN_DELTA) & (waited < PATIENCE)
-            waited = np.where(waited >= PATIENCE, waited, np.where(better, 0, waited + 1))
+            loss = (np.logaddexp(0, z) - yv * z).mean(1) if len(yv) else np.zeros(len(runs))
+            better = loss < least - MIN_DELTA
+            waited = np.where(better, 0, waited + 1)
             least = np.where(better, loss, least)
             for k, p in enumerate(probes.params):
-                best[k][better] = p[better]
-            done = (waited >= PATIENCE) | ~np.isfinite(loss)
-            if done.all():
+                best[k][runs[better]] = p[better]
+            on = (waited < PATIENCE) & np.isfinite(loss)
+            if not on.any():
                 break
-            for p in probes.params:
-                p[done] = 0  # a run that has stopped
-            waited[done] = PATIENCE
+            if not on.all():
+                runs, least, waited, shrink = runs[on], least[on], waited[on], shrink[on]
+                probes.params, first, second = ([v[on] for v in held] for held in (probes.params, first, second))
     return Probes(best)
 
 
@@ -128,7 +173,9 @@ def fitted(samples: DataFrame, cs: tuple[float, ...] = C_GRID, inits: int = INIT
         params = fit(x, y, train, part == "val", [c for c, _ in runs], [init_seed(seed, c, i) for c, i in runs], hidden, epochs).params
         return pd.DataFrame({"feature": [rows["feature"].iloc[0]], "split_seed": [seed], "models": [pickle.dumps((mean, std, runs, params))]})
 
-    return few.select(*keys, "key", "part", "label", "vec").groupBy(*keys).applyInPandas(run, "feature string, split_seed long, models binary")
+    # a stated number of partitions is not merged: else the planner puts small inputs, whose fits take long, into one task
+    apart = few.select(*keys, "key", "part", "label", "vec").repartition(max(FIT_TASKS, int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    return apart.groupBy(*keys).applyInPandas(run, "feature string, split_seed long, models binary")
 
 
 def sweep(samples: DataFrame, cs: tuple[float, ...] = C_GRID, inits: int = INITS, hidden: int = 0, epochs: int = EPOCHS, tested: list[Column] | None = None) -> DataFrame:

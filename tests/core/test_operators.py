@@ -487,3 +487,24 @@ def test_cosine_of_texts_holds_few_texts_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 4_000_000
+
+
+def test_runs_that_stopped_take_no_part(monkeypatch):
+    """The parameters of each run are those of the run alone, whatever the blocks; a run that has stopped costs nothing more."""
+    draw = np.random.default_rng(2)
+    x, y, train = draw.normal(size=(90, 3)), draw.random(90) > 0.5, np.arange(90) < 60
+    cs, seeds = [0.0, 0.01, 1.0], [5, 6, 7]
+    monkeypatch.setattr(P, "PATIENCE", 3)
+    taking, gradients = [], P.Probes.gradients
+    monkeypatch.setattr(P.Probes, "gradients", lambda self, *a: taking.append(len(self.params[1])) or gradients(self, *a))
+    for hidden in (0, 4):
+        taking.clear()
+        found = P.fit(x, y.astype(int), train, ~train, cs, seeds, hidden, 60)
+        assert taking[0] == 3 and taking == sorted(taking, reverse=True) and 0 < taking[-1] < 3
+        monkeypatch.setattr(P, "BLOCK", 1)
+        for i in range(3):
+            alone = P.fit(x, y.astype(int), train, ~train, cs[i : i + 1], seeds[i : i + 1], hidden, 60)
+            assert all(np.allclose(a[0], p[i]) for a, p in zip(alone.params, found.params, strict=True))
+        monkeypatch.undo()
+        monkeypatch.setattr(P, "PATIENCE", 3)
+        monkeypatch.setattr(P.Probes, "gradients", lambda self, *a: taking.append(len(self.params[1])) or gradients(self, *a))
