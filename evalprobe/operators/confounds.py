@@ -232,6 +232,9 @@ def naive_bayes(rows: DataFrame, texts: DataFrame, key: str, runs: int) -> DataF
     Every text is divided into grams once, whatever the number of runs: its runs are a bit mask on the row, a gram's
     counts are arrays over all runs, and so are a tested text's sums. Grams that a run's training does not know drop
     out, ties go to class 0, a scope and run without training texts have no model.
+
+    Grams of texts that train are stored, as counts and tests read them. Texts that are only tested, often nearly all,
+    meet the stored counts where they are divided if the planner finds these small enough, else by a shuffle.
     """
     every = range(runs)
     masks = {f"_a{w}": _mask("train", w) for w in range(_words(runs))} | {f"_b{w}": _mask("test", w) for w in range(_words(runs))}
@@ -239,10 +242,12 @@ def naive_bayes(rows: DataFrame, texts: DataFrame, key: str, runs: int) -> DataF
     own = rows.drop("train", "test")
     # dividing a text costs far more than moving it: the texts that take part are dealt out evenly first
     taking = texts.select(key, "text").join(own, key).repartition(key).select(*own.columns, T.tokens(F.col("text")).alias("tokens"))
-    grams = stored(taking.select(*own.columns, F.explode(T.grams(F.col("tokens"))).alias("gram")), "bayes-grams")
-    trained = grams.filter(" OR ".join(f"_a{w} <> 0" for w in range(_words(runs)))).withColumn("scope", F.explode("trains"))
+    trains, tests = (" OR ".join(f"_{k}{w} <> 0" for w in range(_words(runs))) for k in "ab")
+    divided = lambda own: taking.filter(own).select(*taking.columns[:-1], F.explode(T.grams(F.col("tokens"))).alias("gram"))
+    grams = stored(divided(trains), "bayes-grams")
+    trained = grams.withColumn("scope", F.explode("trains"))
     count = lambda k: F.array(*(F.sum(F.when(F.col("label") == k, _bit("_a", r)).otherwise(0)) for r in every)).alias(f"c{k}")
-    counts = trained.groupBy("scope", "gram").agg(count(0), count(1))
+    counts = small(trained.groupBy("scope", "gram").agg(count(0), count(1)))
     at = lambda c, r: F.get(c, F.lit(r))
     known = lambda r: (at("c0", r) + at("c1", r) > 0).cast("long")
     total = lambda k: F.array(*(F.sum(at(f"c{k}", r)) + F.sum(known(r)) for r in every)).alias(f"d{k}")
@@ -250,7 +255,7 @@ def naive_bayes(rows: DataFrame, texts: DataFrame, key: str, runs: int) -> DataF
     sizes = rows.withColumn("scope", F.explode("trains")).groupBy("scope").agg(*(F.array(*(F.sum(F.when(F.col("label") == k, _bit("_a", r)).otherwise(0)) for r in every)).alias(f"n{k}") for k in (0, 1)))
     logs = lambda k: F.transform(f"c{k}", lambda c: F.ln(c + 1.0)).alias(f"l{k}")
     model = counts.select("scope", "gram", logs(0), logs(1), F.zip_with("c0", "c1", lambda a, b: (a + b > 0).cast("long")).alias("known"))
-    tested = grams.filter(" OR ".join(f"_b{w} <> 0" for w in range(_words(runs)))).select(key, F.explode("tests").alias("scope"), "gram")
+    tested = grams.filter(tests).unionByName(divided(f"NOT ({trains}) AND ({tests})")).select(key, F.explode("tests").alias("scope"), "gram")
     summed = lambda c, name: F.array(*(F.sum(F.when(at("known", r) > 0, at(c, r))) for r in every)).alias(name)
     met = tested.join(model, ["scope", "gram"]).groupBy("scope", key).agg(summed("l0", "s0"), summed("l1", "s1"), summed("known", "k"))
     asked = rows.select(key, "label", F.explode("tests").alias("scope"), "test").join(met, ["scope", key], "left").join(sizes.join(totals, "scope", "left"), "scope")

@@ -508,3 +508,23 @@ def test_runs_that_stopped_take_no_part(monkeypatch):
         monkeypatch.undo()
         monkeypatch.setattr(P, "PATIENCE", 3)
         monkeypatch.setattr(P.Probes, "gradients", lambda self, *a: taking.append(len(self.params[1])) or gradients(self, *a))
+
+
+def test_texts_that_are_only_tested_are_not_stored(spark, monkeypatch):
+    """They meet the stored counts where they are divided; by a shuffle if the counts are large; texts of both kinds count once in each."""
+    rows = [(i, i % 2, f"both {'x' if i % 2 else 'y'} w{i}", [0] if i < 6 else [], [0] if i > 3 else []) for i in range(40)]
+    table = spark.createDataFrame(rows, "key int, label int, text string, train array<int>, test array<int>")
+    roles = table.select("key", "label", F.array(F.lit("s")).alias("trains"), F.array(F.lit("s")).alias("tests"), "train", "test")
+    held, stored = {}, C.stored
+    monkeypatch.setattr(C, "stored", lambda t, name: held.setdefault(name, stored(t, name)))
+    found = C.naive_bayes(roles, table.select("key", "text"), "key", 1)
+    assert {r.key for r in held["bayes-grams"].select("key").distinct().collect()} == set(range(6))
+    got = {r.key: r.predicted for r in found.collect()}
+    assert got == {i: i % 2 for i in range(4, 40)}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        held.clear()
+        assert {r.key: r.predicted for r in C.naive_bayes(roles, table.select("key", "text"), "key", 1).collect()} == got
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
