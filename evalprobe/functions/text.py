@@ -154,12 +154,19 @@ def mentions(c: Column, patterns: Sequence[str], in_options: bool = False, ascii
     """
     own = F.lower(text(c))
     hit = F.lit(False)
-    for p in map(ascii_edges, patterns) if ascii_words else patterns:
+    for p in _merged(list(map(ascii_edges, patterns)) if ascii_words else list(patterns)):
         # the pattern first: what stands before it is looked at only where it matches
         hit = hit | own.rlike(p if in_options else f"(?=(?:{p})){OPTION_BEFORE}")
     return hit
 
 
+def _merged(patterns: list[str]) -> list[str]:
+    """``patterns`` as branches of one, so that a text is lowered and decoded once; those that refer to groups by number or name stay alone."""
+    alone = [p for p in patterns if re.search(r"\\[1-9k]|\(\?<[A-Za-z]", p)]
+    many = [f"(?:{p})" for p in patterns if p not in alone]
+    return (["|".join(many)] if many else []) + alone
+
+
 def reasoning(c: Column) -> Column:
     """What stands between think tags; null without them."""
     return F.when(c.rlike("(?is)<think>(.*?)</think>"), strip(F.regexp_extract(c, "(?is)<think>(.*?)</think>", 1)))

@@ -93,3 +93,10 @@ def test_stated_patterns_of_texts_beyond_ascii(spark, tmp_path):
     texts = ["gesch. | Undääach |", "rund", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.mentions for r in f9_stated_patterns(spark, str(tmp_path)).collect()} == {0: True, 1: False, 2: None}
+
+
+def test_patterns_are_branches_of_one(spark):
+    """One search a list; patterns that refer to groups stay alone, so that their numbers hold."""
+    assert len(T._merged(list(T.NO_IMAGE))) == 1 and T._merged([]) == []
+    said = ["B. no image", "no image", "aa", "ab", "x|y", None]
+    assert column(spark, said, lambda x: T.mentions(x, (r"(no) image", r"(a)\1", r"x\|y"))) == [False, True, True, False, True, False]
