@@ -60,6 +60,15 @@ _GRAMS = "flatten(transform(array(l, l + 1), m -> transform(sequence(0, 3), k ->
 _EARLIER = "k > 0 AND exists(sequence(0, k - 1), j -> substring(a, 1, l * j div 4) = substring(b, 1, l * j div 4) AND substring(a, l * (j + 1) div 4 + 1) = substring(b, l * (j + 1) div 4))"
 
 
+def apart(table: DataFrame) -> DataFrame:
+    """``table``, to be joined by a shuffle, never as a broadcast.
+
+    A million words take 7 MB as a file and a hundred bytes each in memory, eight times over as grams; the planner
+    sizes a stored table by its file and does not count what an explode adds.
+    """
+    return table.hint("merge")
+
+
 def near(words: DataFrame) -> DataFrame:
     """Pairs of words one inserted, deleted or replaced letter apart, each once: ``a``, ``b`` and their counts ``n_a``, ``n_b``.
 
@@ -68,7 +77,7 @@ def near(words: DataFrame) -> DataFrame:
     own = words.withColumn("l", F.char_length("word"))
     chunks = own.select(F.col("word").alias("a"), F.col("n").alias("n_a"), F.explode(F.expr(_CHUNKS)).alias("c")).select("a", "n_a", "c.*")
     grams = own.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("l").alias("l_b"), F.explode(F.expr(_GRAMS)).alias("g")).select("b", "n_b", "l_b", "g.key")
-    met = chunks.join(grams, "key").filter((F.col("l_b") < F.col("l")) | ((F.col("l_b") == F.col("l")) & (F.col("b") < F.col("a"))))
+    met = chunks.join(apart(grams), "key").filter((F.col("l_b") < F.col("l")) | ((F.col("l_b") == F.col("l")) & (F.col("b") < F.col("a"))))
     same = F.expr("levenshtein(a, b, 1) = 1")
     return met.filter(same).filter((F.col("l_b") == F.col("l")) | ~F.expr(_EARLIER)).select("a", "b", "n_a", "n_b")
 
@@ -81,7 +90,7 @@ def _rooted(forms: DataFrame) -> DataFrame:
     up = stored(forms.select("word", F.col("form").alias("root")), "spelling-up")
     while True:
         on = up.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        met = up.join(on, "root", "left")
+        met = up.join(apart(on), "root", "left")
         step = stored(met.select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-up", (up,))
         if step.filter("moved").isEmpty():
             return step.select("word", "root")
@@ -102,7 +111,7 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     joined = words.join(top, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), (-F.col("top.m")).alias("m"), F.col("top.other").alias("other"))
     good = F.col("m") >= ratio * F.col("n")
     found = stored(joined.select("word", "n", "n_near", F.when(good, F.col("other")).alias("form"), F.when(good, F.col("m")).alias("form_n")), "spelling-forms")
-    return found.join(_rooted(found.filter("form IS NOT NULL")), "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return found.join(apart(_rooted(found.filter("form IS NOT NULL"))), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def grouped(docs: DataFrame, damage=None, least: int = LEAST, ratio: int = RATIO, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

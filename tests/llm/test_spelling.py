@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 from evalprobe.llm import spelling
+from evalprobe.llm.common import stored
 
 DOCS = "doc_id long, text string, word string, n long, key long"
 
@@ -83,3 +84,12 @@ def test_real_words_repeated_rows_and_long_texts(spark):
 def test_empty_table(spark):
     assert found(spark, []) == {}
     assert spelling.near(spark.createDataFrame([], "word string, n long")).count() == 0
+
+
+def test_stored_words_are_never_broadcast(spark):
+    """However small their file: as grams they take a hundred times its size on the driver."""
+    words = stored(spark.createDataFrame([("abcdefgh", 20), ("abcdefgx", 2)], "word string, n long"), "test-words")
+    for table in (spelling.near(words), spelling.variants(words)):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        table.collect()
