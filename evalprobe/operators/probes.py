@@ -1,26 +1,29 @@
 """Probes: many small models side by side, spread over executors; and token-level models on Spark ML.
 
-A sweep has two steps. All runs of a (feature, split seed) are fitted together in one task, on a bounded sample of its
-training and validation rows (``FIT_ROWS`` each; all of them where there are fewer). Then the parameters go to all
-rows, and every row of every part is scored where it stands; only counts are shuffled.
+A sweep has two steps. All runs of a (feature, split seed) are fitted side by side on all of its training and validation
+rows: in one task up to ``FIT_ROWS`` rows of a part, above that by a pass over stored blocks of rows for each step, in
+which every block gives its share of the gradient and of the validation loss. Then the parameters go to all rows, and
+every row of every part is scored where it stands; only counts are shuffled.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import RDD
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .ordering import matched, small
+from .storage import discard, folder
 
 #: The grid of penalties, number of starts and training settings.
 C_GRID, INITS, EPOCHS, RATE, PATIENCE, MIN_DELTA = (0.0, 0.01, 0.1, 1.0), 3, 800, 0.03, 200, 1e-4
-#: Rows of a part on which a model is fitted, about; a hash of the key picks them.
-FIT_ROWS = 20_000
+#: Rows of a part up to which a fit is one task; larger ones go over blocks of about ``FIT_VALUES`` components (1 MB).
+FIT_ROWS, FIT_VALUES = 20_000, 1 << 17
 HIDDEN = 512
 #: Partitions over which the fits are dealt, at least.
 FIT_TASKS = 200
@@ -96,8 +99,14 @@ class Probes:
             out[:, own] = (p[2][:, None, :] @ z)[:, 0]
         return (out + p[3][:, None],)
 
-    def gradients(self, rows: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
-        p, n = self.params, max(1, len(labels))
+    def losses(self, rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """The log loss of each run, summed over the rows."""
+        z = self.forward(rows)[0]
+        return (np.logaddexp(0, z) - labels * z).sum(1)
+
+    def gradients(self, rows: np.ndarray, labels: np.ndarray, n: int | None = None) -> list[np.ndarray]:
+        """Of the loss over ``n`` rows (default: the given ones) the share of the given rows."""
+        p, n = self.params, max(1, len(labels) if n is None else n)
         error = lambda out, y: (1 / (1 + np.exp(-np.clip(out, -50, 50))) - y) / n
         if len(p) == 2:
             err = error(self.forward(rows)[0], labels)
@@ -120,47 +129,158 @@ class Probes:
         return found
 
 
-def fit(x: np.ndarray, y: np.ndarray, train: np.ndarray, val: np.ndarray, cs: list[float], seeds: list[int], hidden: int = 0, epochs: int = EPOCHS) -> Probes:
+class Descent:
     """All runs (a penalty and a seed each): full batch, Adam with decoupled decay 1 / C of every parameter (none for C = 0), early stopping on validation loss.
 
     Decay is applied as it stands, param * (1 - rate / C): for C below rate / 2 it overshoots, and the parameters of the
     least validation loss come from the first epochs. A run that has stopped takes no further part.
     """
-    probes = Probes.start(x.shape[1], hidden, seeds)
+
+    def __init__(self, dims: int, hidden: int, cs: list[float], seeds: list[int]):
+        self.probes, self.steps = Probes.start(dims, hidden, seeds), 0
+        self.first, self.second = ([np.zeros_like(p) for p in self.probes.params] for _ in range(2))
+        self.shrink = np.array([1 - RATE / c if c > 0 else 1.0 for c in cs])
+        self.best, self.runs = [p.copy() for p in self.probes.params], np.arange(len(cs))
+        self.least, self.waited = np.full(len(cs), np.inf), np.zeros(len(cs), int)
+
+    def step(self, gradients: list[np.ndarray]) -> None:
+        self.steps += 1
+        each = lambda v, p: v.reshape(-1, *[1] * (p.ndim - 1))
+        for k, g in enumerate(gradients):
+            self.first[k] = 0.9 * self.first[k] + 0.1 * g
+            self.second[k] = 0.999 * self.second[k] + 0.001 * g * g
+            p = self.probes.params[k]
+            self.probes.params[k] = p * each(self.shrink, p) - RATE * (self.first[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.second[k] / (1 - 0.999**self.steps)) + 1e-8)
+
+    def judge(self, loss: np.ndarray) -> np.ndarray:
+        """Take the validation losses of the runs as they stand; which of them go on."""
+        better = loss < self.least - MIN_DELTA
+        self.waited = np.where(better, 0, self.waited + 1)
+        self.least = np.where(better, loss, self.least)
+        for k, p in enumerate(self.probes.params):
+            self.best[k][self.runs[better]] = p[better]
+        on = (self.waited < PATIENCE) & np.isfinite(loss)
+        if not on.all():
+            self.runs, self.least, self.waited, self.shrink = self.runs[on], self.least[on], self.waited[on], self.shrink[on]
+            self.probes.params, self.first, self.second = ([v[on] for v in held] for held in (self.probes.params, self.first, self.second))
+        return on
+
+
+def fit(x: np.ndarray, y: np.ndarray, train: np.ndarray, val: np.ndarray, cs: list[float], seeds: list[int], hidden: int = 0, epochs: int = EPOCHS) -> Probes:
+    """All runs (``Descent``) on rows that one task holds."""
     xt, yt, xv, yv = x[train], y[train], x[val], y[val]
-    first, second = ([np.zeros_like(p) for p in probes.params] for _ in range(2))
-    shrink = np.array([1 - RATE / c if c > 0 else 1.0 for c in cs])
-    each = lambda v, p: v.reshape(-1, *[1] * (p.ndim - 1))
-    best, runs, least, waited = [p.copy() for p in probes.params], np.arange(len(cs)), np.full(len(cs), np.inf), np.zeros(len(cs), int)
+    own = Descent(x.shape[1], hidden, cs, seeds)
+    with np.errstate(all="ignore"):
+        for _ in range(epochs):
+            own.step(own.probes.gradients(xt, yt))
+            own.judge(own.probes.losses(xv, yv) / max(1, len(yv)))
+            if not len(own.runs):
+                break
+    return Probes(own.best)
+
+
+_KEYS = ["feature", "split_seed"]
+
+
+def _blocks(rows: DataFrame, path: str) -> RDD[Row]:
+    """The rows of large fits, stored in ``path`` as matrices of about ``FIT_VALUES`` components, training rows first.
+
+    A hash of the key deals rows to blocks, and a block is sorted, so that its sums are the same in every run. Blocks are
+    stored as Python reads them: decoding Parquet in every pass takes as long as the sums.
+    """
+    count = F.ceil((F.col("_train") + F.col("_val")) * F.size("vec") / FIT_VALUES)
+    told = rows.select(*_KEYS, "key", "part", "label", "vec", F.pmod(F.xxhash64(F.col("key"), F.lit(29)), count).alias("block"))
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(_x=[np.asarray(v, np.float64).tobytes() for v in rows["vec"]]).sort_values(["part", "key", "label", "_x"])
+        own = {"dims": len(rows["vec"].iloc[0]), "n_train": int((rows["part"] == "train").sum()), "x": b"".join(rows["_x"]), "y": rows["label"].to_numpy(np.float64).tobytes()}
+        return pd.DataFrame([{"feature": rows["feature"].iloc[0], "split_seed": int(rows["split_seed"].iloc[0]), **own}])
+
+    packed = told.groupBy(*_KEYS, "block").applyInPandas(pack, "feature string, split_seed long, dims int, n_train int, x binary, y binary")
+    context = rows.sparkSession.sparkContext
+    # dealt evenly to as many files as there are cores: a pass is as long as its longest task
+    packed.repartition(context.defaultParallelism).rdd.saveAsPickleFile(path, 1)
+    return context.pickleFile(path)
+
+
+#: A sum, and what was lost in rounding.
+Sum = tuple[np.ndarray, np.ndarray]
+
+
+def _plus(a: Sum, b: Sum) -> Sum:
+    """With the rounding error of every addition kept, totals do not depend on how blocks are dealt to tasks."""
+    total = a[0] + b[0]
+    more = total - a[0]
+    return total, a[1] + b[1] + ((a[0] - (total - more)) + (b[0] - more))
+
+
+def _merged(a: dict[tuple, list[Sum]], b: dict[tuple, list[Sum]]) -> dict[tuple, list[Sum]]:
+    return a | {key: [_plus(p, q) for p, q in zip(a[key], v, strict=True)] if key in a else v for key, v in b.items()}
+
+
+def _summed(blocks: RDD[Row], settings: dict[tuple, tuple], share: Callable[..., list[np.ndarray]]) -> dict[tuple, list[np.ndarray]]:
+    """For each fit in ``settings`` the sums over its blocks of ``share`` (settings of the fit, rows, labels, training rows)."""
+    sent = blocks.context.broadcast(settings)
+
+    def add(rows: Iterator[Row]) -> Iterator[dict[tuple, list[Sum]]]:
+        held: dict[tuple, list[Sum]] = {}
+        with np.errstate(all="ignore"):
+            for r in rows:
+                if own := sent.value.get((r.feature, r.split_seed)):
+                    x, y = np.frombuffer(r.x, np.float64).reshape(-1, r.dims), np.frombuffer(r.y, np.float64)
+                    held = _merged(held, {(r.feature, r.split_seed): [(v, np.zeros_like(v)) for v in share(own, x, y, r.n_train)]})
+        yield held
+
     with np.errstate(all="ignore"):
-        for step in range(1, epochs + 1):
-            for k, g in enumerate(probes.gradients(xt, yt)):
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.999 * second[k] + 0.001 * g * g
-                p = probes.params[k]
-                probes.params[k] = p * each(shrink, p) - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-            z = probes.forward(xv)[0]
-            loss = (np.logaddexp(0, z) - yv * z).mean(1) if len(yv) else np.zeros(len(runs))
-            better = loss < least - MIN_DELTA
-            waited = np.where(better, 0, waited + 1)
-            least = np.where(better, loss, least)
-            for k, p in enumerate(probes.params):
-                best[k][runs[better]] = p[better]
-            on = (waited < PATIENCE) & np.isfinite(loss)
-            if not on.any():
+        found = blocks.mapPartitions(add).treeReduce(_merged)
+        sent.destroy()
+        return {key: [total + rest for total, rest in v] for key, v in found.items()}
+
+
+def _step(own: tuple, x: np.ndarray, y: np.ndarray, k: int) -> list[np.ndarray]:
+    """The share of a block, whose first ``k`` rows train: gradients, and the loss on the others."""
+    mean, std, n, params = own
+    x, probes = (x - mean) / std, Probes(params)
+    return [*probes.gradients(x[:k], y[:k], n), probes.losses(x[k:], y[k:])]
+
+
+def _fit_apart(rows: DataFrame, sizes: dict[tuple, tuple[int, int]], cs: list[float], inits: list[int], hidden: int, epochs: int) -> list[tuple]:
+    """The models of large fits, all of them side by side: (feature, split seed, model). The driver holds parameters, never rows.
+
+    One pass gives the gradients and the validation losses at the same parameters, so a fit takes a pass an epoch and
+    one more. ``sizes``: training and validation rows of each fit.
+    """
+    path = folder(rows.sparkSession, "probe-blocks")
+    blocks = _blocks(rows, path)
+    count = {key: max(1, n) for key, (n, _) in sizes.items()}
+    sums = _summed(blocks, {key: (True,) for key in sizes}, lambda own, x, y, k: [x[:k].sum(0)])
+    mean = {key: v[0] / count[key] for key, v in sums.items()}
+    sums = _summed(blocks, {key: (m,) for key, m in mean.items()}, lambda own, x, y, k: [((x[:k] - own[0]) ** 2).sum(0)])
+    std = {key: np.sqrt(v[0] / count[key]) if sizes[key][0] else np.ones_like(v[0]) for key, v in sums.items()}
+    std = {key: np.where(v < 1e-6, 1, v) for key, v in std.items()}
+    runs = {key: Descent(len(m), hidden, cs, [init_seed(key[1], c, i) for c, i in zip(cs, inits, strict=True)]) for key, m in mean.items()}
+    with np.errstate(all="ignore"):
+        for epoch in range(epochs + 1):
+            on = {key: (mean[key], std[key], count[key], own.probes.params) for key, own in runs.items() if len(own.runs)}
+            if not on:
                 break
-            if not on.all():
-                runs, least, waited, shrink = runs[on], least[on], waited[on], shrink[on]
-                probes.params, first, second = ([v[on] for v in held] for held in (probes.params, first, second))
-    return Probes(best)
+            for key, (*gradients, losses) in _summed(blocks, on, _step).items():
+                if epoch:
+                    stay = runs[key].judge(losses / max(1, sizes[key][1]))
+                    gradients = [g[stay] for g in gradients]
+                if epoch < epochs:
+                    runs[key].step(gradients)
+    discard(rows.sparkSession, path)
+    return [(*key, pickle.dumps((mean[key], std[key], list(zip(cs, inits, strict=True)), own.best))) for key, own in runs.items()]
 
 
 def fitted(samples: DataFrame, cs: tuple[float, ...] = C_GRID, inits: int = INITS, hidden: int = 0, epochs: int = EPOCHS) -> DataFrame:
-    """Per (feature, split_seed) the models of all runs: ``models``, pickled (mean, deviation, runs, parameters)."""
-    keys = ["feature", "split_seed"]
-    sizes = samples.groupBy(*keys, "part").agg(F.count("*").alias("_n"))
-    picked = F.pmod(F.xxhash64(F.col("key"), F.lit(29)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * FIT_ROWS / F.col("_n")
-    few = matched(samples.filter(F.col("part").isin("train", "val")), small(sizes), [*keys, "part"]).filter(picked)
+    """Per (feature, split_seed) the models of all runs, fitted on all training and validation rows: ``models``, pickled (mean, deviation, runs, parameters)."""
+    spark, runs = samples.sparkSession, [(c, i) for c in cs for i in range(inits)]
+    rows = samples.filter(F.col("part").isin("train", "val"))
+    sizes = small(rows.groupBy(*_KEYS).agg(*(F.count_if(F.col("part") == p).alias(f"_{p}") for p in ("train", "val"))))
+    many = F.greatest("_train", "_val") > FIT_ROWS
+    told, large = matched(rows, sizes, _KEYS), {(r.feature, r.split_seed): (r["_train"], r["_val"]) for r in sizes.filter(many).collect()}
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key")
@@ -169,13 +289,16 @@ def fitted(samples: DataFrame, cs: tuple[float, ...] = C_GRID, inits: int = INIT
         mean, std = (x[train].mean(0), x[train].std(0)) if train.any() else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
         std = np.where(std < 1e-6, 1, std)
         x, seed = (x - mean) / std, int(rows["split_seed"].iloc[0])
-        runs = [(c, i) for c in cs for i in range(inits)]
         params = fit(x, y, train, part == "val", [c for c, _ in runs], [init_seed(seed, c, i) for c, i in runs], hidden, epochs).params
         return pd.DataFrame({"feature": [rows["feature"].iloc[0]], "split_seed": [seed], "models": [pickle.dumps((mean, std, runs, params))]})
 
     # a stated number of partitions is not merged: else the planner puts small inputs, whose fits take long, into one task
-    apart = few.select(*keys, "key", "part", "label", "vec").repartition(max(FIT_TASKS, int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
-    return apart.groupBy(*keys).applyInPandas(run, "feature string, split_seed long, models binary")
+    apart = told.filter(~many).select(*_KEYS, "key", "part", "label", "vec").repartition(max(FIT_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions"))), *_KEYS)
+    schema = "feature string, split_seed long, models binary"
+    found = apart.groupBy(*_KEYS).applyInPandas(run, schema)
+    if not large:
+        return found
+    return found.unionByName(spark.createDataFrame(_fit_apart(told.filter(many), large, [c for c, _ in runs], [i for _, i in runs], hidden, epochs), schema))
 
 
 def sweep(samples: DataFrame, cs: tuple[float, ...] = C_GRID, inits: int = INITS, hidden: int = 0, epochs: int = EPOCHS, tested: list[Column] | None = None) -> DataFrame:

@@ -28,3 +28,9 @@ def stored(table: DataFrame, name: str) -> DataFrame:
     path = folder(table.sparkSession, name)
     table.write.option("compression", "zstd").parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a ``folder`` that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -113,6 +113,32 @@ def test_probes_learn_and_score_all_rows(spark, monkeypatch):
     assert sum(r.n_test for r in P.sweep(_sweep_rows(spark, x, line), (0.0,), 1, tested=[F.col("key") % 2]).collect()) == 100
 
 
+@pytest.mark.parametrize("hidden", [0, 3])
+def test_large_fits_take_all_rows(spark, monkeypatch, hidden):
+    """Fits over blocks of rows equal those in one task, beside a small one, whatever the partitions; runs stop early in both."""
+    import pickle
+
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(300, 4)) * [1, 5, 1, 0] + 2
+    rows = _sweep_rows(spark, x, x[:, 0] + draw.normal(size=300) > 2)
+    rows = rows.unionByName(rows.filter("key < 60").withColumn("feature", F.lit("few"))).unionByName(rows.withColumn("split_seed", F.lit(2).cast("long")))
+
+    def models(table):
+        found = {(r.feature, r.split_seed): pickle.loads(r.models) for r in P.fitted(table, (0.0, 0.01, 1.0), 2, hidden, epochs=25).collect()}
+        return {(key, run, k): v[i] for key, (mean, std, runs, params) in found.items() for i, run in enumerate(runs) for k, v in enumerate([np.stack([mean] * len(runs)), np.stack([std] * len(runs)), *params])}
+
+    monkeypatch.setattr(P, "PATIENCE", 6)
+    want = models(rows)
+    assert len({key for key, _, _ in want}) == 3
+    monkeypatch.setattr(P, "FIT_ROWS", 25)
+    monkeypatch.setattr(P, "FIT_VALUES", 100)
+    got, again = models(rows), models(rows.repartition(7))
+    assert want.keys() == got.keys()
+    for key, v in want.items():
+        assert got[key] == pytest.approx(v, rel=1e-6, abs=1e-9)
+        assert np.array_equal(got[key], again[key])
+
+
 def test_probe_steps_by_plain_loops():
     """Two epochs of both models against derivatives by differences, decay 1 / C on every parameter."""
     draw = np.random.default_rng(1)
